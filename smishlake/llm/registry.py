@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from smishlake.llm import byte_bpe
+from smishlake.llm import byte_bpe, host_rules, license_scan
 
 QUERIES = {
+    "op4_host_rules": host_rules.op4_host_rules,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_host_rules": host_rules.ORACLE,
+}
