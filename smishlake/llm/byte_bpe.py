@@ -21,7 +21,7 @@ from smishlake.llm.common import map_rows, table
 
 L, N, P, W_IN, SP_LAST, W_LAST, APOS1, APOS2, RESET = range(9)
 IN_L, IN_N, IN_P, IN_W, SPACE, EAT1, EAT2, FRESH = range(8)
-STATES, BLOCK, CACHE = 8, 64, 1_000_000
+STATES, BLOCK, CACHE = 8, 64, 200_000
 #: White_Space of the Unicode standard (fixed values).
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -111,13 +111,14 @@ def batch_starts(texts: list[str]) -> list[np.ndarray]:
 
 
 class Merger:
-    """Ranks of a vocabulary file and the ids of slices already merged (the cache is emptied when full)."""
+    """Ranks of a vocabulary file and the ids of slices already merged: a full cache becomes the older one."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = {v: k for k, v in self.ranks.items()}
-        self.cache: dict[str, tuple[list[int], list[int]]] = {}
+        self.cache: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         ranks = self.ranks
@@ -169,10 +170,11 @@ class Merger:
             piece = text[a:b]
             got = cache.get(piece)
             if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                got = self.merge(piece.encode("utf-8", "surrogatepass"))
+                got = self.older.get(piece) or self.merge(piece.encode("utf-8", "surrogatepass"))
                 if len(piece) <= 64:
+                    if len(cache) >= CACHE:
+                        self.older, self.cache = cache, {}
+                        cache = self.cache
                     cache[piece] = got
             ids += got
         return ids
@@ -239,10 +241,10 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", pa
     """
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(keys: list, ids: list) -> tuple:
+    def run(keys: list, ids) -> tuple:
         pieces = merger(path or vocabulary()).pieces
-        ids = [x or [] for x in ids]
-        return keys, [len(x) for x in ids], [np.array(x, "<u4").tobytes() for x in ids], [b"".join(map(pieces.__getitem__, x)) for x in ids]
+        rows = [ids[k].values.to_numpy() if ids[k].is_valid else np.zeros(0, np.int32) for k in range(len(ids))]
+        return keys, [len(x) for x in rows], [x.astype("<u4").tobytes() for x in rows], [b"".join(map(pieces.__getitem__, x.tolist())) for x in rows]
 
     return map_rows(df, run, f"{id_col} {kind}, n_tokens bigint, ids_le binary, decoded binary", id_col, ids_col)
 

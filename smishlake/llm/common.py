@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many rows may be broadcast; the row count is checked before the hint is given.
 BROADCAST_ROWS = 100_000
+#: Rows that a Python function sees at once.
+SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,7 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str) -> DataFrame:
-    """Arrow batches through fn, which takes one list per column and returns one list per output column."""
+    """Arrow batches through fn, which takes one list per column (Arrow arrays as they are) and returns one list per output column."""
     from pyspark.sql.types import StructType
 
     struct = StructType.fromDDL(schema)
@@ -49,9 +51,10 @@ def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(struct)
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(*(c.to_pylist() for c in batch.columns))
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):  # small slices bound what a worker holds as Python objects
+                batch = whole.slice(at, SLICE_ROWS)
+                out = fn(*(c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.select(*(F.col(c) for c in cols)).mapInArrow(run, struct)
