@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from smishlake.llm import byte_bpe, host_rules, license_scan
+from smishlake.llm import byte_bpe, host_rules, language_codes, license_scan, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op6_language_codes": language_codes.op6_language_codes,
     "op4_host_rules": host_rules.op4_host_rules,
     "op7_license_scan": license_scan.op7_license_scan,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
