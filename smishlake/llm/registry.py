@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from smishlake.llm import byte_bpe, host_rules, language_codes, license_scan, toxicity
+from smishlake.llm import byte_bpe, cube_mix, host_rules, language_codes, license_scan, reply_trees, toxicity
 
 QUERIES = {
+    "op5_reply_trees": reply_trees.op5_reply_trees,
+    "op8_cube_mix": cube_mix.op8_cube_mix,
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_language_codes": language_codes.op6_language_codes,
     "op4_host_rules": host_rules.op4_host_rules,
@@ -12,5 +14,6 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op5_reply_trees": reply_trees.ORACLE,
     "op4_host_rules": host_rules.ORACLE,
 }
