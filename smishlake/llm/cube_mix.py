@@ -3,8 +3,9 @@
 A source's rate (target over size) splits into whole copies that every document gets and a fractional inclusion
 probability. The flight phase moves the fractional probabilities of three documents at a time along the null space of two
 constraints, words and number of documents, until one of them is 0 or 1; both totals stay as they were. Blocks of a
-source fly side by side in Spark and leave at most two fractional documents each; these fly again, block by block, until
-two are left per source, which the landing settles to the side nearer to the target.
+source fly side by side in Spark and leave at most two fractional documents each; these fly again, block by block,
+until one block is left per source; the last flight leaves LANDING + 2 documents at most, and the landing tries all ways
+to settle those and takes the one nearest to the target.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST_COPIES = 1.5, 2.0
 #: Documents of a source that one flight takes.
 BLOCK = 4096
+#: Documents of a source that stay out of its last flight, for the landing to choose among.
+LANDING = 12
 EPS = 1e-9
 
 
@@ -81,9 +84,9 @@ def land(pi: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Settle the few that are left: of all ways, the one whose words come nearest, then whose count does."""
     at = np.flatnonzero((pi > 0) & (pi < 1))
     if len(at):
-        ways = [[(m >> i) & 1 for i in range(len(at))] for m in range(1 << len(at))]
-        want, count = float((pi[at] * x[at]).sum()), float(pi[at].sum())
-        pi[at] = min(ways, key=lambda w: (abs(float((np.array(w) * x[at]).sum()) - want), abs(sum(w) - count)))
+        ways = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
+        off = np.abs(ways @ x[at] - (pi[at] * x[at]).sum()) / max(x[at].mean(), 1.0) + 0.02 * np.abs(ways.sum(1) - pi[at].sum())
+        pi[at] = ways[int(np.argmin(off))]
     return pi
 
 
@@ -91,8 +94,10 @@ def _flight(last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "doc_key"], kind="stable")
         u = ((rows["order"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / float(1 << 53)
-        pi = fly(rows["pi"].to_numpy(float), rows["size"].to_numpy(float), u)
-        return rows.assign(pi=land(pi, rows["size"].to_numpy(float)) if last else pi)
+        pi, size = rows["pi"].to_numpy(float, copy=True), rows["size"].to_numpy(float)
+        away = max(0, len(rows) - LANDING) if last else len(rows)
+        pi[:away] = fly(pi[:away], size[:away], u)
+        return rows.assign(pi=land(pi, size) if last else pi)
 
     return run
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from smishlake.llm import byte_bpe, cube_mix, host_rules, language_codes, license_scan, reply_trees, toxicity
+from smishlake.llm import byte_bpe, cross_polytope, cube_mix, host_rules, language_codes, license_scan, reply_trees, toxicity
 
 QUERIES = {
+    "op3_cross_polytope": cross_polytope.op3_cross_polytope,
     "op5_reply_trees": reply_trees.op5_reply_trees,
     "op8_cube_mix": cube_mix.op8_cube_mix,
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +15,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op3_cross_polytope": cross_polytope.ORACLE,
     "op5_reply_trees": reply_trees.ORACLE,
     "op4_host_rules": host_rules.ORACLE,
 }
