@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from smishlake.llm import byte_bpe, cross_polytope, cube_mix, host_rules, language_codes, license_scan, reply_trees, toxicity
+from smishlake.llm import byte_bpe, cross_polytope, cube_mix, host_rules, language_codes, license_scan, reply_trees, site_templates, toxicity
 
 QUERIES = {
+    "op10_site_templates": site_templates.op10_site_templates,
     "op3_cross_polytope": cross_polytope.op3_cross_polytope,
     "op5_reply_trees": reply_trees.op5_reply_trees,
     "op8_cube_mix": cube_mix.op8_cube_mix,
