@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from smishlake.llm import byte_bpe, cross_polytope, cube_mix, host_rules, language_codes, license_scan, reply_trees, site_templates, toxicity
+from smishlake.llm import byte_bpe, cross_polytope, cube_mix, host_rules, jaccard_join, language_codes, license_scan, reply_trees, site_templates, toxicity
 
 QUERIES = {
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op10_site_templates": site_templates.op10_site_templates,
     "op3_cross_polytope": cross_polytope.op3_cross_polytope,
     "op5_reply_trees": reply_trees.op5_reply_trees,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op2_jaccard_join": jaccard_join.ORACLE,
     "op3_cross_polytope": cross_polytope.ORACLE,
     "op5_reply_trees": reply_trees.ORACLE,
     "op4_host_rules": host_rules.ORACLE,

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smishlake.llm.common import map_rows, table
+from smishlake.llm.common import SLICE_ROWS, map_rows, table
 
 #: Most labelled rows that the scorer learns from; beyond, a sample by hash of doc_id. The model of characters uses all rows.
 LABELLED_ROWS = 60_000
@@ -342,6 +342,21 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return map_rows(df, run, f"{id_col} {kind}, score double, predicted int, restored bigint", id_col, text_col)
 
 
+def filter_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns and without a shuffle; null texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        restore = Restorer(shared.value.characters)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([not t or shared.value.score(restore(t)[0]) < THRESHOLD for t in texts]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
