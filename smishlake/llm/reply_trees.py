@@ -1,8 +1,8 @@
 """Operator 5: chat formatting of reply trees. DataFrame functions only.
 
-Messages point to the message they answer. Iterative self-joins walk from the roots towards the leaves, one level a
-round, carrying ids and score sums only; each path that ends in a leaf is a branch. Branches are ranked by score within
-their tree and the chosen ones are formatted, texts joined to the chosen paths at the end.
+Messages point to the message they answer. Iterative self-joins, each reaching twice as far as the one before, sum scores
+from the roots to the leaves; each leaf ends a branch. Branches are ranked by score within their tree, the same jumps list
+the messages of the chosen ones, and these are formatted, texts joined at the end.
 
 Template of one message: <|im_start|>ROLE<|im_sep|>TEXT<|im_end|> and a line feed. Inside roles and texts a backslash
 becomes two, and `<|` becomes `<\\|`, so no control string can occur there and unescaping gives the text back.
@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 from smishlake.llm.common import store, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
-#: Levels of a tree that are walked; a deeper tree raises instead of being cut.
-MAX_LEVELS = 100_000
 
 
 def escape(c: Column) -> Column:
@@ -33,34 +31,34 @@ def message(role: Column, text: Column) -> Column:
     return F.concat(F.lit(START), escape(role), F.lit(SEP), escape(text), F.lit(END))
 
 
-def branches(messages: DataFrame) -> DataFrame:
-    """All root-to-leaf paths: tree_id, leaf_id, path array<struct<level, msg_id>>, score (sum over the path).
+def climb(messages: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Self-joins that double their reach: (totals, leaves, jumps).
 
     messages(tree_id, msg_id, parent_id, score): a message whose parent_id is null or names no message of its tree is a
-    root. Each round joins the open paths to the replies of their last message; a message that has none is a leaf.
-    Repeated (tree_id, msg_id) rows must be settled before. Messages on a cycle have no root and form no path.
+    root. totals has the score sum and the number of messages from the root to each message; jumps[k] leads from a
+    message to the one 2**k above it. A tree of depth d takes about log2(d) rounds; ids and sums are carried, no texts.
+    Repeated (tree_id, msg_id) rows must be settled before. Messages on or under a cycle have no root and are left out.
     """
     m = store(messages.select("tree_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "reply-edges")
-    ids = m.select("tree_id", F.col("msg_id").alias("parent_id"))
-    replies = m.join(ids.hint("merge"), ["tree_id", "parent_id"], "left_semi")
-    parents = replies.select("tree_id", F.col("parent_id").alias("msg_id")).distinct()
-    level = m.join(ids.hint("merge"), ["tree_id", "parent_id"], "left_anti")
-    level = level.select("tree_id", "msg_id", "score", F.array("msg_id").alias("path"))
-    child = replies.select("tree_id", F.col("parent_id").alias("msg_id"), F.col("msg_id").alias("reply"), F.col("score").alias("more"))
-    done = []
-    for _ in range(MAX_LEVELS):
-        level = store(level.join(parents.withColumn("has_reply", F.lit(True)).hint("merge"), ["tree_id", "msg_id"], "left"), "reply-level")
-        done.append(level.filter("has_reply IS NULL"))
-        open_ = level.filter("has_reply")
-        if open_.isEmpty():
-            break
-        level = open_.join(child.hint("merge"), ["tree_id", "msg_id"]).select("tree_id", F.col("reply").alias("msg_id"), (F.col("score") + F.col("more")).alias("score"), F.concat("path", F.array("reply")).alias("path"))
-    else:
-        raise ValueError("trees are deeper than MAX_LEVELS")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("tree_id", F.col("msg_id").alias("leaf_id"), "path", "score")
+    ids = m.select("tree_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
+    start = m.join(ids.hint("merge"), ["tree_id", "parent_id"], "left")
+    rows = store(start.select("tree_id", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), "score", F.lit(1).cast("long").alias("n")), "reply-rows")
+    parents = rows.filter("up IS NOT NULL").select("tree_id", F.col("up").alias("msg_id")).distinct()
+    leaves = rows.join(parents.hint("merge"), ["tree_id", "msg_id"], "left_anti").select("tree_id", "msg_id")
+    jumps, most = [], rows.count()
+    while not (open_ := rows.filter("up IS NOT NULL")).isEmpty() and 1 << len(jumps) <= most:
+        jumps.append(open_.select("tree_id", "msg_id", "up"))
+        above = rows.select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("n").alias("m"))
+        rows = rows.join(above.hint("merge"), ["tree_id", "up"], "left")
+        rows = store(rows.select("tree_id", "msg_id", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "reply-rows")
+    return rows.filter("up IS NULL").select("tree_id", "msg_id", "score", "n"), leaves, jumps
+
+
+def branches(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """All root-to-leaf paths, as tree_id, leaf_id, score and length (n), and the jumps that lead along them."""
+    totals, leaves, jumps = climb(messages)
+    paths = totals.join(leaves.hint("merge"), ["tree_id", "msg_id"], "left_semi")
+    return paths.select("tree_id", F.col("msg_id").alias("leaf_id"), "score", "n"), jumps
 
 
 def choose(paths: DataFrame, per_tree: int = 1) -> DataFrame:
@@ -69,17 +67,23 @@ def choose(paths: DataFrame, per_tree: int = 1) -> DataFrame:
     For one branch a partial aggregate picks it, so a tree with very many branches meets in no single task; for more, a
     window ranks what is left of each tree.
     """
-    order = F.struct((-F.col("score")).alias("s"), (-F.size("path")).alias("n"), "leaf_id", "path")
+    order = F.struct((-F.col("score")).alias("s"), (-F.col("n")).alias("m"), "leaf_id")
     if per_tree == 1:
         best = paths.groupBy("tree_id").agg(F.min(order).alias("b"))
-        return best.select("tree_id", F.col("b.leaf_id").alias("leaf_id"), F.col("b.path").alias("path"), F.lit(1).alias("branch"))
+        return best.select("tree_id", F.col("b.leaf_id").alias("leaf_id"), (-F.col("b.m")).alias("n"), F.lit(1).alias("branch"))
     w = Window.partitionBy("tree_id").orderBy(order)
     return paths.withColumn("branch", F.row_number().over(w)).filter(F.col("branch") <= per_tree).drop("score")
 
 
-def format_paths(chosen: DataFrame, messages: DataFrame) -> DataFrame:
-    """tree_id, leaf_id, branch, formatted: one conversation per chosen path."""
-    steps = chosen.select("tree_id", "leaf_id", "branch", F.posexplode("path").alias("level", "msg_id"))
+def format_paths(chosen: DataFrame, jumps: list[DataFrame], messages: DataFrame) -> DataFrame:
+    """tree_id, leaf_id, branch, formatted: one conversation per chosen path.
+
+    From the leaf, each jump of 2**k doubles the messages known to be on the path; level counts from the root.
+    """
+    steps = store(chosen.select("tree_id", "leaf_id", "branch", F.col("leaf_id").alias("msg_id"), F.col("n").alias("level")), "reply-steps")
+    for k in reversed(range(len(jumps))):
+        further = steps.join(jumps[k].hint("merge"), ["tree_id", "msg_id"]).select("tree_id", "leaf_id", "branch", F.col("up").alias("msg_id"), (F.col("level") - (1 << k)).alias("level"))
+        steps = store(steps.unionByName(further), "reply-steps")
     texts = messages.select("tree_id", "msg_id", message(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("part"))
     joined = steps.join(texts.hint("merge"), ["tree_id", "msg_id"])
     parts = joined.groupBy("tree_id", "leaf_id", "branch").agg(F.array_sort(F.collect_list(F.struct("level", "part"))).alias("parts"))
@@ -108,8 +112,8 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], T.StructType.fromDDL("conv_id long, turn long, role string, text string"))
     messages = store(linear(conv.unionByName(extra)), "reply-messages")
-    formatted = format_paths(choose(branches(messages)), messages)
-    return digests(formatted)
+    paths, jumps = branches(messages)
+    return digests(format_paths(choose(paths), jumps, messages))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
