@@ -3,13 +3,13 @@
 A document's set holds the 64-bit hashes of its distinct five-word shingles; hash order is the global token order.
  1. Documents with the same set are one text from here on (its smallest doc_id stands for it).
  2. A prefix is so many of a text's least tokens that a linked text must share one of them. Tokens of prefixes are
-    counted over all texts. Texts are first matched with the least text that shares many of their prefix tokens; links
-    that verify make components, so copies of one another stop counting as different.
- 3. A token is frequent when it would pair more than PAIRS texts of different components, else rare. Rare tokens are
+    counted over all texts. Each text joins the family of the most central text that it may link with, and families are
+    verified block by block, so that copies of one another stop counting as different.
+ 3. A token is frequent when it would pair more than PAIRS texts of different families, else rare. Rare tokens are
     indexed alone. A prefix with too few rare tokens is extended until it has enough; where the whole set has too few,
     the frequent tokens are split into hash classes and combinations of two tokens of a class are indexed.
- 4. Pairs of texts from different components that share enough are verified on their whole sets.
-Nothing is dropped: pairs inside a component are the only ones not formed, and they cannot change the components.
+ 4. Pairs of texts from different families and components that share enough are verified on their whole sets.
+Nothing is dropped: the pairs not formed were verified in their family, or lie in one component and cannot change it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from smishlake.llm.common import map_rows, sized, store, table
 from smishlake.llm.graphs import components
 
 WORDS = 5
-#: A token that pairs more texts of different components than this is frequent.
+#: A token that pairs more texts of different families than this is frequent.
 PAIRS = 256
 #: Most frequent tokens that are broadcast; PAIRS rises until they fit.
 FREQUENT_TOKENS = 100_000
@@ -33,6 +33,8 @@ FREQUENT_TOKENS = 100_000
 EXTENSION_TOKENS = 1_000_000
 #: Prefixes are longer than need be by this factor, so that few must be extended.
 SLACK = 1.25
+#: Texts in a block of a family, and tokens in a stretch of a matrix product.
+BLOCK, STRETCH = 256, 8192
 #: Hash classes of frequent tokens by set size; a set near a border is indexed on both sides of it.
 CLASSES = ((160, 1), (4000, 32), (1 << 62, 1024))
 
@@ -149,6 +151,93 @@ def verify(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> Dat
     return both.filter(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def block_links(ids: np.ndarray, sets: list[np.ndarray], other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside a block, or between the two blocks that `other` tells apart, as (member, least id it connects to).
+
+    Intersections are matrix products over stretches of the tokens that two sets or more share.
+    """
+    n, sizes = len(ids), np.array([len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    _, at, df = np.unique(tokens, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    often = df[at] > 1
+    row, at = row[often], at[often]
+    if not len(at):
+        return ids[:0], ids[:0]
+    at = np.unique(at, return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int(at[-1]) + 1, STRETCH):
+        a, b = np.searchsorted(at, (low, low + STRETCH))
+        m = np.zeros((n, min(STRETCH, int(at[-1]) + 1 - low)), np.float32)
+        m[row[a:b], at[a:b] - low] = 1
+        both += m @ m.T
+    linked = 9 * both.astype(np.int64) >= 4 * (sizes[:, None] + sizes[None, :])
+    np.fill_diagonal(linked, False)
+    if other.any():
+        linked &= other[:, None] != other[None, :]
+    label = ids.copy()
+    while True:
+        low = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1))
+        if (low == label).all():
+            break
+        label = low
+    hit = label != ids
+    return ids[hit], label[hit]
+
+
+def verify_families(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links a, b that connect what links inside each family; members(fam, id).
+
+    A family is dealt into blocks of about BLOCK texts and every two blocks meet in one task, so a family of any size is
+    compared without writing its pairs out.
+    """
+    members = store(members.select("fam", "id").distinct(), "jaccard-members")
+    sizes = members.groupBy("fam").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    placed = members.join(sizes.select("fam", "blocks").hint("merge"), "fam").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("fam", "id", "mine", F.least("mine", "theirs").alias("one"), F.greatest("mine", "theirs").alias("two"))
+    ids = store(members.select("id").distinct(), "jaccard-ids")
+    sets = sets_of(docs, ids, id_col, text_col)
+    key = ["fam", "one", "two"]
+    tasks = placed.join(sets.hint("merge"), "id").repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(held):
+            rows = pa.Table.from_batches(held)
+            one, two = rows["one"][0].as_py(), rows["two"][0].as_py()
+            other = rows["mine"].to_numpy() == two if one != two else np.zeros(rows.num_rows, bool)
+            if rows.num_rows < 2 or one != two and (other.all() or not other.any()):
+                return None
+            lists = rows["s"].combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
+            sets = [flat[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+            a, b = block_links(rows["id"].to_numpy(), sets, other)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+
+        last, held = None, []
+        for batch in batches:
+            k = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in key]
+            change = np.ones(batch.num_rows, bool)
+            change[1:] = np.any([c[1:] != c[:-1] for c in k], axis=0)
+            starts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+            for x, y in zip(starts, starts[1:], strict=False):
+                name = tuple(c[x] for c in k)
+                if name != last and held:
+                    if (got := flush(held)) is not None:
+                        yield got
+                    held = []
+                last = name
+                held.append(batch.slice(x, y - x))
+        if held and (got := flush(held)) is not None:
+            yield got
+
+    return tasks.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for every row: components of "Jaccard of the shingle sets is 0.8 or more".
 
@@ -172,10 +261,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = store(t.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id")), "jaccard-groups")
     texts = t.filter("n > 0").join(groups.select("id", "k1", "k2").hint("merge"), ["id", "k1", "k2"], "left_semi")
     tokens = texts.select("id", "n", F.explode("head").alias("h"))
-    twice = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("lo")).filter("c > 1")
-    shared = store(tokens.join(twice.select("h", "lo").hint("merge"), "h").select("h", "id", "n", F.col("lo.id").alias("lo"), F.col("lo.n").alias("lo_n")), "jaccard-tokens")
+    twice = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = store(tokens.join(twice.hint("merge"), "h").select("h", "id", "n", "c"), "jaccard-tokens")
 
-    # texts against the least text that they share many tokens with
     def enough(got: str, a: str, b: str, pa: str, pb: str):
         alpha = _needed(a, b)
         return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (F.col(got) >= F.least(F.expr(pa) - F.col(a) + alpha, F.expr(pb) - F.col(b) + alpha))
@@ -183,15 +271,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def head_size(n: str) -> str:
         return f"least({n}, CAST(ceil({SLACK}D * ({n} - (4 * {n} + 4) DIV 5 + 1)) AS INT))"
 
-    stars = shared.filter("id <> lo").groupBy("id", "lo").agg(F.count(F.lit(1)).cast("int").alias("got"), F.first("n").alias("n"), F.first("lo_n").alias("lo_n"))
-    stars = stars.filter(enough("got", "n", "lo_n", head_size("n"), head_size("lo_n"))).select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    links = store(verify(docs, stars, id_col, text_col), "jaccard-links")
+    # families: each text goes to the most central of the texts that it may link with
+    weight = shared.groupBy("id").agg(F.sum("c").alias("w"))
+    weighed = shared.join(weight.hint("merge"), "id").select("h", "id", "n", "w")
+    centre = weighed.groupBy("h").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "n")).alias("x")).select("h", (-F.col("x.neg")).alias("fam"), F.col("x.n").alias("fam_n"))
+    near = shared.select("h", "id", "n").join(centre.hint("merge"), "h").filter("id <> fam").groupBy("id", "fam").agg(F.count(F.lit(1)).cast("int").alias("got"), F.first("n").alias("n"), F.first("fam_n").alias("fam_n"))
+    near = near.filter(enough("got", "n", "fam_n", head_size("n"), head_size("fam_n")))
+    family = store(near.groupBy("id").agg(F.max(F.struct("got", (-F.col("fam")).alias("neg"))).alias("x")).select("id", (-F.col("x.neg")).alias("fam")), "jaccard-families")
+    links = store(verify_families(docs, family.select("fam", "id").unionByName(family.select("fam", F.col("fam").alias("id"))), id_col, text_col), "jaccard-links")
     near = components(links)
 
     # classes of tokens, by how many pairs from different components they would make
-    kin = near.select(F.col("node").alias("id"), "component")
-    placed = store(shared.select("h", "id", "n").join(sized(kin), "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("comp")), "jaccard-placed")
-    spread = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("comps"))
+    kin = family.join(near.select(F.col("node").alias("id"), "component").hint("merge"), "id", "full_outer")
+    kin = store(kin.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("fam", "id").alias("family")), "jaccard-kin")
+    placed = store(_kindred(shared.select("h", "id", "n"), kin), "jaccard-placed")
+    spread = placed.groupBy("h", "fam").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("comps"))
     spread = store(spread.filter("comps > 1").select("h", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")), "jaccard-spread")
     most = PAIRS
     while spread.filter(F.col("pairs") > most).count() > FREQUENT_TOKENS:
@@ -215,14 +309,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     combos = None
     if len(frequent):
         wide = map_rows(docs, extend, "id long, n int, more array<long>, combos array<long>", id_col, text_col)
-        wide = store(wide.join(groups.select("id").hint("merge"), "id", "left_semi").join(sized(kin), "id", "left").withColumn("comp", F.coalesce("component", "id")), "jaccard-extended")
-        more = store(wide.select(F.explode("more").alias("h"), "id", "n", "comp"), "jaccard-more")
+        wide = store(_kindred(wide.join(groups.select("id").hint("merge"), "id", "left_semi"), kin), "jaccard-extended")
+        more = store(wide.select(F.explode("more").alias("h"), "id", "n", "comp", "fam"), "jaccard-more")
         partners = more.select("h").distinct()
         found = tokens.join(partners.hint("broadcast") if more.count() <= EXTENSION_TOKENS else partners.hint("merge"), "h", "left_semi")
-        found = found.join(sized(kin), "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("comp"))
-        rare = rare.unionByName(found).unionByName(more).distinct()
-        combos = wide.select(F.explode("combos").alias("h"), "id", "n", "comp")
-        combos = combos.join(combos.groupBy("h").agg(F.count_distinct("comp").alias("m")).filter("m > 1").hint("merge"), "h").select("h", "id", "n", "comp")
+        found = _kindred(found.select("h", "id", "n"), kin).select("h", "id", "n", "comp", "fam")
+        rare = rare.select("h", "id", "n", "comp", "fam").unionByName(found).unionByName(more).distinct()
+        combos = wide.select(F.explode("combos").alias("h"), "id", "n", "comp", "fam")
+        combos = combos.join(combos.groupBy("h").agg(F.count_distinct("fam").alias("m")).filter("m > 1").hint("merge"), "h").select("h", "id", "n", "comp", "fam")
         combos = store(combos, "jaccard-combos")
     rare = store(rare, "jaccard-rare")
     often = placed.join(spread.filter(F.col("pairs") > most).select("h").hint("merge"), "h", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("often"))
@@ -243,11 +337,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
+def _kindred(rows: DataFrame, kin: DataFrame) -> DataFrame:
+    """rows(id, ...) with comp and fam; a text without kin is its own."""
+    out = rows.join(sized(kin), "id", "left")
+    return out.withColumn("comp", F.coalesce("component", "id")).withColumn("fam", F.coalesce("family", "id")).drop("component", "family")
+
+
 def _meet(rows: DataFrame) -> DataFrame:
-    """Pairs a < b of different components that share h; a bucket makes PAIRS pairs or so at most."""
-    x = rows.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    return x.join(y.hint("merge"), "h").filter("a < b AND ca <> cb AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    """Pairs a < b that share h, of different components and families; a bucket makes PAIRS pairs or so at most."""
+    x = rows.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("fam").alias("fa"))
+    y = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("fam").alias("fb"))
+    met = x.join(y.hint("merge"), ["h"]).filter("a < b AND ca <> cb AND fa <> fb AND fa <> b AND fb <> a AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    return met.select("h", "a", "na", "b", "nb")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
