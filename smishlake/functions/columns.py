@@ -13,6 +13,11 @@ def barrier(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """Rounded half to even, after ninth decimals have gone, so that sums of decimals round as decimals do."""
+    return F.bround(F.round(c, 9), digits)
+
+
 def words(pattern: str) -> str:
     """A pattern between word boundaries that hold for all scripts, whatever the Java version makes of \\b."""
     return rf"(?<![{WORD}])(?:{pattern})(?![{WORD}])"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from smishlake.functions import constants as C
-from smishlake.functions.columns import barrier, html_escape, words
+from smishlake.functions.columns import barrier, half_even, html_escape, words
 
 NAMES = [s[0] for s in C.STAGES]
 LEAST_SCORE, PER_MATCH, DAMPING, EDGE_BONUS = 0.15, 0.35, 0.35, 0.10
@@ -57,7 +57,7 @@ def assign_stages(df: DataFrame) -> DataFrame:
     named = F.col("_best.score") > LEAST_SCORE
     df = df.withColumn("state", F.when(named, F.col("_best.name")).otherwise("UNKNOWN"))
     score = F.when(named, F.col("_best.score")).otherwise(LEAST_SCORE)
-    df = df.withColumn("state_confidence", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score * (1 - DAMPING * F.col("benign")))), 3))
+    df = df.withColumn("state_confidence", half_even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score * (1 - DAMPING * F.col("benign")))), 3))
     signals = [F.when(F.col(f"s_{n}") > 0.10, F.concat(F.lit("signal_"), F.lower(F.lit(n)))) for n in NAMES] + [F.when(F.col("benign") > 0.2, F.lit("signal_benign_context"))]
     return barrier(df.withColumn("signals", F.array_compact(F.array(*signals))).drop("_best"))
 
@@ -77,7 +77,7 @@ def transitions(stages: DataFrame, graph: DataFrame) -> DataFrame:
     moved = moved.select("conv_id", "idx", F.col("_p.state").alias("from_state"), F.col("state").alias("to_state"), ((F.col("_p.state_confidence") + F.col("state_confidence")) / 2).alias("_c"), F.coalesce(F.get("signals", F.lit(0)), F.lit("unknown_signal")).alias("trigger"))
     known = moved.join(F.broadcast(graph.withColumn("valid", F.lit(True))), ["from_state", "to_state"], "left")
     confidence = F.when(F.col("valid"), F.least(F.lit(1.0), F.col("_c") + EDGE_BONUS)).otherwise(F.col("_c"))
-    return known.select("conv_id", "idx", "from_state", "to_state", F.bround(confidence, 3).alias("confidence"), F.coalesce("valid", F.lit(False)).alias("valid"), "trigger")
+    return known.select("conv_id", "idx", "from_state", "to_state", half_even(confidence, 3).alias("confidence"), F.coalesce("valid", F.lit(False)).alias("valid"), "trigger")
 
 
 def conversation_results(stages: DataFrame) -> DataFrame:
@@ -94,8 +94,8 @@ def conversation_results(stages: DataFrame) -> DataFrame:
         F.max("time_reversed").alias("time_reversed"),
         *(F.max_by(f"s_{n}", "idx").alias(f"last_{n}") for n in ("CREDENTIAL_REQUEST", "PAYMENT_REQUEST", "REMOTE_ACCESS")),
     )
-    out = out.withColumn("previous_states", F.slice("_all", F.lit(1), F.size("_all") - 1)).withColumn("overall_confidence", F.bround("_conf", 3))
-    out = out.withColumn("advancement", F.bround(F.col("_far") / (len(NAMES) - 1), 3)).withColumn("is_progression", F.col("_kinds") >= 2)
+    out = out.withColumn("previous_states", F.slice("_all", F.lit(1), F.size("_all") - 1)).withColumn("overall_confidence", half_even(F.col("_conf"), 3))
+    out = out.withColumn("advancement", half_even(F.col("_far") / (len(NAMES) - 1), 3)).withColumn("is_progression", F.col("_kinds") >= 2)
     following = F.create_map(*(F.lit(x) for pair in zip(NAMES, NAMES[1:], strict=False) for x in pair))
     likely = F.when((F.col("_conf") >= NEXT_LEAST) & (F.col("current_state") != "UNKNOWN"), F.try_element_at(following, F.col("current_state")))
     warnings = F.array_compact(F.array(F.when(F.col("time_reversed"), F.lit("TIME_REVERSED")), F.when(F.col("n_repeats") > 0, F.lit("REPEATED_MESSAGES"))))
@@ -116,5 +116,5 @@ def predict_next_step(results: DataFrame, moves: DataFrame, actions: DataFrame)
     best = df.groupBy("conv_id").agg(F.min(F.struct((-F.col("p")).alias("neg"), "ord", "action", "overall_confidence", "advancement", "current_state", "last_move")).alias("b"))
     abstained = (F.col("b.overall_confidence") < ABSTAIN_BELOW) | (F.col("b.current_state") == "UNKNOWN")
     calibrated = F.least(F.lit(1.0), -F.col("b.neg") * (0.8 + 0.2 * F.col("b.advancement")) * F.col("b.overall_confidence"))
-    out = best.select("conv_id", F.col("b.current_state").alias("current_state"), F.when(abstained, "NEEDS_REVIEW").otherwise(F.col("b.action")).alias("action"), F.bround(F.when(abstained, F.col("b.overall_confidence")).otherwise(calibrated), 3).alias("probability"), abstained.alias("abstained"), F.array_compact(F.array(F.col("b.last_move"))).alias("evidence"))
-    return out.withColumn("uncertainty", F.bround(1 - F.col("probability"), 3))
+    out = best.select("conv_id", F.col("b.current_state").alias("current_state"), F.when(abstained, "NEEDS_REVIEW").otherwise(F.col("b.action")).alias("action"), half_even(F.when(abstained, F.col("b.overall_confidence")).otherwise(calibrated), 3).alias("probability"), abstained.alias("abstained"), F.array_compact(F.array(F.col("b.last_move"))).alias("evidence"))
+    return out.withColumn("uncertainty", half_even(1 - F.col("probability"), 3))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smishlake.functions import constants as C
-from smishlake.functions.columns import barrier, words
+from smishlake.functions.columns import barrier, half_even, words
 
 ITEM = "struct<evidence_id:string,category:string,severity:double,confidence:double,value:string>"
 
@@ -53,8 +53,8 @@ def detect_evidence(df: DataFrame, family_col: str | None = None, model_confiden
     df = df.withColumn("evidence_tier", F.when(risk >= 80, "CRITICAL").when(risk >= 70, "HIGH").when(risk >= 50, "MEDIUM").when(risk >= 20, "LOW").otherwise("SAFE"))
     df = df.withColumn("evidence_category", _category(family_col))
     mean = F.aggregate("evidence", F.lit(0.0), lambda a, e: a + e["confidence"]) / F.size("evidence")
-    df = df.withColumn("evidence_confidence", F.when(F.size("evidence") > 0, F.bround(mean, 2)).otherwise(0.95))
-    return barrier(df.withColumn("uncertainty", F.bround(1 - F.col("evidence_confidence"), 2)))
+    df = df.withColumn("evidence_confidence", F.when(F.size("evidence") > 0, half_even(mean, 2)).otherwise(0.95))
+    return barrier(df.withColumn("uncertainty", half_even(1 - F.col("evidence_confidence"), 2)))
 
 
 def _category(family_col: str | None) -> Column:

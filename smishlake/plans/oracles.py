@@ -1 +1,334 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the registered queries, over the same parquet tables."""
+
+from __future__ import annotations
+
+import ipaddress
+
+from smishlake.functions import constants as C
+from smishlake.operators.augment import FIXED
+from smishlake.plans import relations as R
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def strings(values) -> str:
+    return "[" + ", ".join(map(q, values)) + "]"
+
+
+def listed(values) -> str:
+    return "(" + ", ".join(map(q, values)) + ")"
+
+
+def mapping(values: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in values.items()) + "}"
+
+
+def word(pattern: str) -> str:
+    return rf"\b(?:{pattern})\b"
+
+
+def plain(c: str) -> str:
+    """Letters beyond ASCII as underscores, so that RE2's ASCII word boundary sees them as letters."""
+    return f"regexp_replace({c}, '[À-ÖØ-öø-ɏऄ-हक़-ॡ]', '_', 'g')"
+
+
+MESSAGES = f"""m AS (SELECT doc_id AS msg_id, {strings(R.PHRASES)}[(doc_id % {len(R.PHRASES)} + 1)::INT] || ' ' || coalesce(text, '') AS raw_text,
+  {strings(R.SENDERS)}[(doc_id % {len(R.SENDERS)} + 1)::INT] AS sender_id, source, 1704067200 + doc_id * 60 AS epoch FROM documents)"""
+URLS = f"""pu AS (SELECT page_id * 2 AS url_id, url FROM pages UNION ALL SELECT page_id * 2 + 1, {strings(R.URLS)}[(page_id % {len(R.URLS)} + 1)::INT] FROM pages)"""
+CONVERSATIONS = f"""cm AS (SELECT conv_id, turn, {strings(R.PHRASES)}[((conv_id * 7 + turn) % {len(R.PHRASES)} + 1)::INT] || ' ' || coalesce(text, '') AS text FROM conversations)"""
+
+
+# ---- normalisation -----------------------------------------------------------------------------------------------------
+def _words(c: str, change: str) -> str:
+    return f"array_to_string(list_transform(string_split({c}, ' '), lambda w: {change}), ' ')"
+
+
+def _hits(c: str, test: str) -> str:
+    return f"len(list_filter(string_split({c}, ' '), lambda w: {test}))"
+
+
+def _recased(new: str) -> str:
+    title = r"^\P{L}*\p{Lu}\p{Ll}*(?:\P{L}+\p{Lu}\p{Ll}*)*\P{L}*$"
+    return f"CASE WHEN upper(w) = w AND lower(w) <> w THEN upper({new}) WHEN regexp_matches(w, {q(title)}) THEN upper({new}[1]) || {new}[2:] ELSE {new} END"
+
+
+def normalised(source: str = "m", keys: str = "msg_id, raw_text, sender_id, epoch") -> str:
+    """CTEs that end in n: keys, norm (normalised text), changes (log entries), language, deva, latin."""
+    five = "t4"
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        five = f"regexp_replace({five}, '(?i)({c}){c}{{2,}}', '\\1', 'g')"
+    repeats = " + ".join(f"len(regexp_extract_all(t4, '(?i){c}{{3,}}'))" for c in "abcdefghijklmnopqrstuvwxyz")
+    letter = "a-zA-Zऀ-ॿ"
+    spacer = f"'([{letter}])[.\\-_*~^]([{letter}])', '\\1\\2', 'g'"
+    leet = r"regexp_matches(w, '\p{L}') AND regexp_matches(w, '[0-9@$!|+€£]')"
+    vowel, trim = "regexp_replace(lower(w), '[^a-z0-9]', '', 'g')", "trim(lower(w), '.,!?;:')"
+    vmap, kmap, amap = mapping(C.VOWEL_DELETED), mapping(C.KEYBOARD_TYPOS), mapping(C.ABBREVIATIONS)
+    markers = listed(C.HINGLISH_MARKERS)
+    return f"""
+a1 AS (SELECT *, regexp_replace(raw_text, '[{C.ZERO_WIDTH}]+', '', 'g') AS t1 FROM {source}),
+a2 AS (SELECT *, translate(t1, {q(C.CONFUSABLE_FROM)}, {q(C.CONFUSABLE_TO)}) AS t2 FROM a1),
+a3 AS (SELECT *, regexp_replace(regexp_replace(t2, {spacer}), {spacer}) AS t3 FROM a2),
+a4 AS (SELECT *, regexp_replace(t3, '\\[\\.?\\]|\\(\\.\\)|\\{{\\.?\\}}', '.', 'g') AS t4 FROM a3),
+a5 AS (SELECT *, {five} AS t5 FROM a4),
+a6 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t5, '([a-zA-Z])0([a-zA-Z])', '\\1o\\2', 'g'), '([a-zA-Z])0([a-zA-Z])', '\\1o\\2', 'g'), '([a-zA-Z])1([a-zA-Z])', '\\1l\\2', 'g'), '([a-zA-Z])1([a-zA-Z])', '\\1l\\2', 'g') AS t6 FROM a5),
+a7 AS (SELECT *, {_words("t6", f"CASE WHEN {leet} THEN translate(w, {q(C.LEET_FROM)}, {q(C.LEET_TO)}) ELSE w END")} AS t7 FROM a6),
+a8 AS (SELECT *, {_words("t7", f"CASE WHEN {vowel} IN {listed(C.VOWEL_DELETED)} THEN {_recased(f'({vmap}[{vowel}])')} ELSE w END")} AS t8 FROM a7),
+a9 AS (SELECT *, {_words("t8", f"CASE WHEN {trim} IN {listed(C.KEYBOARD_TYPOS)} THEN {kmap}[{trim}] ELSE w END")} AS t9 FROM a8),
+a10 AS (SELECT *, {_words("t9", f"CASE WHEN {trim} IN {listed(C.ABBREVIATIONS)} THEN {_recased(f'({amap}[{trim}])')} ELSE w END")} AS t10 FROM a9),
+a11 AS (SELECT *, trim(regexp_replace(t10, '[\\s\\v\\p{{Z}}]+', ' ', 'g')) AS norm FROM a10),
+n AS (SELECT {keys}, norm, (t0c + ({repeats}) + (t5 <> t6)::INT + {_hits("t6", leet)} + {_hits("t7", f"{vowel} IN {listed(C.VOWEL_DELETED)}")} + {_hits("t8", f"{trim} IN {listed(C.KEYBOARD_TYPOS)}")} + {_hits("t9", f"{trim} IN {listed(C.ABBREVIATIONS)}")} + (t10 <> norm)::INT)::BIGINT AS changes,
+  regexp_matches(norm, '[ऀ-ॿ]') AS deva, regexp_matches(norm, '[a-zA-Z]') AS latin,
+  CASE WHEN regexp_matches(norm, '[ऀ-ॿ]') THEN 'hi' WHEN regexp_matches(norm, '[a-zA-Z]') AND len(list_filter(string_split(lower(norm), ' '), lambda w: w IN {markers})) > 0 THEN 'hinglish' WHEN regexp_matches(norm, '[a-zA-Z]') THEN 'en' ELSE 'unknown' END AS language
+  FROM (SELECT *, (raw_text <> t1)::INT + (t1 <> t2)::INT + (t2 <> t3)::INT + (t3 <> t4)::INT AS t0c FROM a11))"""
+
+
+def scored() -> str:
+    """CTEs that add s to n: the seven scores, family, risk_score, risk_level."""
+    either = lambda p: f"(regexp_matches(lower(norm), {q(p)}) OR regexp_matches(lower(raw_text), {q(p)}))"
+    family = " ".join(f"WHEN {either(p)} THEN {q(f)}" for f, p, _ in C.FAMILIES)
+    authority = " ".join(f"WHEN fam = {q(f)} THEN {a}" for f, _, a in C.FAMILIES)
+    return f"""
+s1 AS (SELECT *, CASE WHEN {either(C.FEAR_HIGH)} THEN 0.90 WHEN {either(C.FEAR_LOW)} THEN 0.65 ELSE 0 END::DOUBLE AS fear, CASE WHEN {either(C.URGENCY)} THEN 0.85 ELSE 0 END::DOUBLE AS urgency,
+  CASE {family} ELSE 'SAFE' END AS fam, CASE WHEN {either(C.CREDENTIAL)} THEN 0.95 ELSE 0 END::DOUBLE AS credential, CASE WHEN {either(C.FINANCIAL)} THEN 0.80 ELSE 0 END::DOUBLE AS financial,
+  CASE WHEN regexp_matches(lower(raw_text), {q(C.LINK)}) THEN 0.90 ELSE 0 END::DOUBLE AS link, CASE WHEN regexp_matches(lower(norm), {q(C.CALL_TO_ACTION)}) THEN 0.85 ELSE 0 END::DOUBLE AS call_to_action FROM n),
+s2 AS (SELECT *, CASE {authority} ELSE 0 END::DOUBLE AS authority FROM s1),
+s3 AS (SELECT *, fear = 0 AND link = 0 AND credential = 0 AND authority = 0 AS safe, list_filter([fear, urgency, authority, credential * 1.2::DOUBLE, link * 1.1::DOUBLE, call_to_action * 0.8::DOUBLE], lambda x: x > 0) AS active FROM s2),
+s4 AS (SELECT *, (list_sum(active) / len(active) * 0.4::DOUBLE + list_max(active) * 0.6::DOUBLE) * 100 AS rawscore FROM s3),
+s AS (SELECT *, CASE WHEN safe THEN 5 ELSE least(100, greatest(0, round_even(CASE WHEN changes > 0 THEN least(100, rawscore + least(15, changes * 5)) ELSE rawscore END, 0)))::INT END AS risk_score,
+  CASE WHEN safe THEN 'SAFE' ELSE fam END AS scam_family FROM s4),
+sl AS (SELECT *, CASE WHEN safe THEN 'SAFE' WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'HIGH' WHEN risk_score >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+  CASE WHEN safe THEN 'NO_ACTION' WHEN credential > 0.5 THEN 'DO_NOT_SHARE_OTP' WHEN link > 0.5 THEN 'OPEN_OFFICIAL_APP_OR_SITE' ELSE 'VERIFY_WITH_OFFICIAL_SUPPORT' END AS recommended_action FROM s)"""
+
+
+FACTS = "msg_id, risk_score, risk_level, scam_family, fear, urgency, authority, financial, credential, link, call_to_action"
+ANALYSED = f"WITH {MESSAGES}, {normalised()}, {scored()}"
+
+
+# ---- indicators --------------------------------------------------------------------------------------------------------
+def risk(host: str, scheme: str, url: str) -> str:
+    octets = f"string_split({host}, '.')"
+    number = f"CASE WHEN regexp_full_match({host}, {q(C.IPV4)}) THEN {' + '.join(f'{octets}[{i + 1}]::BIGINT * {256 ** (3 - i)}' for i in range(4))} END"
+    nets = [ipaddress.IPv4Network(n) for n in C.PRIVATE_V4]
+    private = "(" + " OR ".join(f"({number}) BETWEEN {int(n.network_address)} AND {int(n.broadcast_address)}" for n in nets) + ")"
+    return f"""CASE WHEN trim({url}) = '' THEN 'blocked' WHEN {scheme} NOT IN ('http', 'https') THEN 'invalid_scheme' WHEN {host} IN {listed(C.METADATA_HOSTS)} THEN 'metadata_endpoint'
+ WHEN {private} AND starts_with({host}, '127.') THEN 'loopback' WHEN {private} AND starts_with({host}, '169.254.') THEN 'metadata_endpoint' WHEN {private} THEN 'private_ip'
+ WHEN {host} IN {listed(C.LOCAL_HOSTS)} THEN 'loopback' ELSE 'safe' END"""
+
+
+PARTS = r"'^([a-zA-Z][a-zA-Z0-9+.\-]*)://(?:([^/?#]*)@)?(\[[^\]/?#]*\]?|[^/?#:]*)(?::([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
+
+
+def schemed(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '^[a-zA-Z][a-zA-Z0-9+\\-.]*://') THEN {c} ELSE 'http://' || {c} END"
+
+
+def _distinct(kind: str, expr: str) -> str:
+    return f"SELECT DISTINCT msg_id, {q(kind)} AS type, unnest({expr}) AS value FROM m"
+
+
+INDICATORS = f"""
+fu AS (SELECT msg_id, regexp_replace(u, '[.,;:!?"'']+$', '') AS value, pos FROM (SELECT msg_id, unnest(regexp_extract_all(raw_text, {q("(?i)" + C.URL.replace("{0,500}", "*"))})) AS u, generate_subscripts(regexp_extract_all(raw_text, {q("(?i)" + C.URL.replace("{0,500}", "*"))}), 1) AS pos FROM m)),
+fd AS (SELECT msg_id, value, min(pos) AS pos, {schemed("value")} AS full_url FROM fu GROUP BY ALL),
+fh AS (SELECT *, lower(regexp_extract(full_url, {PARTS}, 3)) AS host, lower(regexp_extract(full_url, {PARTS}, 1)) AS scheme FROM fd),
+iu AS (SELECT msg_id, 'url' AS type, value, pos, CASE WHEN host IN {listed(C.SHORTENERS)} THEN 0.97 WHEN string_split(host, '.')[-1] IN {listed(C.RISKY_TLDS)} AND contains(host, '.') THEN 0.92 ELSE 0.88 END::DOUBLE AS confidence,
+  {risk("host", "scheme", "value")} AS ssrf_risk, contains(host, 'xn--') OR regexp_matches(host, '[^\\x00-\\x7F]') AS is_idn, host FROM fh WHERE host <> '' AND NOT starts_with(host, '[') AND NOT regexp_full_match(host, {q(C.IPV4)})),
+idom AS (SELECT msg_id, 'domain' AS type, host AS value, arg_min(confidence, pos) AS confidence, arg_min(ssrf_risk, pos) AS ssrf_risk, arg_min(is_idn, pos) AS is_idn, host FROM iu GROUP BY msg_id, host),
+ip AS ({_distinct("ip", f"regexp_extract_all({plain('raw_text')}, {q(word(C.IPV4))})")}),
+pt AS (SELECT msg_id, raw_text FROM m WHERE regexp_matches(raw_text, '[6-9][0-9]{{9}}')),
+ph AS (SELECT DISTINCT msg_id, 'phone' AS type, '+91' || d AS value FROM (SELECT msg_id, regexp_extract(x, '([6-9][0-9]{{9}})$', 1) AS d FROM (SELECT msg_id, unnest(regexp_extract_all(raw_text, '(?:\\+91[-.\\s]?|0[-.\\s]?)?[0-9]+')) AS x FROM pt) WHERE regexp_full_match(x, '(?:\\+91[-.\\s]?|91|0[-.\\s]?)?[6-9][0-9]{{9}}'))),
+em AS ({_distinct("email", f"list_transform(regexp_extract_all({plain('raw_text')}, {q(word(C.EMAIL))}), lambda x: lower(x))")}),
+up AS ({_distinct("upi_id", f"list_transform(regexp_extract_all({plain('raw_text')}, {q('(?i)' + word(C.UPI))}), lambda x: lower(x))")}),
+se AS ({_distinct("sender_id", f"list_transform(regexp_extract_all({plain('raw_text')}, {q('(?i)' + word(C.SENDER))}), lambda x: upper(x))")}),
+i AS (SELECT msg_id, type, value, confidence, ssrf_risk, ssrf_risk <> 'safe' AS is_internal, is_idn, host FROM iu UNION ALL SELECT msg_id, type, value, confidence, ssrf_risk, ssrf_risk <> 'safe', is_idn, host FROM idom
+  UNION ALL SELECT msg_id, type, value, 0.90, {risk("value", "'http'", "value")}, {risk("value", "'http'", "value")} <> 'safe', false, value FROM ip
+  UNION ALL SELECT msg_id, type, value, CASE type WHEN 'phone' THEN 0.93 WHEN 'email' THEN 0.95 WHEN 'upi_id' THEN 0.97 ELSE 0.89 END, 'safe', false, false, NULL FROM (SELECT * FROM ph UNION ALL SELECT * FROM em UNION ALL SELECT * FROM up UNION ALL SELECT * FROM se))"""
+WITH_I = f"WITH {MESSAGES}, {INDICATORS}"
+
+# ---- URL findings --------------------------------------------------------------------------------------------------------
+_F = lambda when, fid, sev, conf, detail="''": f"CASE WHEN {when} THEN {{'finding_id': {q(fid)}, 'severity': {q(sev)}, 'confidence': {conf}::DOUBLE, 'detail': {detail}}} END"
+_tok = lambda tokens: f"list_filter({strings(sorted(tokens))}, lambda t: contains(pq, t))"
+_lit = f"regexp_matches(u, {q(r'(?i)^https?://[[]?' + C.IPV4)})"
+_brand = f"list_filter({strings(C.BRAND_TOKENS)}, lambda b: contains(host || path, b) AND NOT coalesce(len(list_filter(range(1, len(labels) + 1), lambda k: labels[k] = b AND len(labels) - k <= 2)) > 0, false))[1]"
+FINDINGS = f"""{URLS},
+u1 AS (SELECT url_id, url, {schemed("trim(url)")} AS u FROM pu),
+u2 AS (SELECT *, lower(regexp_extract(u, {PARTS}, 1)) AS scheme, regexp_extract(u, {PARTS}, 2) AS userinfo, lower(regexp_extract(u, {PARTS}, 3)) AS host, regexp_extract(u, {PARTS}, 4) AS port, regexp_extract(u, {PARTS}, 5) AS path, regexp_extract(u, {PARTS}, 6) AS query, regexp_extract(u, {PARTS}, 7) AS fragment FROM u1),
+u3 AS (SELECT *, {risk("host", "scheme", "url")} AS ssrf_risk, list_filter(string_split(host, '.'), lambda x: x <> '') AS labels, lower(path || ' ' || query) AS pq, string_split(host, '.')[-1] AS tld, host || path || query AS full_text FROM u2),
+ec AS (SELECT url_id, ch, count(*) AS n FROM (SELECT url_id, unnest(regexp_extract_all(full_text, '(?s).')) AS ch FROM u3) GROUP BY ALL),
+en AS (SELECT url_id, -sum(n / t * log2(n / t)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY url_id) AS t FROM ec) GROUP BY url_id),
+u4 AS (SELECT u3.*, coalesce(entropy, 0) AS entropy, {_brand} AS brand FROM u3 LEFT JOIN en USING (url_id)),
+uf AS (SELECT *, CASE WHEN ssrf_risk <> 'safe' THEN [{_F("true", "SSRF_BLOCKED", "CRITICAL", 1.0, "ssrf_risk")}]
+ WHEN port <> '' AND (NOT regexp_full_match(port, '[0-9]+') OR try_cast(port AS BIGINT) > 65535) THEN [{_F("true", "MALFORMED_URL", "MEDIUM", 0.9)}]
+ ELSE list_filter([{_F(f"tld IN {listed(C.SUSPICIOUS_TLDS)}", "SUSPICIOUS_TLD", "MEDIUM", 0.85, "'.' || tld")}, {_F("len(labels) >= 5", "EXCESSIVE_SUBDOMAIN_DEPTH", "MEDIUM", 0.80)}, {_F("entropy > 4.0", "HIGH_URL_ENTROPY", "LOW", 0.75)},
+ {_F(f"len({_tok(C.PATH_TOKENS)}) > 0", "SUSPICIOUS_PATH_TOKENS", "MEDIUM", 0.82, f"array_to_string({_tok(C.PATH_TOKENS)}[1:5], ', ')")}, {_F(f"len({_tok(C.CREDENTIAL_TOKENS)}) > 0", "CREDENTIAL_HARVESTING_PATH", "HIGH", 0.88, f"array_to_string({_tok(C.CREDENTIAL_TOKENS)}[1:5], ', ')")},
+ {_F("brand IS NOT NULL", "BRAND_IMPERSONATION_IN_DOMAIN", "HIGH", 0.90, "brand")}, {_F("len(list_filter(labels, lambda x: starts_with(x, 'xn--'))) > 0", "PUNYCODE_DOMAIN", "HIGH", 0.92, "list_filter(labels, lambda x: starts_with(x, 'xn--'))[1][1:32]")}, {_F(f"regexp_matches(host, '[{C.LOOKALIKE}]')", "UNICODE_HOMOGLYPH", "HIGH", 0.93)},
+ {_F(_lit, "IP_LITERAL_URL", "HIGH", 0.94)}, {_F(f"NOT {_lit} AND regexp_full_match(host, '0x[0-9a-f]+|0[0-7]+|[0-9]+')", "ENCODED_IP_LITERAL", "CRITICAL", 0.97)}, {_F(f"host IN {listed(C.LINK_SHORTENERS)}", "URL_SHORTENER", "MEDIUM", 0.85, "host")},
+ {_F("regexp_matches(u, '%25[0-9a-fA-F]{2}')", "DOUBLE_ENCODING", "HIGH", 0.93)}, {_F("NOT regexp_matches(u, '%25[0-9a-fA-F]{2}') AND len(regexp_extract_all(u, '%[0-9a-fA-F]{2}')) > 10", "EXCESSIVE_PERCENT_ENCODING", "MEDIUM", 0.80)}, {_F(r"regexp_matches(u, '(?i)^https?://[^@\s]+:[^@\s]+@')", "EMBEDDED_CREDENTIALS", "HIGH", 0.96)},
+ {_F(f"try_cast(port AS BIGINT) IN ({', '.join(map(str, C.SUSPICIOUS_PORTS))})", "SUSPICIOUS_PORT", "MEDIUM", 0.82, "port")}, {_F(r"regexp_matches(u, '(?i)https?://[^\s]*https?://')", "NESTED_URL", "HIGH", 0.92)}, {_F("length(u) > 500", "ABNORMALLY_LONG_URL", "LOW", 0.72)},
+ {_F("regexp_matches(fragment, '^https?://')", "REDIRECT_VIA_FRAGMENT", "HIGH", 0.90)}, {_F("split_part(userinfo, ':', 1) <> '' AND split_part(userinfo, ':', 2) = ''", "UNUSUAL_USERINFO", "MEDIUM", 0.78)}, {_F("length(u) - length(replace(u, '@', '')) > 1", "MULTIPLE_AT_SIGNS", "HIGH", 0.95)}], lambda f: f IS NOT NULL) END AS findings FROM u4)"""
+
+# ---- evidence and brands ---------------------------------------------------------------------------------------------------
+_any = lambda text, vs: "(" + " OR ".join(f"contains({text}, {q(v)})" for v in vs) + ")"
+_latin = lambda vs: [v for v in vs if v.isascii()]
+_claim = ", ".join(f"CASE WHEN {_any('raw', [a.lower() for a in o[2]])} OR regexp_matches({plain('clean')}, {q(word('|'.join(_latin(o[2]))))}) OR coalesce({_any('header', o[4])}, false) THEN {i} END" for i, o in enumerate(C.ORGANISATIONS))
+_orgs = ", ".join(f"({i}, {q(o[1])}, {strings(a.lower() for a in o[2])}, {strings(o[3])}, {strings(o[4])})" for i, o in enumerate(C.ORGANISATIONS))
+_bare = "lower(trim(split_part(split_part(replace(replace(replace(u, 'https://', ''), 'http://', ''), 'www.', ''), '/', 1), '?', 1)))"
+_bad = "(" + " OR ".join(f"contains(d, {q(t)})" for t in C.BRAND_BAD_TLDS) + ")"
+_legit = "len(list_filter(domains, lambda x: d = x OR ends_with(d, '.' || x))) > 0"
+_other = " OR ".join(f"(ord <> {i} AND {_any('header', o[4])})" for i, o in enumerate(C.ORGANISATIONS))
+BRANDS = f"""
+b1 AS (SELECT *, lower(raw_text) AS raw, lower(norm) AS clean, replace(upper(nullif(sender_id, '')), '-', '') AS header FROM sl),
+b2 AS (SELECT *, list_min(list_filter([{_claim}], lambda x: x IS NOT NULL)) AS ord FROM b1),
+orgs(oord, oname, aliases, domains, headers) AS (VALUES {_orgs}),
+b3 AS (SELECT * FROM b2 LEFT JOIN orgs ON ord = oord),
+bd AS (SELECT msg_id, bool_or({_legit}) AS official, bool_or(NOT ({_legit}) AND (len(list_filter(aliases, lambda a: length(a) >= 3 AND contains(d, a))) > 0 OR starts_with(d, 'xn--') OR contains(d, 'ın') OR contains(d, 'gòog') OR {_bad})) AS phishing
+  FROM (SELECT msg_id, domains, aliases, unnest(list_transform(regexp_extract_all(raw_text, {q("(?i)" + C.BRAND_URL)}), lambda u: {_bare})) AS d FROM b3 WHERE ord IS NOT NULL) WHERE d <> '' GROUP BY msg_id),
+b4 AS (SELECT b3.*, coalesce(official, false) AS has_official_link, coalesce(phishing, false) AS has_phishing_link, coalesce(header IS NOT NULL AND ord IS NOT NULL AND len(list_filter(headers, lambda h: contains(header, h))) = 0 AND ({_other}), false) AS sender_mismatch, regexp_matches({plain("clean")}, {q(word(C.BRAND_THREAT))}) AS threat FROM b3 LEFT JOIN bd USING (msg_id)),
+b AS (SELECT *, coalesce(oname, '') AS brand, CASE WHEN ord IS NULL THEN false WHEN has_phishing_link OR (threat AND NOT has_official_link) THEN true WHEN NOT has_phishing_link AND NOT threat THEN false ELSE has_phishing_link OR sender_mismatch END AS impersonation_detected,
+  CASE WHEN ord IS NULL THEN 0.95 WHEN NOT has_phishing_link AND NOT threat THEN 0.90 WHEN sender_mismatch THEN 0.98 WHEN has_phishing_link THEN 0.96 ELSE 0.85 END::DOUBLE AS brand_confidence FROM b4)"""
+
+
+def _span(pattern: str, bounded: bool) -> str:
+    p = q("(?i)" + (word(pattern) if bounded else pattern))
+    text = (lambda c: plain(c)) if bounded else (lambda c: c)
+    return f"coalesce(nullif(regexp_extract({text('norm')}, {p}), ''), nullif(regexp_extract({text('raw_text')}, {p}), ''))"
+
+
+_items = []
+for _c, _p, _s, _k, _case, _bounded in C.EVIDENCE:
+    _items.append(f"CASE WHEN {_span(_p, _bounded)} IS NOT NULL THEN {{'category': {q(_c)}, 'severity': {_s}::DOUBLE, 'confidence': {_k}::DOUBLE, 'value': {_case}({_span(_p, _bounded)})}} END")
+_items.insert(2, "CASE WHEN brand <> '' THEN {'category': 'BANK_IMPERSONATION', 'severity': CASE WHEN impersonation_detected THEN 40.0 ELSE 18.0 END::DOUBLE, 'confidence': CASE WHEN impersonation_detected THEN brand_confidence ELSE 0.70::DOUBLE END, 'value': upper(brand)} END")
+_items.append("CASE WHEN changes > 0 THEN {'category': 'OBFUSCATION_DETECTED', 'severity': 20.0::DOUBLE, 'confidence': 0.89::DOUBLE, 'value': 'count=' || changes} END")
+_items.append("CASE WHEN scam_family <> 'SAFE' THEN {'category': CASE WHEN contains(scam_family, 'KYC') THEN 'BANK_IMPERSONATION' ELSE 'URGENCY_LANGUAGE' END, 'severity': 30.0::DOUBLE, 'confidence': 0.85::DOUBLE, 'value': scam_family} END")
+EVIDENCE = f"""
+e1 AS (SELECT *, list_filter([{', '.join(_items)}], lambda x: x IS NOT NULL) AS evidence FROM b),
+e2 AS (SELECT *, least(100, floor(coalesce(list_sum(list_transform(evidence, lambda x: x.severity)), 0)))::INT AS evidence_risk, list_transform(evidence, lambda x: x.category) AS cats FROM e1),
+e AS (SELECT *, CASE WHEN evidence_risk >= 80 THEN 'CRITICAL' WHEN evidence_risk >= 70 THEN 'HIGH' WHEN evidence_risk >= 50 THEN 'MEDIUM' WHEN evidence_risk >= 20 THEN 'LOW' ELSE 'SAFE' END AS evidence_tier,
+  CASE WHEN scam_family <> 'SAFE' THEN scam_family WHEN evidence_risk < 20 OR len(evidence) = 0 THEN 'SAFE' WHEN list_has_any(cats, ['BANK_IMPERSONATION', 'HOMOGLYPH_DOMAIN']) THEN 'BANK_KYC' WHEN list_contains(cats, 'UPI_REQUEST') THEN 'UPI_PAYMENT'
+   WHEN list_contains(cats, 'REMOTE_ACCESS') THEN 'REMOTE_ACCESS' WHEN list_has_any(cats, ['OTP_REQUEST', 'CREDENTIAL_REQUEST']) THEN 'BANK_KYC' ELSE 'OTHER_SCAM' END AS evidence_category,
+  CASE WHEN len(evidence) > 0 THEN round_even(round(list_sum(list_transform(evidence, lambda x: x.confidence)) / len(evidence), 9), 2) ELSE 0.95 END AS evidence_confidence FROM e2)"""
+FULL = f"{ANALYSED}, {BRANDS}, {EVIDENCE}"
+
+# ---- conversations ---------------------------------------------------------------------------------------------------------
+_esc = lambda c: f"replace(replace(replace(replace(replace(trim({c}), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_n = lambda latin, deva="": f"(len(regexp_extract_all({plain('lower(text)')}, {q(word(latin))}))" + (f" + len(regexp_extract_all(lower(text), {q(deva)}))" if deva else "") + ")"
+_sc = ", ".join(f"least(1.0, 0.35 * {_n(a, b)})::DOUBLE AS s_{n}" for n, a, b in C.STAGES)
+_state = "CASE " + " ".join(f"WHEN s_{n} = top THEN {q(n)}" for n, _, _ in C.STAGES) + " END"
+_sig = ", ".join(f"CASE WHEN s_{n} > 0.10 THEN {q('signal_' + n.lower())} END" for n, _, _ in C.STAGES)
+STAGED = f"""{CONVERSATIONS},
+c1 AS (SELECT conv_id, turn, {_esc("text")} AS text FROM cm),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS rep FROM c1),
+c3 AS (SELECT *, count(*) FILTER (rep > 1) OVER (PARTITION BY conv_id) AS n_repeats FROM c2),
+c4 AS (SELECT *, {_sc}, least(1.0, 0.35 * {_n(C.BENIGN)})::DOUBLE AS benign FROM c3 WHERE rep = 1),
+c5 AS (SELECT *, greatest({", ".join(f"s_{n}" for n, _, _ in C.STAGES)}) AS top FROM c4),
+st AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, CASE WHEN top > 0.15 THEN {_state} ELSE 'UNKNOWN' END AS state,
+  round_even(round(least(1, greatest(0, CASE WHEN top > 0.15 THEN top ELSE 0.15::DOUBLE END * (1 - 0.35::DOUBLE * benign))), 9), 3) AS state_confidence,
+  array_to_string(list_filter([{_sig}, CASE WHEN benign > 0.2 THEN 'signal_benign_context' END], lambda x: x IS NOT NULL), ',') AS signals FROM c5)"""
+_graph = ", ".join(f"({q(a)}, {q(b)})" for a, b in C.STAGE_GRAPH)
+MOVES = f"""g(from_state, to_state) AS (VALUES {_graph}),
+mv AS (SELECT conv_id, idx, lag(state) OVER w AS from_state, state AS to_state, (lag(state_confidence) OVER w + state_confidence) / 2 AS c, coalesce(nullif(split_part(signals, ',', 1), ''), 'unknown_signal') AS trigger FROM st WINDOW w AS (PARTITION BY conv_id ORDER BY idx)),
+tr AS (SELECT conv_id, idx, mv.from_state, mv.to_state, round_even(round(CASE WHEN g.to_state IS NOT NULL THEN least(1, c + 0.10) ELSE c END, 9), 3) AS confidence, g.to_state IS NOT NULL AS valid, trigger FROM mv LEFT JOIN g USING (from_state, to_state) WHERE mv.from_state <> mv.to_state AND mv.from_state <> 'UNKNOWN' AND mv.to_state <> 'UNKNOWN')"""
+_names = [n for n, _, _ in C.STAGES]
+_ord = "CASE state " + " ".join(f"WHEN {q(n)} THEN {i}" for i, n in enumerate(_names[:-1])) + " END"
+_next = "CASE current_state " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in zip(_names, _names[1:], strict=False)) + " END"
+RESULTS = f"""r1 AS (SELECT conv_id, count(*) AS message_count, arg_max(state, idx) AS current_state, list(state ORDER BY idx) AS states, avg(state_confidence) AS conf, coalesce(max({_ord}), 0) AS far,
+  count(DISTINCT CASE WHEN state <> 'UNKNOWN' AND state_confidence >= 0.30 THEN state END) AS kinds, max(n_repeats) AS n_repeats, arg_max(s_CREDENTIAL_REQUEST, idx) AS lc, arg_max(s_PAYMENT_REQUEST, idx) AS lp, arg_max(s_REMOTE_ACCESS, idx) AS lr FROM st GROUP BY conv_id),
+cr AS (SELECT *, array_to_string(states[1:message_count - 1], ',') AS previous_states, round_even(round(conf, 9), 3) AS overall_confidence, round_even(round(far / 8, 9), 3) AS advancement, kinds >= 2 AS is_progression, CASE WHEN conf >= 0.30 AND current_state <> 'UNKNOWN' THEN coalesce({_next}, '') ELSE '' END AS likely_next_state, CASE WHEN n_repeats > 0 THEN 'REPEATED_MESSAGES' ELSE '' END AS warnings FROM r1)"""
+_acts = ", ".join(f"({q(a)}, {q(b)}, {p}::DOUBLE, {i})" for i, (a, b, p) in enumerate(C.STAGE_ACTIONS))
+
+# ---- fingerprints ------------------------------------------------------------------------------------------------------------
+_types = ["ZERO_WIDTH"]
+DNA = f"""
+d1 AS (SELECT *, lower(raw_text) AS lraw, lower(norm) AS lclean FROM sl),
+d2 AS (SELECT *, len(list_filter(string_split_regex(lclean, '\\s+'), lambda x: x <> ''))::BIGINT AS word_count, len(string_split_regex(raw_text, '[.!?]+'))::BIGINT AS sentence_count, regexp_matches({plain("lclean")}, {q(word(C.IMPERATIVE))}) AS has_imperatives,
+  coalesce(nullif(upper(regexp_extract({plain("lclean")}, {q(word(C.FINGERPRINT_ORG))})), ''), 'NONE') AS org, regexp_extract_all(lraw, {q(C.FINGERPRINT_URL)}) AS us, regexp_extract_all(lraw, {q(C.FINGERPRINT_UPI)}, 1) AS psps,
+  len(regexp_extract_all({plain("raw_text")}, {q(word(r"(?:\+91|0)?[6-9][0-9]{9}"))}))::BIGINT AS phone_count FROM d1),
+d3 AS (SELECT *, len(us)::BIGINT AS url_count, array_to_string(list_sort(list_distinct(list_transform(list_filter(us, lambda u: contains(u, '.')), lambda u: split_part(string_split(u, '.')[-1], '/', 1)))), ',') AS tlds,
+  {_any("lraw", C.FINGERPRINT_SHORTENERS)} AS is_shortener, len(list_filter(us, lambda u: contains(u, '-') OR contains(u, 'kyc') OR contains(u, 'verify'))) > 0 AS has_homoglyph, array_to_string(list_sort(list_distinct(psps)), ',') AS psp,
+  array_to_string(list_filter([CASE WHEN contains(raw_text, '₹') OR contains(lclean, 'rs') THEN 'INR' END, CASE WHEN contains(raw_text, '$') THEN 'USD' END], lambda x: x IS NOT NULL), ',') AS currencies,
+  CASE WHEN contains(lraw, 'hindi') OR regexp_matches(raw_text, '[ऀ-ॿ]') THEN 'hi' ELSE 'en' END AS dna_language, epoch // 3600 AS hour_bucket,
+  coalesce(nullif(array_to_string(list_filter([CASE WHEN sender_id <> '' THEN 'HEADER' END, CASE WHEN org <> 'NONE' THEN 'ORG_' || org END, CASE WHEN fear > 0.5 THEN 'FEAR' END, CASE WHEN urgency > 0.5 THEN 'URGENCY' END, CASE WHEN len(us) > 0 THEN 'LINK' END, CASE WHEN has_imperatives THEN 'CTA' END], lambda x: x IS NOT NULL), '+'), ''), 'GENERIC_MESSAGE') AS message_structure FROM d2)"""
+
+# ---- augmentation --------------------------------------------------------------------------------------------------------------
+_key = r"regexp_replace(lower(w), '[^\p{L}\p{M}\p{N}_\s]', '', 'g')"
+_tail = f"CASE WHEN length(w) > length({_key}) THEN substr(w, length({_key}) + 1) ELSE '' END"
+_split = r"list_filter(string_split_regex(raw_text, '[\s\v\p{Z}\x{85}]+'), lambda w: w <> '')"
+_each = lambda change: f"array_to_string(list_transform({_split}, lambda w: {change}), ' ')"
+_mapw = lambda m, tail: f"CASE WHEN {_key} IN {listed(m)} THEN {mapping(m)}[{_key}]{f' || ({_tail})' if tail else ''} ELSE w END"
+_VARIANTS = {
+    "whitespace_manipulation": f"array_to_string(list_transform({_split}, lambda w, k: CASE WHEN k % 2 = 1 THEN w || ' ' ELSE w END), '')",
+    "phonetic_transliteration": _each(_mapw(C.TO_HINGLISH, True)),
+    "hinglish_synthesis": "CASE " + " ".join(f"WHEN regexp_matches(lower(raw_text), {q(w)}) THEN {q(t)}" for w, t in C.HINGLISH_TEMPLATES[:-1]) + f" ELSE {q(C.HINGLISH_TEMPLATES[-1][1])} END",
+    "mixed_scripts": _each(_mapw(C.TO_DEVANAGARI, False)),
+    "punctuation_insertion": _each("CASE WHEN length(w) >= 3 AND NOT contains(w, 'http') THEN array_to_string(regexp_extract_all(w, '(?s).'), '_') ELSE w END"),
+    "informal_abbreviations": _each(_mapw(C.TO_ABBREVIATION, True)),
+    "multilingual_switching": q(C.SWITCHED),
+    "ocr_corruption": "replace(replace(replace(replace(replace(raw_text, 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), 'l', '1'), 'O', '0')",
+    "domain_obfuscation": "replace(replace(replace(raw_text, 'sbi.co.in', 'sbi[.]co[.]in'), '.com', '[.]com'), 'http://', 'h**p://')",
+    "sender_id_mutation": f"{q(C.SENDER_MUTATION)} || raw_text",
+}
+assert tuple(_VARIANTS) == FIXED
+_union = lambda where="": " UNION ALL ".join(f"SELECT msg_id, sender_id, {q(k)} AS perturbation, {v} AS raw_text FROM m{where}" for k, v in _VARIANTS.items())
+VARIANTS = f"WITH {MESSAGES}, v AS ({_union(' WHERE msg_id IN (SELECT doc_id FROM labels)')}), {normalised('v', 'msg_id, perturbation, raw_text')}, {scored()}"
+_template = r"sha256(lower(regexp_replace(coalesce(text, ''), '[\s\v\p{Z}\x{85}]+', '', 'g')))"
+_place = f"(('0x' || substr(sha256('42:' || {_template}), 1, 8))::UBIGINT % 1000000) / 1000000"
+SPLIT = f"SELECT doc_id, {_template} AS template, CASE WHEN {_place} < 0.7 THEN 'train' WHEN {_place} < 0.7 + 0.1 THEN 'val' ELSE 'test' END AS split FROM documents"
+JUDGED = "j AS (SELECT 'q' || quality AS label, CASE WHEN n_chars < 300 THEN 'q0' WHEN n_chars > 20000 THEN 'q2' ELSE 'q1' END AS predicted FROM labels JOIN documents USING (doc_id))"
+
+ORACLES: dict[str, str] = {
+    "intake_rejects": f"WITH {MESSAGES} SELECT CASE WHEN length(trim(raw_text)) = 0 THEN 'empty' WHEN length(raw_text) > 5000 THEN 'too_long' ELSE 'accepted' END AS reason, count(*) AS n, max(length(raw_text))::BIGINT AS longest FROM m GROUP BY 1",
+    "intake_conversations": f"SELECT conv_id, turn, sha256({_esc('text')}) AS escaped_sha256 FROM conversations",
+    "analysis_lookup": f"{ANALYSED} SELECT {FACTS} FROM sl WHERE msg_id = 7",
+    "feedback_summary": f"WITH {MESSAGES}, f AS (SELECT event_id::VARCHAR AS feedback_id, (event_id % 997)::VARCHAR AS analysis_id, user_id AS analyst_id, value > 50 AS is_correct, ts FROM events), l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY analysis_id, analyst_id ORDER BY ts DESC, feedback_id DESC) = 1), g AS (SELECT analysis_id, count(*) AS n, count(*) FILTER (is_correct) AS c FROM l GROUP BY 1) SELECT msg_id::VARCHAR AS analysis_id, coalesce(n, 0)::BIGINT AS n_feedback, coalesce(c, 0)::BIGINT AS n_correct FROM m LEFT JOIN g ON analysis_id = msg_id::VARCHAR",
+    "key_violations": f"WITH {MESSAGES} SELECT 'messages.text' AS name, count(*) AS n FROM (SELECT raw_text FROM m GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'labels.doc_id', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
+    "text_normalised": f"WITH {MESSAGES}, {normalised()} SELECT msg_id, sha256(norm) AS normalized_sha256, length(norm)::BIGINT AS n_chars, changes AS n_transformations, round(greatest(0.1, 1 - 0.03::DOUBLE * changes), 6) AS text_confidence FROM n",
+    "text_truncated": f"WITH {MESSAGES} SELECT msg_id, length(substr(raw_text, 1, 5000))::BIGINT AS kept_chars, length(raw_text)::BIGINT AS n_chars, sha256(substr(raw_text, 1, 5000)) AS kept_sha256 FROM m",
+    "lang_script": f"WITH {MESSAGES}, {normalised()} SELECT language, array_to_string(list_filter([CASE WHEN deva THEN 'Deva' END, CASE WHEN latin THEN 'Latn' END], lambda x: x IS NOT NULL), ',') AS scripts, count(*) AS n FROM n GROUP BY ALL",
+    "ioc_all": f"{WITH_I} SELECT msg_id, type, value, confidence, ssrf_risk, is_internal, is_idn FROM i",
+    "ioc_email_ipv4_counts": f"WITH m AS (SELECT doc_id AS msg_id, text AS raw_text FROM documents), {INDICATORS} SELECT type, count(*) AS n, count(DISTINCT value) AS n_values FROM i WHERE type IN ('email', 'ip') GROUP BY type",
+    "ioc_threat_report": f"{WITH_I} SELECT msg_id, {', '.join(f'count(*) FILTER (type = {q(t)}) AS n_{t}' for t in ('url', 'domain', 'ip', 'phone', 'email', 'upi_id', 'sender_id'))}, count(*) FILTER (is_internal OR is_idn OR ssrf_risk <> 'safe') AS n_suspicious FROM i GROUP BY msg_id",
+    "ioc_blocklist": f"{WITH_I} SELECT msg_id, type, value, 'local' AS provider, CASE type WHEN 'url' THEN 'phishing_url' WHEN 'domain' THEN 'phishing_domain' ELSE 'fraudulent_upi' END AS threat_category, CASE type WHEN 'url' THEN 0.02 WHEN 'domain' THEN 0.05 ELSE 0.01 END::DOUBLE AS reputation_score FROM i WHERE (type = 'url' AND (host IN {listed(C.BLOCKED_DOMAINS)} OR {' OR '.join(f'starts_with(lower(value), {q(p)})' for p in C.BLOCKED_PREFIXES)})) OR (type = 'domain' AND value IN {listed(C.BLOCKED_DOMAINS)}) OR (type = 'upi_id' AND value IN {listed(C.BLOCKED_UPI)})",
+    "ioc_top_values": f"{WITH_I} SELECT type, value, count(*) AS n, max(confidence)::DOUBLE AS confidence, count(DISTINCT msg_id) AS n_messages FROM i GROUP BY ALL ORDER BY n DESC, type, value LIMIT 20",
+    "ioc_safe_urls": f"{WITH_I} SELECT host, count(*) AS n FROM i WHERE type = 'url' AND ssrf_risk = 'safe' GROUP BY host",
+    "ip_risk_class": f"WITH {FINDINGS} SELECT url_id, ssrf_risk FROM u3",
+    "url_findings": f"WITH {FINDINGS} SELECT url_id, f.finding_id, f.severity, f.confidence, coalesce(f.detail, '') AS detail FROM (SELECT url_id, unnest(findings) AS f FROM uf)",
+    "url_verdicts": f"WITH {FINDINGS}, x AS (SELECT url_id, len(findings)::BIGINT AS n_findings, len(list_filter(findings, lambda f: f.severity IN ('HIGH', 'CRITICAL'))) > 0 OR len(findings) >= 3 AS is_malicious, list_max(list_transform(findings, lambda f: f.confidence)) AS top FROM uf) SELECT url_id, is_malicious, CASE WHEN is_malicious THEN top ELSE 0.90 END::DOUBLE AS confidence, n_findings FROM x",
+    "url_entropy": f"WITH {FINDINGS} SELECT url_id, round(entropy, 4) AS entropy FROM u4",
+    "evidence_long": f"{FULL} SELECT msg_id, x.category, x.severity, x.confidence, x.value FROM (SELECT msg_id, unnest(evidence) AS x FROM e)",
+    "evidence_risk": f"{FULL} SELECT msg_id, evidence_risk, evidence_tier, evidence_category, round(evidence_confidence, 2) AS evidence_confidence FROM e",
+    "brand_decisions": f"{ANALYSED}, {BRANDS} SELECT msg_id, brand, impersonation_detected, brand_confidence, has_official_link, has_phishing_link, sender_mismatch FROM b",
+    "brand_lookup": f"WITH {MESSAGES}, {URLS}, o(ord, org_id, aliases, domains) AS (VALUES {', '.join(f'({i}, {q(o[0])}, {strings(a.lower() for a in o[2])}, {strings(o[3])})' for i, o in enumerate(C.ORGANISATIONS))}), a AS (SELECT msg_id, arg_min(org_id, ord) AS org_id FROM m LEFT JOIN o ON len(list_filter(aliases, lambda x: contains(lower(raw_text), x))) > 0 GROUP BY msg_id), h AS (SELECT url_id, lower(regexp_extract({schemed('url')}, {PARTS}, 3)) AS host FROM pu), d AS (SELECT url_id, arg_min(org_id, ord) AS org_id FROM h LEFT JOIN o ON len(list_filter(domains, lambda x: host = x OR ends_with(host, '.' || x))) > 0 GROUP BY url_id) SELECT 'alias' AS kind, coalesce(org_id, '') AS org_id, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT 'domain', coalesce(org_id, ''), count(*) FROM d GROUP BY ALL",
+    "manipulation": f"{ANALYSED} SELECT {FACTS} FROM sl",
+    "family_risk": f"{ANALYSED} SELECT scam_family, risk_level, count(*) AS n, round_even(avg(risk_score), 2) AS avg_risk FROM sl GROUP BY ALL",
+    "overview": f"{ANALYSED} SELECT count(*) AS n_messages, count(*) FILTER (risk_score >= 80) AS n_high_risk, round_even(100.0 * count(*) FILTER (risk_score >= 80) / greatest(1, count(*)), 1)::DOUBLE AS pct_high_risk FROM sl",
+    "family_language_sets": f"{ANALYSED} SELECT 'family' AS kind, scam_family AS name, count(*) AS n FROM sl GROUP BY ALL UNION ALL SELECT 'language', language, count(*) FROM sl GROUP BY ALL",
+    "messages_page": f"{ANALYSED} SELECT msg_id, scam_family, risk_score FROM sl WHERE risk_score >= 35 AND scam_family = 'BANK_KYC' ORDER BY epoch DESC, msg_id DESC LIMIT 20 OFFSET 20",
+    "redacted_documents": r"WITH x AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)(password|passwd|secret|token|api_key)\s*[=:]\s*\S+', '\1=<redacted>', 'g'), '(?i)(Bearer\s+)\S+', '\1<redacted>', 'g') AS r FROM documents) SELECT doc_id, sha256(r) AS redacted_sha256, r <> text AS changed FROM x",
+    "retention_scrub": f"WITH {MESSAGES} SELECT msg_id, sha256(raw_text) AS content_hash, msg_id < 500 AS scrubbed, CASE WHEN msg_id < 500 THEN '-' ELSE sender_id END AS sender FROM m",
+    "recommended_actions": None,
+    "dna_traits": f"{ANALYSED}, {DNA} SELECT msg_id, word_count, sentence_count, has_imperatives, org, url_count, tlds, is_shortener, has_homoglyph, phone_count, psp, currencies, message_structure, dna_language, hour_bucket FROM d3",
+    "embedding_validation": "SELECT label, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64) AS n_valid, count(*) AS n FROM embeddings GROUP BY label",
+    "label_centroids": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), a AS (SELECT label, k, avg(v) AS v, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT label, max(n) AS n, list(v ORDER BY k) AS c, sqrt(sum(v * v)) AS l FROM a GROUP BY label) SELECT label, n, round(c[1] / l, 6) AS first, round(list_max(c) / l, 6) AS largest FROM b",
+    "exact_duplicates": f"WITH {MESSAGES} SELECT msg_id, min(msg_id) OVER w AS first_id, count(*) OVER w AS n_copies, msg_id <> min(msg_id) OVER w AS is_duplicate FROM m WINDOW w AS (PARTITION BY raw_text)",
+    "conv_stages": f"WITH {STAGED} SELECT conv_id, idx, turn, state, state_confidence, round(benign, 6) AS benign, signals FROM st",
+    "conv_repeats": "WITH x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS r FROM conversations) SELECT conv_id, count(*) FILTER (r = 1) AS n_kept, count(*) FILTER (r > 1) AS n_repeats FROM x GROUP BY conv_id",
+    "conv_transitions": f"WITH {STAGED}, {MOVES} SELECT conv_id, idx, from_state, to_state, confidence, valid, trigger FROM tr",
+    "conv_results": f"WITH {STAGED}, {RESULTS} SELECT conv_id, message_count, current_state, previous_states, overall_confidence, advancement, is_progression, likely_next_state, warnings FROM cr",
+    "next_step": f"""WITH {STAGED}, {MOVES}, {RESULTS}, a(current_state, action, base, ord) AS (VALUES {_acts}), k AS (SELECT conv_id, count(*) AS n_moves, arg_max(from_state || '>' || to_state, idx) AS last_move FROM tr GROUP BY conv_id),
+p AS (SELECT cr.*, a.action, a.ord, coalesce(last_move, '') AS last_move, CASE a.action WHEN 'REQUEST_OTP' THEN lc WHEN 'REQUEST_UPI_PAYMENT' THEN lp WHEN 'REQUEST_REMOTE_ACCESS' THEN lr ELSE 0 END AS sig, base + 0.05::DOUBLE * least(coalesce(n_moves, 0), 3) + CASE WHEN is_progression THEN 0.08 ELSE 0 END::DOUBLE AS b FROM cr JOIN a USING (current_state) LEFT JOIN k USING (conv_id)),
+p2 AS (SELECT *, least(1, b + CASE WHEN sig > 0.2 THEN sig * 0.25::DOUBLE ELSE 0 END) AS pr FROM p), p3 AS (SELECT *, overall_confidence < 0.28 OR current_state = 'UNKNOWN' AS abstained FROM p2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pr DESC, ord) = 1),
+p4 AS (SELECT *, round_even(round(CASE WHEN abstained THEN overall_confidence ELSE least(1, pr * (0.8::DOUBLE + 0.2::DOUBLE * advancement) * overall_confidence) END, 9), 3) AS probability FROM p3)
+SELECT conv_id, current_state, CASE WHEN abstained THEN 'NEEDS_REVIEW' ELSE action END AS action, probability, round_even(round(1 - probability, 9), 3) AS uncertainty, abstained, last_move AS evidence FROM p4""",
+    "augment_fixed": f"WITH {MESSAGES} SELECT msg_id, perturbation, sha256(raw_text) AS variant_sha256 FROM ({_union()})",
+    "robustness": f"{VARIANTS}, d AS (SELECT perturbation, language, risk_score >= 40 AS hit FROM sl), u AS (SELECT 'perturbation' AS level, perturbation AS name, hit FROM d UNION ALL SELECT 'language', language, hit FROM d UNION ALL SELECT 'all', 'all', hit FROM d) SELECT level, name, count(*) AS n, count(*) FILTER (hit) AS true_positives, count(*) FILTER (NOT hit) AS false_negatives, round_even(100.0 * count(*) FILTER (hit) / count(*), 1)::DOUBLE AS robustness FROM u GROUP BY ALL",
+    "hardest_five": f"{VARIANTS} SELECT msg_id, perturbation, risk_score FROM sl ORDER BY risk_score, msg_id, perturbation LIMIT 5",
+    "undetected": f"{VARIANTS} SELECT perturbation, count(DISTINCT raw_text) AS n FROM sl WHERE risk_score < 40 GROUP BY perturbation",
+    "template_groups": f"SELECT {_template} AS template, count(*) AS n FROM documents GROUP BY 1",
+    "split_by_template": f"SELECT doc_id, split FROM ({SPLIT})",
+    "split_overlap": f"WITH x AS ({SPLIT}) SELECT split, count(DISTINCT template) AS n FROM x GROUP BY split UNION ALL SELECT 'overlap', count(*) FROM (SELECT template FROM x GROUP BY template HAVING count(DISTINCT split) > 1)",
+    "calibrated": f"{ANALYSED}, x AS (SELECT *, risk_score / 100 * greatest(0.1, 1 - 0.03::DOUBLE * changes) AS f, trim(norm) = '' AS blank, greatest(fear, urgency, authority, financial, credential, link, call_to_action) AS top FROM sl) SELECT msg_id, round(CASE WHEN blank THEN 1 ELSE f END, 6) AS final_confidence, round(CASE WHEN blank THEN 0 WHEN f < 0.65 THEN f * 0.3::DOUBLE WHEN scam_family = 'SAFE' THEN 1 - f ELSE f END, 6) AS risk, CASE WHEN blank OR f < 0.65 OR scam_family = 'SAFE' THEN 'SAFE' ELSE scam_family END AS family, CASE WHEN blank OR f < 0.65 OR scam_family = 'SAFE' THEN 'SAFE' ELSE 'MALICIOUS' END AS level, NOT blank AND f < 0.65 AS is_low_confidence, CASE {' '.join(f'WHEN {k} = top THEN {q(k)}' for k in ('fear', 'urgency', 'authority', 'financial', 'credential', 'link', 'call_to_action'))} END AS strongest FROM x",
+    "confusion_matrix": f"WITH {JUDGED} SELECT label, predicted, count(*) AS n FROM j GROUP BY ALL",
+    "macro_f1": f"WITH {JUDGED}, c AS (SELECT label AS c FROM j UNION SELECT predicted FROM j), k AS (SELECT c, count(*) FILTER (label = c) AS sup, count(*) FILTER (predicted = c) AS said, count(*) FILTER (label = c AND predicted = c) AS hits FROM c, j GROUP BY c), x AS (SELECT *, CASE WHEN said > 0 THEN hits / said ELSE 0 END AS p, CASE WHEN sup > 0 THEN hits / sup ELSE 0 END AS r FROM k) SELECT round(sum(hits) / sum(sup), 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1 FROM x",
+}
+ORACLES = {k: v for k, v in ORACLES.items() if v}
