@@ -37,7 +37,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:
     """rows x (tables * probes) bucket codes; equal codes mean the same bucket of the same table."""
     n, dim = x.shape
-    d = 1 << max(1, (dim - 1).bit_length())
+    d = 1 << max(3, (dim - 1).bit_length())  # room for the probes
     padded = np.zeros((n, d))
     padded[:, :dim] = x
     rng = np.random.default_rng(dim)
