@@ -269,8 +269,8 @@ _VARIANTS = {
     "sender_id_mutation": f"{q(C.SENDER_MUTATION)} || raw_text",
 }
 assert tuple(_VARIANTS) == FIXED
-_union = lambda where="": " UNION ALL ".join(f"SELECT msg_id, sender_id, {q(k)} AS perturbation, {v} AS raw_text FROM m{where}" for k, v in _VARIANTS.items())
-VARIANTS = f"WITH {MESSAGES}, v AS ({_union(' WHERE msg_id IN (SELECT doc_id FROM labels)')}), {normalised('v', 'msg_id, perturbation, raw_text')}, {scored()}"
+_union = lambda: " UNION ALL ".join(f"SELECT msg_id, sender_id, {q(k)} AS perturbation, {v} AS raw_text FROM m" for k, v in _VARIANTS.items())
+VARIANTS = f"WITH {MESSAGES}, v AS ({_union()}), {normalised('v', 'msg_id, perturbation, raw_text')}, {scored()}"
 _template = r"sha256(lower(regexp_replace(coalesce(text, ''), '[\s\v\p{Z}\x{85}]+', '', 'g')))"
 _place = f"(('0x' || substr(sha256('42:' || {_template}), 1, 8))::UBIGINT % 1000000) / 1000000"
 SPLIT = f"SELECT doc_id, {_template} AS template, CASE WHEN {_place} < 0.7 THEN 'train' WHEN {_place} < 0.7 + 0.1 THEN 'val' ELSE 'test' END AS split FROM documents"
@@ -279,7 +279,7 @@ JUDGED = "j AS (SELECT 'q' || quality AS label, CASE WHEN n_chars < 300 THEN 'q0
 ORACLES: dict[str, str] = {
     "intake_rejects": f"WITH {MESSAGES} SELECT CASE WHEN length(trim(raw_text)) = 0 THEN 'empty' WHEN length(raw_text) > 5000 THEN 'too_long' ELSE 'accepted' END AS reason, count(*) AS n, max(length(raw_text))::BIGINT AS longest FROM m GROUP BY 1",
     "intake_conversations": f"SELECT conv_id, turn, sha256({_esc('text')}) AS escaped_sha256 FROM conversations",
-    "analysis_lookup": f"{ANALYSED} SELECT {FACTS} FROM sl WHERE msg_id = 7",
+    "analysis_lookup": f"{ANALYSED} SELECT {FACTS} FROM sl WHERE msg_id IN (SELECT doc_id FROM labels)",
     "feedback_summary": f"WITH {MESSAGES}, f AS (SELECT event_id::VARCHAR AS feedback_id, (event_id % 997)::VARCHAR AS analysis_id, user_id AS analyst_id, value > 50 AS is_correct, ts FROM events), l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY analysis_id, analyst_id ORDER BY ts DESC, feedback_id DESC) = 1), g AS (SELECT analysis_id, count(*) AS n, count(*) FILTER (is_correct) AS c FROM l GROUP BY 1) SELECT msg_id::VARCHAR AS analysis_id, coalesce(n, 0)::BIGINT AS n_feedback, coalesce(c, 0)::BIGINT AS n_correct FROM m LEFT JOIN g ON analysis_id = msg_id::VARCHAR",
     "key_violations": f"WITH {MESSAGES} SELECT 'messages.text' AS name, count(*) AS n FROM (SELECT raw_text FROM m GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'labels.doc_id', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "text_normalised": f"WITH {MESSAGES}, {normalised()} SELECT msg_id, sha256(norm) AS normalized_sha256, length(norm)::BIGINT AS n_chars, changes AS n_transformations, round(greatest(0.1, 1 - 0.03::DOUBLE * changes), 6) AS text_confidence FROM n",

@@ -45,8 +45,8 @@ def intake_conversations(spark, d):
 
 @query
 def analysis_lookup(spark, d):
-    """Fetch of one analysis by id, out of all that are stored."""
-    return S.fetch(_analyses(spark, d), "msg_id", 7).select(*FACTS)
+    """Stored analyses fetched by id, for the ids that analysts have labelled."""
+    return S.fetch_all(_analyses(spark, d), "msg_id", S.read_table(spark, d, "labels").select(F.col("doc_id").alias("msg_id"))).select(*FACTS)
 
 
 @query
@@ -403,9 +403,8 @@ def augment_random(spark, d):
 
 
 def _variants(spark, d):
-    """Scored fixed variants of the messages; the label's texts only, as an evaluation set would have it."""
-    m = R.messages(spark, d).join(S.read_table(spark, d, "labels").select(F.col("doc_id").alias("msg_id")).distinct().hint("merge"), "msg_id", "left_semi")
-    return scoring.score_messages(text.normalize(augment.augment_messages(m, augment.FIXED)))
+    """Scored fixed variants of all messages."""
+    return scoring.score_messages(text.normalize(augment.augment_messages(R.messages(spark, d), augment.FIXED)))
 
 
 @query

@@ -74,6 +74,11 @@ def fetch(df: DataFrame, key: str, value) -> DataFrame:
     return df.filter(F.col(key) == value)
 
 
+def fetch_all(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is listed; keys may be of any number."""
+    return df.join(keys.distinct().hint("merge"), key, "left_semi")
+
+
 def key_violations(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that stand more than once."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
