@@ -45,13 +45,21 @@ def climb(messages: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     rows = store(start.select("tree_id", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), "score", F.lit(1).cast("long").alias("n")), "reply-rows")
     parents = rows.filter("up IS NOT NULL").select("tree_id", F.col("up").alias("msg_id")).distinct()
     leaves = rows.join(parents.hint("merge"), ["tree_id", "msg_id"], "left_anti").select("tree_id", "msg_id")
-    jumps, most = [], rows.count()
+    jumps, ended, most = [], [rows.filter("up IS NULL")], rows.count()
     while not (open_ := rows.filter("up IS NOT NULL")).isEmpty() and 1 << len(jumps) <= most:
         jumps.append(open_.select("tree_id", "msg_id", "up"))
-        above = rows.select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("n").alias("m"))
-        rows = rows.join(above.hint("merge"), ["tree_id", "up"], "left")
-        rows = store(rows.select("tree_id", "msg_id", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "reply-rows")
-    return rows.filter("up IS NULL").select("tree_id", "msg_id", "score", "n"), leaves, jumps
+        # messages that have reached their root stay as they are; only the others are joined on
+        above = open_
+        for e in ended:
+            above = above.unionByName(e)
+        above = above.select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("n").alias("m"))
+        rows = open_.join(above.hint("merge"), ["tree_id", "up"])
+        rows = store(rows.select("tree_id", "msg_id", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("n") + F.col("m")).alias("n")), "reply-rows")
+        ended.append(rows.filter("up IS NULL"))
+    totals = ended[0]
+    for e in ended[1:]:
+        totals = totals.unionByName(e)
+    return totals.select("tree_id", "msg_id", "score", "n"), leaves, jumps
 
 
 def branches(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
