@@ -271,7 +271,7 @@ def dna_hash(spark, d):
 def dna_pairs_topk(spark, d):
     """Most similar partners of each message among those that share an entity or a fingerprint."""
     a = campaigns.text_vectors(_analyses(spark, d))
-    return fingerprint.top_pairs(fingerprint.entity_pairs(fingerprint.build_fingerprints(a, _indicators(spark, d))), 3).select("id_a", "id_b", "composite", "association", "rank")
+    return fingerprint.top_partners(fingerprint.build_fingerprints(a, _indicators(spark, d)), 3).select("id_a", "id_b", "composite", "association", "rank")
 
 
 @query

@@ -98,6 +98,21 @@ def test_fingerprint_pairs(spark):
     assert [(p["id_a"], p["id_b"]) for p in pairs] == [(0, 1)] and pairs[0]["composite"] >= 0.6
 
 
+def test_top_partners_of_large_blocks(spark, monkeypatch):
+    texts = [f"SBI KYC blocked http://sbi-kyc.click/a now {'please ' * (i % 7)}{i % 40}" for i in range(90)] + [f"part time job number {i % 3}" for i in range(9)] + ["pay merchant@okaxis", "see you at four"]
+    m = messages(spark, *texts)
+    f = fingerprint.build_fingerprints(campaigns.text_vectors(scoring.analyze_messages(m)), indicators.extract_indicators(m)).localCheckpoint()
+    pairs = fingerprint.entity_pairs(f).collect()
+    assert len([p for p in pairs if p["id_b"] < 90]) == 90 * 89 // 2
+    ends = [(p[a], -p["composite"], p[b], p["association"]) for p in pairs for a, b in (("id_a", "id_b"), ("id_b", "id_a"))]
+    want = sorted((i, -s, j, x, n + 1) for i in {e[0] for e in ends} for n, (_, s, j, x) in enumerate(sorted(e for e in ends if e[0] == i)[:3]))
+    for shard in (7, 1024):
+        monkeypatch.setattr(fingerprint, "SHARD", shard)
+        got = sorted((r["id_a"], r["composite"], r["id_b"], r["association"], r["rank"]) for r in fingerprint.top_partners(f, 3).collect())
+        assert got == sorted(want)
+    assert fingerprint.top_partners(f.limit(0), 3).count() == 0
+
+
 def test_campaigns(spark):
     m = messages(spark, *["SBI account blocked, update KYC now at branch %d" % (i % 2) for i in range(4)], *["lottery prize winner claim number %d" % (i % 2) for i in range(4)])
     a = campaigns.text_vectors(scoring.analyze_messages(m))
