@@ -12,13 +12,13 @@ import html
 import re
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smishlake.llm.common import map_rows, sized, store, table
 
-#: A subtree is template when it stands on at least so many differing pages of a host, and on such a share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
+#: A subtree is template when it stands on at least so many differing pages of a host, however many pages the host has.
+LEAST_PAGES = 5
 
 # HTML facts (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -206,12 +206,12 @@ def host_of(url: str | None) -> str:
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, hashes: the subtrees that recur on a host.
+    """page_key, hashes: for each url and html the subtrees of that page that recur on its host.
 
-    Pages of a host whose html is the same count once. A task sums its own pages before the shuffle; a host with a third
-    of all pages is summed by (host, hash), not in one group.
+    Pages of a host whose main text is the same count once. A task sums its own pages before the shuffle; a host with a
+    third of all pages is summed by (host, hash), not in one group. A page's list is no longer than its own subtrees.
     """
-    def hashes(urls: list, pages: list) -> tuple:
+    def hashes(keys: list, urls: list, pages: list) -> tuple:
         hosts, found, own = [], [], []
         for u, p in zip(urls, pages, strict=True):
             root = parse(p or "")
@@ -220,41 +220,36 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             main = article(root)
             found.append(candidates(root))
             own.append(main.hash)
-        return hosts, own, found
+        return keys, hosts, own, found
 
-    seen = store(map_rows(pages, hashes, "host string, page long, hashes array<long>", url_col, html_col), "page-subtrees")
-    sizes = seen.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    each = seen.select("host", "page", F.explode("hashes").alias("hash")).distinct()
-    often = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    often = often.join(sizes.hint("merge"), "host").filter(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    rows = pages.select(page_key(url_col, html_col).alias("page_key"), url_col, html_col)
+    seen = store(map_rows(rows, hashes, "page_key string, host string, page long, hashes array<long>", "page_key", url_col, html_col), "page-subtrees")
+    each = seen.select("page_key", "host", "page", F.explode("hashes").alias("hash"))
+    often = each.select("host", "page", "hash").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    often = store(often.select("host", "hash"), "often-subtrees")
+    return each.join(sized(often), ["host", "hash"]).groupBy("page_key").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
+
+
+def page_key(url_col: str, html_col: str) -> Column:
+    return F.sha2(F.concat(F.coalesce(url_col, F.lit("")), F.lit("\n"), F.coalesce(html_col, F.lit(""))), 256)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col, text, n_chars for every page.
 
     Null or empty html and pages without main text give an empty text; a null url belongs to a host of its own. Repeated
-    rows give repeated rows; other columns are ignored. LEAST_SHARE bounds the template hashes of a host by the subtrees
-    of 1 / LEAST_SHARE pages, so the per-host list that the join carries is bounded by a few pages, not by the host.
+    rows give repeated rows; other columns are ignored.
     """
     known = store(templates(pages, url_col, html_col), "site-templates")
-    if known.isEmpty():
-        rows = pages.select(id_col, url_col, html_col, F.array().cast("array<long>").alias("hashes"))
-    else:
-        host = F.split_part(F.split_part(F.split_part(F.regexp_replace(F.lower(F.coalesce(url_col, F.lit(""))), r"^[a-z][a-z0-9+.\-]*://", ""), F.lit("/"), F.lit(1)), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
-        host = F.element_at(F.split(host, "@"), -1)
-        rows = pages.select(id_col, url_col, html_col, host.alias("host")).join(sized(known), "host", "left")
+    rows = pages.select(id_col, url_col, html_col, page_key(url_col, html_col).alias("page_key")).join(sized(known), "page_key", "left")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(ids: list, urls: list, texts: list, hashes) -> tuple:
-        out, last, known = [], None, frozenset()
+        out = []
         for i, t in enumerate(texts):
             root = parse(t or "")
             measure(root)
-            got = hashes[i].as_py() or ()
-            if got != last:
-                last, known = got, frozenset(got)
-            out.append(main_text(root, known))
+            out.append(main_text(root, frozenset(hashes[i].as_py() or ())))
         return ids, urls, out, [len(t) for t in out]
 
     return map_rows(rows, run, f"{id_col} {kind}, {url_col} string, text string, n_chars long", id_col, url_col, html_col, "hashes")
