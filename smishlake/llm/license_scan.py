@@ -82,7 +82,7 @@ def signatures() -> list[tuple[int, str, float, str, re.Pattern]]:
     for order, (label, names, identifiers) in enumerate(FAMILIES):
         for priority, before, weight in WORDINGS:
             for name in identifiers if priority in (0, 4) else names:
-                keyword = max(re.split(r"\(\?:.*?\)\??|\[..\]|[?]", name), key=len).strip()
+                keyword = max(re.split(r"\(\?:.*?\)\??|\[[^\]]*\]|[?]", name), key=len).strip()
                 out.append((priority * 100 + order, label, weight, keyword, re.compile(rf"(?<!\S){before}{name}(?!\S)")))
     return sorted(out, key=lambda r: (r[0], r[1], r[4].pattern))
 
@@ -152,8 +152,6 @@ def scan(text: str) -> tuple:
     flat = b" " + b" ".join(words) + b" "
     base: list[int] = []
     labels = []
-    if b"licen" not in flat and b"spdx" not in flat and not any(k in flat for k in (b"public domain", b"rights reserved", b"gpl", b"proprietary", b"cc by", b"cc0", b"redistribution", b"affero")):
-        return len(words), 0, None, None, "", "", 0.0, []
     for phrase, label in BASE:
         if got := places(flat, phrase):
             base += got

@@ -93,6 +93,28 @@ def test_license_scan(spark, data):
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0 and license_scan.scan_licenses(docs(spark, ODD)).count() == len(ODD)
 
 
+def forms(name):
+    """All texts that a name of FAMILIES stands for."""
+    m = re.search(r"\(\?:([^)]*)\)(\??)|\[([^\]]*)\]|(\w)\?", name)
+    if not m:
+        return [name]
+    ways = [*m[1].split("|"), *[""] * bool(m[2])] if m[1] is not None else list(m[3]) if m[3] else [m[4], ""]
+    return [x for w in ways for x in forms(name[: m.start()] + w + name[m.end() :])]
+
+
+def test_every_license_rule_fires_on_its_own_name(spark):
+    assert forms("gfdl 1 [12](?: only)?") == ["gfdl 1 1 only", "gfdl 1 1", "gfdl 1 2 only", "gfdl 1 2"]
+    for label, names, identifiers in license_scan.FAMILIES:
+        for text in [*(f for n in names for f in forms(n)), *(f"SPDX-License-Identifier: {f}" for n in identifiers for f in forms(n))]:
+            assert label in license_scan.scan(text)[5].split(","), (label, text)
+    for priority, label, _, keyword, rx in license_scan.signatures():
+        texts = [f" {x} " for x in forms(rx.pattern.removeprefix(r"(?<!\S)").removesuffix(r"(?!\S)"))] if priority >= 300 else []
+        assert all(rx.search(t) and keyword in t for t in texts), (label, rx.pattern)
+    texts = {1: "This work is available under Creative Commons Attribution 4.0", 2: "Creative Commons Zero", 3: "SPDX-License-Identifier: GFDL-1.2-or-later", 4: "Creative arts"}
+    out = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(docs(spark, [(i, t, None, None) for i, t in texts.items()])).collect()}
+    assert out == {1: "cc-by-4.0", 2: "cc0-1.0", 3: "gfdl", 4: ""}
+
+
 def test_language(spark):
     folder = "/root/testdata/sf0.01"
     out = language_codes.op6_language_codes(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
