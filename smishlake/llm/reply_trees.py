@@ -37,7 +37,7 @@ def climb(messages: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     messages(tree_id, msg_id, parent_id, score): a message whose parent_id is null or names no message of its tree is a
     root. totals has the score sum and the number of messages from the root to each message; jumps[k] leads from a
     message to the one 2**k above it. A tree of depth d takes about log2(d) rounds; ids and sums are carried, no texts.
-    Repeated (tree_id, msg_id) rows must be settled before. Messages on or under a cycle have no root and are left out.
+    tree_id must not be null. Repeated (tree_id, msg_id) rows must be settled before. Messages on or under a cycle have no root and are left out.
     """
     m = store(messages.select("tree_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "reply-edges")
     ids = m.select("tree_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known"))
@@ -108,11 +108,12 @@ def linear(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) as reply trees: each row answers the row before it in its conversation.
 
     Rows go by turn, then role, then text; nulls come first. The score of a message is its number of characters. msg_id
-    is the row's number in its conversation, so repeated turns and repeated rows are kept.
+    is the row's number in its conversation, so repeated turns and repeated rows are kept. Rows without a conv_id are one
+    conversation: tree_id is a struct of conv_id, which is itself never null, so joins on it lose no row.
     """
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("msg_id", F.row_number().over(w))
-    return rows.select(F.col("conv_id").alias("tree_id"), "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"))
+    return rows.select(F.struct("conv_id").alias("tree_id"), "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"))
 
 
 def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +126,8 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    turns = formatted.select(F.col("tree_id").alias("conv_id"), "formatted", read_back(F.col("formatted")).alias("t"))
+    """One row per conversation of linear(), also for the one whose conv_id is null."""
+    turns = formatted.select("tree_id.conv_id", "formatted", read_back(F.col("formatted")).alias("t"))
     said = F.array_join(F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
     return turns.select(
         "conv_id",

@@ -1,6 +1,7 @@
 import html
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -125,6 +126,16 @@ def test_reply_trees(spark, data):
     assert reply_trees.format_paths(reply_trees.choose(paths), jumps, m.limit(0)).count() == 0
 
 
+def test_reply_trees_without_conv_id(spark, tmp_path):
+    rows = [(None, 0, "user", "one"), (None, 1, "assistant", "two <|im_end|>"), (None, 1, "assistant", "two <|im_end|>"), (None, 2, None, None), (7, 0, "user", "x"), (7, 1, "assistant", "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = reply_trees.op5_reply_trees(spark, str(tmp_path)).collect()
+    want = con.execute(reply_trees.ORACLE).fetchall()
+    assert len(got) == 3 and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_cube_mix(spark, data):
     out = cube_mix.op8_cube_mix(spark, data)
     rows = out.collect()
