@@ -136,6 +136,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Texts without words and null texts have size 0 and no copy. A null source is a source. Repeated rows are documents of
     their own: rows of one id are told apart by number and share nothing but their id. Other columns are ignored.
     """
+    return _dealt(df, id_col, text_col, source_col).drop("k")
+
+
+def _dealt(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The rows of mix(), with k: the number of a row among those of its id, source and size, from 1."""
     docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
     docs = store(docs, "mix-sizes")
     sizes = store(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
@@ -151,7 +156,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     drawn = inclusion(alike.filter((F.col("size") > 0) & (F.col("pi") > EPS)).select("doc_key", "stratum", "size", "pi"))
     out = alike.join(drawn.hint("merge"), "doc_key", "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("taken", F.lit(0))).otherwise(0).cast("int")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "k")
 
 
 def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +166,14 @@ def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeat_rows(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it was taken, with their own columns.
 
-    Repeated rows of one id get the sum of their copies once.
+    Every row has its own copies, also where rows repeat a doc_id or have none: rows of one doc_id, source and size take
+    the copies of that many rows of the mix in the order of a hash of their columns.
     """
-    copies = mix(docs).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    once = docs.join(copies.hint("merge"), "doc_id")
-    return once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # the key is never null; window and join share it, so texts are shuffled once
+    key = lambda size: F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")), size, F.xxhash64("source"))
+    copies = _dealt(docs, "doc_id", "text", "source").filter("size > 0").select(key(F.col("size")).alias("_key"), F.struct("k", "copies").alias("c"))
+    copies = copies.groupBy("_key").agg(F.array_sort(F.collect_list("c")).alias("_copies")).filter(F.exists("_copies", lambda c: c["copies"] > 0))
+    rows = docs.withColumn("_key", key(words(F.col("text"))))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))))
+    own = rows.join(copies.hint("merge"), "_key").withColumn("_n", F.element_at("_copies", F.col("_k"))["copies"]).filter("_n > 0")
+    return own.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

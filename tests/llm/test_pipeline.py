@@ -24,3 +24,15 @@ def test_pipeline_same_as_its_operators(spark, data):
             assert ids == sorted(i for i, n in copies.items() for _ in range(n))
     out = corpus_pipeline.run(spark, data).collect()
     assert sorted(map(tuple, out)) == sorted(map(tuple, byte_bpe.digests(docs).collect()))
+
+
+def test_mix_stage_with_null_and_repeated_ids(spark, data):
+    rows = [(i, f"one two three {i}", "en", "a", 15) for i in range(20)] + [(5, "one two three 5", "en", "a", 15)] * 3 + [(6, "other words here 6", "en", "a", 18)]
+    rows += [(None, f"no id {i}", "en", "a", 7) for i in range(6)] + [(None, "neither id nor source", "en", None, 21), (None, None, "en", None, 0), (30, "", "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = [(r["doc_id"] is None, r["doc_id"], r["source"] or "", r["size"]) for r in cube_mix.mix(df).collect() for _ in range(r["copies"])]
+    got = corpus_pipeline.mix_sources(spark, df, data).collect()
+    order = lambda x: sorted(x, key=repr)
+    assert order((r["doc_id"] is None, r["doc_id"], r["source"] or "", len((r["text"] or "").split())) for r in got) == order(sizes)
+    assert any(r["doc_id"] is None for r in got) and any(r["source"] is None for r in got)
+    assert all(got.count(r) <= 2 * rows.count(tuple(r)) for r in got)
