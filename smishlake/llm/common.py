@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="smishlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-tables"
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -36,10 +32,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Hint how a join takes this side: broadcast up to BROADCAST_ROWS rows (counted), a merge join beyond."""
+def sized(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
+    """Hint how a join takes this side: broadcast up to BROADCAST_ROWS rows (counted) of row_bytes each, a merge join beyond.
+
+    row_bytes bounds a row of short columns; sides with longer ones say so, and get fewer rows.
+    """
     n = df.count() if rows is None else rows
-    return df.hint("broadcast") if n <= BROADCAST_ROWS else df.hint("merge")
+    return df.hint("broadcast") if n * row_bytes <= BROADCAST_ROWS * 64 else df.hint("merge")
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has, upper and lower case taken as the same."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
 
 
 def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str) -> DataFrame:
@@ -58,3 +65,23 @@ def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.select(*(F.col(c) for c in cols)).mapInArrow(run, struct)
+
+
+def grouped(batches, key: list[str], flush):
+    """Runs flush on the rows of each key; batches come sorted by key, and a key may span batches."""
+    last, held = None, []
+    for batch in batches:
+        k = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in key]
+        change = np.ones(batch.num_rows, bool)
+        change[1:] = np.any([c[1:] != c[:-1] for c in k], axis=0)
+        starts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+        for x, y in zip(starts, starts[1:], strict=False):
+            name = tuple(c[x] for c in k)
+            if name != last and held:
+                if (got := flush(pa.Table.from_batches(held))) is not None:
+                    yield got
+                held = []
+            last = name
+            held.append(batch.slice(x, y - x))
+    if held and (got := flush(pa.Table.from_batches(held))) is not None:
+        yield got

@@ -3,13 +3,15 @@
 A document's set holds the 64-bit hashes of its distinct five-word shingles; hash order is the global token order.
  1. Documents with the same set are one text from here on (its smallest doc_id stands for it).
  2. A prefix is so many of a text's least tokens that a linked text must share one of them. Tokens of prefixes are
-    counted over all texts. Each text joins the family of the most central text that it may link with, and families are
-    verified block by block, so that copies of one another stop counting as different.
- 3. A token is frequent when it would pair more than PAIRS texts of different families, else rare. Rare tokens are
-    indexed alone. A prefix with too few rare tokens is extended until it has enough; where the whole set has too few,
-    the frequent tokens are split into hash classes and combinations of two tokens of a class are indexed.
- 4. Pairs of texts from different families and components that share enough are verified on their whole sets.
-Nothing is dropped: the pairs not formed were verified in their family, or lie in one component and cannot change it.
+    counted over all texts. Each text joins the family of the most central text that shares a good part of its prefix,
+    and families are verified block by block, so that copies of one another stop counting as different.
+ 3. A token is frequent when it would pair more than PAIRS texts of different families and components, else rare. Rare
+    tokens are indexed alone. A prefix with too few rare tokens is extended until it has enough; where the whole set has
+    too few, the frequent tokens are split into hash classes and combinations of two tokens of a class are indexed.
+ 4. The texts of an index entry meet in one task (many of them in blocks). Of texts of different families and components
+    only those leave it as a pair whose set sketches do not rule a link out; these are verified on their whole sets.
+Nothing is dropped: the pairs not formed were verified in their family, or lie in one component and cannot change it, or
+have sketches that prove that too many tokens differ.
 """
 
 from __future__ import annotations
@@ -17,24 +19,25 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smishlake.llm.common import map_rows, sized, store, table
+from smishlake.llm.common import grouped, map_rows, sized, store, table, unused
 from smishlake.llm.graphs import components
 
 WORDS = 5
-#: A token that pairs more texts of different families than this is frequent.
-PAIRS = 256
-#: Most frequent tokens that are broadcast; PAIRS rises until they fit.
-FREQUENT_TOKENS = 100_000
-#: Most extension tokens that are broadcast to find their partners; beyond, a merge join does it.
-EXTENSION_TOKENS = 1_000_000
+#: A token that pairs more texts of different families and components than this is frequent.
+PAIRS = 1 << 15
 #: Prefixes are longer than need be by this factor, so that few must be extended.
 SLACK = 1.25
-#: Texts in a block of a family, and tokens in a stretch of a matrix product.
-BLOCK, STRETCH = 256, 8192
+#: A text may join the family of a text with which it shares at least this part of the shorter prefix.
+FAMILY_SHARE = 1 / 3
+#: Tokens in a block of a family, and distinct tokens in a stretch of a matrix product.
+BLOCK_TOKENS, STRETCH = 1 << 17, 8192
+#: Texts of an index entry that meet in one task; more are dealt into blocks. Pairs that a task looks at at once.
+ENTRY, CHUNK = 4096, 1 << 18
 #: Hash classes of frequent tokens by set size; a set near a border is indexed on both sides of it.
 CLASSES = ((160, 1), (4000, 32), (1 << 62, 1024))
 
@@ -75,6 +78,16 @@ def shingles(text: str | None) -> np.ndarray:
     return s[keep]
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """Parity bits of a set: each token flips one. Two sets differ in at least as many tokens as their sketches in bits.
+
+    The number of bits is a power of two, twice the set's size or more; a sketch is folded to half its length by xor.
+    """
+    bits = max(128, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 128
+    flips = np.bincount((s.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
 def spare(n: int) -> int:
     """How many tokens of a set of n may be missing from a set that it links with."""
     return n - (4 * n + 4) // 5
@@ -96,7 +109,7 @@ def levels(n: int) -> list[int]:
 
 
 def extension(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rare tokens beyond the prefix, combinations) that a set needs besides its prefix, given the frequent tokens."""
+    """(rare tokens beyond the prefix, combinations) that a set needs besides its prefix, given its frequent tokens."""
     n, p = len(s), prefix_size(len(s))
     need = spare(n) + 1
     none = np.zeros(0, np.int64)
@@ -129,11 +142,6 @@ def extension(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return more, np.unique(_mix(np.array(out, np.uint64)).view(np.int64)) if out else none
 
 
-def _needed(a: str, b: str):
-    """Least intersection of two linked sets of sizes a and b, as a column."""
-    return F.expr(f"CAST((4 * ({a} + {b}) + 8) DIV 9 AS INT)")
-
-
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, s: whole sets of the documents whose id is listed."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(sized(ids), "id", "left_semi")
@@ -187,57 +195,154 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], other: np.ndarray) -> t
     return ids[hit], label[hit]
 
 
+def dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows with one, two and mine: a key's rows are dealt into blocks by hash of id, and every two blocks meet once."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("one", F.least("mine", "theirs")).withColumn("two", F.greatest("mine", "theirs")).drop("theirs", "blocks")
+
+
 def verify_families(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links a, b that connect what links inside each family; members(fam, id).
+    """Links a, b that connect what links inside each family; members(fam, id, n).
 
-    A family is dealt into blocks of about BLOCK texts and every two blocks meet in one task, so a family of any size is
-    compared without writing its pairs out.
+    A family is dealt into blocks of about BLOCK_TOKENS tokens and every two blocks meet in one task, so a family of any
+    size is compared without writing its pairs out.
     """
-    members = store(members.select("fam", "id").distinct(), "jaccard-members")
-    sizes = members.groupBy("fam").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    placed = members.join(sizes.select("fam", "blocks").hint("merge"), "fam").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("fam", "id", "mine", F.least("mine", "theirs").alias("one"), F.greatest("mine", "theirs").alias("two"))
+    members = store(members.groupBy("fam", "id").agg(F.max("n").alias("n")), "jaccard-members")
+    sizes = members.groupBy("fam").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens")).filter("m > 1")
+    sizes = store(sizes.select("fam", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("deal")), "jaccard-sizes")
+    placed = dealt(members.select("fam", "id").join(sized(sizes), "fam"), F.col("deal")).drop("deal")
     ids = store(members.select("id").distinct(), "jaccard-ids")
     sets = sets_of(docs, ids, id_col, text_col)
     key = ["fam", "one", "two"]
     tasks = placed.join(sets.hint("merge"), "id").repartition(*key).sortWithinPartitions(*key)
 
+    def flush(rows: pa.Table):
+        one, two = rows["one"][0].as_py(), rows["two"][0].as_py()
+        other = rows["mine"].to_numpy() == two if one != two else np.zeros(rows.num_rows, bool)
+        if rows.num_rows < 2 or one != two and (other.all() or not other.any()):
+            return None
+        lists = rows["s"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
+        sets = [flat[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+        a, b = block_links(rows["id"].to_numpy(), sets, other)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+
+    return tasks.mapInArrow(lambda batches: grouped(batches, key, flush), "a long, b long")
+
+
+def may_link(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Which pairs i, j of rows have sketches near enough for a link: linked sets of sizes n differ in (n_i + n_j) / 9 tokens at most."""
+    out = np.zeros(len(i), bool)
+    size = np.array([len(x) for x in sketches])
+    small = np.minimum(size[i], size[j])
+    for length in np.unique(small):
+        at = np.flatnonzero(small == length)
+        rows, back = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        m = np.zeros((len(rows), int(length) // 8), np.uint64)
+        for k, r in enumerate(rows):
+            x = np.frombuffer(sketches[r], np.uint64)
+            m[k] = np.bitwise_xor.reduce(x.reshape(-1, m.shape[1]), axis=0)
+        differ = np.bitwise_count(m[back[: len(at)]] ^ m[back[len(at) :]]).sum(1, dtype=np.int64)
+        out[at] = 9 * differ <= n[i[at]] + n[j[at]]
+    return out
+
+
+def meet(index: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs a < b that share an index entry, of different families and components, and that their sketches let link.
+
+    index(h, id, n, comp, fam); texts(id, sketch). Entries whose texts are all of one family or component are left out.
+    """
+    entries = index.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("fam").alias("f1"), F.max("fam").alias("f2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    entries = store(entries.filter("f1 <> f2 AND c1 <> c2").select("h", "m"), "jaccard-entries")
+    rows = store(index.join(entries.hint("merge"), "h"), "jaccard-index")
+    rows = dealt(rows.join(texts.hint("merge"), "id"), F.ceil(F.col("m") / ENTRY)).drop("m")
+    key = ["h", "one", "two"]
+    tasks = rows.repartition(*key).sortWithinPartitions(*key, "fam")
+
+    def pairs_of(rows: pa.Table):
+        col = lambda c: rows[c].to_numpy(zero_copy_only=False)
+        h, one, two, mine, ids, n, comp, fam = map(col, (*key, "mine", "id", "n", "comp", "fam"))
+        n = n.astype(np.int64)
+        sketches = rows["sketch"].to_pylist()
+        edge = np.r_[True, (h[1:] != h[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+        kin = edge | np.r_[True, fam[1:] != fam[:-1]]
+        ends = lambda marks: np.r_[np.flatnonzero(marks)[1:], len(h)][np.cumsum(marks) - 1]
+        start, count = ends(kin), ends(edge) - ends(kin)  # partners of a row: the rows of its entry behind its own family
+        done, total = 0, np.cumsum(count)
+        while done < len(h):
+            to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + CHUNK, "right")))
+            c = count[done:to]
+            i = np.repeat(np.arange(done, to), c)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + start[i]
+            done = to
+            fine = (comp[i] != comp[j]) & (fam[i] != ids[j]) & (fam[j] != ids[i]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+            fine &= (one[i] == two[i]) | (mine[i] != mine[j])
+            i, j = i[fine], j[fine]
+            if len(i):
+                near = may_link(i, j, n, sketches)
+                a, b = ids[i[near]], ids[j[near]]
+                if len(a):
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
     def run(batches):
-        import pyarrow as pa
-
-        def flush(held):
-            rows = pa.Table.from_batches(held)
-            one, two = rows["one"][0].as_py(), rows["two"][0].as_py()
-            other = rows["mine"].to_numpy() == two if one != two else np.zeros(rows.num_rows, bool)
-            if rows.num_rows < 2 or one != two and (other.all() or not other.any()):
-                return None
-            lists = rows["s"].combine_chunks()
-            flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
-            sets = [flat[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
-            a, b = block_links(rows["id"].to_numpy(), sets, other)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
-
-        last, held = None, []
+        held: list = []  # whole entries are looked at together, several at once
         for batch in batches:
-            k = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in key]
-            change = np.ones(batch.num_rows, bool)
-            change[1:] = np.any([c[1:] != c[:-1] for c in k], axis=0)
-            starts = [*np.flatnonzero(change).tolist(), batch.num_rows]
-            for x, y in zip(starts, starts[1:], strict=False):
-                name = tuple(c[x] for c in k)
-                if name != last and held:
-                    if (got := flush(held)) is not None:
-                        yield got
-                    held = []
-                last = name
-                held.append(batch.slice(x, y - x))
-        if held and (got := flush(held)) is not None:
-            yield got
+            if not batch.num_rows:
+                continue
+            h = batch.column(batch.schema.get_field_index("h")).to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[-1])
+            if held and (cut or held[-1].column(held[-1].schema.get_field_index("h"))[-1].as_py() != int(h[0])):
+                yield from pairs_of(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from pairs_of(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
 
     return tasks.mapInArrow(run, "a long, b long")
 
 
+def head_size(n: str) -> Column:
+    """prefix_size() as a column."""
+    return F.expr(f"least({n}, CAST(ceil({SLACK}D * ({n} - (4 * {n} + 4) DIV 5 + 1)) AS INT))")
+
+
+def families(shared: DataFrame) -> DataFrame:
+    """fam, id, n: each text that joins a family, and the most central text of it.
+
+    shared(h, id, n, c) are the tokens of prefixes that stand in more than one of them, with their count. A text is the
+    more central the more of its prefix is shared, and the more often; each token offers the most central of the texts
+    of about one size that have it.
+    """
+    band = F.floor(F.log(F.col("n")) / float(np.log(1.25))).cast("int")
+    weight = shared.groupBy("id").agg((F.sum(F.log2("c")) / F.max(head_size("n"))).alias("w"))
+    weighed = store(shared.join(weight.hint("merge"), "id").select("h", "id", "n", "w", band.alias("band")), "jaccard-weighed")
+    centre = weighed.groupBy("h", "band").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "n")).alias("x"))
+    centre = store(centre.select("h", "band", (-F.col("x.neg")).alias("fam"), F.col("x.n").alias("fam_n")), "jaccard-centres")
+    near = weighed.join(centre.hint("merge"), ["h", "band"]).filter("id <> fam").groupBy("id", "fam").agg(F.count(F.lit(1)).alias("got"), F.first("n").alias("n"), F.first("fam_n").alias("fam_n"))
+    near = near.filter(F.col("got") >= FAMILY_SHARE * F.least(head_size("n"), head_size("fam_n")))
+    best = near.groupBy("id").agg(F.max(F.struct("got", (-F.col("fam")).alias("neg"), "n", "fam_n")).alias("x"))
+    return best.select("id", F.col("x.n").alias("n"), (-F.col("x.neg")).alias("fam"), F.col("x.fam_n").alias("fam_n"))
+
+
+def crossing(rows: DataFrame, by: str) -> DataFrame:
+    """h, pairs: how many pairs of rows(h, ...) with that token differ in `by`; tokens with none are left out."""
+    parts = rows.groupBy("h", by).agg(F.count(F.lit(1)).alias("c"))
+    each = parts.groupBy("h").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("parts"))
+    return each.filter("parts > 1").select("h", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"))
+
+
+def frequent_tokens(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(tokens that cross families, and of these the frequent ones: more than PAIRS pairs cross families, and components too)."""
+    spread = store(crossing(rows, "fam"), f"{name}-spread")
+    many = spread.filter(F.col("pairs") > PAIRS).select("h")
+    often = crossing(rows.join(sized(many), "h", "left_semi"), "comp").filter(F.col("pairs") > PAIRS).select("h")
+    return spread.select("h"), store(often, f"{name}-frequent")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id for every row: components of "Jaccard of the shingle sets is 0.8 or more".
 
@@ -246,8 +351,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
 
-    def sketch(ids: list, texts: list) -> tuple:
-        k1, k2, n, head = [], [], [], []
+    def sketched(ids: list, texts: list) -> tuple:
+        k1, k2, n, head, sketch = [], [], [], [], []
         for t in texts:
             s = shingles(t)
             key = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -255,78 +360,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             k2.append((key & ((1 << 64) - 1)) - (1 << 63))
             n.append(len(s))
             head.append(s[: prefix_size(len(s))])
-        return ids, n, k1, k2, head
+            sketch.append(sketch_of(s))
+        return ids, n, k1, k2, head, sketch
 
-    t = store(map_rows(docs, sketch, "id long, n int, k1 long, k2 long, head array<long>", id_col, text_col), "jaccard-sketch")
+    t = store(map_rows(docs, sketched, "id long, n int, k1 long, k2 long, head array<long>, sketch binary", id_col, text_col), "jaccard-sketch")
     groups = store(t.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id")), "jaccard-groups")
     texts = t.filter("n > 0").join(groups.select("id", "k1", "k2").hint("merge"), ["id", "k1", "k2"], "left_semi")
     tokens = texts.select("id", "n", F.explode("head").alias("h"))
-    twice = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    twice = store(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-twice")
     shared = store(tokens.join(twice.hint("merge"), "h").select("h", "id", "n", "c"), "jaccard-tokens")
 
-    def enough(got: str, a: str, b: str, pa: str, pb: str):
-        alpha = _needed(a, b)
-        return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (F.col(got) >= F.least(F.expr(pa) - F.col(a) + alpha, F.expr(pb) - F.col(b) + alpha))
-
-    def head_size(n: str) -> str:
-        return f"least({n}, CAST(ceil({SLACK}D * ({n} - (4 * {n} + 4) DIV 5 + 1)) AS INT))"
-
-    # families: each text goes to the most central of the texts that it may link with
-    weight = shared.groupBy("id").agg(F.sum("c").alias("w"))
-    weighed = shared.join(weight.hint("merge"), "id").select("h", "id", "n", "w")
-    centre = weighed.groupBy("h").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "n")).alias("x")).select("h", (-F.col("x.neg")).alias("fam"), F.col("x.n").alias("fam_n"))
-    near = shared.select("h", "id", "n").join(centre.hint("merge"), "h").filter("id <> fam").groupBy("id", "fam").agg(F.count(F.lit(1)).cast("int").alias("got"), F.first("n").alias("n"), F.first("fam_n").alias("fam_n"))
-    near = near.filter(enough("got", "n", "fam_n", head_size("n"), head_size("fam_n")))
-    family = store(near.groupBy("id").agg(F.max(F.struct("got", (-F.col("fam")).alias("neg"))).alias("x")).select("id", (-F.col("x.neg")).alias("fam")), "jaccard-families")
-    links = store(verify_families(docs, family.select("fam", "id").unionByName(family.select("fam", F.col("fam").alias("id"))), id_col, text_col), "jaccard-links")
+    family = store(families(shared), "jaccard-families")
+    members = family.select("fam", "id", "n").unionByName(family.select("fam", F.col("fam").alias("id"), F.col("fam_n").alias("n")))
+    links = store(verify_families(docs, members, id_col, text_col), "jaccard-links")
     near = components(links)
-
-    # classes of tokens, by how many pairs from different components they would make
-    kin = family.join(near.select(F.col("node").alias("id"), "component").hint("merge"), "id", "full_outer")
+    kin = family.select("id", "fam").join(near.select(F.col("node").alias("id"), "component").hint("merge"), "id", "full_outer")
     kin = store(kin.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("fam", "id").alias("family")), "jaccard-kin")
-    placed = store(_kindred(shared.select("h", "id", "n"), kin), "jaccard-placed")
-    spread = placed.groupBy("h", "fam").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("comps"))
-    spread = store(spread.filter("comps > 1").select("h", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs")), "jaccard-spread")
-    most = PAIRS
-    while spread.filter(F.col("pairs") > most).count() > FREQUENT_TOKENS:
-        most *= 2
-    frequent = np.sort(np.array([r["h"] for r in spread.filter(F.col("pairs") > most).select("h").collect()], np.int64))
-    held = df.sparkSession.sparkContext.broadcast(frequent)
-
-    def extend(ids: list, texts: list) -> tuple:
-        out_id, out_n, more, combos = [], [], [], []
-        for i, x in zip(ids, texts, strict=True):
-            s = shingles(x)
-            m, c = extension(s, held.value)
-            if len(m) or len(c):
-                out_id.append(i)
-                out_n.append(len(s))
-                more.append(m)
-                combos.append(c)
-        return out_id, out_n, more, combos
 
-    rare = placed.join(spread.filter(F.col("pairs") <= most).select("h").hint("merge"), "h", "left_semi")
-    combos = None
-    if len(frequent):
-        wide = map_rows(docs, extend, "id long, n int, more array<long>, combos array<long>", id_col, text_col)
-        wide = store(_kindred(wide.join(groups.select("id").hint("merge"), "id", "left_semi"), kin), "jaccard-extended")
-        more = store(wide.select(F.explode("more").alias("h"), "id", "n", "comp", "fam"), "jaccard-more")
-        partners = more.select("h").distinct()
-        found = tokens.join(partners.hint("broadcast") if more.count() <= EXTENSION_TOKENS else partners.hint("merge"), "h", "left_semi")
-        found = _kindred(found.select("h", "id", "n"), kin).select("h", "id", "n", "comp", "fam")
-        rare = rare.select("h", "id", "n", "comp", "fam").unionByName(found).unionByName(more).distinct()
-        combos = wide.select(F.explode("combos").alias("h"), "id", "n", "comp", "fam")
-        combos = combos.join(combos.groupBy("h").agg(F.count_distinct("fam").alias("m")).filter("m > 1").hint("merge"), "h").select("h", "id", "n", "comp", "fam")
-        combos = store(combos, "jaccard-combos")
-    rare = store(rare, "jaccard-rare")
-    often = placed.join(spread.filter(F.col("pairs") > most).select("h").hint("merge"), "h", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("often"))
-    counts = rare.select("id").distinct().join(often.hint("merge"), "id", "left").select("id", F.coalesce("often", F.lit(0)).cast("int").alias("often"))
-    pairs = _meet(rare).groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("got"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = pairs.join(counts.select(F.col("id").alias("a"), F.col("often").alias("fa")).hint("merge"), "a").join(counts.select(F.col("id").alias("b"), F.col("often").alias("fb")).hint("merge"), "b")
-    # rare tokens in a prefix: those of the head that are not frequent; never more than counted, so the bound is safe
-    pairs = pairs.filter(enough("got", "na", "nb", f"{head_size('na')} - fa", f"{head_size('nb')} - fb")).select("a", "b")
-    if combos is not None and not combos.isEmpty():
-        pairs = pairs.unionByName(_meet(combos).filter("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b"))
+    placed = store(_kindred(shared.select("h", "id", "n"), kin), "jaccard-placed")
+    spread, frequent = frequent_tokens(placed, "jaccard-prefix")
+    index = placed.join(spread.hint("merge"), "h", "left_semi").join(sized(frequent), "h", "left_anti")
+    wanting = _wanting(placed, frequent)
+    if not wanting.isEmpty():
+        index = index.unionByName(_extended(docs, tokens, placed, kin, frequent, wanting, id_col, text_col)).distinct()
+    pairs = meet(index, texts.select("id", "sketch").dropDuplicates(["id"]))
     links = links.unionByName(verify(docs, pairs, id_col, text_col))
     whole = components(store(links, "jaccard-all-links"))
 
@@ -337,18 +394,54 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def _kindred(rows: DataFrame, kin: DataFrame) -> DataFrame:
-    """rows(id, ...) with comp and fam; a text without kin is its own."""
-    out = rows.join(sized(kin), "id", "left")
-    return out.withColumn("comp", F.coalesce("component", "id")).withColumn("fam", F.coalesce("family", "id")).drop("component", "family")
+def _wanting(placed: DataFrame, frequent: DataFrame) -> DataFrame:
+    """id: the texts whose prefix has too few rare tokens left."""
+    often = placed.join(sized(frequent), "h", "left_semi").groupBy("id").agg(F.count_distinct("h").cast("int").alias("often"), F.first("n").alias("n"))
+    return store(often.filter(head_size("n") - F.col("often") < F.expr("n - (4 * n + 4) DIV 5 + 1")).select("id"), "jaccard-wanting")
+
 
+def _extended(docs: DataFrame, tokens: DataFrame, placed: DataFrame, kin: DataFrame, frequent: DataFrame, wanting: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Index rows that the wanting texts need besides their prefixes, and the rows that these may meet.
 
-def _meet(rows: DataFrame) -> DataFrame:
-    """Pairs a < b that share h, of different components and families; a bucket makes PAIRS pairs or so at most."""
-    x = rows.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("fam").alias("fa"))
-    y = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("fam").alias("fb"))
-    met = x.join(y.hint("merge"), ["h"]).filter("a < b AND ca <> cb AND fa <> fb AND fa <> b AND fb <> a AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return met.select("h", "a", "na", "b", "nb")
+    Their whole sets are counted first, so a token that is frequent beyond the prefixes counts as frequent too; any set
+    of frequent tokens gives whole results as long as all texts go by the same one.
+    """
+    def whole(ids: DataFrame) -> DataFrame:
+        return store(sets_of(docs, ids, id_col, text_col), "jaccard-whole")
+
+    sets = whole(wanting)
+    own = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    others = tokens.join(sized(wanting), "id", "left_anti").select("id", "n", "h")
+    others = others.join(own.select("h").distinct().hint("merge"), "h", "left_semi").select("id", "n", "h")
+    frequent = frequent.unionByName(frequent_tokens(_kindred(own.unionByName(others).select("h", "id", "n"), kin), "jaccard-whole")[1]).distinct()
+    frequent = store(frequent, "jaccard-frequent")
+    wanting = _wanting(placed, frequent).unionByName(wanting).distinct()
+    sets = whole(wanting)
+    often = sets.select("id", F.explode("s").alias("h")).join(sized(frequent), "h").groupBy("id").agg(F.sort_array(F.collect_set("h")).alias("often"))
+
+    def extend(ids: list, sets, often) -> tuple:
+        out_id, out_n, more, combos = [], [], [], []
+        for k, i in enumerate(ids):
+            s = sets[k].values.to_numpy()
+            m, c = extension(s, often[k].values.to_numpy() if often[k].is_valid else s[:0])
+            if len(m) or len(c):
+                out_id.append(i)
+                out_n.append(len(s))
+                more.append(m)
+                combos.append(c)
+        return out_id, out_n, more, combos
+
+    wide = map_rows(sets.join(often.hint("merge"), "id"), extend, "id long, n int, more array<long>, combos array<long>", "id", "s", "often")
+    wide = store(wide, "jaccard-extended")
+    more = store(wide.select(F.explode("more").alias("h"), "id", "n"), "jaccard-more")
+    found = tokens.join(more.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "id", "n")
+    return _kindred(more.unionByName(found).unionByName(wide.select(F.explode("combos").alias("h"), "id", "n")), kin)
+
+
+def _kindred(rows: DataFrame, kin: DataFrame) -> DataFrame:
+    """rows(h, id, n) with comp and fam; a text without kin is its own."""
+    out = rows.join(sized(kin), "id", "left")
+    return out.select("h", "id", "n", F.coalesce("component", "id").alias("comp"), F.coalesce("family", "id").alias("fam"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,10 +451,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stand for their group (doc_id equals component_id), with their own columns.
 
-    Of rows that repeat a doc_id, all stay; a null doc_id stays.
+    Of rows that repeat a doc_id, all stay; a null doc_id stays. Columns of any other name are carried along.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    name = unused("id", docs)
+    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    known = docs.join(kept.hint("merge"), F.col("doc_id") == F.col(name), "left_semi")
     return known.unionByName(docs.filter("doc_id IS NULL"))
 
 
