@@ -1,8 +1,9 @@
 """Operator 4: quality rules whose failures are judged per host.
 
 Each document is measured once. Its rule failures are summed per host, every host's failure rate is shrunk towards the
-corpus by a beta prior fitted to the hosts themselves (method of moments), and the host verdicts are joined back: a
-document that breaks a rule goes when its host is known for breaking that rule, so clean documents of a bad host stay.
+corpus by a beta prior fitted to the hosts themselves (method of moments), and a host is known for a rule when its rate is
+likely above that of the corpus. The verdicts are joined back: a document that breaks a rule goes when its host is known
+for breaking that rule, so clean documents of a bad host stay, and so does a lone slip on a host that seldom slips.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smishlake.llm.common import map_rows, sized, store, table
+from smishlake.llm.common import map_rows, sized, store, table, unused
 
 WINDOW = 8
-#: A host is known for a rule when its shrunk failure rate is above this.
-HOST_RATE = 0.5
-#: Most pseudo-documents that the prior may weigh.
-PRIOR_WEIGHT = 10_000.0
+#: A host is known for a rule when its shrunk rate lies so many posterior deviations above the corpus rate (nine chances in ten).
+SURE = 1.2816
+#: Most pseudo-documents that the prior may weigh, so that a host of some hundred documents speaks for itself.
+PRIOR_WEIGHT = 100.0
 _WHITE = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 _MIX = np.random.default_rng(8).integers(0, 1 << 63, WINDOW, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,29 +82,32 @@ def rules() -> dict[str, Column]:
         "word_length": (F.col("word_chars") < 3 * n) | (F.col("word_chars") > 12 * n),
         "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
         "repeats": 100 * F.col("n_repeat_words") > 15 * n,
-        "short": n < 40,
     }
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """One row per host: n_docs and, for each rule, its failure rate shrunk by the fitted beta prior.
+    """One row per host: n_docs, and for each rule its shrunk failure rate rate_RULE and known_RULE, the verdict.
 
-    Prior of a rule: mean m and variance v of the hosts' rates weighted by documents give m(1-m)/v - 1 pseudo-documents,
-    kept between 1 and PRIOR_WEIGHT; m alone decides where all hosts agree or there is one host. A null host is a host.
+    Prior of a rule: its mean m is the corpus rate. The hosts' rates scatter more than documents drawn at that rate would;
+    the intra-host correlation rho that explains the excess, by moments, gives 1 / rho - 1 pseudo-documents, kept between
+    1 and PRIOR_WEIGHT (which holds where there is no excess, or one host). A null host is a host.
     """
     names = list(rules())
-    per_host = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(c.cast("long")).alias(f"n_{k}") for k, c in rules().items()))
-    rate = {k: F.col(f"n_{k}") / F.col("n_docs") for k in names}
-    totals = per_host.agg(F.sum("n_docs").alias("docs"), *(F.sum(f"n_{k}").alias(f"m_{k}") for k in names), *(F.sum(rate[k] * rate[k] * F.col("n_docs")).alias(f"q_{k}") for k in names))
-    row = totals.first()
-    docs = float(row["docs"] or 0) or 1.0
-    shrunk = []
+    per_host = store(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(c.cast("long")).alias(f"n_{k}") for k, c in rules().items())), "host-counts")
+    n = F.col("n_docs")
+    row = per_host.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n_docs").alias("docs"), F.sum(n * n.cast("double")).alias("nn"), *(F.sum(f"n_{k}").alias(f"m_{k}") for k in names), *(F.sum(F.col(f"n_{k}") * F.col(f"n_{k}") / n).alias(f"q_{k}") for k in names)).first()
+    docs, hosts = float(row["docs"] or 0), row["hosts"]
+    free = docs - row["nn"] / docs - (hosts - 1) if docs else 0.0
+    out = []
     for k in names:
-        m = (row[f"m_{k}"] or 0) / docs
-        v = (row[f"q_{k}"] or 0) / docs - m * m
-        weight = min(max(m * (1 - m) / v - 1, 1.0), PRIOR_WEIGHT) if v > 1e-12 else PRIOR_WEIGHT
-        shrunk.append(((F.col(f"n_{k}") + F.lit(m * weight)) / (F.col("n_docs") + F.lit(weight))).alias(f"rate_{k}"))
-    return per_host.select("host", "n_docs", *shrunk)
+        m = row[f"m_{k}"] / docs if docs else 0.0
+        spread = m * (1 - m)
+        rho = ((row[f"q_{k}"] - docs * m * m) / spread - (hosts - 1)) / free if spread > 0 and free > 0 else 0.0
+        weight = min(max(1 / rho - 1, 1.0), PRIOR_WEIGHT) if rho > 0 else PRIOR_WEIGHT
+        rate = (F.col(f"n_{k}") + F.lit(m * weight)) / (n + F.lit(weight))
+        known = (rate - m > 0) & (rate - m > SURE * F.sqrt(rate * (1 - rate) / (n + F.lit(weight + 1))))
+        out += [rate.alias(f"rate_{k}"), known.alias(f"known_{k}")]
+    return per_host.select("host", "n_docs", *out)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -114,12 +118,12 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     """
     measured = store(measure(df, id_col, text_col, host_col), "host-rules")
     rates = store(host_rates(measured), "host-rates")
-    verdict = rates.select(F.col("host").alias("_host"), F.array_compact(F.array(*(F.when(F.col(f"rate_{k}") > HOST_RATE, F.lit(k)) for k in rules()))).alias("host_rules"))
+    verdict = rates.select(F.col("host").alias("_host"), F.array_compact(F.array(*(F.when(F.col(f"known_{k}"), F.lit(k)) for k in rules()))).alias("host_rules"))
     failed = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules().items())))
     return (
         measured.withColumn("base_failed", base_failed())
         .withColumn("failed_rules", failed)
-        .join(sized(verdict), F.col("host").eqNullSafe(F.col("_host")), "left")
+        .join(sized(verdict, row_bytes=256), F.col("host").eqNullSafe(F.col("_host")), "left")
         .withColumn("kept", ~F.col("base_failed") & ~F.arrays_overlap("failed_rules", "host_rules"))
         .drop("_host")
     )
@@ -131,9 +135,14 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_kept(df: DataFrame) -> DataFrame:
-    """The rows that the rules keep, with their own columns; repeated doc_ids of one text share a verdict."""
-    kept = judge(df).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The rows that the rules keep, with their own columns of any names.
+
+    Every row is judged by itself, also where rows repeat a doc_id or have none; null and empty texts go.
+    """
+    name = unused("key", df)
+    keyed = df.withColumn(name, F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")), F.xxhash64("text"), F.xxhash64("source")))
+    gone = store(judge(keyed, name).filter("NOT kept").select(name).distinct(), "rejected-documents")
+    return keyed.join(sized(gone), name, "left_anti").drop(name)
 
 
 ORACLE = r"""
@@ -151,11 +160,13 @@ m AS (SELECT d.doc_id, host, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(w
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN wc USING (doc_id) LEFT JOIN lc USING (doc_id) LEFT JOIN rc USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, unnest([
   {'rule': 'symbols', 'failed': 10 * n_symbols > n_words}, {'rule': 'word_length', 'failed': word_chars < 3 * n_words OR word_chars > 12 * n_words},
-  {'rule': 'dup_lines', 'failed': 10 * n_dup_lines > 3 * n_lines}, {'rule': 'repeats', 'failed': 100 * n_repeat_words > 15 * n_words}, {'rule': 'short', 'failed': n_words < 40}]) AS r FROM m),
+  {'rule': 'dup_lines', 'failed': 10 * n_dup_lines > 3 * n_lines}, {'rule': 'repeats', 'failed': 100 * n_repeat_words > 15 * n_words}]) AS r FROM m),
 hr AS (SELECT host, r.rule AS rule, count(*) AS n, count(*) FILTER (r.failed) AS bad FROM f GROUP BY ALL),
-pr AS (SELECT rule, sum(bad) / sum(n) AS mean, sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) ** 2 AS var FROM hr GROUP BY rule),
-pw AS (SELECT rule, mean, CASE WHEN var > 1e-12 THEN least(greatest(mean * (1 - mean) / var - 1, 1), 10000) ELSE 10000 END AS weight FROM pr),
-v AS (SELECT host, rule, (bad + mean * weight) / (n + weight) > 0.5 AS known FROM hr JOIN pw USING (rule))
+pr AS (SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(bad) / sum(n) AS mean, sum(bad * bad / n) - sum(n) * (sum(bad) / sum(n)) ** 2 AS sq, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS free FROM hr GROUP BY rule),
+po AS (SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND free > 0 THEN (sq / (mean * (1 - mean)) - (hosts - 1)) / free ELSE 0 END AS rho FROM pr),
+pw AS (SELECT rule, mean, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 100) ELSE 100 END AS weight FROM po),
+sh AS (SELECT host, rule, mean, n + weight + 1 AS seen, (bad + mean * weight) / (n + weight) AS rate FROM hr JOIN pw USING (rule)),
+v AS (SELECT host, rule, rate - mean > 0 AND rate - mean > 1.2816::DOUBLE * sqrt(rate * (1 - rate) / seen) AS known FROM sh)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bool_or(r.failed AND known) AS kept
 FROM f JOIN v ON f.r.rule = v.rule AND f.host IS NOT DISTINCT FROM v.host GROUP BY doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
 """

@@ -449,14 +449,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their group (doc_id equals component_id), with their own columns.
+    """The documents that stand for their group (doc_id equals component_id), with their own columns of any names.
 
-    Of rows that repeat a doc_id, all stay; a null doc_id stays. Columns of any other name are carried along.
+    Of rows that repeat a doc_id, all stay; a null doc_id stays.
     """
     name = unused("id", docs)
-    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    known = docs.join(kept.hint("merge"), F.col("doc_id") == F.col(name), "left_semi")
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    gone = store(near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "dropped-copies")
+    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 ORACLE = r"""

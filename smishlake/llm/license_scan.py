@@ -1,8 +1,9 @@
 """Operator 7: license scans by ordered signature rules.
 
-Rules are regexes over normalised words (lower case, anything that is no word character becomes one space), each with a
-keyword that must occur before the regex is tried, and a priority. Overlapping detections are resolved by priority, then
-length: a detection inside a stronger one's interval is suppressed. The three base phrases are counted apart.
+The rules (license_rules.py, written by hand) are regexes over normalised words (lower case, anything that is no word
+character becomes one space), each with a keyword that must occur before the regex is tried, and in order of priority.
+Overlapping detections are resolved by priority, then length: a detection inside a stronger one's interval is suppressed.
+The three base phrases are counted apart.
 """
 
 from __future__ import annotations
@@ -15,76 +16,26 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from smishlake.llm.common import map_rows, table
+from smishlake.llm.license_rules import TIERS
 
 #: Phrases and labels of the contract (fixed values).
 BASE = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general public license", "gpl"))
-#: Label, names in running text (most telling first), identifiers. Facts about public licences (fixed values).
-FAMILIES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
-    ("mit", (r"mit license", r"mit licence", r"expat license"), (r"mit", r"expat")),
-    ("apache-2.0", (r"apache license version 2 0", r"apache 2 0 license", r"apache license 2 0", r"apache software license 2 0"), (r"apache 2 0",)),
-    ("apache-1.1", (r"apache software license version 1 1", r"apache license 1 1"), (r"apache 1 1",)),
-    ("gpl-3.0", (r"gnu general public license version 3", r"gnu gpl v(?:ersion )?3", r"gplv3", r"gnu gpl 3 0"), (r"gpl 3 0(?: only| or later)?",)),
-    ("gpl-2.0", (r"gnu general public license version 2", r"gnu gpl v(?:ersion )?2", r"gplv2", r"gnu gpl 2 0"), (r"gpl 2 0(?: only| or later)?",)),
-    ("lgpl", (r"gnu lesser general public license", r"gnu library general public license", r"lgplv2 1", r"lgplv3"), (r"lgpl (?:2|3) [01](?: only| or later)?",)),
-    ("agpl-3.0", (r"gnu affero general public license", r"affero gpl", r"agplv3"), (r"agpl 3 0(?: only| or later)?",)),
-    ("bsd-3-clause", (r"3 clause bsd license", r"bsd 3 clause license", r"new bsd license", r"modified bsd license"), (r"bsd 3 clause",)),
-    ("bsd-2-clause", (r"2 clause bsd license", r"bsd 2 clause license", r"simplified bsd license", r"freebsd license"), (r"bsd 2 clause",)),
-    ("mpl-2.0", (r"mozilla public license(?: version)? 2 0", r"mozilla public license v 2 0"), (r"mpl 2 0",)),
-    ("mpl-1.1", (r"mozilla public license(?: version)? 1 1",), (r"mpl 1 1",)),
-    ("epl-2.0", (r"eclipse public license(?: version| v)? 2 0",), (r"epl 2 0",)),
-    ("epl-1.0", (r"eclipse public license(?: version| v)? 1 0",), (r"epl 1 0",)),
-    ("cddl", (r"common development and distribution license",), (r"cddl 1 [01]",)),
-    ("isc", (r"isc license", r"isc licence"), (r"isc",)),
-    ("zlib", (r"zlib license", r"zlib libpng license"), (r"zlib",)),
-    ("unlicense", (r"the unlicense", r"unlicense org"), (r"unlicense",)),
-    ("cc0-1.0", (r"cc0 1 0 universal", r"creative commons zero"), (r"cc0 1 0",)),
-    ("cc-by-4.0", (r"creative commons attribution 4 0", r"cc by 4 0"), (r"cc by 4 0",)),
-    ("cc-by-sa-4.0", (r"creative commons attribution sharealike 4 0", r"cc by sa 4 0"), (r"cc by sa 4 0",)),
-    ("cc-by-sa-3.0", (r"creative commons attribution sharealike 3 0", r"cc by sa 3 0"), (r"cc by sa 3 0",)),
-    ("cc-by-nc-4.0", (r"creative commons attribution noncommercial 4 0", r"cc by nc 4 0"), (r"cc by nc 4 0",)),
-    ("artistic-2.0", (r"artistic license 2 0", r"artistic license version 2 0"), (r"artistic 2 0",)),
-    ("bsl-1.0", (r"boost software license", r"boost license 1 0"), (r"bsl 1 0",)),
-    ("wtfpl", (r"do what the fuck you want to public license",), (r"wtfpl",)),
-    ("ofl-1.1", (r"sil open font license", r"open font license version 1 1"), (r"ofl 1 1",)),
-    ("postgresql", (r"postgresql license",), (r"postgresql",)),
-    ("python-2.0", (r"python software foundation license", r"psf license"), (r"python 2 0", r"psf 2 0")),
-    ("openssl", (r"openssl license",), (r"openssl",)),
-    ("php-3.01", (r"php license version 3 01", r"php license 3 01"), (r"php 3 01",)),
-    ("ruby", (r"ruby license",), (r"ruby",)),
-    ("vim", (r"vim license",), (r"vim",)),
-    ("eupl-1.2", (r"european union public licen[cs]e",), (r"eupl 1 [12]",)),
-    ("ms-pl", (r"microsoft public license",), (r"ms pl",)),
-    ("odbl-1.0", (r"open database license", r"open data commons open database license"), (r"odbl 1 0",)),
-    ("busl-1.1", (r"business source license",), (r"busl 1 1",)),
-    ("sspl-1.0", (r"server side public license",), (r"sspl 1 0",)),
-    ("elastic-2.0", (r"elastic license(?: version)? 2 0",), (r"elastic 2 0",)),
-    ("gfdl", (r"gnu free documentation license",), (r"gfdl 1 [123](?: only| or later)?",)),
-    ("gpl", (r"gnu general public license", r"gnu gpl", r"gpl licen[cs]ed?"), (r"gpl",)),
-    ("apache", (r"apache license", r"apache licensed"), (r"apache",)),
-    ("bsd", (r"bsd license", r"bsd licence", r"bsd style license"), (r"bsd",)),
-    ("public-domain", (r"released into the public domain", r"dedicated to the public domain", r"in the public domain"), ()),
-    ("proprietary", (r"all rights reserved", r"proprietary and confidential", r"not for redistribution"), ()),
-)
-#: Wordings around a name: priority (lower wins), what stands before it, weight of the evidence.
-WORDINGS = (
-    (0, r"spdx license identifier ", 1.0),
-    (1, r"(?:is |are |be )?(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?", 0.95),
-    (2, r"(?:subject to|governed by|covered by|see|under|permission under) (?:the )?(?:terms of (?:the )?)?", 0.85),
-    (3, r"(?:the )?", 0.7),
-    (4, r"(?:license|licence|licensed) (?:as |is |type )?", 0.75),
-)
+
+
+def keyword(pattern: str) -> str:
+    """The longest literal stretch that every match of a rule holds."""
+    return max(re.split(r"\(\?:[^)]*\)\??|\[[^\]]*\](?:\{[0-9,]+\})?", pattern), key=len).strip()
 
 
 @lru_cache(maxsize=1)
 def signatures() -> list[tuple[int, str, float, str, re.Pattern]]:
-    """(priority, label, weight, keyword, regex) of each rule, in order; a family stated with its version goes before the bare name."""
+    """(priority, label, weight, keyword, regex) of each rule, in order."""
     out = []
-    for order, (label, names, identifiers) in enumerate(FAMILIES):
-        for priority, before, weight in WORDINGS:
-            for name in identifiers if priority in (0, 4) else names:
-                keyword = max(re.split(r"\(\?:.*?\)\??|\[[^\]]*\]|[?]", name), key=len).strip()
-                out.append((priority * 100 + order, label, weight, keyword, re.compile(rf"(?<!\S){before}{name}(?!\S)")))
-    return sorted(out, key=lambda r: (r[0], r[1], r[4].pattern))
+    for tier in TIERS:
+        for line in tier.strip().splitlines():
+            label, weight, pattern = line.split(" ", 2)
+            out.append((len(out), label, float(weight), keyword(pattern), re.compile(rf"(?<!\S){pattern}(?!\S)")))
+    return out
 
 
 @lru_cache(maxsize=1)

@@ -74,6 +74,20 @@ def test_host_rules(spark, data):
     assert kept.count() == host_rules.op4_host_rules(spark, data).filter("kept").count()
 
 
+def test_host_verdicts(spark):
+    prose = "many plain words of a document that breaks no rule and goes on for a while so that it is long enough number"
+    junk = prose.replace(" ", " # ")
+    rows = [(i, f"{junk if i % 10 < k else prose} {i}", "en", host) for host, k, start in (("bad", 6, 0), ("good", 1, 200), (None, 0, 400)) for i in range(start, start + 100)]
+    df = docs(spark, rows).withColumnRenamed("host", "_key").withColumnRenamed("score", "kept")
+    out = {r["doc_id"]: r for r in host_rules.judge(df).collect()}
+    assert all(out[i]["kept"] == (i % 10 >= 6) for i in range(100))  # junk of the bad host goes, its clean documents stay
+    assert all(out[i]["kept"] for i in range(200, 300)) and all(out[i]["kept"] and out[i]["host_rules"] == [] for i in range(400, 500))
+    kept = host_rules.filter_kept(df.unionByName(df.filter("doc_id < 20").withColumn("doc_id", F.lit(None).cast("long"))))
+    assert kept.columns == df.columns and sorted(r["doc_id"] is None for r in kept.collect()) == [False] * 240 + [True] * 8
+    rates = host_rules.host_rates(host_rules.measure(docs(spark, rows[:100])))
+    assert not rates.first()["known_symbols"] and host_rules.host_rates(host_rules.measure(docs(spark, []))).count() == 0
+
+
 def test_license_scan(spark, data):
     texts = {
         1: "Released under the MIT   License. SPDX-License-Identifier: Apache-2.0", 2: "the GNU General Public License version 3, or the Apache License", 3: "nothing at all", 4: None, 5: "",
@@ -94,25 +108,47 @@ def test_license_scan(spark, data):
 
 
 def forms(name):
-    """All texts that a name of FAMILIES stands for."""
-    m = re.search(r"\(\?:([^)]*)\)(\??)|\[([^\]]*)\]|(\w)\?", name)
+    """All texts that a rule stands for; a stretch of any words is left out."""
+    m = re.search(r"\(\?:([^)]*)\)(\??)|\[([^\]]*)\](\{[0-9,]+\})?", name)
     if not m:
         return [name]
-    ways = [*m[1].split("|"), *[""] * bool(m[2])] if m[1] is not None else list(m[3]) if m[3] else [m[4], ""]
+    ways = [*m[1].split("|"), *[""] * bool(m[2])] if m[1] is not None else [""] if m[4] else list(m[3])
     return [x for w in ways for x in forms(name[: m.start()] + w + name[m.end() :])]
 
 
-def test_every_license_rule_fires_on_its_own_name(spark):
+def brute_labels(text):
+    """Every regex over the whole text, without keywords; suppression over all pairs of detections."""
+    flat = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))) + " "
+    best = {}
+    for priority, label, _, _, rx in license_scan.signatures():
+        for m in rx.finditer(flat):
+            best.setdefault((m.start(), m.end(), label), priority)
+    found = sorted((p, a - b, a, b, label) for (a, b, label), p in best.items())
+    kept = []
+    for d in found:
+        if not any(k[2] <= d[2] and d[3] <= k[3] for k in kept):
+            kept.append(d)
+    return {k[4] for k in kept} | {label for phrase, label in license_scan.BASE if f" {phrase.decode()} " in flat}
+
+
+def test_license_labels_same_as_brute_force(spark):
+    rules = license_scan.signatures()
+    assert len({r[4].pattern for r in rules}) == len(rules) > 300
     assert forms("gfdl 1 [12](?: only)?") == ["gfdl 1 1 only", "gfdl 1 1", "gfdl 1 2 only", "gfdl 1 2"]
-    for label, names, identifiers in license_scan.FAMILIES:
-        for text in [*(f for n in names for f in forms(n)), *(f"SPDX-License-Identifier: {f}" for n in identifiers for f in forms(n))]:
-            assert label in license_scan.scan(text)[5].split(","), (label, text)
-    for priority, label, _, keyword, rx in license_scan.signatures():
-        texts = [f" {x} " for x in forms(rx.pattern.removeprefix(r"(?<!\S)").removesuffix(r"(?!\S)"))] if priority >= 300 else []
-        assert all(rx.search(t) and keyword in t for t in texts), (label, rx.pattern)
-    texts = {1: "This work is available under Creative Commons Attribution 4.0", 2: "Creative Commons Zero", 3: "SPDX-License-Identifier: GFDL-1.2-or-later", 4: "Creative arts"}
+    for _, label, _, keyword, rx in rules:
+        assert len(keyword) > 2 and not re.search(r"[^)]\?(?!:|!|<)", rx.pattern.removeprefix(r"(?<!\S)").removesuffix(r"(?!\S)")), rx.pattern
+        for text in forms(rx.pattern.removeprefix(r"(?<!\S)").removesuffix(r"(?!\S)")):
+            assert rx.search(f" {text} ") and keyword in text, (label, text)
+            assert set(license_scan.scan(text)[5].split(",")) == brute_labels(text), text
+    texts = {1: "This work is available under Creative Commons Attribution 4.0", 2: "Creative Commons Zero", 3: "SPDX-License-Identifier: GFDL-1.2-or-later", 4: "Creative arts", 5: "published under Creative Commons Attribution 4.0", 6: "Creative Commons Zero applies"}
     out = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(docs(spark, [(i, t, None, None) for i, t in texts.items()])).collect()}
-    assert out == {1: "cc-by-4.0", 2: "cc0-1.0", 3: "gfdl", 4: ""}
+    assert out == {1: "cc-by-4.0", 2: "cc0-1.0", 3: "gfdl", 4: "", 5: "cc-by-4.0", 6: "cc0-1.0"}
+    rng = np.random.default_rng(3)
+    pieces = [f for r in rules[::3] for f in forms(r[4].pattern[7:-6])[:1]] + ["the", "license", "under", "gpl"]
+    mixed = [" ".join(rng.choice(pieces, 12)) for _ in range(60)]
+    whole = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for text in [*mixed, *whole]:
+        assert set(filter(None, license_scan.scan(text or "")[5].split(","))) == brute_labels(text), text
 
 
 def test_language(spark):
