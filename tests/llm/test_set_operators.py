@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -181,3 +182,57 @@ def test_site_templates_of_large_hosts(spark):
     got = {r["page_id"]: r["text"] for r in site_templates.extract(df).collect()}
     assert all(got[i] == f"T {i}\nbody text {i}\nonly here {i}" for i in range(240))
     assert got[1001] == "T 1\nbody text 1\noffer number 0\nonly here 1"
+
+
+def test_templates_decide_where_tags_do_not(spark, data):
+    """The given pages with all telling tags and classes taken away: plain boxes with random class names, one menu, side
+    box and footer per host. Only counting can tell them from the article."""
+    rng = np.random.default_rng(9)
+    host = lambda u: site_templates.host_of(u)
+    boxes = {}
+    rows, want = [], {}
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        h = host(r["url"])
+        if h not in boxes:
+            boxes[h] = [f'<div class="{"".join(rng.choice(list("qxzjkvw"), 9))}"><p>{kind} of {h}</p><div>more of it</div></div>' for kind in ("menu", "side box", "footer")]
+        body = re.search(r"(?s)<article>(.*?)(?:</article>|<footer>|$)", r["html"])[1]
+        menu, side, footer = boxes[h]
+        rows.append((r["page_id"], r["url"], f'<html><body>{menu}<div class="jq{r["page_id"]}zx">{body}</div>{side}{footer}</body></html>'))
+        text = body.replace("<br>", " ")
+        want[r["page_id"]] = "\n".join(y for y in (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", text)) if y)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    copies = {}
+    for i, u, p in rows:
+        copies.setdefault(host(u), set()).add(p)
+    large = {h for h, p in copies.items() if len(p) >= site_templates.LEAST_PAGES}
+    assert large
+    got = {r["page_id"]: r["text"] for r in site_templates.extract(df).collect()}
+    for i, u, p in rows:
+        off = site_templates.parse(p)
+        site_templates.measure(off)
+        plain = site_templates.main_text(off)
+        assert plain != want[i] and f"menu of {host(u)}" in plain
+        assert got[i] == (want[i] if host(u) in large else plain)
+
+
+def text_of(page):
+    root = site_templates.parse(page)
+    site_templates.measure(root)
+    return site_templates.main_text(root)
+
+
+def test_html_cases(spark):
+    assert text_of("<main><article>One</article><p>between</p><article>Two longer</article></main>") == "One\nTwo longer"
+    assert text_of("<main><h1>T</h1><nav>n</nav><p>a</p></main><p>b") == "T\na"
+    assert text_of("İ" * 20 + "<script>x</script>kept words") == "İ" * 20 + "kept words"
+    assert text_of("<p title=it's>one</p><p class='a>b'>two</p><p>3 < 4 and 5 > 2</p>") == "one\ntwo\n3 < 4 and 5 > 2"
+    assert text_of("<p>open <b") == "open <b" and text_of('<p>quote <a href="x>y</a> end') == 'quote y end'
+    assert text_of("<table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul>") == "a\nb\nc\nd\ne"
+    assert text_of("<b>x<p>y</b>z</p><i>w") == "x\nyz\nw" and text_of("") == "" and text_of("<") == "<"
+    for page in ("<div>" * 30_000 + "deep" + "</div>" * 30_000, "<b>" * 30_000 + "x" + "</i>" * 30_000, "<a href='" * 30_000, "<x \"" * 30_000, "<!--" * 30_000, "<p>q" * 30_000, "<b><p>" * 20_000 + "</b>" * 20_000):
+        began = time.time()
+        text_of(page)
+        assert time.time() - began < 5
+    rows = [(1, "http://a/1", "<article>x</article>", "c", ["d"])] * 2 + [(None, "http://a/1", None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _page_key string, hashes array<string>")
+    assert sorted((r["page_id"] or 0, r["text"]) for r in site_templates.extract(df).collect()) == [(0, ""), (1, "x"), (1, "x")]
