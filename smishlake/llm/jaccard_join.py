@@ -31,7 +31,7 @@ WORDS = 5
 #: A token that pairs more texts of different families and components than this is frequent.
 PAIRS = 1 << 15
 #: Prefixes are longer than need be by this factor, so that few must be extended.
-SLACK = 1.25
+SLACK = 1.1
 #: A text may join the family of a text with which it shares at least this part of the shorter prefix.
 FAMILY_SHARE = 1 / 3
 #: Tokens in a block of a family, and distinct tokens in a stretch of a matrix product.
@@ -365,7 +365,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     t = store(map_rows(docs, sketched, "id long, n int, k1 long, k2 long, head array<long>, sketch binary", id_col, text_col), "jaccard-sketch")
     groups = store(t.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id")), "jaccard-groups")
-    texts = t.filter("n > 0").join(groups.select("id", "k1", "k2").hint("merge"), ["id", "k1", "k2"], "left_semi")
+    copies = t.filter("n > 0").select("id", "k1", "k2").join(groups.withColumnRenamed("id", "first").hint("merge"), ["k1", "k2"]).filter("id <> first")
+    texts = t.filter("n > 0").join(sized(store(copies.select("id"), "jaccard-copies")), "id", "left_anti")
     tokens = texts.select("id", "n", F.explode("head").alias("h"))
     twice = store(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-twice")
     shared = store(tokens.join(twice.hint("merge"), "h").select("h", "id", "n", "c"), "jaccard-tokens")
@@ -395,47 +396,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _wanting(placed: DataFrame, frequent: DataFrame) -> DataFrame:
-    """id: the texts whose prefix has too few rare tokens left."""
+    """id, missing: the texts whose prefix has too few rare tokens, and how many more they need."""
     often = placed.join(sized(frequent), "h", "left_semi").groupBy("id").agg(F.count_distinct("h").cast("int").alias("often"), F.first("n").alias("n"))
-    return store(often.filter(head_size("n") - F.col("often") < F.expr("n - (4 * n + 4) DIV 5 + 1")).select("id"), "jaccard-wanting")
+    missing = F.expr("n - (4 * n + 4) DIV 5 + 1") - (head_size("n") - F.col("often"))
+    return store(often.withColumn("missing", missing.cast("int")).filter("missing > 0").select("id", "missing"), "jaccard-wanting")
 
 
 def _extended(docs: DataFrame, tokens: DataFrame, placed: DataFrame, kin: DataFrame, frequent: DataFrame, wanting: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Index rows that the wanting texts need besides their prefixes, and the rows that these may meet.
 
-    Their whole sets are counted first, so a token that is frequent beyond the prefixes counts as frequent too; any set
-    of frequent tokens gives whole results as long as all texts go by the same one.
+    The tokens behind a prefix are counted before they are used, so that what is frequent there counts as frequent too;
+    any set of frequent tokens gives whole results as long as all texts go by the same one. Texts that still lack rare
+    tokens are few; their whole sets are looked at.
     """
-    def whole(ids: DataFrame) -> DataFrame:
-        return store(sets_of(docs, ids, id_col, text_col), "jaccard-whole")
-
-    sets = whole(wanting)
-    own = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    others = tokens.join(sized(wanting), "id", "left_anti").select("id", "n", "h")
-    others = others.join(own.select("h").distinct().hint("merge"), "h", "left_semi").select("id", "n", "h")
-    frequent = frequent.unionByName(frequent_tokens(_kindred(own.unionByName(others).select("h", "id", "n"), kin), "jaccard-whole")[1]).distinct()
-    frequent = store(frequent, "jaccard-frequent")
-    wanting = _wanting(placed, frequent).unionByName(wanting).distinct()
-    sets = whole(wanting)
-    often = sets.select("id", F.explode("s").alias("h")).join(sized(frequent), "h").groupBy("id").agg(F.sort_array(F.collect_set("h")).alias("often"))
-
-    def extend(ids: list, sets, often) -> tuple:
-        out_id, out_n, more, combos = [], [], [], []
-        for k, i in enumerate(ids):
-            s = sets[k].values.to_numpy()
-            m, c = extension(s, often[k].values.to_numpy() if often[k].is_valid else s[:0])
-            if len(m) or len(c):
-                out_id.append(i)
-                out_n.append(len(s))
-                more.append(m)
-                combos.append(c)
-        return out_id, out_n, more, combos
-
-    wide = map_rows(sets.join(often.hint("merge"), "id"), extend, "id long, n int, more array<long>, combos array<long>", "id", "s", "often")
-    wide = store(wide, "jaccard-extended")
-    more = store(wide.select(F.explode("more").alias("h"), "id", "n"), "jaccard-more")
-    found = tokens.join(more.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "id", "n")
-    return _kindred(more.unionByName(found).unionByName(wide.select(F.explode("combos").alias("h"), "id", "n")), kin)
+    def peek(ids: list, missing: list, texts: list) -> tuple:
+        n, window = [], []
+        for m, x in zip(missing, texts, strict=True):
+            s = shingles(x)
+            p = prefix_size(len(s))
+            n.append(len(s))
+            window.append(s[p : p + m + m // 2 + 8])
+        return ids, n, missing, window
+
+    before = -1
+    while (many := wanting.count()) > before:
+        before = many
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(wanting), "id")
+        windows = store(map_rows(rows, peek, "id long, n int, missing int, window array<long>", "id", "missing", "text"), "jaccard-windows")
+        own = store(windows.select(F.explode("window").alias("h"), "id", "n"), "jaccard-behind")
+        others = store(tokens.join(sized(own.select("h").distinct()), "h", "left_semi").select("h", "id", "n"), "jaccard-others")
+        frequent = store(frequent.unionByName(frequent_tokens(_kindred(own.unionByName(others), kin), "jaccard-behind")[1]).distinct(), "jaccard-frequent")
+        wanting = _wanting(placed, frequent)
+    fresh = own.join(sized(frequent), "h", "left_anti").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("fresh"))
+    ready = windows.drop("missing").join(wanting.hint("merge"), "id").join(fresh.hint("merge"), "id", "left").select("id", "n", F.slice(F.coalesce("fresh", F.array().cast("array<long>")), 1, F.col("missing")).alias("more"), "missing")
+    ready = store(ready, "jaccard-ready")
+    out = ready.filter("size(more) = missing").select(F.explode("more").alias("h"), "id", "n")
+    lacking = ready.filter("size(more) < missing").select("id")
+    if not lacking.isEmpty():
+        sets = store(sets_of(docs, lacking, id_col, text_col), "jaccard-whole")
+        often = sets.select("id", F.explode("s").alias("h")).join(sized(frequent), "h").groupBy("id").agg(F.sort_array(F.collect_set("h")).alias("often"))
+
+        def extend(ids: list, sets, often) -> tuple:
+            found = [extension(sets[k].values.to_numpy(), often[k].values.to_numpy()) for k in range(len(ids))]
+            return ids, [len(x) for x in sets], [m for m, _ in found], [c for _, c in found]
+
+        wide = store(map_rows(sets.join(often.hint("merge"), "id"), extend, "id long, n int, more array<long>, combos array<long>", "id", "s", "often"), "jaccard-extended")
+        rest = wide.select(F.explode("more").alias("h"), "id", "n")
+        others = others.unionByName(tokens.join(sized(rest.select("h").distinct()), "h", "left_semi").select("h", "id", "n"))
+        out = out.unionByName(rest).unionByName(wide.select(F.explode("combos").alias("h"), "id", "n"))
+    out = store(out, "jaccard-extensions")
+    met = others.join(sized(out.select("h").distinct()), "h", "left_semi")
+    return _kindred(out.unionByName(met), kin)
 
 
 def _kindred(rows: DataFrame, kin: DataFrame) -> DataFrame:
