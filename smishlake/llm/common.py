@@ -85,3 +85,26 @@ def grouped(batches, key: list[str], flush):
             held.append(batch.slice(x, y - x))
     if held and (got := flush(pa.Table.from_batches(held))) is not None:
         yield got
+
+
+def whole_groups(batches, key: list[str]):
+    """Tables that hold the rows of one key or more, each whole; batches come sorted by key."""
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in key]
+        change = np.zeros(batch.num_rows, bool)
+        change[1:] = np.any([c[1:] != c[:-1] for c in k], axis=0)
+        change[0] = tuple(c[0] for c in k) != last
+        starts = np.flatnonzero(change)
+        if len(starts):
+            cut = int(starts[-1])
+            if held or cut:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+        last = tuple(c[-1] for c in k)
+    if held:
+        yield pa.Table.from_batches(held)

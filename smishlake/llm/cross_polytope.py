@@ -2,9 +2,10 @@
 
 Vectors with the same components are one vector with a weight. A hash of a vector is the largest coordinate, with its
 sign, after three rounds of random signs and a fast Hadamard transform; two hashes make a bucket of one table, and each
-vector also goes to the buckets of its next best coordinates (multiprobe). Buckets of any size are verified in blocks:
-cosines of two blocks are one matrix product, a pair is counted in the first bucket that it shares, and what leaves a
-block is one row per vector: how many it links to, and the block-local component.
+vector also goes to the buckets of its next best coordinates (multiprobe). Buckets of any size are verified in blocks, on
+unit vectors in single precision; a pair is counted in the first bucket that it shares. What leaves a task is one row per
+vector (how many it links to, and the component there) and the few pairs too near the threshold for single precision,
+which are settled in double precision.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smishlake.llm.common import map_rows, store, table
+from smishlake.llm.common import map_rows, store, table, whole_groups
 from smishlake.llm.graphs import components
 
 THRESHOLD = 0.93
 HASHES, TABLES, PROBES = 2, 8, 4
 #: Vectors in a block; a larger bucket is compared block by block.
 BLOCK = 1024
+#: Buckets up to this size are compared many at once, pair by pair; pairs at once.
+SMALL, CHUNK = 48, 1 << 16
+#: Cosines of single-precision vectors this near the threshold, times the dimension, are taken again in double precision.
+MARGIN = 2e-7
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -66,36 +71,64 @@ def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int
     return out.reshape(n, -1)
 
 
-def _links(ids, weights, vectors, buckets, bucket: int, other, threshold: float):
-    """Verify one block, or two blocks against each other; yields (id, links, component) of vectors that link."""
-    n = len(ids)
-    left, right = (np.flatnonzero(~other), np.flatnonzero(other)) if other.any() else (np.arange(n), np.arange(n))
-    near = vectors[left] @ vectors[right].T >= threshold
-    i, j = np.nonzero(near)
-    i, j = left[i], right[j]
-    if not other.any():
-        i, j = i[i < j], j[i < j]
-    if not len(i):
-        return None
+def _near(unit: np.ndarray, edge: np.ndarray, apart: np.ndarray, mine: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine) of the pairs of rows of one bucket with a cosine of at least `least`.
+
+    edge marks where buckets begin; in a bucket that is apart only rows of its two blocks meet.
+    """
+    starts = np.flatnonzero(edge)
+    sizes = np.diff(np.r_[starts, len(edge)])
+    out = []
+
+    def take(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> None:
+        fine = (c >= least) & (~apart[i] | (mine[i] != mine[j]))
+        out.append((i[fine], j[fine], c[fine]))
+
+    for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        product = unit[a : a + n] @ unit[a : a + n].T
+        i, j = np.nonzero(np.triu(product >= least, 1))
+        take(i + a, j + a, product[i, j])
+    behind = np.repeat(starts + sizes, sizes) - np.arange(len(edge)) - 1
+    behind[np.repeat(sizes > SMALL, sizes)] = 0
+    done, total = 0, np.cumsum(behind)
+    while done < len(edge):
+        to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + CHUNK, "right")))
+        c = behind[done:to]
+        i = np.repeat(np.arange(done, to), c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + i + 1
+        if len(i):
+            take(i, j, np.einsum("ij,ij->i", unit[i], unit[j]))
+        done = to
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _first_shared(unit: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs have the bucket that they met in as the least one that they share."""
+    rows, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    code = codes(unit[rows].astype(float)) if len(rows) else np.zeros((0, 1), np.int64)
     first = np.empty(len(i), bool)
-    for a in range(0, len(i), 50_000):  # the least code that both have decides which bucket counts the pair
-        x, y = buckets[i[a : a + 50_000]], buckets[j[a : a + 50_000]]
+    for a in range(0, len(i), 20_000):
+        x, y = code[back[a : min(a + 20_000, len(i))]], code[back[len(i) + a : len(i) + min(a + 20_000, len(i))]]
         both = (x[:, :, None] == y[:, None, :]).any(2)
-        first[a : a + 50_000] = np.where(both, x, np.iinfo(np.int64).max).min(1) == bucket
-    count = np.zeros(n, np.int64)
-    i, j = i[first], j[first]
-    np.add.at(count, i, weights[j])
-    np.add.at(count, j, weights[i])
-    label = ids.copy()
+        first[a : a + 20_000] = np.where(both, x, np.iinfo(np.int64).max).min(1) == bucket[i[a : a + 20_000]]
+    return first
+
+
+def _summed(ids: np.ndarray, weights: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, links, least id that it connects to) of the vectors in links i, j."""
+    nodes, back = np.unique(np.concatenate([ids[i], ids[j]]), return_inverse=True)
+    a, b = back[: len(i)], back[len(i) :]
+    count = np.zeros(len(nodes), np.int64)
+    np.add.at(count, a, weights[j])
+    np.add.at(count, b, weights[i])
+    label = np.arange(len(nodes))
     while True:
         before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
         if (before == label).all():
-            break
-    hit = np.flatnonzero(count)
-    return ids[hit], count[hit], label[hit]
+            return nodes, count, nodes[label]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -118,7 +151,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     reps = good.select(F.col("id").alias("rep"), "label", "k1", "k2", "v").join(same.hint("merge"), ["rep", "label", "k1", "k2"]).dropDuplicates(["rep"])
 
     def hashed(ids: list, labels: list, weights: list, vectors: pa.Array) -> tuple:
-        out, unit = [None] * len(ids), [None] * len(ids)
+        out, unit, single = [None] * len(ids), [None] * len(ids), [None] * len(ids)
         lengths = np.diff(vectors.offsets.to_numpy())
         flat = vectors.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
@@ -127,62 +160,52 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             m = np.stack([flat[ends[i] - dim : ends[i]] for i in at])
             m = m / np.abs(m).max(1, keepdims=True)
             m = m / np.linalg.norm(m, axis=1, keepdims=True)
-            for i, c, u in zip(at, codes(m), m, strict=True):
-                out[i], unit[i] = c, u
-        return ids, labels, weights, out, unit
+            for i, c, u, s in zip(at, codes(m.astype(np.float32).astype(float)), m, m.astype(np.float32), strict=True):
+                out[i], unit[i], single[i] = c, u, s
+        return ids, labels, weights, out, unit, single
 
-    reps = map_rows(reps, hashed, "rep long, label string, weight long, codes array<long>, unit array<double>", "rep", "label", "weight", "v")
+    reps = map_rows(reps, hashed, "rep long, label string, weight long, codes array<long>, unit array<double>, single array<float>", "rep", "label", "weight", "v")
     reps = store(reps, "cp-codes")
     placed = reps.select("rep", "label", F.size("unit").alias("dim"), F.explode(F.array_distinct("codes")).alias("bucket"))
-    sizes = placed.groupBy("label", "dim", "bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    sizes = store(placed.groupBy("label", "dim", "bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "cp-buckets")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = placed.join(sizes.hint("merge"), ["label", "dim", "bucket"]).withColumn("blocks", blocks)
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("rep", "label", "dim", "bucket", F.least("mine", "theirs").alias("one"), F.greatest("mine", "theirs").alias("two"), "mine")
-    full = placed.join(reps.select("rep", "weight", "codes", "unit").hint("merge"), "rep")
+    full = placed.join(reps.select("rep", "weight", "single").hint("merge"), "rep")
     key = ["label", "dim", "bucket", "one", "two"]
     tasks = full.repartition(*key).sortWithinPartitions(*key)
 
+    def links_of(rows: pa.Table, dim: int):
+        col = lambda c: rows[c].to_numpy(zero_copy_only=False)
+        ids, weights, bucket, one, two, mine = map(col, ("rep", "weight", "bucket", "one", "two", "mine"))
+        label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        unit = rows["single"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        edge = np.r_[True, np.any([c[1:] != c[:-1] for c in (label, bucket, one, two)], axis=0)]
+        i, j, cosine = _near(unit, edge, one != two, mine, threshold - MARGIN * dim)
+        fine = _first_shared(unit, bucket, i, j)
+        i, j, cosine = i[fine], j[fine], cosine[fine]
+        sure = cosine >= threshold + MARGIN * dim
+        ids_, links, component = _summed(ids, weights, i[sure], j[sure])
+        i, j = i[~sure], j[~sure]
+        links = pa.array(np.r_[links, np.zeros(len(i), np.int64)], mask=np.r_[np.zeros(len(links), bool), np.ones(len(i), bool)])
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[ids_, ids[i]]), links, pa.array(np.r_[component, ids[j]])], names=["rep", "links", "component"])
+
     def verify(batches):
-        names, held = None, []
-
-        def flush(held):
-            rows = pa.Table.from_batches(held)
-            if rows.num_rows < 2:
-                return None
-            one, two = rows["one"][0].as_py(), rows["two"][0].as_py()
-            dim = rows["dim"][0].as_py()
-            unit = rows["unit"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            lists = rows["codes"].combine_chunks()
-            code = lists.flatten().to_numpy().reshape(rows.num_rows, -1)
-            other = (rows["mine"].to_numpy() == two) if one != two else np.zeros(rows.num_rows, bool)
-            if one != two and (other.all() or not other.any()):
-                return None
-            got = _links(rows["rep"].to_numpy(), rows["weight"].to_numpy(), unit, code, rows["bucket"][0].as_py(), other, threshold)
-            return got and pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["rep", "links", "component"])
-
-        last = None
-        for batch in batches:
-            k = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in key]
-            change = np.ones(batch.num_rows, bool)
-            change[1:] = np.any([c[1:] != c[:-1] for c in k], axis=0)
-            starts = [*np.flatnonzero(change).tolist(), batch.num_rows]
-            for a, b in zip(starts, starts[1:], strict=False):
-                name = tuple(c[a] for c in k)
-                if name != last and held:
-                    got = flush(held)
-                    held = []
-                    if got is not None:
-                        yield got
-                last = name
-                held.append(batch.slice(a, b - a))
-        if held:
-            got = flush(held)
-            if got is not None:
-                yield got
+        for rows in whole_groups(batches, key):
+            dims = rows["dim"].to_numpy()
+            for dim in np.unique(dims):
+                yield links_of(rows.filter(pa.array(dims == dim)), int(dim))
 
     links = store(tasks.mapInArrow(verify, "rep long, links long, component long"), "cp-links")
+    exact = reps.select("rep", "weight", "unit")
+    doubt = links.filter("links IS NULL").select(F.col("rep").alias("a"), F.col("component").alias("b"))
+    doubt = doubt.join(exact.select(F.col("rep").alias("a"), F.col("weight").alias("wa"), F.col("unit").alias("x")).hint("merge"), "a").join(exact.select(F.col("rep").alias("b"), F.col("weight").alias("wb"), F.col("unit").alias("y")).hint("merge"), "b")
+    cosine = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    doubt = store(doubt.filter(cosine >= threshold).select("a", "b", "wa", "wb"), "cp-doubt")
+    settled = doubt.select(F.col("a").alias("rep"), F.col("wb").alias("links"), F.col("b").alias("component")).unionByName(doubt.select(F.col("b").alias("rep"), F.col("wa").alias("links"), F.col("b").alias("component")))
+    links = links.filter("links IS NOT NULL").unionByName(settled)
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
     found = components(links.select(F.col("rep").alias("a"), F.col("component").alias("b")))
     per_rep = same.join(counted.hint("merge"), "rep", "left").join(found.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")

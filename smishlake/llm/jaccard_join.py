@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smishlake.llm.common import grouped, map_rows, sized, store, table, unused
+from smishlake.llm.common import grouped, map_rows, sized, store, table, unused, whole_groups
 from smishlake.llm.graphs import components
 
 WORDS = 5
@@ -34,6 +34,8 @@ PAIRS = 1 << 15
 SLACK = 1.1
 #: A text may join the family of a text with which it shares at least this part of the shorter prefix.
 FAMILY_SHARE = 1 / 3
+#: Sizes of linked texts differ by a factor of 1.25 at most, so by one band of this factor at most.
+BAND = 1.26
 #: Tokens in a block of a family, and distinct tokens in a stretch of a matrix product.
 BLOCK_TOKENS, STRETCH = 1 << 17, 8192
 #: Texts of an index entry that meet in one task; more are dealt into blocks. Pairs that a task looks at at once.
@@ -81,9 +83,9 @@ def shingles(text: str | None) -> np.ndarray:
 def sketch_of(s: np.ndarray) -> bytes:
     """Parity bits of a set: each token flips one. Two sets differ in at least as many tokens as their sketches in bits.
 
-    The number of bits is a power of two, twice the set's size or more; a sketch is folded to half its length by xor.
+    The number of bits is a power of two, the set's size or more; a sketch is folded to half its length by xor.
     """
-    bits = max(128, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 128
+    bits = max(128, 1 << (len(s) - 1).bit_length()) if len(s) else 128
     flips = np.bincount((s.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -251,8 +253,11 @@ def may_link(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: list[bytes])
 def meet(index: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs a < b that share an index entry, of different families and components, and that their sketches let link.
 
-    index(h, id, n, comp, fam); texts(id, sketch). Entries whose texts are all of one family or component are left out.
+    index(h, id, n, comp, fam); texts(id, sketch). An entry is split by size, each text in its own size band and the next,
+    so that any two that may link meet; entries whose texts are all of one family or component are left out.
     """
+    band = F.floor(F.log(F.col("n")) / float(np.log(BAND)))
+    index = index.withColumn("h", F.explode(F.array(F.xxhash64("h", band), F.xxhash64("h", band + 1))))
     entries = index.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("fam").alias("f1"), F.max("fam").alias("f2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     entries = store(entries.filter("f1 <> f2 AND c1 <> c2").select("h", "m"), "jaccard-entries")
     rows = store(index.join(entries.hint("merge"), "h"), "jaccard-index")
@@ -287,20 +292,8 @@ def meet(index: DataFrame, texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches):
-        held: list = []  # whole entries are looked at together, several at once
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column(batch.schema.get_field_index("h")).to_numpy()
-            cut = int(np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[-1])
-            if held and (cut or held[-1].column(held[-1].schema.get_field_index("h"))[-1].as_py() != int(h[0])):
-                yield from pairs_of(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif cut:
-                yield from pairs_of(pa.Table.from_batches([batch.slice(0, cut)]))
-            held.append(batch.slice(cut))
-        if held:
-            yield from pairs_of(pa.Table.from_batches(held))
+        for rows in whole_groups(batches, key):
+            yield from pairs_of(rows)
 
     return tasks.mapInArrow(run, "a long, b long")
 
@@ -317,7 +310,7 @@ def families(shared: DataFrame) -> DataFrame:
     more central the more of its prefix is shared, and the more often; each token offers the most central of the texts
     of about one size that have it.
     """
-    band = F.floor(F.log(F.col("n")) / float(np.log(1.25))).cast("int")
+    band = F.floor(F.log(F.col("n")) / float(np.log(BAND))).cast("int")
     weight = shared.groupBy("id").agg((F.sum(F.log2("c")) / F.max(head_size("n"))).alias("w"))
     weighed = store(shared.join(weight.hint("merge"), "id").select("h", "id", "n", "w", band.alias("band")), "jaccard-weighed")
     centre = weighed.groupBy("h", "band").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "n")).alias("x"))
@@ -415,16 +408,20 @@ def _extended(docs: DataFrame, tokens: DataFrame, placed: DataFrame, kin: DataFr
             s = shingles(x)
             p = prefix_size(len(s))
             n.append(len(s))
-            window.append(s[p : p + m + m // 2 + 8])
+            window.append(s[p : p + m + m // 4 + 4])
         return ids, n, missing, window
 
-    before = -1
-    while (many := wanting.count()) > before:
-        before = many
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(wanting), "id")
-        windows = store(map_rows(rows, peek, "id long, n int, missing int, window array<long>", "id", "missing", "text"), "jaccard-windows")
-        own = store(windows.select(F.explode("window").alias("h"), "id", "n"), "jaccard-behind")
-        others = store(tokens.join(sized(own.select("h").distinct()), "h", "left_semi").select("h", "id", "n"), "jaccard-others")
+    windows = own = others = None
+    while True:
+        new = wanting if windows is None else wanting.join(windows.select("id").hint("merge"), "id", "left_anti")
+        if new.isEmpty():
+            break
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(new), "id")
+        peeked = store(map_rows(rows, peek, "id long, n int, missing int, window array<long>", "id", "missing", "text"), "jaccard-windows")
+        behind = store(peeked.select(F.explode("window").alias("h"), "id", "n"), "jaccard-behind")
+        heads = behind.select("h").distinct() if own is None else behind.select("h").distinct().join(own.select("h").distinct().hint("merge"), "h", "left_anti")
+        met = store(tokens.join(sized(store(heads, "jaccard-heads")), "h", "left_semi").select("h", "id", "n"), "jaccard-others")
+        windows, own, others = (x if y is None else y.unionByName(x) for x, y in ((peeked, windows), (behind, own), (met, others)))
         frequent = store(frequent.unionByName(frequent_tokens(_kindred(own.unionByName(others), kin), "jaccard-behind")[1]).distinct(), "jaccard-frequent")
         wanting = _wanting(placed, frequent)
     fresh = own.join(sized(frequent), "h", "left_anti").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("fresh"))

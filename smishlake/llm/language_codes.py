@@ -1,8 +1,8 @@
 """Operator 6: language identification with error-correcting output codes.
 
 Languages get binary codewords. For each bit a binary n-gram classifier is learned (log ratio of the n-gram rates of the
-languages whose bit is one to those whose bit is zero) from n-gram counts that Spark sums per language over all training
-rows. A text's bit margins are decoded to the codeword with the least weighted loss; bits that separate the training
+languages whose bit is one to those whose bit is zero) from n-gram rates that Spark sums per language and bit over all
+training rows. A text's bit margins are decoded to the codeword with the least weighted loss; bits that separate the training
 languages better weigh more, and a small distance between the two nearest codewords flags the text as ambiguous.
 """
 
@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smishlake.llm.common import map_rows, table
+from smishlake.llm.common import map_rows, sized, store, table
 
 BUCKETS = 1 << 15
 BITS = 15
-#: Most languages that get a codeword; the count is checked.
-MAX_LANGUAGES = 64
+#: N-gram rates are summed as whole numbers of this part, so that no order of sums shows.
+PART = 10**15
+#: A rate that every n-gram has at least.
+FLOOR = 1e-7
 AMBIGUOUS = 0.2
 _SHIFT = np.uint32(17)
 
@@ -54,13 +56,16 @@ def codewords(n: int, bits: int = BITS) -> np.ndarray:
         return np.array([[(m >> i) & 1 if i < n - 1 else 0 for m in masks] for i in range(n)], np.int8)
     bits = max(bits, 4 * int(np.ceil(np.log2(n))))
     rng, best, far = np.random.default_rng(6), None, -1.0
-    for _ in range(200):
+    for _ in range(max(4, 200 * 64 // max(n, 64))):
         c = rng.integers(0, 2, (n, bits)).astype(np.int8)
-        d = (c[:, None, :] != c[None, :, :]).sum(2) + bits * np.eye(n, dtype=int)
+        sign = 2.0 * c - 1.0
+        least = (bits - np.max(sign @ sign.T - 2 * bits * np.eye(n))) / 2
         split = c.any(0) & ~c.all(0)
-        if split.all() and d.min() > far:
-            best, far = c, d.min()
-    return best if best is not None else c
+        if split.all() and least > far:
+            best, far = c, least
+    if far < 1:  # drawn alike: the numbers themselves tell them apart
+        best = np.array([[(i >> b) & 1 for b in range(n.bit_length())] for i in range(1, n + 1)], np.int8)
+    return best
 
 
 @dataclass
@@ -95,9 +100,11 @@ class Model:
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from every row with a text and a language. What reaches the driver is BUCKETS counts per language.
+    """Learn from every row with a text and a language, whatever the number of languages.
 
-    Each task sums its rows' counts per language before the shuffle. Ties between languages go to the smaller name.
+    Each task sums its rows' rates per language before the shuffle. Sums per bit and margins per language are taken in
+    Spark: what reaches the driver is BUCKETS sums per bit, and one margin per language and bit. Ties between languages go
+    to the smaller name.
     """
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -111,27 +118,44 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(np.round(s[at] * 1e9).astype(np.int64))], names=["lang", "bucket", "n"])
 
+    spark = rows.sparkSession
     used = rows.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(text_col, F.col(lang_col).cast("string"))
     counted = used.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counted = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))
-    got = counted.limit(MAX_LANGUAGES + 1).collect()
-    if len(got) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(r["lang"] for r in got)
-    rates = np.full((len(languages), BUCKETS), 1e-7)
-    for r in got:
-        c = np.array(r["c"], np.float64).reshape(-1, 2)
-        rates[languages.index(r["lang"]), c[:, 0].astype(int)] += c[:, 1] / max(c[:, 1].sum(), 1.0)
+    counted = store(counted, "language-counts")
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    languages = sorted(r["lang"] for r in totals.select("lang").collect())
     codes = codewords(len(languages))
-    weights = np.zeros((BUCKETS, codes.shape[1]), np.float32)
-    trust = np.ones(codes.shape[1])
-    for b in range(codes.shape[1] if len(languages) > 1 else 0):
-        one, zero = rates[codes[:, b] == 1], rates[codes[:, b] == 0]
-        weights[:, b] = np.clip(np.log(one.mean(0) / zero.mean(0)), -6, 6)
-        means = rates @ weights[:, b]  # mean margin of each language's own text
-        gap = means[codes[:, b] == 1].min() - means[codes[:, b] == 0].max()
-        weights[:, b] -= np.float32((means[codes[:, b] == 1].min() + means[codes[:, b] == 0].max()) / 2)
-        trust[b] = max(gap, 0.05)
+    bits = codes.shape[1]
+    weights, trust = np.zeros((BUCKETS, bits), np.float32), np.ones(bits)
+    if len(languages) > 1:
+        names = spark.createDataFrame([(k, c.tolist()) for k, c in zip(languages, codes, strict=True)], "lang string, code array<int>")
+        rates = counted.join(sized(totals, row_bytes=64), "lang").join(sized(names, len(languages), 64 + 4 * bits), "lang")
+        rates = store(rates.select("lang", "bucket", "code", F.round(F.col("n").cast("double") / F.col("total") * PART).cast("long").alias("rate")), "language-rates")
+        sums = rates.groupBy("bucket").agg(F.sum("rate").alias("all"), *(F.sum(F.col("rate") * F.col("code")[b]).alias(f"b{b}") for b in range(bits))).toPandas().sort_values("bucket")
+        every, one = np.zeros(BUCKETS), np.zeros((BUCKETS, bits))
+        every[sums["bucket"]] = sums["all"] / PART
+        one[sums["bucket"]] = sums[[f"b{b}" for b in range(bits)]].to_numpy(float) / PART
+        n_one = codes.sum(0, dtype=int)
+        high, low = one / n_one + FLOOR, (every[:, None] - one) / (len(languages) - n_one) + FLOOR
+        weights = np.clip(np.log(np.maximum(high, FLOOR) / np.maximum(low, FLOOR)), -6, 6).astype(np.float32)
+        held = spark.sparkContext.broadcast(weights)
+
+        def margins(batches):
+            sums: dict[str, np.ndarray] = {}
+            for batch in batches:
+                lang, bucket, rate = batch.column(0).to_pandas(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                for k, at in lang.groupby(lang).indices.items():
+                    sums[k] = sums.get(k, 0) + np.round(held.value[bucket[at]].astype(float) * rate[at, None] / 1e3).astype(np.int64).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k in sums for _ in range(bits)], pa.string()), pa.array(np.tile(np.arange(bits, dtype=np.int32), len(sums))), pa.array(np.concatenate([*sums.values(), np.zeros(0, np.int64)]), pa.int64())], names=["lang", "bit", "m"])
+
+        got = rates.select("lang", "bucket", "rate").mapInArrow(margins, "lang string, bit int, m long").groupBy("lang", "bit").agg(F.sum("m").alias("m")).collect()
+        place = {k: i for i, k in enumerate(languages)}
+        means = np.zeros((len(languages), bits))  # mean margin of each language's own text
+        for r in got:
+            means[place[r["lang"]], r["bit"]] = r["m"] * 1e3 / PART
+        lowest, highest = np.where(codes == 1, means, np.inf).min(0), np.where(codes == 0, means, -np.inf).max(0)
+        weights = weights - ((lowest + highest) / 2).astype(np.float32)
+        trust = np.maximum(lowest - highest, 0.05)
     return Model(languages, codes, weights, trust / trust.mean())
 
 

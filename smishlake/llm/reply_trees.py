@@ -5,7 +5,8 @@ from the roots to the leaves; each leaf ends a branch. Branches are ranked by sc
 the messages of the chosen ones, and these are formatted, texts joined at the end.
 
 Template of one message: <|im_start|>ROLE<|im_sep|>TEXT<|im_end|> and a line feed. Inside roles and texts a backslash
-becomes two, and `<|` becomes `<\\|`, so no control string can occur there and unescaping gives the text back.
+becomes two, and `<|` becomes `<\\|`, so no control string can occur there and unescaping gives the text back. Beside the
+formatted text stand its segments, each with the loss mask: true for the text of an assistant, false for all else.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 from smishlake.llm.common import store, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
+#: The role whose texts the loss counts.
+LEARNED = "assistant"
 
 
 def escape(c: Column) -> Column:
@@ -27,8 +30,10 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
-def message(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(START), escape(role), F.lit(SEP), escape(text), F.lit(END))
+def segments(role: Column, text: Column) -> Column:
+    """The three stretches of a formatted message with their loss mask; together they are the message."""
+    part = lambda c, loss: F.struct(c.alias("text"), loss.alias("loss"))
+    return F.array(part(F.concat(F.lit(START), escape(role), F.lit(SEP)), F.lit(False)), part(escape(text), role == LEARNED), part(F.lit(END), F.lit(False)))
 
 
 def climb(messages: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -84,18 +89,20 @@ def choose(paths: DataFrame, per_tree: int = 1) -> DataFrame:
 
 
 def format_paths(chosen: DataFrame, jumps: list[DataFrame], messages: DataFrame) -> DataFrame:
-    """tree_id, leaf_id, branch, formatted: one conversation per chosen path.
+    """tree_id, leaf_id, branch, formatted, segments: one conversation per chosen path.
 
-    From the leaf, each jump of 2**k doubles the messages known to be on the path; level counts from the root.
+    From the leaf, each jump of 2**k doubles the messages known to be on the path; level counts from the root. formatted
+    is the text of all segments(text, loss) in order. Null roles and texts are empty.
     """
     steps = store(chosen.select("tree_id", "leaf_id", "branch", F.col("leaf_id").alias("msg_id"), F.col("n").alias("level")), "reply-steps")
     for k in reversed(range(len(jumps))):
         further = steps.join(jumps[k].hint("merge"), ["tree_id", "msg_id"]).select("tree_id", "leaf_id", "branch", F.col("up").alias("msg_id"), (F.col("level") - (1 << k)).alias("level"))
         steps = store(steps.unionByName(further), "reply-steps")
-    texts = messages.select("tree_id", "msg_id", message(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("part"))
+    texts = messages.select("tree_id", "msg_id", segments(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("part"))
     joined = steps.join(texts.hint("merge"), ["tree_id", "msg_id"])
     parts = joined.groupBy("tree_id", "leaf_id", "branch").agg(F.array_sort(F.collect_list(F.struct("level", "part"))).alias("parts"))
-    return parts.select("tree_id", "leaf_id", "branch", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"))
+    whole = parts.select("tree_id", "leaf_id", "branch", F.flatten(F.transform("parts", lambda p: p["part"])).alias("segments"))
+    return whole.select("tree_id", "leaf_id", "branch", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
 def read_back(formatted: Column) -> Column:
@@ -104,6 +111,11 @@ def read_back(formatted: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(unescape(F.substring_index(F.substr(p, F.lit(len(START) + 1)), SEP, 1)).alias("role"), unescape(F.substr(p, F.locate(SEP, p) + len(SEP))).alias("text")))
 
 
+def masked(segments: Column) -> Column:
+    """All text under the loss mask, unescaped, in order."""
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+
+
 def linear(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) as reply trees: each row answers the row before it in its conversation.
 
@@ -126,9 +138,10 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """One row per conversation of linear(), also for the one whose conv_id is null."""
-    turns = formatted.select("tree_id.conv_id", "formatted", read_back(F.col("formatted")).alias("t"))
-    said = F.array_join(F.transform(F.filter("t", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    """One row per conversation of linear(), also for the one whose conv_id is null: turns are read from the formatted
+    text, what the loss counts from the segments under the mask."""
+    turns = formatted.select("tree_id.conv_id", "formatted", read_back(F.col("formatted")).alias("t"), masked(F.col("segments")).alias("said"))
+    said = F.col("said")
     return turns.select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),

@@ -23,8 +23,8 @@ from smishlake.llm.common import SLICE_ROWS, map_rows, table
 
 #: Most labelled rows that the scorer learns from; beyond, a sample by hash of doc_id. The model of characters uses all rows.
 LABELLED_ROWS = 60_000
-#: A feature needs so many toxic documents; of those that reach it, at most so many are kept, most frequent first.
-MIN_TOXIC, MAX_FEATURES = 6, 20_000
+#: A feature needs so many toxic documents.
+MIN_TOXIC = 6
 #: Pseudo-documents of the prior at the overall toxic share.
 PRIOR = 4.0
 #: A feature counts when most documents that have it are toxic; a beginning, when it gathers more than one word does.
@@ -35,7 +35,7 @@ THRESHOLD = 0.3
 # Letters that a character may stand for (fixed values).
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou"}
 SUBSTITUTED, LITERAL, BROKEN, DRAWN_OUT = -0.7, -6.0, -4.0, -0.5
-BEAM, CACHE = 48, 100_000
+CACHE = 100_000
 
 # ---- character model -------------------------------------------------------------------------------------------------
 
@@ -115,25 +115,31 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(span: str, model: np.ndarray) -> str:
-    """The likeliest reading of a span, blanks around it; equal scores go to the reading that sorts first."""
-    best = {(0, 0): (0.0, "")}
+    """The likeliest reading of a span of any length, blanks around it.
+
+    A state is the last two symbols; every state is kept, so the result is exact. Of equal scores the one met first in
+    the order of states and readings stays.
+    """
+    best = {(0, 0): (0.0, None)}
     for choices in [*lattice(span), [(" ", 0.0)]]:
+        spelled = [(letters, cost, [symbol(c) for c in letters]) for letters, cost in choices]
         after: dict = {}
-        for (a, b), (score, text) in best.items():
-            for letters, cost in choices:
+        for (a, b), (score, back) in sorted(best.items(), key=lambda kv: kv[0]):
+            for letters, cost, marks in spelled:
                 x, y, s = a, b, score + cost
-                for c in letters:
-                    z = symbol(c)
+                for z in marks:
                     s += float(model[x, y, z])
                     x, y = y, z
-                key, new = (x, y), (s, text + letters)
-                old = after.get(key)
-                if old is None or (-new[0], new[1]) < (-old[0], old[1]):
-                    after[key] = new
-        if len(after) > BEAM:
-            after = dict(sorted(after.items(), key=lambda kv: (-kv[1][0], kv[1][1]))[:BEAM])
+                old = after.get((x, y))
+                if old is None or s > old[0]:
+                    after[x, y] = (s, (back, letters))
         best = after
-    return min(best.values(), key=lambda v: (-v[0], v[1]))[1].strip()
+    _, back = max(best.values(), key=lambda v: v[0])
+    out = []
+    while back is not None:
+        back, letters = back
+        out.append(letters)
+    return "".join(reversed(out)).strip()
 
 
 def disguised(text: str) -> list[tuple[int, int]]:
@@ -200,13 +206,13 @@ class Restorer:
         return "".join([*out, text[at:]]), len(spans)
 
     def decode(self, span: str) -> str:
-        if len(set(span)) <= 2:  # one letter over and over says nothing
+        if len(set(span)) == 1:  # one letter over and over says nothing
             return span
         got = self.cache.get(span)
         if got is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            got = "".join(viterbi(span[i : i + 200], self.model) for i in range(0, len(span), 200))
+            got = viterbi(span, self.model)
             if len(span) <= 60:
                 self.cache[span] = got
         return got
@@ -302,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = sketched.groupBy("h", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y")
     once = docs.select("doc_id", "text").join(F.broadcast(texts), "doc_id")
     toxic = counted(once.filter("y = 1"), None).filter((F.col("n") >= MIN_TOXIC) | (F.col("f") == "\0all"))
-    pos = {r["f"]: r["n"] for r in toxic.orderBy(F.desc("n"), "f").limit(MAX_FEATURES).collect()}
+    pos = {r["f"]: r["n"] for r in toxic.collect()}  # features of LABELLED_ROWS texts at most
     n_pos = pos.pop("\0all", 0)
     if not n_pos:
         return Model(characters)
@@ -324,7 +330,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """One row per input row: id_col, score 0..1, predicted 0/1, restored (number of stretches that were read anew).
 
     Null and empty texts get the score of a text without any feature. Whole texts are read; repeated rows give repeated
-    rows; other columns are ignored. The model is bounded by MAX_FEATURES and K**3.
+    rows; other columns are ignored. The model is bounded by the features of LABELLED_ROWS texts and by K**3.
     """
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -119,6 +119,10 @@ def test_reply_trees(spark, data):
     both = reply_trees.format_paths(reply_trees.choose(paths, 2), jumps, m).withColumn("turns", reply_trees.read_back(F.col("formatted")))
     got = {(r["tree_id"], r["branch"]): [(t["role"], t["text"]) for t in r["turns"]] for r in both.collect()}
     assert got[("t", 1)] == [("user", "hi"), ("assistant", "high \\ <|im_end|>"), ("user", "")] and got[("t", 2)][1] == ("assistant", "low") and got[("u", 1)] == [("", "x")]
+    for r in both.withColumn("said", reply_trees.masked(F.col("segments"))).collect():  # the mask covers the assistants' texts of the path, no more
+        assert r["formatted"] == "".join(x["text"] for x in r["segments"])
+        assert r["said"] == "".join(t["text"] for t in r["turns"] if t["role"] == "assistant")
+        assert all(x["loss"] == (i % 3 == 1 and r["turns"][i // 3]["role"] == "assistant") for i, x in enumerate(r["segments"]))
     chain = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(70)], "conv_id long, turn long, role string, text string")
     lin = reply_trees.linear(chain)
     paths, jumps = reply_trees.branches(lin)
@@ -127,6 +131,19 @@ def test_reply_trees(spark, data):
     assert reply_trees.format_paths(reply_trees.choose(paths), jumps, m.limit(0)).count() == 0
 
 
+def test_reply_trees_ties_and_names(spark, tmp_path):
+    # equal scores: the longer branch, then the smaller leaf; ids that are null or repeat; columns of the code's own names
+    rows = [(1, 1, None, 0.0), (1, 2, 1, 2.0), (1, 3, 1, 1.0), (1, 4, 3, 1.0), (2, 1, None, None), (2, 2, 1, 1.0), (2, 3, 1, 1.0)]
+    m = spark.createDataFrame([(t, i, p, "user", f"{t}.{i}", s) for t, i, p, s in rows], "tree_id long, msg_id long, parent_id long, role string, text string, score double")
+    paths, jumps = reply_trees.branches(m)
+    assert sorted((r["tree_id"], r["leaf_id"]) for r in reply_trees.choose(paths).collect()) == [(1, 4), (2, 2)]
+    assert sorted((r["tree_id"], r["branch"], r["leaf_id"]) for r in reply_trees.choose(paths, 2).collect()) == [(1, 1, 4), (1, 2, 2), (2, 1, 2), (2, 2, 3)]
+    odd = [(1, None, "assistant", "a", 9, 9), (1, None, "assistant", "a", 9, 9), (1, 3, None, None, 9, 9), (2, 0, "assistant", "x" * 100_000, 9, 9)]
+    spark.createDataFrame(odd, "conv_id long, turn long, role string, text string, msg_id int, tree_id int").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r["conv_id"]: r for r in reply_trees.op5_reply_trees(spark, str(tmp_path)).collect()}
+    assert (out[1]["n_turns"], out[1]["loss_chars"], out[2]["loss_chars"], out[-1]["n_turns"]) == (3, 2, 100_000, 2)
+
+
 def test_reply_trees_without_conv_id(spark, tmp_path):
     rows = [(None, 0, "user", "one"), (None, 1, "assistant", "two <|im_end|>"), (None, 1, "assistant", "two <|im_end|>"), (None, 2, None, None), (7, 0, "user", "x"), (7, 1, "assistant", "y")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
@@ -153,6 +170,43 @@ def test_cube_mix(spark, data):
     assert cube_mix.mix(odd).count() == 5 and cube_mix.mix(odd.limit(0)).count() == 0
 
 
+def test_targets_same_as_iterated_reshare(spark):
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 5, 9):
+        sizes = {(None if i == n - 1 and n > 2 else f"s{i}"): int(rng.integers(0, 3) * rng.integers(1, 5000)) for i in range(n)}
+        names = sorted(sizes, key=lambda x: (x is None, x or ""))
+        weight = {k: cube_mix.WEIGHTS[i % 3] for i, k in enumerate(names)}
+        left, full = 1.5 * sum(sizes.values()), {}
+        while True:  # share by weight, stop who is above, deal the rest again
+            open_ = [k for k in names if k not in full]
+            share = {k: left * weight[k] / sum(weight[j] for j in open_) for k in open_}
+            over = [k for k in open_ if share[k] > 2 * sizes[k]]
+            if not over:
+                break
+            for k in over:
+                full[k] = 2.0 * sizes[k]
+                left -= full[k]
+        want = {**share, **full}
+        got = {r["source"]: r["target"] for r in cube_mix.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert all(abs(got[k] - want[k]) < 1e-6 * max(1.0, want[k]) for k in names), (sizes, got, want)
+
+
+def test_taken_near_the_best_choice(spark):
+    rng = np.random.default_rng(12)
+    rows = [(s * 100 + i, " ".join(["w"] * int(rng.integers(1, 40))), f"s{s}") for s in range(4) for i in range(9)] + [(900, " ".join(["w"] * 30_000), "s4"), (901, "w", "s4")]
+    out = cube_mix.mix(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, copies int, target string")).collect()
+    for s in {r["source"] for r in out}:
+        mine = [r for r in out if r["source"] == s]
+        sizes, target = [r["size"] for r in mine], mine[0]["target"]
+        reach = {0}
+        for x in sizes:  # all totals that 0, 1 or 2 copies of each document can give
+            reach |= {t + x for t in reach} | {t + 2 * x for t in reach}
+        taken = sum(r["taken"] for r in mine)
+        assert taken in reach and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in mine)
+        if s != "s4":
+            assert abs(taken - target) <= min(abs(t - target) for t in reach) + max(sizes)
+
+
 ARTICLE = "<article><h1>Head {i}</h1><p>Text &amp; more {i}<p>Second <b>bold</b><div class='ad'>buy</div><ul><li>one<li>two</ul></article>"
 PAGE = "<html><head><title>t</title><script>var t='</p>';</script></head><body><nav><ul><li>menu</ul></nav><div>promo box</div>" + ARTICLE + "<div id=comments>first!</div><footer>f</footer></body></html>"
 

@@ -178,3 +178,69 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, ODD), model).filter("predicted = 1").count() == 0
     empty = toxicity.train(docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs(spark, ODD), empty).count() == len(ODD)
+
+
+def test_viterbi_same_as_all_readings():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 50, toxicity.K**3).astype(float)
+    model = toxicity.log_model(counts)
+
+    def score(reading, costs):
+        a = b = 0
+        total = costs
+        for z in [*map(toxicity.symbol, reading), 0]:
+            total += float(model[a, b, z])
+            a, b = b, z
+        return total
+
+    spans = ["1d10t", "b00b", "a$$", "st*p!d", "i d 1 o t", "looooser", "$$$h1t", "a.b", "x_y-z", "0", "(@f3", "aaa1", "n-0-p", "7r@$#"]
+    spans += ["".join(rng.choice(list("ab13$*@. -"), rng.integers(2, 7))) for _ in range(40)]
+    for span in spans:
+        readings = [("", 0.0)]
+        for choices in toxicity.lattice(span):
+            readings = [(r + x, c + cost) for r, c in readings for x, cost in choices]
+        best = max(score(r, c) for r, c in readings)
+        got = toxicity.viterbi(span, model)
+        assert any(r.strip() == got and abs(score(r, c) - best) < 1e-4 for r, c in readings), span
+    long = "1 d 1 0 t " * 2000
+    assert len(toxicity.viterbi(long, model)) > 2000  # no slices, no prefix
+
+
+def test_toxicity_same_as_counting(spark):
+    """Shares of features against plain counting, and ties: the greatest share decides, whichever feature has it."""
+    rng = np.random.default_rng(13)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(400):
+        words = list(rng.choice(vocabulary, 30))
+        toxic = int(i % 4 == 0)
+        rows.append((i, " ".join(words + (["nastyx", "vilezz"] if toxic else [])), "en", "a"))
+        labels.append((i, toxic))
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(labels + labels[:50] + [(None, 1), (3, None)], "doc_id long, toxic int"))
+    free = {r["doc_id"] for r in docs(spark, rows).filter(toxicity.may_learn()).select("doc_id").collect()}
+    n = {y: sum(1 for i, y2 in labels if i in free and y2 == y) for y in (0, 1)}
+    base = n[1] / (n[0] + n[1])
+    want = (n[1] + toxicity.PRIOR * base) / (n[1] + toxicity.PRIOR)
+    assert abs(model.share["nastyx"] - want) < 1e-12 and model.share["nastyx"] == model.share["vilezz"]
+    out = {r["doc_id"]: r for r in toxicity.score(docs(spark, rows), model).collect()}
+    assert all(out[i]["score"] == (want if y else model.without) and out[i]["predicted"] == y for i, y in labels)
+
+
+def test_codeword_decoding_same_as_brute_force(spark):
+    rng = np.random.default_rng(14)
+    names = [f"l{i:03d}" for i in range(70)]
+    alphabets = {k: rng.choice([chr(0x4E00 + 40 * i + j) for j in range(40)], 12) for i, k in enumerate(names)}
+    rows = [(i, "".join(rng.choice(alphabets[names[i % 70]], 40)), names[i % 70], None) for i in range(280)]
+    model = language_codes.train(docs(spark, rows))
+    assert model.languages == names and model.codes.shape[0] == 70  # more than any fixed number of languages
+    hits = 0
+    for _, text, lang, _ in rows[:140]:
+        m = model.margins(text)
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-8.0 * (1 if code[b] else -1) * m[b])) for b in range(len(m))) for code in model.codes]
+        got, score, ambiguous = model.decode(text)
+        assert got == names[int(np.argmin(loss))] and ambiguous == (sorted(loss)[1] - min(loss) < language_codes.AMBIGUOUS)
+        assert abs(score - 1 / sum(np.exp(-4.0 * (x - min(loss))) for x in loss)) < 1e-9
+        hits += got == lang
+    assert hits >= 130
+    for n in (1, 2, 6, 65, 300):
+        assert len(np.unique(language_codes.codewords(n), axis=0)) == n
