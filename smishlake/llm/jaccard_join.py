@@ -36,8 +36,8 @@ SLACK = 1.1
 FAMILY_SHARE = 1 / 3
 #: Sizes of linked texts differ by a factor of 1.25 at most, so by one band of this factor at most.
 BAND = 1.26
-#: Tokens in a block of a family, and distinct tokens in a stretch of a matrix product.
-BLOCK_TOKENS, STRETCH = 1 << 17, 8192
+#: Tokens and texts in a block of a family at most, and distinct tokens in a stretch of a matrix product.
+BLOCK_TOKENS, BLOCK_TEXTS, STRETCH = 1 << 17, 1024, 8192
 #: Texts of an index entry that meet in one task; more are dealt into blocks. Pairs that a task looks at at once.
 ENTRY, CHUNK = 4096, 1 << 18
 #: Hash classes of frequent tokens by set size; a set near a border is indexed on both sides of it.
@@ -207,12 +207,12 @@ def dealt(rows: DataFrame, blocks: Column) -> DataFrame:
 def verify_families(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links a, b that connect what links inside each family; members(fam, id, n).
 
-    A family is dealt into blocks of about BLOCK_TOKENS tokens and every two blocks meet in one task, so a family of any
-    size is compared without writing its pairs out.
+    A family is dealt into blocks of about BLOCK_TOKENS tokens or BLOCK_TEXTS texts and every two blocks meet in one task,
+    so a family of any size is compared without writing its pairs out.
     """
     members = store(members.groupBy("fam", "id").agg(F.max("n").alias("n")), "jaccard-members")
     sizes = members.groupBy("fam").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens")).filter("m > 1")
-    sizes = store(sizes.select("fam", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("deal")), "jaccard-sizes")
+    sizes = store(sizes.select("fam", F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.col("m") / BLOCK_TEXTS)).cast("int").alias("deal")), "jaccard-sizes")
     placed = dealt(members.select("fam", "id").join(sized(sizes), "fam"), F.col("deal")).drop("deal")
     ids = store(members.select("id").distinct(), "jaccard-ids")
     sets = sets_of(docs, ids, id_col, text_col)
