@@ -16,23 +16,21 @@ def organisations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, T.StructType.fromDDL("ord int, org_id string, name string, aliases array<string>, domains array<string>, sender_headers array<string>, category string, support_url string"))
 
 
-def find_by_alias(df: DataFrame, orgs: DataFrame, text_col: str) -> DataFrame:
-    """Adds org_id of the first organisation of which an alias is contained in a text; null if none. orgs is small."""
-    hit = F.exists("aliases", lambda a: F.contains(F.lower(F.col(text_col)), F.lower(a)))
-    return _first(df, orgs, hit)
+def find_by_alias(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds org_id of the first organisation of which an alias is contained in a text (null if none), and n_orgs."""
+    return _first(df, [_any(F.lower(F.col(text_col)), [a.lower() for a in o[2]]) for o in C.ORGANISATIONS])
 
 
-def find_by_domain(df: DataFrame, orgs: DataFrame, host_col: str) -> DataFrame:
-    """Adds org_id of the first organisation that owns a host or a parent of it."""
-    hit = F.exists("domains", lambda d: (F.col(host_col) == d) | F.endswith(F.col(host_col), F.concat(F.lit("."), d)))
-    return _first(df, orgs, hit)
+def find_by_domain(df: DataFrame, host_col: str) -> DataFrame:
+    """Adds org_id of the first organisation that owns a host or a parent of it, and n_orgs."""
+    host = F.col(host_col)
+    return _first(df, [F.exists(text_literals(o[3]), lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d))) for o in C.ORGANISATIONS])
 
 
-def _first(df: DataFrame, orgs: DataFrame, hit: Column) -> DataFrame:
-    """A theta join to the broadcast registry, least ord per row; rows keep their number."""
-    keyed = df.withColumn("_row", F.struct(*df.columns))
-    best = keyed.join(F.broadcast(orgs), hit, "left").groupBy("_row").agg(F.min_by("org_id", "ord").alias("org_id"), F.count_distinct("ord").alias("n_orgs"))
-    return best.select("_row.*", "org_id", "n_orgs")
+def _first(df: DataFrame, hits: list[Column]) -> DataFrame:
+    """A projection: the registry is a handful of literals, in order of precedence. Every row stays, repeated ones too."""
+    df = df.withColumn("_orgs", F.array_compact(F.array(*(F.when(h, F.lit(o[0])) for h, o in zip(hits, C.ORGANISATIONS, strict=True)))))
+    return df.withColumn("org_id", F.get("_orgs", F.lit(0))).withColumn("n_orgs", F.size("_orgs")).drop("_orgs")
 
 
 def _org_literal(i: int) -> Column:

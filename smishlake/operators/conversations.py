@@ -69,6 +69,13 @@ def staged(conversations: DataFrame) -> DataFrame:
     return df.withColumn("idx", F.row_number().over(Window.partitionBy("conv_id").orderBy("pos")) - 1)
 
 
+def single_messages(messages: DataFrame) -> DataFrame:
+    """Stages of messages(msg_id, raw_text) that belong to no conversation: each is one of its own. A projection."""
+    one = messages.select(F.col("msg_id").alias("conv_id"), html_escape(F.coalesce("raw_text", F.lit(""))).alias("text"))
+    staged_ = assign_stages(one).drop("text")
+    return staged_.withColumn("idx", F.lit(0)).withColumn("n_repeats", F.lit(0).cast("long")).withColumn("time_reversed", F.lit(False))
+
+
 def transitions(stages: DataFrame, graph: DataFrame) -> DataFrame:
     """Changes of stage between neighbours, unknown ones left out; an edge of the graph adds to the confidence."""
     w = Window.partitionBy("conv_id").orderBy("idx")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import logging
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from smishlake.functions import constants as C
 from smishlake.functions.columns import barrier, url_part, with_scheme, words
+from smishlake.sources.tables import sized
 
 COLUMNS = ["msg_id", "type", "value", "pos", "confidence", "ssrf_risk", "is_internal", "is_idn", "host"]
 
@@ -89,65 +91,85 @@ def domain_confidence(host: Column) -> Column:
     return F.when(host.isin(*C.SHORTENERS), 0.97).when(F.element_at(F.split(host, r"\."), -1).isin(*C.RISKY_TLDS) & host.contains("."), 0.92).otherwise(0.88)
 
 
-def _found(df: DataFrame, kind: str, values: Column) -> DataFrame:
-    """One row per distinct value of a message, in the order of first occurrence."""
-    return df.select("msg_id", F.lit(kind).alias("type"), F.posexplode(F.array_distinct(values)).alias("pos", "value"))
+def _values(kind: str, values: Column, confidence: float, host: bool = False) -> Column:
+    """Structs of the distinct values of a message, in the order of first occurrence."""
+    item = lambda v, i: F.struct(F.lit(kind).alias("type"), v.alias("value"), i.alias("pos"), F.lit(confidence).alias("confidence"), (v if host else F.lit(None).cast("string")).alias("host"), F.lit(False).alias("first"))
+    return F.transform(F.array_distinct(values), item)
 
 
-def urls(messages: DataFrame) -> DataFrame:
-    """URLs of each message; address literals are left to ip_addresses."""
-    found = _found(messages, "url", F.transform(F.regexp_extract_all("raw_text", F.lit(f"(?i){C.URL}"), F.lit(0)), strip_punctuation))
-    found = found.withColumn("host", host_of(F.col("value"))).filter((F.col("host") != "") & ~F.col("host").startswith("[") & ~F.col("host").rlike(rf"^{C.IPV4}$"))
-    return _judged(found.withColumn("confidence", domain_confidence(F.col("host"))).withColumn("is_idn", F.col("host").contains("xn--") | F.col("host").rlike(r"[^\x00-\x7F]")), "value")
+def _all(pattern: str, group: int = 0) -> Column:
+    return F.coalesce(F.regexp_extract_all("raw_text", F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
 
 
-def domains(messages: DataFrame) -> DataFrame:
-    """Distinct hosts of the URLs; flags are those of the first URL of a host."""
-    first = F.min_by(F.struct("pos", "confidence", "ssrf_risk", "is_internal", "is_idn"), "pos")
-    found = urls(messages).groupBy("msg_id", "host").agg(first.alias("f"))
-    return found.select("msg_id", F.lit("domain").alias("type"), F.col("host").alias("value"), "f.pos", "f.confidence", "f.ssrf_risk", "f.is_internal", "f.is_idn", "host")
+def _urls() -> Column:
+    """URLs with their hosts; address literals are left to the addresses. first marks the first URL of a host."""
+    found = F.array_distinct(F.transform(_all(f"(?i){C.URL}"), strip_punctuation))
+    placed = F.transform(found, lambda v, i: F.struct(v.alias("value"), i.alias("pos"), host_of(v).alias("host")))
+    return F.filter(placed, lambda u: (u["host"] != "") & ~u["host"].startswith("[") & ~u["host"].rlike(rf"^{C.IPV4}$"))
 
 
-def _judged(df: DataFrame, url_col: str) -> DataFrame:
-    df = risk_class(df, url_col)
-    return df.withColumn("is_internal", F.col("ssrf_risk") != "safe").select(*COLUMNS)
+#: How the values of each type are found in raw_text, but for URLs and domains.
+FINDERS = {
+    "ip": lambda: F.concat(_values("ip", _all(words(C.IPV4)), 0.90, True), _values("ip", F.transform(_all(C.IPV6, 1), lambda x: F.concat(F.lit("["), x, F.lit("]"))), 0.90, True)),
+    "phone": lambda: _values("phone", F.transform(_all(rf"(?<![0-9]){C.PHONE}(?![0-9])", 1), lambda n: F.concat(F.lit("+91"), n)), 0.93),
+    "email": lambda: _values("email", F.transform(_all(words(C.EMAIL)), F.lower), 0.95),
+    "upi_id": lambda: _values("upi_id", F.transform(_all(f"(?i){words(C.UPI)}"), F.lower), 0.97),
+    "sender_id": lambda: _values("sender_id", F.transform(_all(f"(?i){words(C.SENDER)}"), F.upper), 0.89),
+}
+KINDS = ("url", "domain", *FINDERS)
 
 
-def ip_addresses(messages: DataFrame) -> DataFrame:
-    v4 = _found(messages, "ip", F.regexp_extract_all("raw_text", F.lit(words(C.IPV4)), F.lit(0)))
-    v6 = _found(messages, "ip", F.transform(F.regexp_extract_all("raw_text", F.lit(C.IPV6), F.lit(1)), lambda x: F.concat(F.lit("["), x, F.lit("]"))))
-    both = v4.unionByName(v6)
-    return _judged(both.withColumn("confidence", F.lit(0.90)).withColumn("is_idn", F.lit(False)).withColumn("host", F.col("value")), "value")
+def extract_indicators(messages: DataFrame, kinds=KINDS) -> DataFrame:
+    """All indicators of all messages(msg_id, raw_text), one row each. Whole texts are searched; a null text has none.
+
+    One scan and one explode: each message's values are gathered in an array, and a URL row that is the first of its host
+    in the message also gives the domain row, with its flags. Nothing is shuffled.
+    """
+    df = messages.select("msg_id", "raw_text")
+    arrays = [FINDERS[k]() for k in kinds if k in FINDERS]
+    if "url" in kinds or "domain" in kinds:
+        df = df.withColumn("_urls", _urls()).withColumn("_hosts", F.transform("_urls", lambda u: u["host"]))
+        arrays.append(F.transform("_urls", lambda u, i: F.struct(F.lit("url").alias("type"), u["value"].alias("value"), u["pos"].alias("pos"), domain_confidence(u["host"]).alias("confidence"), u["host"].alias("host"), (F.array_position("_hosts", u["host"]) == i + 1).alias("first"))))
+    rows = df.select("msg_id", F.inline(F.concat(*arrays)))
+    located = F.col("type").isin("url", "ip")
+    rows = risk_class(rows.withColumn("_url", F.when(located, F.col("value"))), "_url").withColumn("ssrf_risk", F.when(located, F.col("ssrf_risk")).otherwise("safe"))
+    is_idn = (F.col("type") == "url") & (F.col("host").contains("xn--") | F.col("host").rlike(r"[^\x00-\x7F]"))
+    rows = rows.withColumn("is_internal", F.col("ssrf_risk") != "safe").withColumn("is_idn", is_idn)
+    given = [F.lit(k) for k in ("url", "domain") if k in kinds]
+    if not given:
+        return rows.select(*COLUMNS)
+    as_domain = F.array(*given) if "domain" in kinds else F.array("type")
+    rows = rows.withColumn("kind", F.explode(F.when(F.col("first"), as_domain).when(F.col("type") == "url", F.array(*given[: "url" in kinds])).otherwise(F.array("type"))))
+    return rows.withColumn("value", F.when(F.col("kind") == "domain", F.col("host")).otherwise(F.col("value"))).withColumn("type", F.col("kind")).select(*COLUMNS)
+
+
+def urls(messages: DataFrame) -> DataFrame:
+    return extract_indicators(messages, ("url",))
+
 
+def domains(messages: DataFrame) -> DataFrame:
+    """Distinct hosts of the URLs; flags are those of the first URL of a host."""
+    return extract_indicators(messages, ("domain",))
 
-def _plain(df: DataFrame, confidence: float) -> DataFrame:
-    df = df.withColumn("confidence", F.lit(confidence)).withColumn("ssrf_risk", F.lit("safe")).withColumn("is_internal", F.lit(False)).withColumn("is_idn", F.lit(False))
-    return df.withColumn("host", F.lit(None).cast("string")).select(*COLUMNS)
+
+def ip_addresses(messages: DataFrame) -> DataFrame:
+    return extract_indicators(messages, ("ip",))
 
 
 def phones(messages: DataFrame) -> DataFrame:
-    numbers = F.regexp_extract_all("raw_text", F.lit(rf"(?<![0-9]){C.PHONE}(?![0-9])"), F.lit(1))
-    return _plain(_found(messages, "phone", F.transform(numbers, lambda n: F.concat(F.lit("+91"), n))), 0.93)
+    return extract_indicators(messages, ("phone",))
 
 
 def emails(messages: DataFrame) -> DataFrame:
-    return _plain(_found(messages, "email", F.transform(F.regexp_extract_all("raw_text", F.lit(words(C.EMAIL)), F.lit(0)), F.lower)), 0.95)
+    return extract_indicators(messages, ("email",))
 
 
 def payment_ids(messages: DataFrame) -> DataFrame:
-    return _plain(_found(messages, "upi_id", F.transform(F.regexp_extract_all("raw_text", F.lit(f"(?i){words(C.UPI)}"), F.lit(0)), F.lower)), 0.97)
+    return extract_indicators(messages, ("upi_id",))
 
 
 def sender_ids(messages: DataFrame) -> DataFrame:
-    return _plain(_found(messages, "sender_id", F.transform(F.regexp_extract_all("raw_text", F.lit(f"(?i){words(C.SENDER)}"), F.lit(0)), F.upper)), 0.89)
-
-
-def extract_indicators(messages: DataFrame) -> DataFrame:
-    """All indicators of all messages(msg_id, raw_text), one row each. Whole texts are searched; a null text has none."""
-    out = urls(messages)
-    for part in (domains, ip_addresses, phones, emails, payment_ids, sender_ids):
-        out = out.unionByName(part(messages))
-    return out
+    return extract_indicators(messages, ("sender_id",))
 
 
 def threat_report(indicators: DataFrame) -> DataFrame:
@@ -165,26 +187,43 @@ def blocklist(spark) -> DataFrame:
 
 
 def enrich(indicators: DataFrame, lists: DataFrame, provider: str = "local") -> DataFrame:
-    """Verdicts on listed indicators: equi-joins on value and host, a prefix join for URLs. lists is a small dimension."""
-    lists = F.broadcast(lists)
+    """msg_id, type, value, provider, threat_category, reputation_score: verdicts of a block-list on listed indicators.
+
+    lists(kind, listed, threat_category, reputation_score) may be of any size: each indicator offers the keys by which it
+    may be listed (its value; for a URL its host, and its beginnings of the lengths that the list has), and one equi-join
+    meets them. Of several verdicts on an indicator the worst reputation stays, then the first category.
+    """
+    lengths = sorted(r["n"] for r in lists.filter("kind = 'url_prefix'").select(F.length("listed").alias("n")).distinct().collect())
     value = F.lower("value")
-    exact = indicators.join(lists, (F.col("kind") == F.col("type")) & (F.col("listed") == value))
-    host = indicators.filter("type = 'url'").join(lists.filter("kind = 'url_host'"), F.col("listed") == F.lower("host"))
-    prefix = indicators.filter("type = 'url'").join(lists.filter("kind = 'url_prefix'"), value.startswith(F.col("listed")))
-    cols = ["msg_id", "type", "value", F.lit(provider).alias("provider"), "threat_category", "reputation_score"]
-    return exact.select(*cols).unionByName(host.select(*cols)).unionByName(prefix.select(*cols)).dropDuplicates(["msg_id", "type", "value"])
+    key = lambda kind, listed: F.struct(kind.alias("kind"), listed.alias("listed"))
+    of_url = F.array(key(F.lit("url_host"), F.lower("host")), *(key(F.lit("url_prefix"), F.when(F.length("value") >= n, F.substring(value, 1, n))) for n in lengths))
+    keys = F.concat(F.array(key(F.col("type"), value)), F.when(F.col("type") == "url", of_url).otherwise(F.slice(of_url, 1, 0)))
+    offered = indicators.select("msg_id", "type", "value", F.explode(keys).alias("k")).select("msg_id", "type", "value", "k.kind", "k.listed")
+    hits = offered.join(sized(lists, row_bytes=256), ["kind", "listed"])
+    best = hits.groupBy("msg_id", "type", "value").agg(F.min(F.struct("reputation_score", "threat_category")).alias("v"))
+    return best.select("msg_id", "type", "value", F.lit(provider).alias("provider"), "v.threat_category", "v.reputation_score")
 
 
-def enrich_all(indicators: DataFrame, providers: dict[str, DataFrame]) -> DataFrame:
-    """Verdicts of several block-lists, one after the other."""
+def enrich_all(indicators: DataFrame, providers: dict) -> DataFrame:
+    """Verdicts of several providers, each a block-list or a function that gives one; a provider that fails is skipped."""
     out = None
-    for name, lists in providers.items():
-        part = enrich(indicators, lists, name)
+    for name, provider in providers.items():
+        try:
+            part = enrich(indicators, provider() if callable(provider) else provider, name)
+        except Exception as e:  # whatever a provider raises, the others still answer
+            logging.getLogger(__name__).warning("provider %s is skipped: %s", name, e)
+            continue
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return indicators.sparkSession.createDataFrame([], T.StructType([indicators.schema["msg_id"], *T.StructType.fromDDL("type string, value string, provider string, threat_category string, reputation_score double")]))
     return out
 
 
-def roll_up(indicators: DataFrame) -> DataFrame:
-    """type, value -> number of messages, best confidence and its address class."""
-    return indicators.groupBy("type", "value").agg(
+def roll_up(indicators: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """type, value -> number of rows and messages, best confidence and its address class, and how many verdicts there are."""
+    out = indicators.groupBy("type", "value").agg(
         F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.max_by("ssrf_risk", F.struct("confidence", "ssrf_risk")).alias("ssrf_risk"), F.count_distinct("msg_id").alias("n_messages"))
+    if verdicts is None:
+        return out.withColumn("enrichment_count", F.lit(0).cast("long"))
+    judged = verdicts.select("type", "value", "provider", "threat_category", "reputation_score").distinct().groupBy("type", "value").agg(F.count(F.lit(1)).alias("enrichment_count"))
+    return out.join(judged.hint("merge"), ["type", "value"], "left").fillna(0, ["enrichment_count"])

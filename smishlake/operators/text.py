@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from smishlake.functions import constants as C
-from smishlake.functions.columns import barrier, mapped, text_literals
+from smishlake.functions.columns import barrier, text_literals
 
 LETTER = r"a-zA-Zऀ-ॿ"
 #: Characters outside this class may change under NFKC; only texts that hold one go to Python.
 NFKC_STABLE = r"\x00-\x9F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ɏऀ-ॗॠ-ॿ"
-TITLE = r"^\P{L}*\p{Lu}\p{Ll}*(?:\P{L}+\p{Lu}\p{Ll}*)*\P{L}*$"
 ENTRY = "array<struct<type:string,original:string,transformed:string>>"
 
 
@@ -33,40 +32,93 @@ def _whole(kind: str, before: str, after: str) -> Column:
     return F.when(F.col(before) != F.col(after), F.array(_entry(kind, F.substring(before, 1, 80), F.substring(after, 1, 80)))).otherwise(F.array().cast(ENTRY))
 
 
-def _recased(word: Column, new: Column) -> Column:
-    upper = (F.upper(word) == word) & (F.lower(word) != word)
-    return F.when(upper, F.upper(new)).when(word.rlike(TITLE), F.initcap(new)).otherwise(new)
+_STAND_INS = frozenset(C.LEET_FROM)
+_LEET = str.maketrans(C.LEET_FROM, C.LEET_TO)
+_ALNUM = str.maketrans("", "", "".join(chr(c) for c in range(128) if not ("a" <= chr(c) <= "z" or "0" <= chr(c) <= "9")))
 
 
-def _leet(w: Column) -> Column:
-    return F.when(w.rlike(r"\p{L}") & w.rlike(r"[0-9@$!|+€£]"), F.translate(w, C.LEET_FROM, C.LEET_TO)).otherwise(w)
+def _titled(word: str) -> bool:
+    """Every run of letters is one capital and then small letters, and there is a run."""
+    inside, any_ = False, False
+    for c in word:
+        kind = unicodedata.category(c)
+        if kind[0] != "L":
+            inside = False
+        elif kind != ("Ll" if inside else "Lu"):
+            return False
+        else:
+            inside = any_ = True
+    return any_
 
 
-def _leet_hit(w: Column) -> Column:
-    return w.rlike(r"\p{L}") & w.rlike(r"[0-9@$!|+€£]")
+def _recased(word: str, new: str) -> str:
+    if word.upper() == word and word.lower() != word:
+        return new.upper()
+    return " ".join(x[:1].upper() + x[1:].lower() for x in new.split(" ")) if _titled(word) else new
 
 
-def _vowel_key(w: Column) -> Column:
-    return F.regexp_replace(F.lower(w), "[^a-z0-9]", "")
+def _leet(w: str) -> str | None:
+    return w.translate(_LEET) if not _STAND_INS.isdisjoint(w) and any(map(str.isalpha, w)) else None
 
 
-def _trim_key(w: Column) -> Column:
-    return F.btrim(F.lower(w), F.lit(".,!?;:"))
+def _vowels(w: str) -> str | None:
+    key = "".join(c for c in w.lower().translate(_ALNUM) if c < "\x80")
+    return _recased(w, C.VOWEL_DELETED[key]) if key in C.VOWEL_DELETED else None
 
 
-def _word_pass(df: DataFrame, kind: str, before: str, after: str, hit, change) -> DataFrame:
-    """A pass word by word: the new text, and one log entry for each word that is hit."""
-    parts = F.split(F.col(before), " ", -1)
-    df = df.withColumn("_w", parts)
-    log = F.transform(F.filter("_w", hit), lambda w: _entry(kind, w, change(w)))
-    return df.withColumn(after, F.array_join(F.transform("_w", change), " ")).withColumn("_log", F.concat("_log", log)).drop("_w")
+def _typo(w: str) -> str | None:
+    return C.KEYBOARD_TYPOS.get(w.lower().strip(".,!?;:"))
+
+
+def _abbreviation(w: str) -> str | None:
+    key = w.lower().strip(".,!?;:")
+    return _recased(w, C.ABBREVIATIONS[key]) if key in C.ABBREVIATIONS else None
+
+
+#: The passes word by word, in their order: what a word becomes, or None where it stays.
+WORD_PASSES = (("LEET", _leet), ("VOWELS_DROPPED", _vowels), ("KEYBOARD_TYPO", _typo), ("ABBREVIATION", _abbreviation))
+
+
+def restore_word(word: str) -> tuple[str, tuple]:
+    """A word after all passes, and for each pass the (before, after) of the words that it hit."""
+    parts, hits = [word], []
+    for _, change in WORD_PASSES:
+        new = [(w, change(w)) for w in parts]
+        hits.append([(w, x) for w, x in new if x is not None])
+        parts = " ".join(w if x is None else x for w, x in new).split(" ")
+    return " ".join(parts), tuple(hits) if any(hits) else ()
+
+
+#: Built without a session: workers import this module.
+WORD_LOG = T.StructType([T.StructField("text", T.StringType()), T.StructField("log", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("type", "original", "transformed")])))])
+
+
+@F.pandas_udf(WORD_LOG)
+def restore_words(texts: pd.Series) -> pd.DataFrame:
+    """The word passes over whole texts; every distinct word of a batch is worked out once."""
+    known: dict[str, tuple] = {}
+    out, logs = [], []
+    for text in texts:
+        words = text.split(" ")
+        found = []
+        for i, w in enumerate(words):
+            got = known.get(w)
+            if got is None:
+                got = known[w] = restore_word(w)
+            if got[1]:
+                words[i] = got[0]
+                found.append(got[1])
+        out.append(" ".join(words))
+        logs.append([{"type": kind, "original": a, "transformed": b} for k, (kind, _) in enumerate(WORD_PASSES) for hits in found for a, b in hits[k]])
+    return pd.DataFrame({"text": out, "log": logs})
 
 
 def normalize(df: DataFrame, text_col: str = "raw_text", max_chars: int | None = None) -> DataFrame:
     """Adds normalized_text, transformations (log), n_transformations, text_confidence, language and scripts.
 
-    One chain of projections, no shuffle; Python sees only texts that NFKC can change. max_chars cuts the text first, as
-    a service with a message limit would. A null text counts as empty.
+    One chain of projections, no shuffle. Python sees texts that NFKC can change, and each text once for the word passes
+    (Arrow batches, distinct words worked out once). max_chars cuts the text first, as a service with a message limit
+    would. A null text counts as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.withColumn("_t0", F.substring(text, 1, max_chars) if max_chars else text)
@@ -82,13 +134,11 @@ def normalize(df: DataFrame, text_col: str = "raw_text", max_chars: int | None =
     df = df.withColumn("_log", F.concat(
         _whole("ZERO_WIDTH", "_t0", "_t1"), _whole("CONFUSABLE", "_t1", "_t2"), _whole("PUNCTUATION", "_t2", "_t3"), _whole("DOMAIN_BRACKETS", "_t3", "_t4"),
         F.transform(repeats, lambda r: _entry("REPEATED", r, F.substring(r, 1, 1))), _whole("OCR_DIGIT", "_t5", "_t6")))
-    df = _word_pass(df, "LEET", "_t6", "_t7", _leet_hit, _leet)
-    df = _word_pass(df, "VOWELS_DROPPED", "_t7", "_t8", lambda w: _vowel_key(w).isin(*C.VOWEL_DELETED), lambda w: F.when(_vowel_key(w).isin(*C.VOWEL_DELETED), _recased(w, mapped(_vowel_key(w), C.VOWEL_DELETED, w))).otherwise(w))
-    df = _word_pass(df, "KEYBOARD_TYPO", "_t8", "_t9", lambda w: _trim_key(w).isin(*C.KEYBOARD_TYPOS), lambda w: mapped(_trim_key(w), C.KEYBOARD_TYPOS, w))
-    df = _word_pass(df, "ABBREVIATION", "_t9", "_t10", lambda w: _trim_key(w).isin(*C.ABBREVIATIONS), lambda w: F.when(_trim_key(w).isin(*C.ABBREVIATIONS), _recased(w, mapped(_trim_key(w), C.ABBREVIATIONS, w))).otherwise(w))
+    df = df.withColumn("_w", restore_words("_t6"))
+    df = df.withColumn("_t10", F.col("_w.text")).withColumn("_log", F.concat("_log", "_w.log")).drop("_w")
     df = df.withColumn("normalized_text", F.trim(F.regexp_replace("_t10", r"(?U)\s+", " ")))
     df = df.withColumn("transformations", F.concat("_log", _whole("WHITE_SPACE", "_t10", "normalized_text")))
-    df = df.withColumn("n_transformations", F.size("transformations")).drop("_log", *(f"_t{i}" for i in range(11)))
+    df = df.withColumn("n_transformations", F.size("transformations")).drop("_log", *(f"_t{i}" for i in (*range(7), 10)))
     df = df.withColumn("text_confidence", F.greatest(F.lit(0.1), 1 - 0.03 * F.col("n_transformations")))
     return detect_language(barrier(df))
 

@@ -40,6 +40,10 @@ URLS = f"""pu AS (SELECT page_id * 2 AS url_id, url FROM pages UNION ALL SELECT
 CONVERSATIONS = f"""cm AS (SELECT conv_id, turn, {strings(R.PHRASES)}[((conv_id * 7 + turn) % {len(R.PHRASES)} + 1)::INT] || ' ' || coalesce(text, '') AS text FROM conversations)"""
 
 
+#: Types of log entries, in the order of the passes.
+LOG_TYPES = ("ZERO_WIDTH", "CONFUSABLE", "PUNCTUATION", "DOMAIN_BRACKETS", "REPEATED", "OCR_DIGIT", "LEET", "VOWELS_DROPPED", "KEYBOARD_TYPO", "ABBREVIATION", "WHITE_SPACE")
+
+
 # ---- normalisation -----------------------------------------------------------------------------------------------------
 def _words(c: str, change: str) -> str:
     return f"array_to_string(list_transform(string_split({c}, ' '), lambda w: {change}), ' ')"
@@ -78,10 +82,11 @@ a8 AS (SELECT *, {_words("t7", f"CASE WHEN {vowel} IN {listed(C.VOWEL_DELETED)}
 a9 AS (SELECT *, {_words("t8", f"CASE WHEN {trim} IN {listed(C.KEYBOARD_TYPOS)} THEN {kmap}[{trim}] ELSE w END")} AS t9 FROM a8),
 a10 AS (SELECT *, {_words("t9", f"CASE WHEN {trim} IN {listed(C.ABBREVIATIONS)} THEN {_recased(f'({amap}[{trim}])')} ELSE w END")} AS t10 FROM a9),
 a11 AS (SELECT *, trim(regexp_replace(t10, '[\\s\\v\\p{{Z}}]+', ' ', 'g')) AS norm FROM a10),
-n AS (SELECT {keys}, norm, (t0c + ({repeats}) + (t5 <> t6)::INT + {_hits("t6", leet)} + {_hits("t7", f"{vowel} IN {listed(C.VOWEL_DELETED)}")} + {_hits("t8", f"{trim} IN {listed(C.KEYBOARD_TYPOS)}")} + {_hits("t9", f"{trim} IN {listed(C.ABBREVIATIONS)}")} + (t10 <> norm)::INT)::BIGINT AS changes,
+n0 AS (SELECT *, [(raw_text <> t1)::INT, (t1 <> t2)::INT, (t2 <> t3)::INT, (t3 <> t4)::INT, {repeats}, (t5 <> t6)::INT, {_hits("t6", leet)}, {_hits("t7", f"{vowel} IN {listed(C.VOWEL_DELETED)}")}, {_hits("t8", f"{trim} IN {listed(C.KEYBOARD_TYPOS)}")}, {_hits("t9", f"{trim} IN {listed(C.ABBREVIATIONS)}")}, (t10 <> norm)::INT]::BIGINT[] AS logged FROM a11),
+n AS (SELECT {keys}, norm, logged, list_sum(logged)::BIGINT AS changes,
   regexp_matches(norm, '[ऀ-ॿ]') AS deva, regexp_matches(norm, '[a-zA-Z]') AS latin,
   CASE WHEN regexp_matches(norm, '[ऀ-ॿ]') THEN 'hi' WHEN regexp_matches(norm, '[a-zA-Z]') AND len(list_filter(string_split(lower(norm), ' '), lambda w: w IN {markers})) > 0 THEN 'hinglish' WHEN regexp_matches(norm, '[a-zA-Z]') THEN 'en' ELSE 'unknown' END AS language
-  FROM (SELECT *, (raw_text <> t1)::INT + (t1 <> t2)::INT + (t2 <> t3)::INT + (t3 <> t4)::INT AS t0c FROM a11))"""
+  FROM n0)"""
 
 
 def scored() -> str:
@@ -145,6 +150,9 @@ i AS (SELECT msg_id, type, value, confidence, ssrf_risk, ssrf_risk <> 'safe' AS
   UNION ALL SELECT msg_id, type, value, 0.90, {risk("value", "'http'", "value")}, {risk("value", "'http'", "value")} <> 'safe', false, value FROM ip
   UNION ALL SELECT msg_id, type, value, CASE type WHEN 'phone' THEN 0.93 WHEN 'email' THEN 0.95 WHEN 'upi_id' THEN 0.97 ELSE 0.89 END, 'safe', false, false, NULL FROM (SELECT * FROM ph UNION ALL SELECT * FROM em UNION ALL SELECT * FROM up UNION ALL SELECT * FROM se))"""
 WITH_I = f"WITH {MESSAGES}, {INDICATORS}"
+VERDICTS = f"""vl AS (SELECT msg_id, type, value, CASE type WHEN 'url' THEN 'phishing_url' WHEN 'domain' THEN 'phishing_domain' ELSE 'fraudulent_upi' END AS threat_category, CASE type WHEN 'url' THEN 0.02 WHEN 'domain' THEN 0.05 ELSE 0.01 END::DOUBLE AS reputation_score FROM i
+  WHERE (type = 'url' AND (host IN {listed(C.BLOCKED_DOMAINS)} OR {" OR ".join(f"starts_with(lower(value), {q(p)})" for p in C.BLOCKED_PREFIXES)})) OR (type = 'domain' AND value IN {listed(C.BLOCKED_DOMAINS)}) OR (type = 'upi_id' AND value IN {listed(C.BLOCKED_UPI)})),
+vd AS (SELECT msg_id, type, value, 'local' AS provider, threat_category, reputation_score FROM vl UNION ALL SELECT msg_id, type, value, 'payments', threat_category, 0.03::DOUBLE FROM vl WHERE type = 'upi_id')"""
 
 # ---- URL findings --------------------------------------------------------------------------------------------------------
 _F = lambda when, fid, sev, conf, detail="''": f"CASE WHEN {when} THEN {{'finding_id': {q(fid)}, 'severity': {q(sev)}, 'confidence': {conf}::DOUBLE, 'detail': {detail}}} END"
@@ -216,8 +224,7 @@ _n = lambda latin, deva="": f"(len(regexp_extract_all({plain('lower(text)')}, {q
 _sc = ", ".join(f"least(1.0, 0.35 * {_n(a, b)})::DOUBLE AS s_{n}" for n, a, b in C.STAGES)
 _state = "CASE " + " ".join(f"WHEN s_{n} = top THEN {q(n)}" for n, _, _ in C.STAGES) + " END"
 _sig = ", ".join(f"CASE WHEN s_{n} > 0.10 THEN {q('signal_' + n.lower())} END" for n, _, _ in C.STAGES)
-STAGED = f"""{CONVERSATIONS},
-c1 AS (SELECT conv_id, turn, {_esc("text")} AS text FROM cm),
+_STAGES = f"""c1 AS (SELECT conv_id, turn, {_esc("text")} AS text FROM cm),
 c2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS rep FROM c1),
 c3 AS (SELECT *, count(*) FILTER (rep > 1) OVER (PARTITION BY conv_id) AS n_repeats FROM c2),
 c4 AS (SELECT *, {_sc}, least(1.0, 0.35 * {_n(C.BENIGN)})::DOUBLE AS benign FROM c3 WHERE rep = 1),
@@ -225,6 +232,7 @@ c5 AS (SELECT *, greatest({", ".join(f"s_{n}" for n, _, _ in C.STAGES)}) AS top
 st AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, CASE WHEN top > 0.15 THEN {_state} ELSE 'UNKNOWN' END AS state,
   round_even(round(least(1, greatest(0, CASE WHEN top > 0.15 THEN top ELSE 0.15::DOUBLE END * (1 - 0.35::DOUBLE * benign))), 9), 3) AS state_confidence,
   array_to_string(list_filter([{_sig}, CASE WHEN benign > 0.2 THEN 'signal_benign_context' END], lambda x: x IS NOT NULL), ',') AS signals FROM c5)"""
+STAGED = f"{CONVERSATIONS}, {_STAGES}"
 _graph = ", ".join(f"({q(a)}, {q(b)})" for a, b in C.STAGE_GRAPH)
 MOVES = f"""g(from_state, to_state) AS (VALUES {_graph}),
 mv AS (SELECT conv_id, idx, lag(state) OVER w AS from_state, state AS to_state, (lag(state_confidence) OVER w + state_confidence) / 2 AS c, coalesce(nullif(split_part(signals, ',', 1), ''), 'unknown_signal') AS trigger FROM st WINDOW w AS (PARTITION BY conv_id ORDER BY idx)),
@@ -237,8 +245,12 @@ RESULTS = f"""r1 AS (SELECT conv_id, count(*) AS message_count, arg_max(state, i
 cr AS (SELECT *, array_to_string(states[1:message_count - 1], ',') AS previous_states, round_even(round(conf, 9), 3) AS overall_confidence, round_even(round(far / 8, 9), 3) AS advancement, kinds >= 2 AS is_progression, CASE WHEN conf >= 0.30 AND current_state <> 'UNKNOWN' THEN coalesce({_next}, '') ELSE '' END AS likely_next_state, CASE WHEN n_repeats > 0 THEN 'REPEATED_MESSAGES' ELSE '' END AS warnings FROM r1)"""
 _acts = ", ".join(f"({q(a)}, {q(b)}, {p}::DOUBLE, {i})" for i, (a, b, p) in enumerate(C.STAGE_ACTIONS))
 
+NEXT = f"""a(current_state, action, base, ord) AS (VALUES {_acts}), k AS (SELECT conv_id, count(*) AS n_moves, arg_max(from_state || '>' || to_state, idx) AS last_move FROM tr GROUP BY conv_id),
+p AS (SELECT cr.*, a.action, a.ord, coalesce(last_move, '') AS last_move, CASE a.action WHEN 'REQUEST_OTP' THEN lc WHEN 'REQUEST_UPI_PAYMENT' THEN lp WHEN 'REQUEST_REMOTE_ACCESS' THEN lr ELSE 0 END AS sig, base + 0.05::DOUBLE * least(coalesce(n_moves, 0), 3) + CASE WHEN is_progression THEN 0.08 ELSE 0 END::DOUBLE AS b FROM cr JOIN a USING (current_state) LEFT JOIN k USING (conv_id)),
+p2 AS (SELECT *, least(1, b + CASE WHEN sig > 0.2 THEN sig * 0.25::DOUBLE ELSE 0 END) AS pr FROM p), p3 AS (SELECT *, overall_confidence < 0.28 OR current_state = 'UNKNOWN' AS abstained FROM p2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pr DESC, ord) = 1),
+p4 AS (SELECT *, round_even(round(CASE WHEN abstained THEN overall_confidence ELSE least(1, pr * (0.8::DOUBLE + 0.2::DOUBLE * advancement) * overall_confidence) END, 9), 3) AS probability FROM p3)"""
+
 # ---- fingerprints ------------------------------------------------------------------------------------------------------------
-_types = ["ZERO_WIDTH"]
 DNA = f"""
 d1 AS (SELECT *, lower(raw_text) AS lraw, lower(norm) AS lclean FROM sl),
 d2 AS (SELECT *, len(list_filter(string_split_regex(lclean, '\\s+'), lambda x: x <> ''))::BIGINT AS word_count, len(string_split_regex(raw_text, '[.!?]+'))::BIGINT AS sentence_count, regexp_matches({plain("lclean")}, {q(word(C.IMPERATIVE))}) AS has_imperatives,
@@ -250,6 +262,32 @@ d3 AS (SELECT *, len(us)::BIGINT AS url_count, array_to_string(list_sort(list_di
   CASE WHEN contains(lraw, 'hindi') OR regexp_matches(raw_text, '[ऀ-ॿ]') THEN 'hi' ELSE 'en' END AS dna_language, epoch // 3600 AS hour_bucket,
   coalesce(nullif(array_to_string(list_filter([CASE WHEN sender_id <> '' THEN 'HEADER' END, CASE WHEN org <> 'NONE' THEN 'ORG_' || org END, CASE WHEN fear > 0.5 THEN 'FEAR' END, CASE WHEN urgency > 0.5 THEN 'URGENCY' END, CASE WHEN len(us) > 0 THEN 'LINK' END, CASE WHEN has_imperatives THEN 'CTA' END], lambda x: x IS NOT NULL), '+'), ''), 'GENERIC_MESSAGE') AS message_structure FROM d2)"""
 
+_sorted_types = ", ".join(f"CASE WHEN logged[{LOG_TYPES.index(t) + 1}] > 0 THEN {q(t)} END" for t in sorted(LOG_TYPES))
+_flag = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+DNA_HASH = f"""dh AS (SELECT *, 'dna_' || substr(sha256('archetype=' || scam_family || '|org=' || org || '|obf=' || array_to_string(list_filter([{_sorted_types}], lambda x: x IS NOT NULL), ',') || '|ent=|struct=' || message_structure || '|has_url=' || {_flag("len(us) > 0")} || '|has_vpa=' || {_flag("len(psps) > 0")}), 1, 16) AS dna_hash FROM d3)"""
+
+# ---- campaigns ---------------------------------------------------------------------------------------------------------------
+# word vectors, and the assignment message by message in the order of time
+CAMPAIGNS = f"""RECURSIVE {MESSAGES}, {normalised()}, {scored()},
+wc AS (SELECT msg_id, ('0x' || substr(md5(w), 1, 2))::INT AS k, count(*) AS c FROM (SELECT msg_id, unnest(list_filter(string_split(lower(norm), ' '), lambda w: w <> '')) AS w FROM n) GROUP BY ALL),
+vec AS (SELECT msg_id, list_transform(range(256), lambda k: coalesce(mp[k], 0)::DOUBLE) AS v FROM (SELECT msg_id, map_from_entries(list({{'k': k, 'v': c}})) AS mp FROM wc GROUP BY msg_id)),
+dup AS (SELECT msg_id, min(msg_id) OVER (PARTITION BY raw_text) AS first_id FROM m),
+ord AS (SELECT scam_family, msg_id, v, row_number() OVER (PARTITION BY scam_family ORDER BY epoch, msg_id) AS k FROM sl JOIN vec USING (msg_id) JOIN dup USING (msg_id) WHERE msg_id = first_id),
+gr AS (SELECT scam_family, k, [{{'id': msg_id, 'v': v}}] AS heads FROM ord WHERE k = 1
+  UNION ALL SELECT gr.scam_family, o.k, CASE WHEN len(list_filter(gr.heads, lambda h: list_cosine_similarity(h.v, o.v) >= 0.82)) > 0 THEN gr.heads ELSE list_append(gr.heads, {{'id': o.msg_id, 'v': o.v}}) END FROM gr JOIN ord o ON o.scam_family = gr.scam_family AND o.k = gr.k + 1),
+hd AS (SELECT scam_family, unnest(heads).id AS head FROM gr QUALIFY k = max(k) OVER (PARTITION BY scam_family)),
+ho AS (SELECT hd.scam_family, head, o.k AS hk, o.v AS hv FROM hd JOIN ord o ON o.msg_id = head),
+sim AS (SELECT o.msg_id, head, hk, CASE WHEN head = o.msg_id THEN 1 ELSE list_cosine_similarity(hv, o.v) END AS c FROM ord o JOIN ho ON ho.scam_family = o.scam_family AND hk <= o.k),
+bst AS (SELECT msg_id, head, c FROM sim WHERE c >= 0.82 QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY c DESC, hk) = 1),
+asg AS (SELECT m.msg_id, sl.scam_family, sl.scam_family || '-' || head AS campaign_id, CASE WHEN m.msg_id <> first_id OR head = first_id THEN 1.0 ELSE round(c, 4) END::DOUBLE AS similarity, CASE WHEN m.msg_id <> first_id OR head = first_id THEN 1.0 ELSE round_even(round(c * 0.95::DOUBLE, 9), 2) END::DOUBLE AS confidence,
+  m.msg_id = first_id AND head = first_id AS is_new, m.msg_id <> first_id AS is_duplicate, own.language, own.risk_score, m.epoch, nullif(m.sender_id, '') AS sender_id
+  FROM m JOIN dup USING (msg_id) JOIN bst ON bst.msg_id = first_id JOIN sl ON sl.msg_id = first_id JOIN sl own ON own.msg_id = m.msg_id),
+mem AS (SELECT * FROM asg WHERE NOT is_duplicate),
+fs AS (SELECT campaign_id, string_agg(sender_id, ',' ORDER BY seen, sender_id) AS senders FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY seen, sender_id) AS r FROM (SELECT campaign_id, sender_id, min({{'a': epoch, 'i': msg_id}}) AS seen FROM mem WHERE sender_id IS NOT NULL GROUP BY ALL)) WHERE r <= 10 GROUP BY campaign_id),
+lg AS (SELECT campaign_id, language, count(*) AS n, min({{'a': epoch, 'i': msg_id}}) AS seen FROM mem GROUP BY ALL),
+lh AS (SELECT campaign_id, arg_min(language, {{'n': -n, 's': seen, 'l': language}}) AS dominant_language, string_agg(language || '=' || n, ',' ORDER BY language) AS languages FROM lg GROUP BY campaign_id),
+cs AS (SELECT campaign_id, count(*) AS member_count, min(scam_family) AS scam_family, min(epoch) AS first_seen, max(epoch) AS last_seen, round_even(round(avg(similarity), 9), 4)::DOUBLE AS confidence, round_even(avg(risk_score), 1)::DOUBLE AS avg_risk FROM mem GROUP BY campaign_id)"""
+
 # ---- augmentation --------------------------------------------------------------------------------------------------------------
 _key = r"regexp_replace(lower(w), '[^\p{L}\p{M}\p{N}_\s]', '', 'g')"
 _tail = f"CASE WHEN length(w) > length({_key}) THEN substr(w, length({_key}) + 1) ELSE '' END"
@@ -288,8 +326,8 @@ ORACLES: dict[str, str] = {
     "ioc_all": f"{WITH_I} SELECT msg_id, type, value, confidence, ssrf_risk, is_internal, is_idn FROM i",
     "ioc_email_ipv4_counts": f"WITH m AS (SELECT doc_id AS msg_id, text AS raw_text FROM documents), {INDICATORS} SELECT type, count(*) AS n, count(DISTINCT value) AS n_values FROM i WHERE type IN ('email', 'ip') GROUP BY type",
     "ioc_threat_report": f"{WITH_I} SELECT msg_id, {', '.join(f'count(*) FILTER (type = {q(t)}) AS n_{t}' for t in ('url', 'domain', 'ip', 'phone', 'email', 'upi_id', 'sender_id'))}, count(*) FILTER (is_internal OR is_idn OR ssrf_risk <> 'safe') AS n_suspicious FROM i GROUP BY msg_id",
-    "ioc_blocklist": f"{WITH_I} SELECT msg_id, type, value, 'local' AS provider, CASE type WHEN 'url' THEN 'phishing_url' WHEN 'domain' THEN 'phishing_domain' ELSE 'fraudulent_upi' END AS threat_category, CASE type WHEN 'url' THEN 0.02 WHEN 'domain' THEN 0.05 ELSE 0.01 END::DOUBLE AS reputation_score FROM i WHERE (type = 'url' AND (host IN {listed(C.BLOCKED_DOMAINS)} OR {' OR '.join(f'starts_with(lower(value), {q(p)})' for p in C.BLOCKED_PREFIXES)})) OR (type = 'domain' AND value IN {listed(C.BLOCKED_DOMAINS)}) OR (type = 'upi_id' AND value IN {listed(C.BLOCKED_UPI)})",
-    "ioc_top_values": f"{WITH_I} SELECT type, value, count(*) AS n, max(confidence)::DOUBLE AS confidence, count(DISTINCT msg_id) AS n_messages FROM i GROUP BY ALL ORDER BY n DESC, type, value LIMIT 20",
+    "ioc_blocklist": f"{WITH_I}, {VERDICTS} SELECT msg_id, type, value, provider, threat_category, reputation_score FROM vd",
+    "ioc_top_values": f"{WITH_I}, {VERDICTS}, ec AS (SELECT type, value, count(*) AS n FROM (SELECT DISTINCT type, value, provider, threat_category, reputation_score FROM vd) GROUP BY ALL), top AS (SELECT type, value, count(*) AS n, max(confidence)::DOUBLE AS confidence, count(DISTINCT msg_id) AS n_messages FROM i GROUP BY ALL) SELECT top.*, coalesce(ec.n, 0)::BIGINT AS enrichment_count FROM top LEFT JOIN ec USING (type, value) ORDER BY top.n DESC, type, value LIMIT 20",
     "ioc_safe_urls": f"{WITH_I} SELECT host, count(*) AS n FROM i WHERE type = 'url' AND ssrf_risk = 'safe' GROUP BY host",
     "ip_risk_class": f"WITH {FINDINGS} SELECT url_id, ssrf_risk FROM u3",
     "url_findings": f"WITH {FINDINGS} SELECT url_id, f.finding_id, f.severity, f.confidence, coalesce(f.detail, '') AS detail FROM (SELECT url_id, unnest(findings) AS f FROM uf)",
@@ -306,7 +344,18 @@ ORACLES: dict[str, str] = {
     "messages_page": f"{ANALYSED} SELECT msg_id, scam_family, risk_score FROM sl WHERE risk_score >= 35 AND scam_family = 'BANK_KYC' ORDER BY epoch DESC, msg_id DESC LIMIT 20 OFFSET 20",
     "redacted_documents": r"WITH x AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)(password|passwd|secret|token|api_key)\s*[=:]\s*\S+', '\1=<redacted>', 'g'), '(?i)(Bearer\s+)\S+', '\1<redacted>', 'g') AS r FROM documents) SELECT doc_id, sha256(r) AS redacted_sha256, r <> text AS changed FROM x",
     "retention_scrub": f"WITH {MESSAGES} SELECT msg_id, sha256(raw_text) AS content_hash, msg_id < 500 AS scrubbed, CASE WHEN msg_id < 500 THEN '-' ELSE sender_id END AS sender FROM m",
-    "recommended_actions": None,
+    "text_log": f"WITH {MESSAGES}, {normalised()} SELECT type, sum(k)::BIGINT AS n FROM (SELECT unnest({strings(LOG_TYPES)}) AS type, unnest(logged) AS k FROM n) GROUP BY type HAVING sum(k) > 0",
+    "recommended_actions": f"{ANALYSED} SELECT recommended_action, count(*) AS n, sum(len(list_distinct(regexp_extract_all(lower(raw_text), {q('(?:' + C.FEAR_HIGH + '|' + C.CREDENTIAL + ')')}))))::BIGINT AS n_words, sum(len(list_distinct(regexp_extract_all(lower(raw_text), 'https?://\\S+'))))::BIGINT AS n_links FROM sl GROUP BY ALL",
+    "message_records": f"{FULL}, {DNA}, {DNA_HASH}, {INDICATORS}, cm AS (SELECT msg_id AS conv_id, 0 AS turn, raw_text AS text FROM m), {_STAGES}, {MOVES}, {RESULTS}, {NEXT}, ic AS (SELECT msg_id, count(*) FILTER (type = 'url') AS n_url, count(*) FILTER (type = 'phone') AS n_phone, count(*) FILTER (is_internal OR is_idn OR ssrf_risk <> 'safe') AS n_suspicious FROM i GROUP BY msg_id) SELECT dh.msg_id, dh.language, dh.scam_family, dh.risk_score, evidence_tier, brand, impersonation_detected, org, message_structure, hour_bucket, dna_hash, cr.current_state AS stage, cr.overall_confidence AS stage_confidence, coalesce(CASE WHEN abstained THEN 'NEEDS_REVIEW' ELSE p4.action END, '') AS next_step, coalesce(p4.probability, 0)::DOUBLE AS probability, coalesce(n_url, 0)::BIGINT AS n_url, coalesce(n_phone, 0)::BIGINT AS n_phone, coalesce(n_suspicious, 0)::BIGINT AS n_suspicious FROM dh JOIN e ON e.msg_id = dh.msg_id JOIN cr ON cr.conv_id = dh.msg_id LEFT JOIN p4 ON p4.conv_id = dh.msg_id LEFT JOIN ic ON ic.msg_id = dh.msg_id",
+    "dna_hash": f"{ANALYSED}, {DNA}, {DNA_HASH} SELECT dna_hash, count(*) AS n, min(scam_family) AS scam_family FROM dh GROUP BY dna_hash",
+    "embedding_pairs": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL) SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.4",
+    "campaign_assignment": f"WITH {CAMPAIGNS} SELECT msg_id, campaign_id, similarity, confidence, is_new, is_duplicate FROM asg",
+    "campaign_store": f"WITH {CAMPAIGNS}, {INDICATORS}, cd AS (SELECT campaign_id, string_agg(value, ',' ORDER BY seen, value) AS domains FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY seen, value) AS r FROM (SELECT campaign_id, value, min({{'a': epoch, 'i': mem.msg_id}}) AS seen FROM mem JOIN idom USING (msg_id) GROUP BY ALL)) WHERE r <= 20 GROUP BY campaign_id), cv AS (SELECT campaign_id, k, sum(x / l) AS x FROM (SELECT campaign_id, unnest(v) AS x, unnest(range(256)) AS k, sqrt(list_inner_product(v, v)) AS l FROM mem JOIN vec USING (msg_id)) GROUP BY ALL), cl AS (SELECT campaign_id, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM cv GROUP BY campaign_id), cf AS (SELECT campaign_id, round(sum(confidence), 2) AS sum_confidence FROM mem GROUP BY campaign_id) SELECT campaign_id, scam_family, member_count, member_count AS n_stored, sum_confidence, first_seen, last_seen, coalesce(domains, '') AS domains, coalesce(senders, '') AS senders, largest, 'ACTIVE' AS status FROM cs JOIN cl USING (campaign_id) JOIN cf USING (campaign_id) LEFT JOIN cd USING (campaign_id) LEFT JOIN fs USING (campaign_id)",
+    "campaign_summary": f"WITH {CAMPAIGNS} SELECT campaign_id, member_count, scam_family, first_seen, last_seen, confidence, avg_risk, dominant_language, languages FROM cs JOIN lh USING (campaign_id)",
+    "campaign_list": f"WITH {CAMPAIGNS} SELECT campaign_id, last_seen, member_count FROM cs ORDER BY last_seen DESC, campaign_id LIMIT 10 OFFSET 5",
+    "campaign_senders": f"WITH {CAMPAIGNS} SELECT campaign_id, senders FROM fs",
+    "campaign_members": f"WITH {CAMPAIGNS} SELECT campaign_id, msg_id, risk_score, similarity FROM mem WHERE campaign_id = (SELECT campaign_id FROM cs ORDER BY member_count DESC, campaign_id LIMIT 1) ORDER BY epoch, msg_id LIMIT 20 OFFSET 5",
+    "cluster_purity": f"WITH {CAMPAIGNS}, f AS (SELECT scam_family, max(member_count) AS top, sum(member_count) AS n FROM cs GROUP BY scam_family) SELECT round(sum(top) / sum(n), 6) AS purity, count(*) AS families FROM f",
     "dna_traits": f"{ANALYSED}, {DNA} SELECT msg_id, word_count, sentence_count, has_imperatives, org, url_count, tlds, is_shortener, has_homoglyph, phone_count, psp, currencies, message_structure, dna_language, hour_bucket FROM d3",
     "embedding_validation": "SELECT label, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64) AS n_valid, count(*) AS n FROM embeddings GROUP BY label",
     "label_centroids": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), a AS (SELECT label, k, avg(v) AS v, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT label, max(n) AS n, list(v ORDER BY k) AS c, sqrt(sum(v * v)) AS l FROM a GROUP BY label) SELECT label, n, round(c[1] / l, 6) AS first, round(list_max(c) / l, 6) AS largest FROM b",
@@ -315,11 +364,7 @@ ORACLES: dict[str, str] = {
     "conv_repeats": "WITH x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS r FROM conversations) SELECT conv_id, count(*) FILTER (r = 1) AS n_kept, count(*) FILTER (r > 1) AS n_repeats FROM x GROUP BY conv_id",
     "conv_transitions": f"WITH {STAGED}, {MOVES} SELECT conv_id, idx, from_state, to_state, confidence, valid, trigger FROM tr",
     "conv_results": f"WITH {STAGED}, {RESULTS} SELECT conv_id, message_count, current_state, previous_states, overall_confidence, advancement, is_progression, likely_next_state, warnings FROM cr",
-    "next_step": f"""WITH {STAGED}, {MOVES}, {RESULTS}, a(current_state, action, base, ord) AS (VALUES {_acts}), k AS (SELECT conv_id, count(*) AS n_moves, arg_max(from_state || '>' || to_state, idx) AS last_move FROM tr GROUP BY conv_id),
-p AS (SELECT cr.*, a.action, a.ord, coalesce(last_move, '') AS last_move, CASE a.action WHEN 'REQUEST_OTP' THEN lc WHEN 'REQUEST_UPI_PAYMENT' THEN lp WHEN 'REQUEST_REMOTE_ACCESS' THEN lr ELSE 0 END AS sig, base + 0.05::DOUBLE * least(coalesce(n_moves, 0), 3) + CASE WHEN is_progression THEN 0.08 ELSE 0 END::DOUBLE AS b FROM cr JOIN a USING (current_state) LEFT JOIN k USING (conv_id)),
-p2 AS (SELECT *, least(1, b + CASE WHEN sig > 0.2 THEN sig * 0.25::DOUBLE ELSE 0 END) AS pr FROM p), p3 AS (SELECT *, overall_confidence < 0.28 OR current_state = 'UNKNOWN' AS abstained FROM p2 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pr DESC, ord) = 1),
-p4 AS (SELECT *, round_even(round(CASE WHEN abstained THEN overall_confidence ELSE least(1, pr * (0.8::DOUBLE + 0.2::DOUBLE * advancement) * overall_confidence) END, 9), 3) AS probability FROM p3)
-SELECT conv_id, current_state, CASE WHEN abstained THEN 'NEEDS_REVIEW' ELSE action END AS action, probability, round_even(round(1 - probability, 9), 3) AS uncertainty, abstained, last_move AS evidence FROM p4""",
+    "next_step": f"WITH {STAGED}, {MOVES}, {RESULTS}, {NEXT} SELECT conv_id, current_state, CASE WHEN abstained THEN 'NEEDS_REVIEW' ELSE action END AS action, probability, round_even(round(1 - probability, 9), 3) AS uncertainty, abstained, last_move AS evidence FROM p4",
     "augment_fixed": f"WITH {MESSAGES} SELECT msg_id, perturbation, sha256(raw_text) AS variant_sha256 FROM ({_union()})",
     "robustness": f"{VARIANTS}, d AS (SELECT perturbation, language, risk_score >= 40 AS hit FROM sl), u AS (SELECT 'perturbation' AS level, perturbation AS name, hit FROM d UNION ALL SELECT 'language', language, hit FROM d UNION ALL SELECT 'all', 'all', hit FROM d) SELECT level, name, count(*) AS n, count(*) FILTER (hit) AS true_positives, count(*) FILTER (NOT hit) AS false_negatives, round_even(100.0 * count(*) FILTER (hit) / count(*), 1)::DOUBLE AS robustness FROM u GROUP BY ALL",
     "hardest_five": f"{VARIANTS} SELECT msg_id, perturbation, risk_score FROM sl ORDER BY risk_score, msg_id, perturbation LIMIT 5",
@@ -331,4 +376,3 @@ SELECT conv_id, current_state, CASE WHEN abstained THEN 'NEEDS_REVIEW' ELSE acti
     "confusion_matrix": f"WITH {JUDGED} SELECT label, predicted, count(*) AS n FROM j GROUP BY ALL",
     "macro_f1": f"WITH {JUDGED}, c AS (SELECT label AS c FROM j UNION SELECT predicted FROM j), k AS (SELECT c, count(*) FILTER (label = c) AS sup, count(*) FILTER (predicted = c) AS said, count(*) FILTER (label = c AND predicted = c) AS hits FROM c, j GROUP BY c), x AS (SELECT *, CASE WHEN said > 0 THEN hits / said ELSE 0 END AS p, CASE WHEN sup > 0 THEN hits / sup ELSE 0 END AS r FROM k) SELECT round(sum(hits) / sum(sup), 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1 FROM x",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

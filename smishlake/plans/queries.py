@@ -105,7 +105,7 @@ def ioc_all(spark, d):
 def ioc_email_ipv4_counts(spark, d):
     """I3, I6 on the documents as they are."""
     docs = S.read_table(spark, d, "documents").select(F.col("doc_id").alias("msg_id"), F.col("text").alias("raw_text"))
-    found = indicators.emails(docs).unionByName(indicators.ip_addresses(docs))
+    found = indicators.extract_indicators(docs, ("ip", "email"))
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values"))
 
 
@@ -115,16 +115,28 @@ def ioc_threat_report(spark, d):
     return indicators.threat_report(_indicators(spark, d))
 
 
+def _down():
+    raise ConnectionError("this provider never answers")
+
+
+def _verdicts(spark, found):
+    """Two providers that answer, and one that fails between them."""
+    local = indicators.blocklist(spark)
+    payments = local.filter("kind = 'upi_id'").withColumn("reputation_score", F.lit(0.03))
+    return indicators.enrich_all(found, {"local": local, "down": _down, "payments": lambda: payments})
+
+
 @query
 def ioc_blocklist(spark, d):
-    """Verdicts of the block-list."""
-    return indicators.enrich_all(_indicators(spark, d), {"local": indicators.blocklist(spark)})
+    """Verdicts of several providers; one that fails is skipped."""
+    return _verdicts(spark, _indicators(spark, d))
 
 
 @query
 def ioc_top_values(spark, d):
-    """Most frequent indicators."""
-    return reports.top_indicators(indicators.roll_up(_indicators(spark, d)), 20).select("type", "value", "n", "confidence", "n_messages")
+    """Most frequent indicators, and how many verdicts there are on each."""
+    found = _indicators(spark, d)
+    return reports.top_indicators(indicators.roll_up(found, _verdicts(spark, found)), 20).select("type", "value", "n", "confidence", "n_messages", "enrichment_count")
 
 
 @query
@@ -182,10 +194,9 @@ def brand_decisions(spark, d):
 @query
 def brand_lookup(spark, d):
     """Registry by alias in a text, and by domain of a URL."""
-    orgs = brands.organisations(spark)
-    m = brands.find_by_alias(R.messages(spark, d).select("msg_id", "raw_text"), orgs, "raw_text").groupBy(F.lit("alias").alias("kind"), F.coalesce("org_id", F.lit("")).alias("org_id")).agg(F.count(F.lit(1)).alias("n"))
+    m = brands.find_by_alias(R.messages(spark, d).select("msg_id", "raw_text"), "raw_text").groupBy(F.lit("alias").alias("kind"), F.coalesce("org_id", F.lit("")).alias("org_id")).agg(F.count(F.lit(1)).alias("n"))
     u = R.page_urls(spark, d).select("url_id", indicators.host_of(F.col("url")).alias("host"))
-    u = brands.find_by_domain(u, orgs, "host").groupBy(F.lit("domain").alias("kind"), F.coalesce("org_id", F.lit("")).alias("org_id")).agg(F.count(F.lit(1)).alias("n"))
+    u = brands.find_by_domain(u, "host").groupBy(F.lit("domain").alias("kind"), F.coalesce("org_id", F.lit("")).alias("org_id")).agg(F.count(F.lit(1)).alias("n"))
     return m.unionByName(u)
 
 
@@ -204,11 +215,19 @@ def recommended_actions(spark, d):
 
 @query
 def message_records(spark, d):
-    """The wide row of every message, with fingerprint and counts of indicators."""
+    """The wide row of every message: scores, language, brand, stage, next step, fingerprint, counts of indicators."""
     a = _analyses(spark, d)
-    ind = _indicators(spark, d)
-    wide = fingerprint.build_fingerprints(a, ind).join(indicators.threat_report(ind), "msg_id", "left").fillna(0)
-    return wide.select("msg_id", "language", "scam_family", "risk_score", "evidence_tier", "org", "message_structure", "n_url", "n_phone", "n_suspicious", "hour_bucket")
+    counts = indicators.threat_report(_indicators(spark, d))
+    stages = conversations.single_messages(R.messages(spark, d))
+    results = S.persist_table(conversations.conversation_results(stages), "message-stages")
+    none = conversations.transitions(stages, conversations.stage_graph(spark)).limit(0)
+    steps = conversations.predict_next_step(results, none, conversations.stage_actions(spark))
+    steps = steps.select(F.col("conv_id").alias("msg_id"), F.col("action").alias("next_step"), "probability")
+    stage = results.select(F.col("conv_id").alias("msg_id"), F.col("current_state").alias("stage"), F.col("overall_confidence").alias("stage_confidence"))
+    f = fingerprint.build_fingerprints(a)
+    f = f.select("msg_id", "language", "scam_family", "risk_score", "evidence_tier", F.coalesce("claimed_brand", F.lit("")).alias("brand"), "impersonation_detected", "org", "message_structure", "hour_bucket", "dna_hash")
+    wide = f.join(stage.hint("merge"), "msg_id").join(steps.hint("merge"), "msg_id", "left").join(counts.select("msg_id", "n_url", "n_phone", "n_suspicious").hint("merge"), "msg_id", "left")
+    return wide.fillna(0, ["n_url", "n_phone", "n_suspicious"]).fillna("", ["next_step"]).fillna(0.0, ["probability"])
 
 
 @query
@@ -277,11 +296,8 @@ def dna_pairs_topk(spark, d):
 @query
 def embedding_pairs(spark, d):
     """Pairs of vectors of one label with cosine 0.4 or more."""
-    v = R.vectors(spark, d)
-    pairs = campaigns.lsh_pairs(v, 0.40, "vec_id")
-    lab = v.select("vec_id", "label")
-    both = pairs.join(lab.select(F.col("vec_id").alias("id_a"), F.col("label").alias("la")).hint("merge"), "id_a").join(lab.select(F.col("vec_id").alias("id_b"), F.col("label").alias("lb")).hint("merge"), "id_b")
-    return both.filter("la = lb").select("id_a", "id_b", F.round("cosine", 6).alias("cosine"))
+    pairs = campaigns.near_pairs(R.vectors(spark, d), 0.40, "vec_id", group_col="label")
+    return pairs.select("id_a", "id_b", F.round("cosine", 6).alias("cosine"))
 
 
 # ---- campaigns ---------------------------------------------------------------------------------------------------------
@@ -304,17 +320,32 @@ def exact_duplicates(spark, d):
     return campaigns.exact_duplicates(R.messages(spark, d)).select("msg_id", "first_id", "n_copies", "is_duplicate")
 
 
+def _assigned(spark, d) -> DataFrame:
+    """Messages with the campaigns that they were assigned to."""
+    kept = ["msg_id", "raw_text", "scam_family", "received_at", "sender_id", "language", "risk_score", "embedding"]
+    a = S.persist_table(campaigns.word_vectors(_analyses(spark, d)).select(*kept), "messages-analysed")
+    return a.drop("raw_text").join(S.persist_table(campaigns.assign_campaigns(a), "campaign-members").hint("merge"), "msg_id")
+
+
 @query
 def campaign_assignment(spark, d):
-    """Linked messages of one family are a campaign."""
-    a = campaigns.text_vectors(_analyses(spark, d))
-    return campaigns.assign_linked(a, 0.95)
+    """Each message opens a campaign, joins the best of its family, or is a copy."""
+    return _assigned(spark, d).select("msg_id", "campaign_id", "similarity", "confidence", "is_new", "is_duplicate")
 
 
-def _members(spark, d):
-    """Membership that SQL can follow: a campaign is a fingerprint hash, similarity comes from the risk."""
-    f = fingerprint.build_fingerprints(_analyses(spark, d))
-    return f.select(F.col("dna_hash").alias("campaign_id"), "msg_id", "scam_family", "language", "risk_score", (F.col("risk_score") / 100).alias("similarity"), "received_at", "sender_id", "raw_text")
+@query
+def campaign_store(spark, d):
+    """The campaigns written with their members, and read back."""
+    folder = f"{S.shared_folder(spark).rstrip('/')}/campaign-store"
+    campaigns.write_campaigns(_assigned(spark, d), folder, _indicators(spark, d).filter("type = 'domain'"))
+    members = S.read_any(spark, f"{folder}/campaign_members").groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_stored"), F.round(F.sum("confidence"), 2).alias("sum_confidence"))
+    c = S.read_any(spark, f"{folder}/campaigns").join(members.hint("merge"), "campaign_id")
+    return c.select("campaign_id", "scam_family", "member_count", "n_stored", "sum_confidence", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen"), F.array_join("domains", ",").alias("domains"), F.array_join("senders", ",").alias("senders"), F.round(F.array_max("centroid"), 6).alias("largest"), "status")
+
+
+def _members(spark, d) -> DataFrame:
+    """Members of the assigned campaigns; copies do not count again."""
+    return _assigned(spark, d).filter("NOT is_duplicate")
 
 
 @query
@@ -340,13 +371,15 @@ def campaign_senders(spark, d):
 
 @query
 def campaign_members(spark, d):
-    """Members of the campaigns, without text."""
-    return _members(spark, d).drop("raw_text").select("campaign_id", "msg_id", "risk_score")
+    """A page of the members of the largest campaign, without text."""
+    m = S.persist_table(_members(spark, d), "campaign-page")
+    largest = m.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "campaign_id").first()
+    return campaigns.members_page(m, largest["campaign_id"] if largest else "", 20, 5).select("campaign_id", "msg_id", "risk_score", "similarity")
 
 
 @query
 def cluster_purity(spark, d):
-    """Purity of campaigns by family."""
+    """Share of the messages of each family that lie in its largest campaign."""
     return campaigns.purity(_members(spark, d), "scam_family").select(F.round("purity", 6).alias("purity"), "families")
 
 

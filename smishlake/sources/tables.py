@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +16,8 @@ SCHEMAS = {
     "campaign_members": "campaign_id string, msg_id long, similarity double, confidence double, joined_at timestamp",
 }
 MAX_MESSAGE_CHARS = 5000
+#: Bytes that a side of a join may be broadcast with.
+MOST_BROADCAST = 8_000_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,12 +31,13 @@ def read_any(spark: SparkSession, path: str, fmt: str = "parquet", schema: str |
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="smishlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """spark.checkpoint.dir, or a folder in the warehouse where that is unset: both are shared by driver and executors."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-tables"
+
+
+def sized(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """Hint how a join takes this side: broadcast up to MOST_BROADCAST bytes by count and bound of a row, a merge join beyond."""
+    return df.hint("broadcast") if df.count() * row_bytes <= MOST_BROADCAST else df.hint("merge")
 
 
 def persist_table(df: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from smishlake.operators import augment, brands, campaigns, conversations, fingerprint, indicators, reports, scoring, text, training, urls
 from smishlake.sources import tables as S
@@ -116,10 +118,98 @@ def test_top_partners_of_large_blocks(spark, monkeypatch):
 def test_campaigns(spark):
     m = messages(spark, *["SBI account blocked, update KYC now at branch %d" % (i % 2) for i in range(4)], *["lottery prize winner claim number %d" % (i % 2) for i in range(4)])
     a = campaigns.text_vectors(scoring.analyze_messages(m))
-    for found in (campaigns.assign_linked(a, 0.8), campaigns.assign_ordered(a, 0.8)):
+    for found in (campaigns.assign_linked(a, 0.8), campaigns.assign_campaigns(a, 0.8)):
         assert campaigns.purity(a.select("msg_id", "scam_family").join(found, "msg_id"), "scam_family").first()["purity"] == 1.0
 
 
+def vectors(n, dim=8, seed=1):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(12, dim))
+    return [(base[rng.integers(0, 12)] + rng.normal(size=dim) * 0.35).tolist() for _ in range(n)]
+
+
+def test_assignment_same_as_one_by_one(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"t{i % 140}", "AB"[i % 2] if i % 29 else None, int(rng.integers(0, 40)), v) for i, v in enumerate(vectors(160))]
+    rows += [(900, "zero", "A", 5, [0.0] * 8), (901, "none", "A", 5, None), (902, "zero too", "A", 6, [0.0] * 8)]
+    df = spark.createDataFrame([(i, t, f, at, v, "clash", 1) for i, t, f, at, v in rows], "msg_id long, raw_text string, scam_family string, at int, embedding array<double>, leader string, best int")
+    df = df.withColumn("received_at", F.timestamp_seconds("at"))
+    first = {}
+    for i, t, *_ in sorted(rows):
+        first.setdefault(t, i)
+    heads, want = {}, {}
+    for i, t, f, at, v in sorted(rows, key=lambda r: (r[3], r[0])):
+        if first[t] != i:
+            continue
+        u = np.array(v) / np.linalg.norm(v) if v and any(v) else None
+        old = [(float(np.dot(u, x)), k) for k, (j, x) in enumerate(heads.get(f, [])) if u is not None and x is not None]
+        best = max(old, key=lambda s: (s[0], -s[1]), default=(-2, 0))
+        if best[0] >= 0.82:
+            want[i] = (f"{f or ''}-{heads[f][best[1]][0]}", round(best[0], 4), False)
+        else:
+            want[i] = (f"{f or ''}-{i}", 1.0, True)
+            heads.setdefault(f, []).append((i, u))
+    assert 20 < sum(w[2] for w in want.values()) < 150
+    for opened in (3, 256):
+        got = {r["msg_id"]: r for r in campaigns.assign_campaigns(df, opened=opened).collect()}
+        assert set(got) == {r[0] for r in rows}
+        for i, t, *_ in rows:
+            w = want[first[t]]
+            assert got[i]["campaign_id"] == w[0] and got[i]["is_duplicate"] == (first[t] != i) and got[i]["is_new"] == (w[2] and first[t] == i)
+            assert abs(got[i]["similarity"] - (1.0 if first[t] != i else w[1])) < 1e-9
+    assert campaigns.assign_campaigns(df.limit(0)).count() == 0
+
+
+def test_near_pairs_find_what_brute_force_finds(spark, monkeypatch):
+    rows = [(i, v, i % 3) for i, v in enumerate(vectors(400, 16, 3))] + [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, vectors(1, 16)[0], None), (1003, [1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, y in rows if v and any(v) and y is not None and len(v) == 16}
+    ids = sorted(unit)
+    monkeypatch.setattr(campaigns, "BLOCK", 16)
+    for threshold, least in ((0.82, 0.97), (0.3, 1.0)):
+        want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if a % 3 == b % 3 and unit[a] @ unit[b] >= threshold}
+        got = {(r["id_a"], r["id_b"]) for r in campaigns.near_pairs(df, threshold, "vec_id", group_col="label").collect()}
+        assert got <= want and len(got) >= least * len(want) > 100
+    assert campaigns.hyperplanes(0.82, 1 << 30)[0] > campaigns.hyperplanes(0.82, 1000)[0] and campaigns.hyperplanes(0.3, 1000) == (0, 1)
+
+
+def test_campaign_tables(spark, tmp_path):
+    m = messages(spark, *["SBI account blocked, update KYC now at branch %d" % (i % 2) for i in range(4)], "lottery prize winner claim number", sender="AX-SBIINB")
+    a = campaigns.word_vectors(scoring.analyze_messages(m))
+    members = a.join(campaigns.assign_campaigns(a, 0.8), "msg_id")
+    hosts = spark.createDataFrame([(0, "a.example"), (0, "b.example"), (2, "c.example"), (1, "b.example")], "msg_id long, value string")
+    campaigns.write_campaigns(members, str(tmp_path), hosts)
+    campaigns.write_campaigns(members, str(tmp_path), hosts)  # again: replaces
+    c = {r["campaign_id"]: r for r in spark.read.parquet(f"{tmp_path}/campaigns").collect()}
+    assert [f.name for f in spark.read.parquet(f"{tmp_path}/campaigns").schema] == [f.name for f in StructType.fromDDL(S.SCHEMAS["campaigns"])]
+    assert [f.name for f in spark.read.parquet(f"{tmp_path}/campaign_members").schema] == [f.name for f in StructType.fromDDL(S.SCHEMAS["campaign_members"])]
+    assert sum(r["member_count"] for r in c.values()) == 3 == spark.read.parquet(f"{tmp_path}/campaign_members").count()
+    first = next(r for k, r in c.items() if k.endswith("-0"))
+    assert first["domains"][:2] == ["a.example", "b.example"] and first["senders"] == ["AX-SBIINB"]
+    write = campaigns.append_members(f"{tmp_path}/stream")
+    batch = members.select("campaign_id", "msg_id")
+    write(batch, 0)
+    write(batch.limit(1), 1)
+    write(batch, 0)
+    assert spark.read.parquet(f"{tmp_path}/stream/campaign_members").count() == 6
+
+
+def test_providers(spark):
+    ind = indicators.extract_indicators(messages(spark, "see http://a.example/x?u=1 and http://b.example/y, pay merchant@okaxis", "http://A.example/x"))
+    lists = spark.createDataFrame([("url_prefix", "http://a.example/x", "p", 0.3), ("url_host", "a.example", "h", 0.1), ("domain", "b.example", "d", 0.2), ("upi_id", "merchant@okaxis", "u", 0.0), ("url_host", "a.example", "z", 0.1)], "kind string, listed string, threat_category string, reputation_score double")
+
+    def down():
+        raise OSError("down")
+
+    got = sorted((r["msg_id"], r["type"], r["provider"], r["threat_category"]) for r in indicators.enrich_all(ind, {"one": lists, "down": down, "two": lambda: lists.limit(0)}).collect())
+    assert got == [(0, "domain", "one", "d"), (0, "upi_id", "one", "u"), (0, "url", "one", "h"), (1, "url", "one", "h")]
+    assert indicators.enrich_all(ind, {"down": down}).count() == 0
+    rolled = {(r["type"], r["value"]): r["enrichment_count"] for r in indicators.roll_up(ind, indicators.enrich_all(ind, {"one": lists})).collect()}
+    assert rolled[("domain", "b.example")] == 1 and rolled[("domain", "a.example")] == 0
+    twice = brands.find_by_alias(spark.createDataFrame([("pay SBI",), ("pay SBI",), (None,)], "t string"), "t")
+    assert [r["n_orgs"] > 0 for r in twice.collect()].count(True) == 2 and twice.count() == 3
+
+
 def test_augmentation_is_repeatable(spark):
     m = messages(spark, "Your account is blocked, click http://sbi.co.in now please", None)
     one = sorted(map(tuple, augment.augment_messages(m).collect()), key=repr)
