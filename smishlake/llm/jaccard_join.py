@@ -37,7 +37,7 @@ FAMILY_SHARE = 1 / 3
 #: Sizes of linked texts differ by a factor of 1.25 at most, so by one band of this factor at most.
 BAND = 1.26
 #: Tokens and texts in a block of a family at most, and distinct tokens in a stretch of a matrix product.
-BLOCK_TOKENS, BLOCK_TEXTS, STRETCH = 1 << 17, 1024, 8192
+BLOCK_TOKENS, BLOCK_TEXTS, STRETCH = 1 << 17, 512, 4096
 #: Texts of an index entry that meet in one task; more are dealt into blocks. Pairs that a task looks at at once.
 ENTRY, CHUNK = 4096, 1 << 18
 #: Hash classes of frequent tokens by set size; a set near a border is indexed on both sides of it.
@@ -183,7 +183,8 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], other: np.ndarray) -> t
         m = np.zeros((n, min(STRETCH, int(at[-1]) + 1 - low)), np.float32)
         m[row[a:b], at[a:b] - low] = 1
         both += m @ m.T
-    linked = 9 * both.astype(np.int64) >= 4 * (sizes[:, None] + sizes[None, :])
+    small = sizes.astype(np.int32)
+    linked = 9 * both.astype(np.int32) >= 4 * (small[:, None] + small[None, :])
     np.fill_diagonal(linked, False)
     if other.any():
         linked &= other[:, None] != other[None, :]
