@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from smishlake.llm.common import sized, store, table
+from smishlake.llm.common import sized, store, table, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_COPIES = 1.5, 2.0
@@ -164,16 +164,17 @@ def op8_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_rows(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it was taken, with their own columns.
+    """The documents of the mix, each as often as it was taken, with their own columns of any names.
 
     Every row has its own copies, also where rows repeat a doc_id or have none: rows of one doc_id, source and size take
-    the copies of that many rows of the mix in the order of a hash of their columns.
+    the copies of that many rows of the mix in the order of a hash of their columns. Null and empty texts are not taken.
     """
     # the key is never null; window and join share it, so texts are shuffled once
-    key = lambda size: F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")), size, F.xxhash64("source"))
-    copies = _dealt(docs, "doc_id", "text", "source").filter("size > 0").select(key(F.col("size")).alias("_key"), F.struct("k", "copies").alias("c"))
-    copies = copies.groupBy("_key").agg(F.array_sort(F.collect_list("c")).alias("_copies")).filter(F.exists("_copies", lambda c: c["copies"] > 0))
-    rows = docs.withColumn("_key", key(words(F.col("text"))))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))))
-    own = rows.join(copies.hint("merge"), "_key").withColumn("_n", F.element_at("_copies", F.col("_k"))["copies"]).filter("_n > 0")
-    return own.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    key_of = lambda size: F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")), size, F.xxhash64("source"))
+    key, place, taken = (unused(x, docs) for x in ("key", "place", "taken"))
+    copies = _dealt(docs, "doc_id", "text", "source").filter("size > 0").select(key_of(F.col("size")).alias(key), F.struct("k", "copies").alias("c"))
+    copies = copies.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias(taken)).filter(F.exists(taken, lambda c: c["copies"] > 0))
+    rows = docs.withColumn(key, key_of(words(F.col("text"))))
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))))
+    own = rows.join(copies.hint("merge"), key).withColumn(taken, F.element_at(taken, F.col(place))["copies"]).filter(F.col(taken) > 0)
+    return own.withColumn(place, F.explode(F.sequence(F.lit(1), F.col(taken)))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -57,6 +57,38 @@ def test_jaccard_join_same_as_brute_force(spark, data, monkeypatch):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_joins_take_odd_rows(spark):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "ONE two three four five six"), (3, None), (3, None), (None, "one two three four five six"), (4, "x " * 60_000)]
+    df = spark.createDataFrame([(i, t, 1, "f", 2, 3, [1]) for i, t in rows], "doc_id long, text string, id int, fam string, h int, n int, head array<int>")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3), (None, 2, 1), (4, 1, 4)], key=repr)
+    v = [1.0, 2.0, 2.0, 0.5]
+    rows = [(1, v, 0), (1, v, 0), (2, [2.0, 4.0, 4.0, 1.0], 0), (3, v, 1), (4, None, 0), (5, [], 0)]
+    df = spark.createDataFrame([(*r, 9, [7], 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, rep int, codes array<int>, weight int, k1 string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in cross_polytope.near_duplicates(df).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5)]
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(15)
+    sets, n = [], []
+    for _ in range(120):
+        x = rng.integers(-(1 << 62), 1 << 62, int(rng.integers(1, 900)))
+        y = x.copy()
+        k = int(len(x) * rng.choice([0, 0.05, 0.1, 0.11, 0.2, 0.5]))
+        y[:k] = rng.integers(-(1 << 62), 1 << 62, k)
+        if rng.random() < 0.5:
+            y = np.concatenate([y, rng.integers(-(1 << 62), 1 << 62, len(x) // 8)])
+        sets += [np.unique(x), np.unique(y)]
+    n = np.array([len(s) for s in sets])
+    i, j = np.arange(0, len(sets), 2), np.arange(1, len(sets), 2)
+    may = jaccard_join.may_link(i, j, n, [jaccard_join.sketch_of(s) for s in sets])
+    for a, b, ok in zip(i, j, may, strict=True):
+        shared = len(np.intersect1d(sets[a], sets[b]))
+        assert ok or 100 * shared < 80 * (n[a] + n[b] - shared)
+    assert not may.all()
+
+
 def test_extension_keeps_every_link():
     rng = np.random.default_rng(4)
     for n in (2, 4, 5, 9, 30, 159, 161, 700):
