@@ -1,11 +1,13 @@
 """Adversarial variants of messages and how well scoring holds up against them.
 
-Random choices are hashes of (message, perturbation, seed, position), so results do not depend on partitioning.
+Random choices are drawn by whole-number arithmetic from message, perturbation, seed and position, so results do not
+depend on partitioning, and any engine can follow them.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,8 @@ FIXED = ("whitespace_manipulation", "phonetic_transliteration", "hinglish_synthe
 RANDOM = ("vowel_deletion", "adjacent_swap", "number_substitution", "repeated_chars", "unicode_confusables", "zero_width_chars", "unicode_normalization", "nested_obfuscation", "realistic_typos")
 PERTURBATIONS = FIXED + RANDOM
 DETECTED_AT = 40
+#: Draws are numbers below this prime, over it; what multiplies the positions in a text and in a word.
+PRIME, STEPS = 2_147_483_647, (1_000_003, 69_621)
 
 
 def _level(intensity: str, low, medium, high):
@@ -29,9 +33,17 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
 
+def code_of(name: str) -> int:
+    return zlib.crc32(name.encode()) % PRIME
+
+
 def _draw(key: Column, name: str, *at: Column) -> Column:
     """A number in [0, 1) that follows from the row, the perturbation and the position."""
-    return F.pmod(F.xxhash64(key, F.lit(name), *at), F.lit(1_000_000)) / 1_000_000
+    h = key * 48_271 + code_of(name)
+    for step, i in zip(STEPS, at, strict=False):
+        h = h + i.cast("long") * step
+    h = h % PRIME
+    return ((h * h % PRIME) * 16_807 + h) % PRIME / PRIME
 
 
 def _key(w: Column) -> Column:
@@ -59,7 +71,7 @@ def _replace_at(w: Column, i: Column, n: int, new: Column) -> Column:
 def perturb(text: Column, kind: str, key: Column, intensity: str = "medium") -> Column:
     """One perturbation as a column expression; intensity is low, medium, or anything else for high."""
     link = lambda w: w.contains("http") | w.contains("bit.ly")
-    pick = lambda w, i, n, name: F.floor(_draw(key, name, w, i) * n).cast("int")
+    pick = lambda w, i, n, name: F.floor(_draw(key, name, i) * n).cast("int")
     if kind == "vowel_deletion":
         p = _level(intensity, 0.4, 0.7, 0.95)
         rest = lambda w, i: _chars_i(F.substr(w, F.lit(2)), lambda c, j: F.when(F.lower(c).isin(*"aeiou") & (_draw(key, kind, i, j) <= p), "").otherwise(c))
@@ -157,7 +169,7 @@ def decomposed(s: pd.Series) -> pd.Series:
 
 def augment_messages(messages: DataFrame, kinds=PERTURBATIONS, intensity: str = "medium", seed: int = 0) -> DataFrame:
     """msg_id, perturbation, raw_text (the variant), sender_id: one row per message and kind, by exploding an array."""
-    text, key = F.coalesce("raw_text", F.lit("")), F.xxhash64("msg_id", F.lit(seed))
+    text, key = F.coalesce("raw_text", F.lit("")), F.pmod(F.pmod("msg_id", F.lit(PRIME)) * 7_919 + seed, F.lit(PRIME))
     variants = F.array(*(F.struct(F.lit(k).alias("perturbation"), perturb(text, k, key, intensity).alias("raw_text")) for k in kinds))
     return messages.select("msg_id", "sender_id", F.explode(variants).alias("v")).select("msg_id", "v.*", "sender_id")
 

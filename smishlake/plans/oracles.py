@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ipaddress
+import unicodedata
 
 from smishlake.functions import constants as C
-from smishlake.operators.augment import FIXED
+from smishlake.operators.augment import FIXED, PRIME, RANDOM, STEPS, code_of
 from smishlake.plans import relations as R
 
 
@@ -308,6 +309,51 @@ _VARIANTS = {
 }
 assert tuple(_VARIANTS) == FIXED
 _union = lambda: " UNION ALL ".join(f"SELECT msg_id, sender_id, {q(k)} AS perturbation, {v} AS raw_text FROM m" for k, v in _VARIANTS.items())
+
+
+def _drawn(name: str, *at: str) -> str:
+    """The draw of a perturbation; at are positions from 0."""
+    h = f"(kk * 48271 + {code_of(name)}" + "".join(f" + ({i}) * {step}" for step, i in zip(STEPS, at, strict=False)) + f") % {PRIME}"
+    return f"(list_transform([{h}], lambda h: ((h * h % {PRIME}) * 16807 + h) % {PRIME})[1] / {PRIME}::DOUBLE)"
+
+
+def _in_words(text: str, change: str) -> str:
+    return f"array_to_string(list_transform({_split.replace('raw_text', text)}, lambda w, i: {change}), ' ')"
+
+
+def _in_chars(text: str, change: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '(?s).'), lambda c, j: {change}), '')"
+
+
+def _at(place: str, change: str) -> str:
+    return f"list_transform([{place}], lambda z: {change})[1]"
+
+
+_link = "(contains(w, 'http') OR contains(w, 'bit.ly'))"
+_vowel = "lower(c) IN ('a', 'e', 'i', 'o', 'u')"
+_pick = lambda name, n: f"floor({_drawn(name, 'i - 1')} * ({n}))::INT"
+_nfd = "raw_text"
+for _c in map(chr, range(0xC0, 0x250)):
+    if unicodedata.normalize("NFD", _c) != _c:
+        _nfd = f"replace({_nfd}, {q(_c)}, {q(unicodedata.normalize('NFD', _c))})"
+_digits = lambda text, p: _in_chars(text, f"CASE WHEN {_drawn('number_substitution', 'j - 1')} < {p}::DOUBLE THEN translate(c, {q(C.ADD_LEET_FROM)}, {q(C.ADD_LEET_TO)}) ELSE c END")
+_alike = lambda text: _in_chars(text, f"CASE WHEN {_drawn('unicode_confusables', 'j - 1')} < 0.7::DOUBLE THEN translate(c, {q(C.ADD_LOOKALIKE_FROM)}, {q(C.ADD_LOOKALIKE_TO)}) ELSE c END")
+_marked = lambda text: _in_words(text, f"CASE WHEN length(w) >= 3 THEN {_at('1 + ' + _pick('zw_at', 'length(w) - 1'), 'substr(w, 1, z)')} || {strings(chr(x) for x in (0x200B, 0x200C, 0x200D, 0xFEFF))}[{_pick('zw_mark', '4')} + 1] || {_at('1 + ' + _pick('zw_at', 'length(w) - 1'), 'substr(w, z + 1)')} ELSE w END")
+_keys = f"{mapping(C.KEY_NEIGHBOURS)}[lower(substr(w, z + 1, 1))]"
+_DRAWN = {
+    "vowel_deletion": _in_words("raw_text", f"CASE WHEN length(w) <= 3 OR {_link} THEN w ELSE substr(w, 1, 1) || {_in_chars('substr(w, 2)', f'''CASE WHEN {_vowel} AND {_drawn('vowel_deletion', 'i - 1', 'j - 1')} <= 0.7::DOUBLE THEN '' ELSE c END''')} END"),
+    "adjacent_swap": _in_words("raw_text", f"CASE WHEN length(w) <= 3 OR {_link} OR {_drawn('adjacent_swap', 'i - 1')} > 0.5 THEN w ELSE {_at('1 + ' + _pick('swap_at', 'length(w) - 2'), 'substr(w, 1, z) || substr(w, z + 2, 1) || substr(w, z + 1, 1) || substr(w, z + 3)')} END"),
+    "number_substitution": _digits("raw_text", 0.7),
+    "repeated_chars": _in_words("raw_text", f"CASE WHEN length(w) <= 3 OR contains(w, 'http') THEN w ELSE {_at(_pick('repeated_chars', 'length(w)'), 'substr(w, 1, z) || repeat(substr(w, z + 1, 1), 4) || substr(w, z + 2)')} END"),
+    "unicode_confusables": _alike("raw_text"),
+    "zero_width_chars": _marked("raw_text"),
+    "unicode_normalization": _in_chars(_nfd, f"CASE WHEN {_vowel} AND {_drawn('unicode_normalization', 'j - 1')} < 0.5 THEN c || {q(chr(0x301))} ELSE c END"),
+    "nested_obfuscation": None,
+    "realistic_typos": _in_words("raw_text", f"CASE WHEN length(w) > 3 AND NOT contains(w, 'http') AND {_drawn('realistic_typos', 'i - 1')} < 0.6::DOUBLE THEN {_at(_pick('typo_at', 'length(w)'), f'''CASE WHEN {_keys} IS NOT NULL THEN substr(w, 1, z) || substr({_keys}, {_pick('typo_key', f'length({_keys})')} + 1, 1) || substr(w, z + 2) ELSE w END''')} ELSE w END"),
+}
+assert tuple(_DRAWN) == RANDOM
+_drawn_union = " UNION ALL ".join(f"SELECT msg_id, {q(k)} AS perturbation, {v} AS raw_text FROM mk" for k, v in _DRAWN.items() if v)
+RANDOM_VARIANTS = f"WITH {MESSAGES}, mk AS (SELECT *, ((msg_id % {PRIME}) * 7919) % {PRIME} AS kk FROM m), nest1 AS (SELECT msg_id, kk, {_digits('raw_text', 0.9)} AS t1 FROM mk), nest2 AS (SELECT msg_id, kk, {_alike('t1')} AS t2 FROM nest1), rv AS ({_drawn_union} UNION ALL SELECT msg_id, 'nested_obfuscation', {_marked('t2')} FROM nest2)"
 VARIANTS = f"WITH {MESSAGES}, v AS ({_union()}), {normalised('v', 'msg_id, perturbation, raw_text')}, {scored()}"
 _template = r"sha256(lower(regexp_replace(coalesce(text, ''), '[\s\v\p{Z}\x{85}]+', '', 'g')))"
 _place = f"(('0x' || substr(sha256('42:' || {_template}), 1, 8))::UBIGINT % 1000000) / 1000000"
@@ -319,7 +365,7 @@ ORACLES: dict[str, str] = {
     "intake_conversations": f"SELECT conv_id, turn, sha256({_esc('text')}) AS escaped_sha256 FROM conversations",
     "analysis_lookup": f"{ANALYSED} SELECT {FACTS} FROM sl WHERE msg_id IN (SELECT doc_id FROM labels)",
     "feedback_summary": f"WITH {MESSAGES}, f AS (SELECT event_id::VARCHAR AS feedback_id, (event_id % 997)::VARCHAR AS analysis_id, user_id AS analyst_id, value > 50 AS is_correct, ts FROM events), l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY analysis_id, analyst_id ORDER BY ts DESC, feedback_id DESC) = 1), g AS (SELECT analysis_id, count(*) AS n, count(*) FILTER (is_correct) AS c FROM l GROUP BY 1) SELECT msg_id::VARCHAR AS analysis_id, coalesce(n, 0)::BIGINT AS n_feedback, coalesce(c, 0)::BIGINT AS n_correct FROM m LEFT JOIN g ON analysis_id = msg_id::VARCHAR",
-    "key_violations": f"WITH {MESSAGES} SELECT 'messages.text' AS name, count(*) AS n FROM (SELECT raw_text FROM m GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'labels.doc_id', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
+    "key_violations": f"WITH {MESSAGES}, fb AS (SELECT (event_id % 997)::VARCHAR AS a, user_id::VARCHAR AS u FROM events), kv(name, n) AS (SELECT 'messages.text', count(*) FROM (SELECT raw_text FROM m GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'messages.msg_id', count(*) FROM (SELECT msg_id FROM m GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'analyses.msg_id', count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'analyses.msg_id->messages', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'conversation_messages.conv_id,turn', count(*) FROM (SELECT conv_id, turn FROM conversations GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'feedback.analysis_id,analyst_id', count(*) FROM (SELECT a, u FROM fb GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'feedback.analysis_id->analyses', count(*) FROM fb WHERE a NOT IN (SELECT doc_id::VARCHAR FROM labels) UNION ALL SELECT 'feedback.analyst_id->users', count(*) FROM fb WHERE u NOT IN (SELECT c_custkey::VARCHAR FROM customer) UNION ALL SELECT 'users.user_id', count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'audit.event_id', count(*) FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'audit.user_id->users', count(*) FROM fb WHERE u NOT IN (SELECT c_custkey::VARCHAR FROM customer)) SELECT name, n FROM kv",
     "text_normalised": f"WITH {MESSAGES}, {normalised()} SELECT msg_id, sha256(norm) AS normalized_sha256, length(norm)::BIGINT AS n_chars, changes AS n_transformations, round(greatest(0.1, 1 - 0.03::DOUBLE * changes), 6) AS text_confidence FROM n",
     "text_truncated": f"WITH {MESSAGES} SELECT msg_id, length(substr(raw_text, 1, 5000))::BIGINT AS kept_chars, length(raw_text)::BIGINT AS n_chars, sha256(substr(raw_text, 1, 5000)) AS kept_sha256 FROM m",
     "lang_script": f"WITH {MESSAGES}, {normalised()} SELECT language, array_to_string(list_filter([CASE WHEN deva THEN 'Deva' END, CASE WHEN latin THEN 'Latn' END], lambda x: x IS NOT NULL), ',') AS scripts, count(*) AS n FROM n GROUP BY ALL",
@@ -366,6 +412,7 @@ ORACLES: dict[str, str] = {
     "conv_results": f"WITH {STAGED}, {RESULTS} SELECT conv_id, message_count, current_state, previous_states, overall_confidence, advancement, is_progression, likely_next_state, warnings FROM cr",
     "next_step": f"WITH {STAGED}, {MOVES}, {RESULTS}, {NEXT} SELECT conv_id, current_state, CASE WHEN abstained THEN 'NEEDS_REVIEW' ELSE action END AS action, probability, round_even(round(1 - probability, 9), 3) AS uncertainty, abstained, last_move AS evidence FROM p4",
     "augment_fixed": f"WITH {MESSAGES} SELECT msg_id, perturbation, sha256(raw_text) AS variant_sha256 FROM ({_union()})",
+    "augment_random": f"{RANDOM_VARIANTS} SELECT msg_id, perturbation, sha256(raw_text) AS variant_sha256 FROM rv",
     "robustness": f"{VARIANTS}, d AS (SELECT perturbation, language, risk_score >= 40 AS hit FROM sl), u AS (SELECT 'perturbation' AS level, perturbation AS name, hit FROM d UNION ALL SELECT 'language', language, hit FROM d UNION ALL SELECT 'all', 'all', hit FROM d) SELECT level, name, count(*) AS n, count(*) FILTER (hit) AS true_positives, count(*) FILTER (NOT hit) AS false_negatives, round_even(100.0 * count(*) FILTER (hit) / count(*), 1)::DOUBLE AS robustness FROM u GROUP BY ALL",
     "hardest_five": f"{VARIANTS} SELECT msg_id, perturbation, risk_score FROM sl ORDER BY risk_score, msg_id, perturbation LIMIT 5",
     "undetected": f"{VARIANTS} SELECT perturbation, count(DISTINCT raw_text) AS n FROM sl WHERE risk_score < 40 GROUP BY perturbation",

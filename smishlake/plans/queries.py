@@ -45,24 +45,31 @@ def intake_conversations(spark, d):
 
 @query
 def analysis_lookup(spark, d):
-    """Stored analyses fetched by id, for the ids that analysts have labelled."""
-    return S.fetch_all(_analyses(spark, d), "msg_id", S.read_table(spark, d, "labels").select(F.col("doc_id").alias("msg_id"))).select(*FACTS)
+    """Analyses saved by date, and fetched by id for the ids that analysts have labelled."""
+    folder = f"{S.shared_folder(spark).rstrip('/')}/analyses"
+    S.save_by_date(_analyses(spark, d).select(*FACTS, "received_at"), folder, mode="overwrite")
+    return S.fetch_all(S.read_any(spark, folder), "msg_id", S.read_table(spark, d, "labels").select(F.col("doc_id").alias("msg_id"))).select(*FACTS)
+
+
+def _feedback(spark, d) -> DataFrame:
+    e = S.read_table(spark, d, "events")
+    return e.select(F.col("event_id").cast("string").alias("feedback_id"), F.pmod("event_id", F.lit(997)).cast("string").alias("analysis_id"), F.col("user_id").cast("string").alias("analyst_id"), (F.col("value") > 50).alias("is_correct"), F.col("ts").cast("timestamp").alias("recorded_at"))
 
 
 @query
 def feedback_summary(spark, d):
     """One feedback per analysis and analyst, joined to its analysis."""
-    e = S.read_table(spark, d, "events")
-    fb = e.select(F.col("event_id").cast("string").alias("feedback_id"), F.pmod("event_id", F.lit(997)).cast("string").alias("analysis_id"), F.col("user_id").cast("string").alias("analyst_id"), (F.col("value") > 50).alias("is_correct"), F.col("ts").cast("timestamp").alias("recorded_at"))
-    return S.feedback_for(R.messages(spark, d).select(F.col("msg_id").cast("string").alias("analysis_id")), fb)
+    return S.feedback_for(R.messages(spark, d).select(F.col("msg_id").cast("string").alias("analysis_id")), _feedback(spark, d))
 
 
 @query
 def key_violations(spark, d):
-    """Keys that stand twice: messages with the same text, orders of unknown customers."""
-    same = S.key_violations(R.messages(spark, d).select(S.content_hash(F.col("raw_text")).alias("k")), "k").agg(F.lit("messages.text").alias("name"), F.count(F.lit(1)).alias("n"))
-    lost = S.orphans(S.read_table(spark, d, "labels"), S.read_table(spark, d, "documents"), "doc_id", "doc_id").agg(F.lit("labels.doc_id").alias("name"), F.count(F.lit(1)).alias("n"))
-    return same.unionByName(lost)
+    """Keys that stand twice or point nowhere, over the tables that are at hand; and texts that stand twice."""
+    m, e = R.messages(spark, d), S.read_table(spark, d, "events")
+    users = S.read_table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
+    tables = {"messages": m, "analyses": S.read_table(spark, d, "labels").select(F.col("doc_id").alias("msg_id")), "conversation_messages": S.read_table(spark, d, "conversations"), "feedback": _feedback(spark, d), "users": users, "audit": e.select("event_id", F.col("user_id").cast("string"))}
+    same = S.key_violations(m.select(S.content_hash(F.col("raw_text")).alias("k")), "k").agg(F.lit("messages.text").alias("name"), F.count(F.lit(1)).alias("n"))
+    return same.unionByName(S.check_keys(tables))
 
 
 # ---- text ------------------------------------------------------------------------------------------------------------
@@ -429,10 +436,9 @@ def augment_fixed(spark, d):
 
 @query
 def augment_random(spark, d):
-    """Seeded variants, by number and total change of length."""
-    m = R.messages(spark, d)
-    v = augment.augment_messages(m, augment.RANDOM).withColumnRenamed("raw_text", "variant").join(m.select("msg_id", "raw_text").hint("merge"), "msg_id")
-    return v.groupBy("perturbation").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("variant") != F.col("raw_text")).alias("n_changed"), F.sum(F.length("variant") - F.length("raw_text")).alias("grown"))
+    """Seeded variants."""
+    v = augment.augment_messages(R.messages(spark, d), augment.RANDOM)
+    return v.select("msg_id", "perturbation", F.sha2("raw_text", 256).alias("variant_sha256"))
 
 
 def _variants(spark, d):

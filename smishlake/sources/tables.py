@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 #: Declared schemas of the logical tables.
 SCHEMAS = {
     "messages": "msg_id long, raw_text string, sender_id string, source string, received_at timestamp, content_hash string",
+    "analyses": "msg_id long, normalized_text string, language string, scam_family string, risk_score int, risk_level string, analysed_at timestamp",
+    "indicators": "msg_id long, type string, value string, confidence double, ssrf_risk string, is_idn boolean",
     "conversation_messages": "conv_id long, turn long, role string, text string, ts timestamp",
     "feedback": "feedback_id string, analysis_id string, analyst_id string, is_correct boolean, comment string, recorded_at timestamp",
     "campaigns": "campaign_id string, scam_family string, member_count long, centroid array<double>, first_seen timestamp, last_seen timestamp, domains array<string>, senders array<string>, status string",
     "campaign_members": "campaign_id string, msg_id long, similarity double, confidence double, joined_at timestamp",
+    "users": "user_id string, name string, role string, created_at timestamp",
+    "audit": "event_id long, user_id string, action string, target string, happened_at timestamp",
 }
+#: Keys that stand once in a table, and (columns, table, columns) that must be found in another.
+UNIQUE = {"messages": ("msg_id",), "analyses": ("msg_id",), "indicators": ("msg_id", "type", "value"), "conversation_messages": ("conv_id", "turn"), "feedback": ("analysis_id", "analyst_id"), "campaigns": ("campaign_id",), "campaign_members": ("campaign_id", "msg_id"), "users": ("user_id",), "audit": ("event_id",)}
+FOREIGN = {"analyses": (("msg_id", "messages", "msg_id"),), "indicators": (("msg_id", "messages", "msg_id"),), "feedback": (("analysis_id", "analyses", "msg_id"), ("analyst_id", "users", "user_id")), "campaign_members": (("campaign_id", "campaigns", "campaign_id"), ("msg_id", "messages", "msg_id")), "audit": (("user_id", "users", "user_id"),)}
 MAX_MESSAGE_CHARS = 5000
 #: Bytes that a side of a join may be broadcast with.
 MOST_BROADCAST = 8_000_000
@@ -88,7 +95,22 @@ def key_violations(df: DataFrame, *keys: str) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows of a child table whose key is missing in the parent table."""
-    return child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
+    return child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)).distinct().hint("merge"), child_key, "left_anti")
+
+
+def check_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n: how often each declared key of the given tables is broken; foreign keys of tables that are not given are
+    left out."""
+    out = None
+    for name, df in tables.items():
+        found = [(f"{name}.{','.join(UNIQUE[name])}", key_violations(df.select(*UNIQUE[name]), *UNIQUE[name]))]
+        for col, parent, key in FOREIGN.get(name, ()):
+            if parent in tables:
+                found.append((f"{name}.{col}->{parent}", orphans(df.select(F.col(col).cast("string")), tables[parent].select(F.col(key).cast("string")), col, key)))
+        for label, rows in found:
+            part = rows.agg(F.lit(label).alias("name"), F.count(F.lit(1)).alias("n"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from smishlake.plans.queries import QUERIES
 from tests.helpers import assert_same, connect
 
 #: One query of each kind; the driver compares all of them.
-NAMES = ["intake_rejects", "text_normalised", "ioc_all", "ioc_blocklist", "url_findings", "url_verdicts", "evidence_long", "brand_decisions", "manipulation", "dna_traits", "conv_results", "conv_transitions", "next_step", "augment_fixed", "template_groups", "split_overlap", "macro_f1", "label_centroids", "exact_duplicates"]
+NAMES = ["intake_rejects", "text_normalised", "ioc_all", "ioc_blocklist", "url_findings", "url_verdicts", "evidence_long", "brand_decisions", "manipulation", "dna_traits", "conv_results", "conv_transitions", "next_step", "augment_fixed", "template_groups", "split_overlap", "macro_f1", "label_centroids", "exact_duplicates", "text_log", "message_records", "campaign_store", "campaign_members", "augment_random", "embedding_pairs", "key_violations"]
 
 
 @pytest.fixture(scope="module")
