@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import unicodedata
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -201,6 +202,23 @@ def piece_lengths(path: str) -> np.ndarray:
     return out
 
 
+def encoded(texts: list, path: str) -> list[np.ndarray]:
+    """Token ids of each text (null: none); boundaries are found for about a million characters at a time."""
+    m, texts, ids, at = merger(path), [t or "" for t in texts], [], 0
+    while at < len(texts):
+        to, chars = at, 0
+        while to < len(texts) and (to == at or chars + len(texts[to]) < 1_000_000):
+            chars += len(texts[to])
+            to += 1
+        ids += [np.array(m.encode(t, s), np.int32) for t, s in zip(texts[at:to], batch_starts(texts[at:to]), strict=True)]
+        at = to
+    return ids
+
+
+def decoded(ids: np.ndarray, path: str) -> bytes:
+    return b"".join(map(merger(path).pieces.__getitem__, ids.tolist()))
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per input row: id_col, token_ids array<int>, token_starts array<int> (byte offset of each id).
 
@@ -217,19 +235,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(keys: list, texts: list) -> tuple:
         where = path or vocabulary()
-        m, size, ids, offsets = merger(where), piece_lengths(where), [], []
-        texts = [t or "" for t in texts]
-        at = 0
-        while at < len(texts):  # about a million characters at a time
-            to, chars = at, 0
-            while to < len(texts) and (to == at or chars + len(texts[to]) < 1_000_000):
-                chars += len(texts[to])
-                to += 1
-            for t, s in zip(texts[at:to], batch_starts(texts[at:to]), strict=True):
-                ids.append(got := np.array(m.encode(t, s), np.int32))
-                offsets.append((np.cumsum(size[got]) - size[got]).astype(np.int32))
-            at = to
-        return keys, ints(ids), ints(offsets)
+        size = piece_lengths(where)
+        ids = encoded(texts, where)
+        return keys, ints(ids), ints([(np.cumsum(size[x]) - size[x]).astype(np.int32) for x in ids])
 
     return map_rows(df, run, f"{id_col} {kind}, token_ids array<int>, token_starts array<int>", id_col, text_col)
 
@@ -242,9 +250,8 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", pa
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(keys: list, ids) -> tuple:
-        pieces = merger(path or vocabulary()).pieces
         rows = [ids[k].values.to_numpy() if ids[k].is_valid else np.zeros(0, np.int32) for k in range(len(ids))]
-        return keys, [len(x) for x in rows], [x.astype("<u4").tobytes() for x in rows], [b"".join(map(pieces.__getitem__, x.tolist())) for x in rows]
+        return keys, [len(x) for x in rows], [x.astype("<u4").tobytes() for x in rows], [decoded(x, path or vocabulary()) for x in rows]
 
     return map_rows(df, run, f"{id_col} {kind}, n_tokens bigint, ids_le binary, decoded binary", id_col, ids_col)
 
@@ -253,5 +260,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    return decode(encode(docs)).select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id_col, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, decoded again, and digested in one pass.
+
+    A null text counts as empty; ids may be null or repeat, rows that repeat give repeated rows; other columns are ignored.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(keys: list, texts: list) -> tuple:
+        where = path or vocabulary()
+        ids = encoded(texts, where)
+        return keys, [len(x) for x in ids], [sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], [sha256(decoded(x, where)).hexdigest() for x in ids]
+
+    return map_rows(docs, run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col)

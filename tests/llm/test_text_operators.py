@@ -45,6 +45,8 @@ def test_bpe_query(spark, data, tokenizer):
     for r in byte_bpe.op9_byte_bpe(spark, data).collect():
         ids = tokenizer.encode_ordinary(texts[r["doc_id"]])
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
+    both = byte_bpe.decode(byte_bpe.encode(docs(spark, ODD))).select("doc_id", "n_tokens", F.sha2("ids_le", 256), F.sha2("decoded", 256))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, byte_bpe.digests(docs(spark, ODD)).collect()))
     odd = byte_bpe.encode(docs(spark, ODD))
     assert odd.count() == len(ODD) and byte_bpe.encode(docs(spark, [])).count() == 0
     for r in odd.collect():  # starts are byte offsets of the ids' own bytes
