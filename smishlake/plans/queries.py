@@ -46,7 +46,7 @@ def intake_conversations(spark, d):
 @query
 def analysis_lookup(spark, d):
     """Analyses saved by date, and fetched by id for the ids that analysts have labelled."""
-    folder = f"{S.shared_folder(spark).rstrip('/')}/analyses"
+    folder = S.new_folder(spark, "analyses")
     S.save_by_date(_analyses(spark, d).select(*FACTS, "received_at"), folder, mode="overwrite")
     return S.fetch_all(S.read_any(spark, folder), "msg_id", S.read_table(spark, d, "labels").select(F.col("doc_id").alias("msg_id"))).select(*FACTS)
 
@@ -343,7 +343,7 @@ def campaign_assignment(spark, d):
 @query
 def campaign_store(spark, d):
     """The campaigns written with their members, and read back."""
-    folder = f"{S.shared_folder(spark).rstrip('/')}/campaign-store"
+    folder = S.new_folder(spark, "campaign-store")
     campaigns.write_campaigns(_assigned(spark, d), folder, _indicators(spark, d).filter("type = 'domain'"))
     members = S.read_any(spark, f"{folder}/campaign_members").groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_stored"), F.round(F.sum("confidence"), 2).alias("sum_confidence"))
     c = S.read_any(spark, f"{folder}/campaigns").join(members.hint("merge"), "campaign_id")

@@ -47,9 +47,14 @@ def sized(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     return df.hint("broadcast") if df.count() * row_bytes <= MOST_BROADCAST else df.hint("merge")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def persist_table(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
