@@ -187,6 +187,12 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
+def forget(path: str) -> None:
+    """Gives back the merges that a task has cached; the vocabulary stays."""
+    m = merger(path)
+    m.cache, m.older = {}, {}
+
+
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     import public_tokenizers
 
@@ -239,7 +245,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         ids = encoded(texts, where)
         return keys, ints(ids), ints([(np.cumsum(size[x]) - size[x]).astype(np.int32) for x in ids])
 
-    return map_rows(df, run, f"{id_col} {kind}, token_ids array<int>, token_starts array<int>", id_col, text_col)
+    return map_rows(df, run, f"{id_col} {kind}, token_ids array<int>, token_starts array<int>", id_col, text_col, after=lambda: forget(path or vocabulary()))
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", path: str | None = None) -> DataFrame:
@@ -272,4 +278,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         ids = encoded(texts, where)
         return keys, [len(x) for x in ids], [sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], [sha256(decoded(x, where)).hexdigest() for x in ids]
 
-    return map_rows(docs, run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+    return map_rows(docs, run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col, after=lambda: forget(path or vocabulary()))

@@ -49,8 +49,11 @@ def unused(name: str, *frames: DataFrame) -> str:
     return f"_{name}"
 
 
-def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str) -> DataFrame:
-    """Arrow batches through fn, which takes one list per column (Arrow arrays as they are) and returns one list per output column."""
+def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """Arrow batches through fn, which takes one list per column (Arrow arrays as they are) and returns one list per output column.
+
+    after runs when a task has read its rows: Python workers live on, so what a function has cached is given back there.
+    """
     from pyspark.sql.types import StructType
 
     struct = StructType.fromDDL(schema)
@@ -63,6 +66,8 @@ def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str
                 batch = whole.slice(at, SLICE_ROWS)
                 out = fn(*(c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+        if after is not None:
+            after()
 
     return df.select(*(F.col(c) for c in cols)).mapInArrow(run, struct)
 

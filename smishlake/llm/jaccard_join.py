@@ -53,6 +53,13 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+
+
+def forget() -> None:
+    """Gives back what a task has cached."""
+    _HASHES.clear()
+
+
 _ODD = np.random.default_rng(5).integers(1 << 40, 1 << 62, WORDS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -147,7 +154,7 @@ def extension(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, s: whole sets of the documents whose id is listed."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(sized(ids), "id", "left_semi")
-    return map_rows(rows, lambda i, t: (i, [shingles(x) for x in t]), "id long, s array<long>", "id", "text")
+    return map_rows(rows, lambda i, t: (i, [shingles(x) for x in t]), "id long, s array<long>", "id", "text", after=forget)
 
 
 def verify(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -357,7 +364,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             sketch.append(sketch_of(s))
         return ids, n, k1, k2, head, sketch
 
-    t = store(map_rows(docs, sketched, "id long, n int, k1 long, k2 long, head array<long>, sketch binary", id_col, text_col), "jaccard-sketch")
+    t = store(map_rows(docs, sketched, "id long, n int, k1 long, k2 long, head array<long>, sketch binary", id_col, text_col, after=forget), "jaccard-sketch")
     groups = store(t.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id")), "jaccard-groups")
     copies = t.filter("n > 0").select("id", "k1", "k2").join(groups.withColumnRenamed("id", "first").hint("merge"), ["k1", "k2"]).filter("id <> first")
     texts = t.filter("n > 0").join(sized(store(copies.select("id"), "jaccard-copies")), "id", "left_anti")
@@ -418,7 +425,7 @@ def _extended(docs: DataFrame, tokens: DataFrame, placed: DataFrame, kin: DataFr
         if new.isEmpty():
             break
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(new), "id")
-        peeked = store(map_rows(rows, peek, "id long, n int, missing int, window array<long>", "id", "missing", "text"), "jaccard-windows")
+        peeked = store(map_rows(rows, peek, "id long, n int, missing int, window array<long>", "id", "missing", "text", after=forget), "jaccard-windows")
         behind = store(peeked.select(F.explode("window").alias("h"), "id", "n"), "jaccard-behind")
         heads = behind.select("h").distinct() if own is None else behind.select("h").distinct().join(own.select("h").distinct().hint("merge"), "h", "left_anti")
         met = store(tokens.join(sized(store(heads, "jaccard-heads")), "h", "left_semi").select("h", "id", "n"), "jaccard-others")
