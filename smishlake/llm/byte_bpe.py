@@ -25,6 +25,13 @@ IN_L, IN_N, IN_P, IN_W, SPACE, EAT1, EAT2, FRESH = range(8)
 STATES, BLOCK, CACHE = 8, 64, 200_000
 #: White_Space of the Unicode standard (fixed values).
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: Letters and numbers that version 16 of the Unicode standard added, first and last of each range (fixed values): the
+#: tokenizer libraries know them, unicodedata of Python 3.13 does not.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 
 
 @lru_cache(maxsize=1)
@@ -37,6 +44,9 @@ def classes() -> np.ndarray:
             out[c] = L
         elif k == "N":
             out[c] = N
+    for ranges, k in ((LETTERS_16, L), (NUMBERS_16, N)):
+        for first, last in ranges:
+            out[first : last + 1] = k
     out[list(SPACES)] = W_IN
     return out
 

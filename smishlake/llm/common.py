@@ -49,10 +49,10 @@ def unused(name: str, *frames: DataFrame) -> str:
     return f"_{name}"
 
 
-def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str, after: Callable[[], None] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str, after: Callable[[], None] | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """Arrow batches through fn, which takes one list per column (Arrow arrays as they are) and returns one list per output column.
 
-    after runs when a task has read its rows: Python workers live on, so what a function has cached is given back there.
+    A call sees `rows` rows at most. after runs when a task has read its rows: Python workers live on, so what a function has cached is given back there.
     """
     from pyspark.sql.types import StructType
 
@@ -62,8 +62,8 @@ def map_rows(df: DataFrame, fn: Callable[[list], tuple], schema: str, *cols: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(struct)
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):  # small slices bound what a worker holds as Python objects
-                batch = whole.slice(at, SLICE_ROWS)
+            for at in range(0, whole.num_rows, rows):  # small slices bound what a worker holds as Python objects
+                batch = whole.slice(at, rows)
                 out = fn(*(c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
         if after is not None:
