@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from smishlake.llm import byte_bpe, cross_polytope, cube_mix, host_rules, jaccard_join, language_codes, license_scan, member_lloyd, reply_trees, segment_bpe, site_templates, toxicity
+from smishlake.llm import byte_bpe, collocations, cross_polytope, cube_mix, host_rules, jaccard_join, language_codes, license_scan, member_lloyd, reply_trees, segment_bpe, site_templates, toxicity
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_host_rules": host_rules.op4_host_rules,
     "op7_license_scan": license_scan.op7_license_scan,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op11_collocations": collocations.op11_collocations,
     "op12_segment_bpe": segment_bpe.op12_segment_bpe,
     "op13_member_lloyd": member_lloyd.op13_member_lloyd,
 }
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op3_cross_polytope": cross_polytope.ORACLE,
     "op5_reply_trees": reply_trees.ORACLE,
     "op4_host_rules": host_rules.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op13_member_lloyd": member_lloyd.ORACLE,
 }
