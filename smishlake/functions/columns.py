@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}\p{N}_"
 
 
-def barrier(df: DataFrame) -> DataFrame:
-    """The same rows, behind a generator: filters on derived columns are not rewritten into their long expressions."""
-    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+def barrier(df: DataFrame, *derived: str) -> DataFrame:
+    """The same rows with the derived columns (all, where none are named) behind a generator: what is built on them is not
+    rewritten into their long expressions. Other columns pass by it, so they are still left out where nothing reads them."""
+    derived = derived or tuple(df.columns)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in derived]
+    return df.select(*rest, F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in derived)))))
 
 
 def half_even(c: Column, digits: int) -> Column:
@@ -53,7 +56,11 @@ def with_scheme(url: Column) -> Column:
 
 def html_escape(c: Column) -> Column:
     """Trimmed, with the five markup characters as references."""
-    c = F.trim(c)
+    return markup_escape(F.trim(c))
+
+
+def markup_escape(c: Column) -> Column:
+    """The five markup characters as references."""
     for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(raw), F.lit(ref))
     return c

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from smishlake.functions import constants as C
-from smishlake.functions.columns import mapped
+from smishlake.functions.columns import mapped, markup_escape
 
 FIXED = ("whitespace_manipulation", "phonetic_transliteration", "hinglish_synthesis", "mixed_scripts", "punctuation_insertion", "informal_abbreviations", "multilingual_switching", "ocr_corruption", "domain_obfuscation", "sender_id_mutation")
 RANDOM = ("vowel_deletion", "adjacent_swap", "number_substitution", "repeated_chars", "unicode_confusables", "zero_width_chars", "unicode_normalization", "nested_obfuscation", "realistic_typos")
@@ -192,5 +192,5 @@ def hardest(scored: DataFrame, k: int = 5) -> DataFrame:
 
 
 def failures(scored: DataFrame, at: int = DETECTED_AT) -> DataFrame:
-    """Distinct variants that went undetected."""
-    return scored.filter(F.col("risk_score") < at).select("perturbation", "raw_text").distinct()
+    """perturbation, escaped: distinct variants that went undetected, with markup characters as references."""
+    return scored.filter(F.col("risk_score") < at).select("perturbation", "raw_text").distinct().select("perturbation", markup_escape(F.col("raw_text")).alias("escaped"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from smishlake.functions import constants as C
-from smishlake.functions.columns import barrier, text_literals, words
+from smishlake.functions.columns import barrier, text_literals
+from smishlake.operators.signals import with_signals
 
 
 def organisations(spark: SparkSession) -> DataFrame:
@@ -42,14 +43,10 @@ def _any(text: Column, values) -> Column:
     return F.exists(text_literals(values), lambda v: F.contains(text, v))
 
 
-def claimed(lower_raw: Column, lower_clean: Column, header: Column) -> Column:
+def claimed(bits: Column, header: Column) -> Column:
     """Ordinals of the organisations that a message speaks for: an alias as a word of the clean text or anywhere in the
-    raw one, or a known header in the sender id."""
-    out = []
-    for i, o in enumerate(C.ORGANISATIONS):
-        aliases = [a.lower() for a in o[2]]
-        named = _any(lower_raw, aliases) | lower_clean.rlike(words("|".join(aliases)))
-        out.append(F.when(named | F.coalesce(_any(header, o[4]), F.lit(False)), F.lit(i)))
+    raw one (both in bits), or a known header in the sender id."""
+    out = [F.when((F.getbit(bits, F.lit(i)) == 1) | F.coalesce(_any(header, o[4]), F.lit(False)), F.lit(i)) for i, o in enumerate(C.ORGANISATIONS)]
     return F.array_compact(F.array(*out))
 
 
@@ -59,9 +56,10 @@ def match_brands(df: DataFrame) -> DataFrame:
     A projection without a shuffle: the registry is ten literals. Rules in their order: no claim; a look-alike link or a
     foreign sender header; threat without an official link; else a neutral mention, which also undoes a header mismatch.
     """
-    raw, clean = F.lower(F.coalesce("raw_text", F.lit(""))), F.lower("normalized_text")
+    given = "_signals" in df.columns
+    df = with_signals(df, ("brands",))
     header = F.replace(F.upper(F.nullif(F.col("sender_id"), F.lit(""))), F.lit("-"), F.lit(""))
-    df = df.withColumn("_claims", claimed(raw, clean, header))
+    df = barrier(df.withColumn("_claims", claimed(F.col("_signals.claims"), header)), "_claims")
     df = df.withColumn("_org", F.get(F.array(*(_org_literal(i) for i in range(len(C.ORGANISATIONS)))), F.get("_claims", F.lit(0))))
     found = F.regexp_extract_all("raw_text", F.lit(f"(?i){C.BRAND_URL}"), F.lit(0))
     bare = lambda u: F.lower(F.trim(F.split_part(F.split_part(F.replace(F.replace(F.replace(u, F.lit("https://"), F.lit("")), F.lit("http://"), F.lit("")), F.lit("www."), F.lit("")), F.lit("/"), F.lit(1)), F.lit("?"), F.lit(1))))
@@ -76,11 +74,13 @@ def match_brands(df: DataFrame) -> DataFrame:
     for i, o in enumerate(C.ORGANISATIONS):
         other = other | ((F.col("_org.ord") != i) & _any(header, o[4]))
     df = df.withColumn("sender_mismatch", F.coalesce(header.isNotNull() & ~own_header & other, F.lit(False)))
-    df = df.withColumn("has_threat", clean.rlike(words(C.BRAND_THREAT)))
+    df = df.withColumn("has_threat", F.col("_signals.threat"))
     phishing, threat, official, mismatch = F.col("has_phishing_link"), F.col("has_threat"), F.col("has_official_link"), F.col("sender_mismatch")
     neutral = ~phishing & ~threat
     detected = F.when(F.col("_org").isNull(), False).when(phishing | (threat & ~official), True).when(neutral, False).otherwise(phishing | mismatch)
     confidence = F.when(F.col("_org").isNull(), 0.95).when(neutral, 0.90).when(mismatch, 0.98).when(phishing, 0.96).otherwise(0.85)
     df = df.withColumn("claimed_brand", F.col("_org.name")).withColumn("impersonation_detected", detected).withColumn("brand_confidence", confidence)
     reference = F.when(F.col("_org").isNotNull(), F.struct("_org.name", "_org.category", "_org.domains", "_org.sender_headers", "_org.support_url"))
-    return barrier(df.withColumn("reference", reference).drop("_claims", "_org", "_domains"))
+    made = ["has_official_link", "has_phishing_link", "sender_mismatch", "has_threat", "claimed_brand", "impersonation_detected", "brand_confidence", "reference"]
+    df = barrier(df.withColumn("reference", reference).drop("_claims", "_org", "_domains"), *made)
+    return df if given else df.drop("_signals")

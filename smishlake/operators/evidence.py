@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smishlake.functions import constants as C
-from smishlake.functions.columns import barrier, half_even, words
+from smishlake.functions.columns import barrier, half_even
+from smishlake.operators.signals import with_signals
 
 ITEM = "struct<evidence_id:string,category:string,severity:double,confidence:double,value:string>"
 
@@ -17,23 +18,18 @@ def _item(category: str, severity, confidence, value: Column, when: Column) -> C
     return F.when(when, F.struct(ident.alias("evidence_id"), F.lit(category).alias("category"), lit(severity).alias("severity"), lit(confidence).alias("confidence"), value.alias("value")))
 
 
-def _span(pattern: str, bounded: bool) -> Column:
-    """What the pattern finds first in the normalised text, else in the raw text."""
-    p = f"(?i){words(pattern) if bounded else pattern}"
-    found = lambda c: F.nullif(F.regexp_extract(c, p, 0), F.lit(""))
-    return F.coalesce(found(F.col("normalized_text")), found(F.coalesce("raw_text", F.lit(""))))
-
-
 def detect_evidence(df: DataFrame, family_col: str | None = None, model_confidence: float = 0.85) -> DataFrame:
     """Adds evidence (array), evidence_risk, evidence_tier, evidence_category, evidence_confidence and uncertainty.
 
     df comes from normalize and match_brands. With family_col, a family other than SAFE is evidence of its own and
-    decides the category. Evidence ids follow from msg_id and category.
+    decides the category. Evidence ids follow from msg_id and category. A span is what its pattern finds first in the
+    normalised text, else in the raw text.
     """
+    given = "_signals" in df.columns
+    df = with_signals(df, ("evidence",))
     items = []
-    for category, pattern, severity, confidence, case, bounded in C.EVIDENCE:
-        df = df.withColumn(f"_s_{category}", _span(pattern, bounded))
-        span = F.col(f"_s_{category}")
+    for i, (category, _, severity, confidence, case, _) in enumerate(C.EVIDENCE):
+        span = F.get("_signals.spans", F.lit(i))
         items.append(_item(category, severity, confidence, F.upper(span) if case == "upper" else F.lower(span), span.isNotNull()))
     hit = F.col("impersonation_detected")
     brand = _item("BANK_IMPERSONATION", F.when(hit, 40.0).otherwise(18.0), F.when(hit, F.col("brand_confidence")).otherwise(0.70), F.upper("claimed_brand"), F.col("claimed_brand").isNotNull())
@@ -46,7 +42,7 @@ def detect_evidence(df: DataFrame, family_col: str | None = None, model_confiden
         ident = F.sha2(F.concat_ws("|", F.col("msg_id").cast("string"), F.lit("model")), 256)
         model = F.struct(ident.alias("evidence_id"), kind.alias("category"), F.lit(30.0).alias("severity"), F.lit(model_confidence).alias("confidence"), family.alias("value"))
         found = F.when(family != "SAFE", F.concat(found, F.array(model))).otherwise(found)
-    df = barrier(df.withColumn("evidence", found).drop(*(f"_s_{c[0]}" for c in C.EVIDENCE)))
+    df = barrier(df.withColumn("evidence", found), "evidence")
     total = F.aggregate("evidence", F.lit(0.0), lambda a, e: a + e["severity"])
     df = df.withColumn("evidence_risk", F.least(F.lit(100), F.floor(total).cast("int")))
     risk = F.col("evidence_risk")
@@ -54,7 +50,8 @@ def detect_evidence(df: DataFrame, family_col: str | None = None, model_confiden
     df = df.withColumn("evidence_category", _category(family_col))
     mean = F.aggregate("evidence", F.lit(0.0), lambda a, e: a + e["confidence"]) / F.size("evidence")
     df = df.withColumn("evidence_confidence", F.when(F.size("evidence") > 0, half_even(mean, 2)).otherwise(0.95))
-    return barrier(df.withColumn("uncertainty", half_even(1 - F.col("evidence_confidence"), 2)))
+    df = df.withColumn("uncertainty", half_even(1 - F.col("evidence_confidence"), 2))
+    return df if given else df.drop("_signals")
 
 
 def _category(family_col: str | None) -> Column:

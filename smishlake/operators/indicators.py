@@ -87,6 +87,26 @@ def host_of(url: Column) -> Column:
     return F.lower(url_part(with_scheme(url), "host"))
 
 
+@F.pandas_udf(T.StringType())
+def idn_decoded(hosts: pd.Series) -> pd.Series:
+    """Hosts with their xn-- labels decoded (Bootstring); a host with a label that does not decode stays as it is."""
+    def one(host: str | None) -> str | None:
+        try:
+            return host and host.encode("ascii").decode("idna")
+        except UnicodeError:
+            return host
+
+    return hosts.map(one)
+
+
+def decoded_hosts(df: DataFrame, host_col: str = "host") -> DataFrame:
+    """Adds is_idn (a host with an xn-- label or letters beyond ASCII) and host_unicode, its form for readers. Only hosts
+    that are flagged go to Python; a null host is not flagged."""
+    host = F.col(host_col)
+    df = df.withColumn("is_idn", F.coalesce(host.contains("xn--") | host.rlike(r"[^\x00-\x7F]"), F.lit(False)))
+    return df.withColumn("host_unicode", F.coalesce(idn_decoded(F.when(F.col("is_idn"), host)), host))
+
+
 def domain_confidence(host: Column) -> Column:
     return F.when(host.isin(*C.SHORTENERS), 0.97).when(F.element_at(F.split(host, r"\."), -1).isin(*C.RISKY_TLDS) & host.contains("."), 0.92).otherwise(0.88)
 

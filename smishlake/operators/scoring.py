@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from smishlake.functions import constants as C
 from smishlake.functions.columns import barrier
 from smishlake.operators.brands import match_brands
 from smishlake.operators.evidence import detect_evidence
+from smishlake.operators.signals import PARTS, score_bit, with_signals
 from smishlake.operators.text import normalize
 
 PROFILE = ("fear", "urgency", "authority", "financial", "credential", "link", "call_to_action")
 
 
-def _either(pattern: str) -> Column:
-    return F.col("_clean").rlike(pattern) | F.col("_raw").rlike(pattern)
-
-
 def score_messages(df: DataFrame) -> DataFrame:
     """Adds the seven manipulation scores, scam_family, risk_score, risk_level, recommended_action and decoded_meaning.
 
     Patterns have no word boundaries; links are looked for in the raw text, calls to action in the normalised text.
     """
-    df = df.withColumn("_clean", F.lower("normalized_text")).withColumn("_raw", F.lower(F.coalesce("raw_text", F.lit(""))))
-    family, authority = F, F
-    for name, pattern, score in C.FAMILIES:
-        hit = _either(pattern)
-        family, authority = family.when(hit, F.lit(name)), authority.when(hit, F.lit(score))
+    given = "_signals" in df.columns
+    df = with_signals(df, ("scores",))
+    family = F
+    for name, _, _ in C.FAMILIES:
+        family = family.when(score_bit(f"family_{name}"), F.lit(name))
     zero = F.lit(0.0)
-    df = df.withColumn("fear", F.when(_either(C.FEAR_HIGH), 0.90).when(_either(C.FEAR_LOW), 0.65).otherwise(zero))
-    df = df.withColumn("urgency", F.when(_either(C.URGENCY), 0.85).otherwise(zero))
+    df = df.withColumn("fear", F.when(score_bit("fear_high"), 0.90).when(score_bit("fear_low"), 0.65).otherwise(zero))
+    df = df.withColumn("urgency", F.when(score_bit("urgency"), 0.85).otherwise(zero))
     df = df.withColumn("scam_family", family.otherwise("SAFE"))
     scores = {name: score for name, _, score in C.FAMILIES}
     df = df.withColumn("authority", F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in scores.items() for x in kv)), F.col("scam_family")), zero))
-    df = df.withColumn("credential", F.when(_either(C.CREDENTIAL), 0.95).otherwise(zero)).withColumn("financial", F.when(_either(C.FINANCIAL), 0.80).otherwise(zero))
-    df = df.withColumn("link", F.when(F.col("_raw").rlike(C.LINK), 0.90).otherwise(zero)).withColumn("call_to_action", F.when(F.col("_clean").rlike(C.CALL_TO_ACTION), 0.85).otherwise(zero))
+    df = df.withColumn("credential", F.when(score_bit("credential"), 0.95).otherwise(zero)).withColumn("financial", F.when(score_bit("financial"), 0.80).otherwise(zero))
+    df = df.withColumn("link", F.when(score_bit("link"), 0.90).otherwise(zero)).withColumn("call_to_action", F.when(score_bit("call_to_action"), 0.85).otherwise(zero))
     weights = F.array("fear", "urgency", "authority", F.col("credential") * 1.2, F.col("link") * 1.1, F.col("call_to_action") * 0.8)
     active = F.filter(weights, lambda w: w > 0)
-    df = barrier(df.withColumn("_active", active))
+    df = barrier(df.withColumn("_active", active), *PROFILE, "scam_family", "_active")
     safe = (F.col("fear") == 0) & (F.col("link") == 0) & (F.col("credential") == 0) & (F.col("authority") == 0)
     raw = (F.aggregate("_active", zero, lambda a, w: a + w) / F.size("_active") * 0.4 + F.array_max("_active") * 0.6) * 100
     raw = F.when(F.col("n_transformations") > 0, F.least(F.lit(100.0), raw + F.least(F.lit(15.0), F.col("n_transformations") * 5.0))).otherwise(raw)
@@ -50,7 +47,8 @@ def score_messages(df: DataFrame) -> DataFrame:
     df = df.withColumn("recommended_action", action)
     meaning = F.format_string("Tries to cause %s over your %s so that you act at once.", F.when(F.col("fear") > 0.5, "fear and hurry").otherwise("action"), F.when(F.col("scam_family") != "SAFE", F.col("scam_family")).otherwise("account"))
     df = df.withColumn("decoded_meaning", F.when(F.col("_safe"), "No sign of manipulation.").otherwise(meaning))
-    return barrier(df.drop("_clean", "_raw", "_active", "_safe"))
+    df = barrier(df.drop("_active", "_safe"), "scam_family", "risk_score", "risk_level", "recommended_action", "decoded_meaning")
+    return df if given else df.drop("_signals")
 
 
 def trigger_words(df: DataFrame) -> DataFrame:
@@ -62,7 +60,17 @@ def trigger_words(df: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.regexp_extract_all(raw, F.lit(f"(?:{C.FEAR_HIGH}|{C.CREDENTIAL})"), F.lit(0)))).alias("words")))
 
 
-def analyze_messages(messages: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """messages(msg_id, raw_text, sender_id, ...) with everything that is known of each message; no shuffle."""
-    scored = score_messages(normalize(messages, max_chars=max_chars))
-    return detect_evidence(match_brands(scored), "scam_family")
+def analyze_messages(messages: DataFrame, max_chars: int | None = None, parts: tuple[str, ...] = PARTS, log: bool = True) -> DataFrame:
+    """messages(msg_id, raw_text, sender_id, ...) with everything that is known of each message; no shuffle.
+
+    parts names what is wanted: scores, brands, evidence (which needs the other two). All of them come from one pass over
+    the texts. Without log the transformations are counted, but not listed.
+    """
+    df = with_signals(normalize(messages, max_chars=max_chars, log=log), parts)
+    if "scores" in parts:
+        df = score_messages(df)
+    if "brands" in parts:
+        df = match_brands(df)
+    if "evidence" in parts:
+        df = detect_evidence(df, "scam_family")
+    return df.drop("_signals")

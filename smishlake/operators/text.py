@@ -89,58 +89,81 @@ def restore_word(word: str) -> tuple[str, tuple]:
     return " ".join(parts), tuple(hits) if any(hits) else ()
 
 
-#: Built without a session: workers import this module.
+#: Built without a session: workers import this module. n counts what the log lists.
+WORD_COUNT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
 WORD_LOG = T.StructType([T.StructField("text", T.StringType()), T.StructField("log", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("type", "original", "transformed")])))])
 
 
-@F.pandas_udf(WORD_LOG)
-def restore_words(texts: pd.Series) -> pd.DataFrame:
-    """The word passes over whole texts; every distinct word of a batch is worked out once."""
-    known: dict[str, tuple] = {}
-    out, logs = [], []
+class _Restored(dict):
+    """Words that a pass changes, with what became of them; words that stay are None."""
+
+    def __missing__(self, word: str) -> tuple | None:
+        got = restore_word(word)
+        self[word] = got if got[1] else None
+        return self[word]
+
+
+def _restored(texts: pd.Series):
+    """(text after the word passes, what the passes hit) of each text; every distinct word of a batch is worked out once."""
+    known = _Restored()
     for text in texts:
         words = text.split(" ")
-        found = []
-        for i, w in enumerate(words):
-            got = known.get(w)
-            if got is None:
-                got = known[w] = restore_word(w)
-            if got[1]:
-                words[i] = got[0]
-                found.append(got[1])
-        out.append(" ".join(words))
-        logs.append([{"type": kind, "original": a, "transformed": b} for k, (kind, _) in enumerate(WORD_PASSES) for hits in found for a, b in hits[k]])
-    return pd.DataFrame({"text": out, "log": logs})
-
-
-def normalize(df: DataFrame, text_col: str = "raw_text", max_chars: int | None = None) -> DataFrame:
+        hits = list(map(known.__getitem__, words))
+        found = [h[1] for h in hits if h is not None]
+        yield " ".join(w if h is None else h[0] for w, h in zip(words, hits, strict=True)) if found else text, found
+
+
+@F.pandas_udf(WORD_LOG)
+def restore_words(texts: pd.Series) -> pd.DataFrame:
+    """The word passes over whole texts, with their log."""
+    rows = [(text, [{"type": kind, "original": a, "transformed": b} for k, (kind, _) in enumerate(WORD_PASSES) for hits in found for a, b in hits[k]]) for text, found in _restored(texts)]
+    return pd.DataFrame(rows, columns=["text", "log"])
+
+
+@F.pandas_udf(WORD_COUNT)
+def restore_text(texts: pd.Series) -> pd.DataFrame:
+    """The word passes over whole texts, and how many words they hit."""
+    return pd.DataFrame([(text, sum(len(x) for hits in found for x in hits)) for text, found in _restored(texts)], columns=["text", "n"])
+
+
+def normalize(df: DataFrame, text_col: str = "raw_text", max_chars: int | None = None, log: bool = True) -> DataFrame:
     """Adds normalized_text, transformations (log), n_transformations, text_confidence, language and scripts.
 
     One chain of projections, no shuffle. Python sees texts that NFKC can change, and each text once for the word passes
     (Arrow batches, distinct words worked out once). max_chars cuts the text first, as a service with a message limit
-    would. A null text counts as empty.
+    would. Without log, transformations are only counted. A null text counts as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.withColumn("_t0", F.substring(text, 1, max_chars) if max_chars else text)
     df = df.withColumn("_t1", F.regexp_replace("_t0", f"[{C.ZERO_WIDTH}]+", ""))
     odd = F.col("_t1").rlike(f"[^{NFKC_STABLE}]")
-    df = df.withColumn("_t2", F.translate(F.coalesce(nfkc(F.when(odd, F.col("_t1"))), F.col("_t1")), C.CONFUSABLE_FROM, C.CONFUSABLE_TO))
+    df = df.withColumn("_t2", F.coalesce(nfkc(F.when(odd, F.col("_t1"))), F.col("_t1")))
+    df = df.withColumn("_t2", F.when(F.col("_t2").rlike(f"[{C.CONFUSABLE_FROM}]"), F.translate("_t2", C.CONFUSABLE_FROM, C.CONFUSABLE_TO)).otherwise(F.col("_t2")))
     df = df.withColumn("_t3", F.regexp_replace("_t2", rf"(?<=[{LETTER}])[.\-_*~^](?=[{LETTER}])", ""))
     df = df.withColumn("_t4", F.regexp_replace("_t3", r"\[\.?\]|\(\.\)|\{\.?\}", "."))
     df = df.withColumn("_t5", F.regexp_replace("_t4", r"(?i)([a-zA-Z])\1{2,}", "$1"))
     ocr = F.regexp_replace("_t5", "(?<=[a-zA-Z])0(?=[a-zA-Z])", "o")
     df = df.withColumn("_t6", F.regexp_replace(ocr, "(?<=[a-zA-Z])1(?=[a-zA-Z])", "l"))
-    repeats = F.regexp_extract_all("_t4", F.lit(r"((?i)([a-zA-Z])\2{2,})"), F.lit(1))
-    df = df.withColumn("_log", F.concat(
-        _whole("ZERO_WIDTH", "_t0", "_t1"), _whole("CONFUSABLE", "_t1", "_t2"), _whole("PUNCTUATION", "_t2", "_t3"), _whole("DOMAIN_BRACKETS", "_t3", "_t4"),
-        F.transform(repeats, lambda r: _entry("REPEATED", r, F.substring(r, 1, 1))), _whole("OCR_DIGIT", "_t5", "_t6")))
-    df = df.withColumn("_w", restore_words("_t6"))
-    df = df.withColumn("_t10", F.col("_w.text")).withColumn("_log", F.concat("_log", "_w.log")).drop("_w")
-    df = df.withColumn("normalized_text", F.trim(F.regexp_replace("_t10", r"(?U)\s+", " ")))
-    df = df.withColumn("transformations", F.concat("_log", _whole("WHITE_SPACE", "_t10", "normalized_text")))
-    df = df.withColumn("n_transformations", F.size("transformations")).drop("_log", *(f"_t{i}" for i in (*range(7), 10)))
+    if log:
+        repeats = F.regexp_extract_all("_t4", F.lit(r"((?i)([a-zA-Z])\2{2,})"), F.lit(1))
+        df = df.withColumn("_log", F.concat(
+            _whole("ZERO_WIDTH", "_t0", "_t1"), _whole("CONFUSABLE", "_t1", "_t2"), _whole("PUNCTUATION", "_t2", "_t3"), _whole("DOMAIN_BRACKETS", "_t3", "_t4"),
+            F.transform(repeats, lambda r: _entry("REPEATED", r, F.substring(r, 1, 1))), _whole("OCR_DIGIT", "_t5", "_t6")))
+        df = df.withColumn("_w", restore_words("_t6"))
+    else:
+        changed = lambda a, b: (F.col(a) != F.col(b)).cast("int")
+        repeats = F.when(F.col("_t4") != F.col("_t5"), F.regexp_count("_t4", F.lit(r"(?i)([a-zA-Z])\1{2,}"))).otherwise(0)  # what repeats a letter always changes
+        df = df.withColumn("_n", changed("_t0", "_t1") + changed("_t1", "_t2") + changed("_t2", "_t3") + changed("_t3", "_t4") + repeats + changed("_t5", "_t6"))
+        df = df.withColumn("_w", restore_text("_t6"))
+    df = df.withColumn("_t10", F.col("_w.text")).withColumn("normalized_text", F.trim(F.regexp_replace("_t10", r"(?U)\s+", " ")))
+    if log:
+        df = df.withColumn("transformations", F.concat("_log", "_w.log", _whole("WHITE_SPACE", "_t10", "normalized_text")))
+        df = df.withColumn("n_transformations", F.size("transformations"))
+    else:
+        df = df.withColumn("n_transformations", F.col("_n") + F.col("_w.n") + changed("_t10", "normalized_text"))
+    df = df.drop("_log", "_n", "_w", *(f"_t{i}" for i in (*range(7), 10)))
     df = df.withColumn("text_confidence", F.greatest(F.lit(0.1), 1 - 0.03 * F.col("n_transformations")))
-    return detect_language(barrier(df))
+    return detect_language(barrier(df, "normalized_text", "n_transformations", "text_confidence", *(["transformations"] if log else [])))
 
 
 def detect_language(df: DataFrame, text_col: str = "normalized_text") -> DataFrame:
@@ -149,4 +172,4 @@ def detect_language(df: DataFrame, text_col: str = "normalized_text") -> DataFra
     deva, latin = t.rlike("[ऀ-ॿ]"), t.rlike("[a-zA-Z]")
     marked = F.arrays_overlap(F.split(F.lower(t), r"(?U)\s+"), text_literals(C.HINGLISH_MARKERS))
     language = F.when(deva, "hi").when(latin & marked, "hinglish").when(latin, "en").otherwise("unknown")
-    return barrier(df.withColumn("language", language).withColumn("scripts", F.array_compact(F.array(F.when(deva, F.lit("Deva")), F.when(latin, F.lit("Latn"))))))
+    return barrier(df.withColumn("language", language).withColumn("scripts", F.array_compact(F.array(F.when(deva, F.lit("Deva")), F.when(latin, F.lit("Latn"))))), "language", "scripts")

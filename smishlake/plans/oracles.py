@@ -273,13 +273,17 @@ CAMPAIGNS = f"""RECURSIVE {MESSAGES}, {normalised()}, {scored()},
 wc AS (SELECT msg_id, ('0x' || substr(md5(w), 1, 2))::INT AS k, count(*) AS c FROM (SELECT msg_id, unnest(list_filter(string_split(lower(norm), ' '), lambda w: w <> '')) AS w FROM n) GROUP BY ALL),
 vec AS (SELECT msg_id, list_transform(range(256), lambda k: coalesce(mp[k], 0)::DOUBLE) AS v FROM (SELECT msg_id, map_from_entries(list({{'k': k, 'v': c}})) AS mp FROM wc GROUP BY msg_id)),
 dup AS (SELECT msg_id, min(msg_id) OVER (PARTITION BY raw_text) AS first_id FROM m),
-ord AS (SELECT scam_family, msg_id, v, row_number() OVER (PARTITION BY scam_family ORDER BY epoch, msg_id) AS k FROM sl JOIN vec USING (msg_id) JOIN dup USING (msg_id) WHERE msg_id = first_id),
-gr AS (SELECT scam_family, k, [{{'id': msg_id, 'v': v}}] AS heads FROM ord WHERE k = 1
-  UNION ALL SELECT gr.scam_family, o.k, CASE WHEN len(list_filter(gr.heads, lambda h: list_cosine_similarity(h.v, o.v) >= 0.82)) > 0 THEN gr.heads ELSE list_append(gr.heads, {{'id': o.msg_id, 'v': o.v}}) END FROM gr JOIN ord o ON o.scam_family = gr.scam_family AND o.k = gr.k + 1),
-hd AS (SELECT scam_family, unnest(heads).id AS head FROM gr QUALIFY k = max(k) OVER (PARTITION BY scam_family)),
-ho AS (SELECT hd.scam_family, head, o.k AS hk, o.v AS hv FROM hd JOIN ord o ON o.msg_id = head),
-sim AS (SELECT o.msg_id, head, hk, CASE WHEN head = o.msg_id THEN 1 ELSE list_cosine_similarity(hv, o.v) END AS c FROM ord o JOIN ho ON ho.scam_family = o.scam_family AND hk <= o.k),
-bst AS (SELECT msg_id, head, c FROM sim WHERE c >= 0.82 QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY c DESC, hk) = 1),
+ord AS (SELECT scam_family, msg_id, list_transform(v, lambda x: x / sqrt(l)) AS u, row_number() OVER (PARTITION BY scam_family ORDER BY epoch, msg_id) AS k
+  FROM (SELECT *, list_dot_product(v, v) AS l FROM sl JOIN vec USING (msg_id) JOIN dup USING (msg_id) WHERE msg_id = first_id)),
+gr AS (SELECT scam_family, k, msg_id AS who, 1.0::DOUBLE AS c, [{{'id': msg_id, 'n': 1, 'v': u}}] AS heads FROM ord WHERE k = 1
+  UNION ALL SELECT scam_family, k, CASE WHEN hit THEN heads[p].id ELSE msg_id END, CASE WHEN hit THEN s[p] ELSE 1.0 END,
+    CASE WHEN hit THEN list_transform(heads, lambda h, i: CASE WHEN i = p THEN {{'id': h.id, 'n': h.n + 1, 'v': moved}} ELSE h END) ELSE list_append(heads, {{'id': msg_id, 'n': 1, 'v': u}}) END
+  FROM (SELECT *, list_transform(mean, lambda x: x / l) AS moved FROM (SELECT *, sqrt(list_dot_product(mean, mean)) AS l
+    FROM (SELECT *, list_transform(list_zip(heads[p].v, u), lambda z: (z[1] * (heads[p].n + 1) + z[2]) / (heads[p].n + 2)) AS mean
+      FROM (SELECT *, list_position(s, list_max(s)) AS p, list_max(s) >= 0.82 AS hit
+        FROM (SELECT o.scam_family, o.k, o.msg_id, o.u, gr.heads, list_transform(gr.heads, lambda h: round(list_dot_product(h.v, o.u), 12)) AS s FROM gr JOIN ord o ON o.scam_family = gr.scam_family AND o.k = gr.k + 1)))))),
+bst AS (SELECT msg_id, who AS head, c FROM gr JOIN ord USING (scam_family, k)),
+mid AS (SELECT campaign_id, round(list_max(v), 6) AS largest FROM (SELECT scam_family || '-' || h.id AS campaign_id, h.v AS v FROM (SELECT scam_family, unnest(heads) AS h FROM gr QUALIFY k = max(k) OVER (PARTITION BY scam_family)))),
 asg AS (SELECT m.msg_id, sl.scam_family, sl.scam_family || '-' || head AS campaign_id, CASE WHEN m.msg_id <> first_id OR head = first_id THEN 1.0 ELSE round(c, 4) END::DOUBLE AS similarity, CASE WHEN m.msg_id <> first_id OR head = first_id THEN 1.0 ELSE round_even(round(c * 0.95::DOUBLE, 9), 2) END::DOUBLE AS confidence,
   m.msg_id = first_id AND head = first_id AS is_new, m.msg_id <> first_id AS is_duplicate, own.language, own.risk_score, m.epoch, nullif(m.sender_id, '') AS sender_id
   FROM m JOIN dup USING (msg_id) JOIN bst ON bst.msg_id = first_id JOIN sl ON sl.msg_id = first_id JOIN sl own ON own.msg_id = m.msg_id),
@@ -358,7 +362,38 @@ VARIANTS = f"WITH {MESSAGES}, v AS ({_union()}), {normalised('v', 'msg_id, pertu
 _template = r"sha256(lower(regexp_replace(coalesce(text, ''), '[\s\v\p{Z}\x{85}]+', '', 'g')))"
 _place = f"(('0x' || substr(sha256('42:' || {_template}), 1, 8))::UBIGINT % 1000000) / 1000000"
 SPLIT = f"SELECT doc_id, {_template} AS template, CASE WHEN {_place} < 0.7 THEN 'train' WHEN {_place} < 0.7 + 0.1 THEN 'val' ELSE 'test' END AS split FROM documents"
-JUDGED = "j AS (SELECT 'q' || quality AS label, CASE WHEN n_chars < 300 THEN 'q0' WHEN n_chars > 20000 THEN 'q2' ELSE 'q1' END AS predicted FROM labels JOIN documents USING (doc_id))"
+JUDGED = f"{MESSAGES}, {normalised()}, j AS (SELECT coalesce(lang, 'none') AS label, language AS predicted FROM documents JOIN n ON msg_id = doc_id)"
+#: Category, support page and domains of the organisations, in their order.
+REFERENCE = {"category": strings(o[5] for o in C.ORGANISATIONS), "support_url": strings(o[6] for o in C.ORGANISATIONS), "domains": strings(",".join(o[3]) for o in C.ORGANISATIONS)}
+#: Hosts in another script, and what those of the made URLs say.
+IDN = r"(contains(host, 'xn--') OR regexp_matches(host, '[^\x00-\x7F]'))"
+IDN_HOSTS = {h: h.encode().decode("idna") for h in (u.split("/")[2] for u in R.URLS if "//xn--" in u)}
+
+
+def _marked(c: str) -> str:
+    """Markup characters as references, without a trim."""
+    for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = f"replace({c}, {q(raw)}, {q(ref)})"
+    return c
+
+
+def _log_entries() -> str:
+    """le: type, original and transformed of every log entry of a11."""
+    whole = (("ZERO_WIDTH", "raw_text", "t1"), ("CONFUSABLE", "t1", "t2"), ("PUNCTUATION", "t2", "t3"), ("DOMAIN_BRACKETS", "t3", "t4"), ("OCR_DIGIT", "t5", "t6"), ("WHITE_SPACE", "t10", "norm"))
+    parts = [f"SELECT {q(kind)} AS type, substr({a}, 1, 80) AS original, substr({b}, 1, 80) AS transformed FROM a11 WHERE {a} <> {b}" for kind, a, b in whole]
+    parts += [f"SELECT 'REPEATED', r, r[1] FROM (SELECT unnest(regexp_extract_all(t4, '(?i){c}{{3,}}')) AS r FROM a11)" for c in "abcdefghijklmnopqrstuvwxyz"]
+    vowel, trim = "regexp_replace(lower(w), '[^a-z0-9]', '', 'g')", "trim(lower(w), '.,!?;:')"
+    tests = {"LEET": r"regexp_matches(w, '\p{L}') AND regexp_matches(w, '[0-9@$!|+€£]')", "VOWELS_DROPPED": f"{vowel} IN {listed(C.VOWEL_DELETED)}", "KEYBOARD_TYPO": f"{trim} IN {listed(C.KEYBOARD_TYPOS)}", "ABBREVIATION": f"{trim} IN {listed(C.ABBREVIATIONS)}"}
+    for i, (kind, test) in enumerate(tests.items()):
+        parts.append(f"SELECT {q(kind)}, w, x FROM (SELECT unnest(string_split(t{6 + i}, ' ')) AS w, unnest(string_split(t{7 + i}, ' ')) AS x FROM a11) WHERE {test}")
+    return "le AS (" + " UNION ALL ".join(parts) + ")"
+
+
+LOG_ENTRIES = _log_entries()
+
+#: First distinct domains of each campaign; the message that opens it brings ten at most.
+DOMAIN_LISTS = """cd AS (SELECT campaign_id, list(value ORDER BY seen, value) AS domains FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY seen, value) AS r
+  FROM (SELECT campaign_id, value, min({'a': epoch, 'i': msg_id}) AS seen FROM (SELECT mem.*, value FROM mem JOIN idom USING (msg_id) QUALIFY NOT is_new OR row_number() OVER (PARTITION BY msg_id ORDER BY value) <= 10) GROUP BY ALL)) WHERE r <= 20 GROUP BY campaign_id)"""
 
 ORACLES: dict[str, str] = {
     "intake_rejects": f"WITH {MESSAGES} SELECT CASE WHEN length(trim(raw_text)) = 0 THEN 'empty' WHEN length(raw_text) > 5000 THEN 'too_long' ELSE 'accepted' END AS reason, count(*) AS n, max(length(raw_text))::BIGINT AS longest FROM m GROUP BY 1",
@@ -381,7 +416,7 @@ ORACLES: dict[str, str] = {
     "url_entropy": f"WITH {FINDINGS} SELECT url_id, round(entropy, 4) AS entropy FROM u4",
     "evidence_long": f"{FULL} SELECT msg_id, x.category, x.severity, x.confidence, x.value FROM (SELECT msg_id, unnest(evidence) AS x FROM e)",
     "evidence_risk": f"{FULL} SELECT msg_id, evidence_risk, evidence_tier, evidence_category, round(evidence_confidence, 2) AS evidence_confidence FROM e",
-    "brand_decisions": f"{ANALYSED}, {BRANDS} SELECT msg_id, brand, impersonation_detected, brand_confidence, has_official_link, has_phishing_link, sender_mismatch FROM b",
+    "brand_decisions": f"{ANALYSED}, {BRANDS} SELECT msg_id, brand, impersonation_detected, brand_confidence, has_official_link, has_phishing_link, sender_mismatch, coalesce({REFERENCE['category']}[ord + 1], '') AS ref_category, coalesce({REFERENCE['support_url']}[ord + 1], '') AS ref_support_url, coalesce({REFERENCE['domains']}[ord + 1], '') AS ref_domains FROM b",
     "brand_lookup": f"WITH {MESSAGES}, {URLS}, o(ord, org_id, aliases, domains) AS (VALUES {', '.join(f'({i}, {q(o[0])}, {strings(a.lower() for a in o[2])}, {strings(o[3])})' for i, o in enumerate(C.ORGANISATIONS))}), a AS (SELECT msg_id, arg_min(org_id, ord) AS org_id FROM m LEFT JOIN o ON len(list_filter(aliases, lambda x: contains(lower(raw_text), x))) > 0 GROUP BY msg_id), h AS (SELECT url_id, lower(regexp_extract({schemed('url')}, {PARTS}, 3)) AS host FROM pu), d AS (SELECT url_id, arg_min(org_id, ord) AS org_id FROM h LEFT JOIN o ON len(list_filter(domains, lambda x: host = x OR ends_with(host, '.' || x))) > 0 GROUP BY url_id) SELECT 'alias' AS kind, coalesce(org_id, '') AS org_id, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT 'domain', coalesce(org_id, ''), count(*) FROM d GROUP BY ALL",
     "manipulation": f"{ANALYSED} SELECT {FACTS} FROM sl",
     "family_risk": f"{ANALYSED} SELECT scam_family, risk_level, count(*) AS n, round_even(avg(risk_score), 2) AS avg_risk FROM sl GROUP BY ALL",
@@ -391,18 +426,22 @@ ORACLES: dict[str, str] = {
     "redacted_documents": r"WITH x AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)(password|passwd|secret|token|api_key)\s*[=:]\s*\S+', '\1=<redacted>', 'g'), '(?i)(Bearer\s+)\S+', '\1<redacted>', 'g') AS r FROM documents) SELECT doc_id, sha256(r) AS redacted_sha256, r <> text AS changed FROM x",
     "retention_scrub": f"WITH {MESSAGES} SELECT msg_id, sha256(raw_text) AS content_hash, msg_id < 500 AS scrubbed, CASE WHEN msg_id < 500 THEN '-' ELSE sender_id END AS sender FROM m",
     "text_log": f"WITH {MESSAGES}, {normalised()} SELECT type, sum(k)::BIGINT AS n FROM (SELECT unnest({strings(LOG_TYPES)}) AS type, unnest(logged) AS k FROM n) GROUP BY type HAVING sum(k) > 0",
+    "text_log_entries": f"WITH {MESSAGES}, {normalised()}, {LOG_ENTRIES} SELECT type, original, transformed, count(*) AS n FROM le GROUP BY ALL",
+    "url_hosts": f"WITH {URLS}, h AS (SELECT url_id, lower(regexp_extract(CASE WHEN regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+\\-.]*://') THEN url ELSE 'http://' || url END, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]?|[^/?#:]*)', 1)) AS host FROM pu) SELECT url_id, host, {IDN} AS is_idn, CASE WHEN {IDN} THEN coalesce({mapping(IDN_HOSTS)}[host], host) ELSE host END AS host_unicode FROM h",
+    "decoded_meanings": f"{ANALYSED} SELECT CASE WHEN safe THEN 'No sign of manipulation.' ELSE 'Tries to cause ' || CASE WHEN fear > 0.5 THEN 'fear and hurry' ELSE 'action' END || ' over your ' || CASE WHEN scam_family <> 'SAFE' THEN scam_family ELSE 'account' END || ' so that you act at once.' END AS decoded_meaning, recommended_action, count(*) AS n FROM sl GROUP BY ALL",
     "recommended_actions": f"{ANALYSED} SELECT recommended_action, count(*) AS n, sum(len(list_distinct(regexp_extract_all(lower(raw_text), {q('(?:' + C.FEAR_HIGH + '|' + C.CREDENTIAL + ')')}))))::BIGINT AS n_words, sum(len(list_distinct(regexp_extract_all(lower(raw_text), 'https?://\\S+'))))::BIGINT AS n_links FROM sl GROUP BY ALL",
     "message_records": f"{FULL}, {DNA}, {DNA_HASH}, {INDICATORS}, cm AS (SELECT msg_id AS conv_id, 0 AS turn, raw_text AS text FROM m), {_STAGES}, {MOVES}, {RESULTS}, {NEXT}, ic AS (SELECT msg_id, count(*) FILTER (type = 'url') AS n_url, count(*) FILTER (type = 'phone') AS n_phone, count(*) FILTER (is_internal OR is_idn OR ssrf_risk <> 'safe') AS n_suspicious FROM i GROUP BY msg_id) SELECT dh.msg_id, dh.language, dh.scam_family, dh.risk_score, evidence_tier, brand, impersonation_detected, org, message_structure, hour_bucket, dna_hash, cr.current_state AS stage, cr.overall_confidence AS stage_confidence, coalesce(CASE WHEN abstained THEN 'NEEDS_REVIEW' ELSE p4.action END, '') AS next_step, coalesce(p4.probability, 0)::DOUBLE AS probability, coalesce(n_url, 0)::BIGINT AS n_url, coalesce(n_phone, 0)::BIGINT AS n_phone, coalesce(n_suspicious, 0)::BIGINT AS n_suspicious FROM dh JOIN e ON e.msg_id = dh.msg_id JOIN cr ON cr.conv_id = dh.msg_id LEFT JOIN p4 ON p4.conv_id = dh.msg_id LEFT JOIN ic ON ic.msg_id = dh.msg_id",
     "dna_hash": f"{ANALYSED}, {DNA}, {DNA_HASH} SELECT dna_hash, count(*) AS n, min(scam_family) AS scam_family FROM dh GROUP BY dna_hash",
     "embedding_pairs": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL) SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.4",
     "campaign_assignment": f"WITH {CAMPAIGNS} SELECT msg_id, campaign_id, similarity, confidence, is_new, is_duplicate FROM asg",
-    "campaign_store": f"WITH {CAMPAIGNS}, {INDICATORS}, cd AS (SELECT campaign_id, string_agg(value, ',' ORDER BY seen, value) AS domains FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY seen, value) AS r FROM (SELECT campaign_id, value, min({{'a': epoch, 'i': mem.msg_id}}) AS seen FROM mem JOIN idom USING (msg_id) GROUP BY ALL)) WHERE r <= 20 GROUP BY campaign_id), cv AS (SELECT campaign_id, k, sum(x / l) AS x FROM (SELECT campaign_id, unnest(v) AS x, unnest(range(256)) AS k, sqrt(list_inner_product(v, v)) AS l FROM mem JOIN vec USING (msg_id)) GROUP BY ALL), cl AS (SELECT campaign_id, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM cv GROUP BY campaign_id), cf AS (SELECT campaign_id, round(sum(confidence), 2) AS sum_confidence FROM mem GROUP BY campaign_id) SELECT campaign_id, scam_family, member_count, member_count AS n_stored, sum_confidence, first_seen, last_seen, coalesce(domains, '') AS domains, coalesce(senders, '') AS senders, largest, 'ACTIVE' AS status FROM cs JOIN cl USING (campaign_id) JOIN cf USING (campaign_id) LEFT JOIN cd USING (campaign_id) LEFT JOIN fs USING (campaign_id)",
-    "campaign_summary": f"WITH {CAMPAIGNS} SELECT campaign_id, member_count, scam_family, first_seen, last_seen, confidence, avg_risk, dominant_language, languages FROM cs JOIN lh USING (campaign_id)",
-    "campaign_list": f"WITH {CAMPAIGNS} SELECT campaign_id, last_seen, member_count FROM cs ORDER BY last_seen DESC, campaign_id LIMIT 10 OFFSET 5",
+    "campaign_stream": f"WITH {CAMPAIGNS} SELECT msg_id, campaign_id, similarity, confidence, is_new, is_duplicate FROM asg",
+    "campaign_store": f"WITH {CAMPAIGNS}, {INDICATORS}, {DOMAIN_LISTS}, cf AS (SELECT campaign_id, round(sum(confidence), 2) AS sum_confidence FROM mem GROUP BY campaign_id) SELECT campaign_id, scam_family, member_count, member_count AS n_stored, sum_confidence, first_seen, last_seen, coalesce(array_to_string(domains, ','), '') AS domains, coalesce(senders, '') AS senders, largest, 'ACTIVE' AS status FROM cs JOIN mid USING (campaign_id) JOIN cf USING (campaign_id) LEFT JOIN cd USING (campaign_id) LEFT JOIN fs USING (campaign_id)",
+    "campaign_summary": f"WITH {CAMPAIGNS}, {INDICATORS}, {DOMAIN_LISTS} SELECT campaign_id, coalesce(array_to_string(domains[1:10], ','), '') AS top_domains, member_count, scam_family, first_seen, last_seen, confidence, avg_risk, dominant_language, languages FROM cs JOIN lh USING (campaign_id) LEFT JOIN cd USING (campaign_id)",
+    "campaign_list": f"WITH {CAMPAIGNS}, {INDICATORS}, {DOMAIN_LISTS} SELECT campaign_id, last_seen, member_count, coalesce(array_to_string(domains[1:5], ','), '') AS top_domains FROM cs LEFT JOIN cd USING (campaign_id) ORDER BY last_seen DESC, campaign_id LIMIT 10 OFFSET 5",
     "campaign_senders": f"WITH {CAMPAIGNS} SELECT campaign_id, senders FROM fs",
     "campaign_members": f"WITH {CAMPAIGNS} SELECT campaign_id, msg_id, risk_score, similarity FROM mem WHERE campaign_id = (SELECT campaign_id FROM cs ORDER BY member_count DESC, campaign_id LIMIT 1) ORDER BY epoch, msg_id LIMIT 20 OFFSET 5",
     "cluster_purity": f"WITH {CAMPAIGNS}, f AS (SELECT scam_family, max(member_count) AS top, sum(member_count) AS n FROM cs GROUP BY scam_family) SELECT round(sum(top) / sum(n), 6) AS purity, count(*) AS families FROM f",
-    "dna_traits": f"{ANALYSED}, {DNA} SELECT msg_id, word_count, sentence_count, has_imperatives, org, url_count, tlds, is_shortener, has_homoglyph, phone_count, psp, currencies, message_structure, dna_language, hour_bucket FROM d3",
+    "dna_traits": f"{ANALYSED}, {DNA} SELECT msg_id, word_count, sentence_count, has_imperatives, org, url_count, tlds, is_shortener, has_homoglyph, phone_count, psp, currencies, message_structure, dna_language, CASE WHEN regexp_matches(raw_text, '[ऀ-ॿ]') THEN 'devanagari' ELSE 'latin' END AS dna_script, hour_bucket FROM d3",
     "embedding_validation": "SELECT label, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64) AS n_valid, count(*) AS n FROM embeddings GROUP BY label",
     "label_centroids": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), a AS (SELECT label, k, avg(v) AS v, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT label, max(n) AS n, list(v ORDER BY k) AS c, sqrt(sum(v * v)) AS l FROM a GROUP BY label) SELECT label, n, round(c[1] / l, 6) AS first, round(list_max(c) / l, 6) AS largest FROM b",
     "exact_duplicates": f"WITH {MESSAGES} SELECT msg_id, min(msg_id) OVER w AS first_id, count(*) OVER w AS n_copies, msg_id <> min(msg_id) OVER w AS is_duplicate FROM m WINDOW w AS (PARTITION BY raw_text)",
@@ -415,7 +454,7 @@ ORACLES: dict[str, str] = {
     "augment_random": f"{RANDOM_VARIANTS} SELECT msg_id, perturbation, sha256(raw_text) AS variant_sha256 FROM rv",
     "robustness": f"{VARIANTS}, d AS (SELECT perturbation, language, risk_score >= 40 AS hit FROM sl), u AS (SELECT 'perturbation' AS level, perturbation AS name, hit FROM d UNION ALL SELECT 'language', language, hit FROM d UNION ALL SELECT 'all', 'all', hit FROM d) SELECT level, name, count(*) AS n, count(*) FILTER (hit) AS true_positives, count(*) FILTER (NOT hit) AS false_negatives, round_even(100.0 * count(*) FILTER (hit) / count(*), 1)::DOUBLE AS robustness FROM u GROUP BY ALL",
     "hardest_five": f"{VARIANTS} SELECT msg_id, perturbation, risk_score FROM sl ORDER BY risk_score, msg_id, perturbation LIMIT 5",
-    "undetected": f"{VARIANTS} SELECT perturbation, count(DISTINCT raw_text) AS n FROM sl WHERE risk_score < 40 GROUP BY perturbation",
+    "undetected": f"{VARIANTS} SELECT perturbation, count(DISTINCT raw_text) AS n, sha256(min({_marked('raw_text')})) AS first_sha256 FROM sl WHERE risk_score < 40 GROUP BY perturbation",
     "template_groups": f"SELECT {_template} AS template, count(*) AS n FROM documents GROUP BY 1",
     "split_by_template": f"SELECT doc_id, split FROM ({SPLIT})",
     "split_overlap": f"WITH x AS ({SPLIT}) SELECT split, count(DISTINCT template) AS n FROM x GROUP BY split UNION ALL SELECT 'overlap', count(*) FROM (SELECT template FROM x GROUP BY template HAVING count(DISTINCT split) > 1)",

@@ -9,6 +9,7 @@ from smishlake.functions.columns import html_escape
 from smishlake.operators import augment, brands, campaigns, conversations, fingerprint, indicators, reports, scoring, text, training, urls
 from smishlake.plans import relations as R
 from smishlake.sources import tables as S
+from smishlake.streaming import jobs
 
 QUERIES: dict = {}
 FACTS = ["msg_id", "risk_score", "risk_level", "scam_family", *scoring.PROFILE]
@@ -19,8 +20,13 @@ def query(f):
     return f
 
 
-def _analyses(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.analyze_messages(R.messages(spark, d))
+def _analyses(spark: SparkSession, d: str, *parts: str, log: bool = False) -> DataFrame:
+    """Messages analysed: the parts that are named, or all."""
+    return scoring.analyze_messages(R.messages(spark, d), parts=parts or scoring.PARTS, log=log)
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return _analyses(spark, d, "scores")
 
 
 def _indicators(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +53,7 @@ def intake_conversations(spark, d):
 def analysis_lookup(spark, d):
     """Analyses saved by date, and fetched by id for the ids that analysts have labelled."""
     folder = S.new_folder(spark, "analyses")
-    S.save_by_date(_analyses(spark, d).select(*FACTS, "received_at"), folder, mode="overwrite")
+    S.save_by_date(_scores(spark, d).select(*FACTS, "received_at"), folder, mode="overwrite")
     return S.fetch_all(S.read_any(spark, folder), "msg_id", S.read_table(spark, d, "labels").select(F.col("doc_id").alias("msg_id"))).select(*FACTS)
 
 
@@ -76,7 +82,7 @@ def key_violations(spark, d):
 @query
 def text_normalised(spark, d):
     """Normalised text, number of log entries, confidence."""
-    n = text.normalize(R.messages(spark, d))
+    n = text.normalize(R.messages(spark, d), log=False)
     return n.select("msg_id", F.sha2("normalized_text", 256).alias("normalized_sha256"), F.length("normalized_text").cast("long").alias("n_chars"), F.col("n_transformations").cast("long").alias("n_transformations"), F.round("text_confidence", 6).alias("text_confidence"))
 
 
@@ -94,10 +100,17 @@ def text_log(spark, d):
     return n.select(F.explode("transformations").alias("t")).groupBy(F.col("t.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def text_log_entries(spark, d):
+    """The log entries themselves, before and after, and how often each stands in the log of a message."""
+    n = text.normalize(R.messages(spark, d))
+    return n.select(F.explode("transformations").alias("t")).groupBy("t.type", "t.original", "t.transformed").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def lang_script(spark, d):
     """Languages and scripts of the normalised texts."""
-    n = text.normalize(R.messages(spark, d))
+    n = text.normalize(R.messages(spark, d), log=False)
     return n.groupBy("language", F.array_join("scripts", ",").alias("scripts")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -152,6 +165,13 @@ def ioc_safe_urls(spark, d):
     return reports.of_type(indicators.safe_only(_indicators(spark, d)), "url").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def url_hosts(spark, d):
+    """Host of every URL, whether it is internationalised, and what it says decoded."""
+    u = R.page_urls(spark, d).withColumn("host", indicators.host_of(F.col("url")))
+    return indicators.decoded_hosts(u).select("url_id", "host", "is_idn", "host_unicode")
+
+
 @query
 def ip_risk_class(spark, d):
     """Address class of every URL."""
@@ -194,8 +214,8 @@ def evidence_risk(spark, d):
 
 @query
 def brand_decisions(spark, d):
-    """Claimed brand and decision of each message."""
-    return _analyses(spark, d).select("msg_id", F.coalesce("claimed_brand", F.lit("")).alias("brand"), "impersonation_detected", "brand_confidence", "has_official_link", "has_phishing_link", "sender_mismatch")
+    """Claimed brand, decision and reference of each message."""
+    return _analyses(spark, d, "brands").select("msg_id", F.coalesce("claimed_brand", F.lit("")).alias("brand"), "impersonation_detected", "brand_confidence", "has_official_link", "has_phishing_link", "sender_mismatch", F.coalesce("reference.category", F.lit("")).alias("ref_category"), F.coalesce("reference.support_url", F.lit("")).alias("ref_support_url"), F.coalesce(F.array_join("reference.domains", ","), F.lit("")).alias("ref_domains"))
 
 
 @query
@@ -210,20 +230,26 @@ def brand_lookup(spark, d):
 @query
 def manipulation(spark, d):
     """Profile, family, risk and level of each message."""
-    return _analyses(spark, d).select(*FACTS)
+    return _scores(spark, d).select(*FACTS)
 
 
 @query
 def recommended_actions(spark, d):
     """Actions, and how many distinct trigger words stand in the texts."""
-    a = scoring.trigger_words(_analyses(spark, d))
+    a = scoring.trigger_words(_scores(spark, d))
     return a.groupBy("recommended_action").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("facts.words")).alias("n_words"), F.sum(F.size("facts.links")).alias("n_links"))
 
 
+@query
+def decoded_meanings(spark, d):
+    """What the messages try to do, in words."""
+    return _scores(spark, d).groupBy("decoded_meaning", "recommended_action").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def message_records(spark, d):
     """The wide row of every message: scores, language, brand, stage, next step, fingerprint, counts of indicators."""
-    a = _analyses(spark, d)
+    a = _analyses(spark, d, log=True)
     counts = indicators.threat_report(_indicators(spark, d))
     stages = conversations.single_messages(R.messages(spark, d))
     results = S.persist_table(conversations.conversation_results(stages), "message-stages")
@@ -240,26 +266,26 @@ def message_records(spark, d):
 @query
 def family_risk(spark, d):
     """X9, G1, flagship: families and levels."""
-    return reports.risk_levels(_analyses(spark, d))
+    return reports.risk_levels(_scores(spark, d))
 
 
 # ---- analyst queries ---------------------------------------------------------------------------------------------------
 @query
 def overview(spark, d):
     """G1: totals."""
-    return reports.overview(_analyses(spark, d))
+    return reports.overview(_scores(spark, d))
 
 
 @query
 def family_language_sets(spark, d):
     """G1: histograms with grouping sets."""
-    return reports.histograms(_analyses(spark, d))
+    return reports.histograms(_scores(spark, d))
 
 
 @query
 def messages_page(spark, d):
     """Second page of a family, newest first, without text."""
-    a = reports.without_text(_analyses(spark, d))
+    a = reports.without_text(_scores(spark, d))
     return reports.messages_page(a, "bank_kyc", 35, limit=20, offset=20).select("msg_id", "scam_family", "risk_score")
 
 
@@ -282,21 +308,21 @@ def retention_scrub(spark, d):
 @query
 def dna_traits(spark, d):
     """Structural traits."""
-    f = fingerprint.build_fingerprints(_analyses(spark, d))
-    return f.select("msg_id", F.col("word_count").cast("long").alias("word_count"), F.col("sentence_count").cast("long").alias("sentence_count"), "has_imperatives", "org", F.col("url_count").cast("long").alias("url_count"), F.array_join("tlds", ",").alias("tlds"), "is_shortener", "has_homoglyph", F.col("phone_count").cast("long").alias("phone_count"), F.array_join("psp_handles", ",").alias("psp"), F.array_join("currencies", ",").alias("currencies"), "message_structure", "dna_language", "hour_bucket")
+    f = fingerprint.build_fingerprints(_analyses(spark, d, "scores", log=True))
+    return f.select("msg_id", F.col("word_count").cast("long").alias("word_count"), F.col("sentence_count").cast("long").alias("sentence_count"), "has_imperatives", "org", F.col("url_count").cast("long").alias("url_count"), F.array_join("tlds", ",").alias("tlds"), "is_shortener", "has_homoglyph", F.col("phone_count").cast("long").alias("phone_count"), F.array_join("psp_handles", ",").alias("psp"), F.array_join("currencies", ",").alias("currencies"), "message_structure", "dna_language", "dna_script", "hour_bucket")
 
 
 @query
 def dna_hash(spark, d):
     """Fingerprint hashes and how many messages have them."""
-    f = fingerprint.build_fingerprints(_analyses(spark, d))
+    f = fingerprint.build_fingerprints(_analyses(spark, d, "scores", log=True))
     return f.groupBy("dna_hash").agg(F.count(F.lit(1)).alias("n"), F.min("scam_family").alias("scam_family"))
 
 
 @query
 def dna_pairs_topk(spark, d):
     """Most similar partners of each message among those that share an entity or a fingerprint."""
-    a = campaigns.text_vectors(_analyses(spark, d))
+    a = campaigns.text_vectors(_analyses(spark, d, "scores", log=True))
     return fingerprint.top_partners(fingerprint.build_fingerprints(a, _indicators(spark, d)), 3).select("id_a", "id_b", "composite", "association", "rank")
 
 
@@ -327,11 +353,25 @@ def exact_duplicates(spark, d):
     return campaigns.exact_duplicates(R.messages(spark, d)).select("msg_id", "first_id", "n_copies", "is_duplicate")
 
 
-def _assigned(spark, d) -> DataFrame:
-    """Messages with the campaigns that they were assigned to."""
+def _campaign_messages(spark, d) -> DataFrame:
+    """Analysed messages with word vectors, stored."""
     kept = ["msg_id", "raw_text", "scam_family", "received_at", "sender_id", "language", "risk_score", "embedding"]
-    a = S.persist_table(campaigns.word_vectors(_analyses(spark, d)).select(*kept), "messages-analysed")
-    return a.drop("raw_text").join(S.persist_table(campaigns.assign_campaigns(a), "campaign-members").hint("merge"), "msg_id")
+    return S.persist_table(campaigns.word_vectors(_scores(spark, d)).select(*kept), "messages-analysed")
+
+
+def _assigned_with_centroids(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Messages with the campaigns that they were assigned to, and the centroids of these."""
+    a = _campaign_messages(spark, d)
+    members, centroid = campaigns.assign_with_centroids(a)
+    return a.drop("raw_text").join(S.persist_table(members, "campaign-members").hint("merge"), "msg_id"), centroid
+
+
+def _assigned(spark, d) -> DataFrame:
+    return _assigned_with_centroids(spark, d)[0]
+
+
+def _domains(spark, d) -> DataFrame:
+    return _indicators(spark, d).filter("type = 'domain'").select("msg_id", "value")
 
 
 @query
@@ -340,11 +380,26 @@ def campaign_assignment(spark, d):
     return _assigned(spark, d).select("msg_id", "campaign_id", "similarity", "confidence", "is_new", "is_duplicate")
 
 
+@query
+def campaign_stream(spark, d):
+    """The same assignment by a stream to which the messages come in four deliveries, in the order of time."""
+    a = _campaign_messages(spark, d).withColumn("content_hash", S.content_hash(F.col("raw_text"))).drop("raw_text")
+    folder = S.new_folder(spark, "campaign-stream")
+    span = a.agg(F.min("received_at").alias("a"), F.max("received_at").alias("b")).first()
+    part = F.least(F.lit(3), F.floor((F.unix_micros("received_at") - F.unix_micros(F.lit(span["a"]))) * 4 / F.greatest(F.lit(1), F.unix_micros(F.lit(span["b"])) - F.unix_micros(F.lit(span["a"])))))
+    for k in range(4):
+        a.filter(part == k).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(a.schema).parquet(f"{folder}/in")
+        jobs.assign_campaigns(stream, folder).trigger(availableNow=True).start().awaitTermination()
+    return jobs.read_assigned(spark, folder)
+
+
 @query
 def campaign_store(spark, d):
     """The campaigns written with their members, and read back."""
     folder = S.new_folder(spark, "campaign-store")
-    campaigns.write_campaigns(_assigned(spark, d), folder, _indicators(spark, d).filter("type = 'domain'"))
+    members, centroid = _assigned_with_centroids(spark, d)
+    campaigns.write_campaigns(members, folder, _domains(spark, d), centroid)
     members = S.read_any(spark, f"{folder}/campaign_members").groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_stored"), F.round(F.sum("confidence"), 2).alias("sum_confidence"))
     c = S.read_any(spark, f"{folder}/campaigns").join(members.hint("merge"), "campaign_id")
     return c.select("campaign_id", "scam_family", "member_count", "n_stored", "sum_confidence", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen"), F.array_join("domains", ",").alias("domains"), F.array_join("senders", ",").alias("senders"), F.round(F.array_max("centroid"), 6).alias("largest"), "status")
@@ -357,23 +412,25 @@ def _members(spark, d) -> DataFrame:
 
 @query
 def campaign_summary(spark, d):
-    """Summaries of campaigns."""
-    s = campaigns.campaign_summaries(_members(spark, d))
-    return s.select("campaign_id", "member_count", "scam_family", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen"), "confidence", "avg_risk", "dominant_language", F.array_join(F.transform(F.map_entries("languages"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("languages"))
+    """Details of campaigns."""
+    m = _members(spark, d)
+    s = campaigns.with_top_domains(campaigns.campaign_summaries(m), campaigns.campaign_domains(m, _domains(spark, d)), campaigns.DOMAINS_DETAILED)
+    return s.select("campaign_id", F.array_join("top_domains", ",").alias("top_domains"), "member_count", "scam_family", F.unix_timestamp("first_seen").alias("first_seen"), F.unix_timestamp("last_seen").alias("last_seen"), "confidence", "avg_risk", "dominant_language", F.array_join(F.transform(F.map_entries("languages"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("languages"))
 
 
 @query
 def campaign_list(spark, d):
     """C11: a page of campaigns, last seen first."""
-    s = campaigns.campaign_summaries(_members(spark, d))
-    return campaigns.list_campaigns(s, 10, 5).select("campaign_id", F.unix_timestamp("last_seen").alias("last_seen"), "member_count")
+    m = _members(spark, d)
+    s = campaigns.with_top_domains(campaigns.campaign_summaries(m), campaigns.campaign_domains(m, _domains(spark, d)), campaigns.DOMAINS_LISTED)
+    return campaigns.list_campaigns(s, 10, 5).select("campaign_id", F.unix_timestamp("last_seen").alias("last_seen"), "member_count", F.array_join("top_domains", ",").alias("top_domains"))
 
 
 @query
 def campaign_senders(spark, d):
     """First distinct senders of each campaign."""
     m = _members(spark, d).withColumn("sender_id", F.nullif("sender_id", F.lit("")))
-    return campaigns.first_distinct(m, "sender_id", campaigns.SENDERS_KEPT).select("campaign_id", F.array_join("values", ",").alias("senders"))
+    return campaigns.first_distinct(m, "sender_id", campaigns.SENDERS_KEPT, campaigns.SENDERS_OPENED).select("campaign_id", F.array_join("values", ",").alias("senders"))
 
 
 @query
@@ -443,7 +500,7 @@ def augment_random(spark, d):
 
 def _variants(spark, d):
     """Scored fixed variants of all messages."""
-    return scoring.score_messages(text.normalize(augment.augment_messages(R.messages(spark, d), augment.FIXED)))
+    return scoring.score_messages(text.normalize(augment.augment_messages(R.messages(spark, d), augment.FIXED), log=False))
 
 
 @query
@@ -460,8 +517,8 @@ def hardest_five(spark, d):
 
 @query
 def undetected(spark, d):
-    """P25: distinct undetected variants per perturbation."""
-    return augment.failures(_variants(spark, d)).groupBy("perturbation").agg(F.count(F.lit(1)).alias("n"))
+    """P25: distinct undetected variants per perturbation, escaped, and the first of them."""
+    return augment.failures(_variants(spark, d)).groupBy("perturbation").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.min("escaped"), 256).alias("first_sha256"))
 
 
 # ---- training ----------------------------------------------------------------------------------------------------------
@@ -488,7 +545,7 @@ def split_overlap(spark, d):
 @query
 def calibrated(spark, d):
     """calibration of a scored table; the scores are the normalised profile."""
-    a = _analyses(spark, d)
+    a = _scores(spark, d)
     names = F.array(*map(F.lit, scoring.PROFILE))
     p = F.array(*scoring.PROFILE)
     a = a.withColumn("probability", F.col("risk_score") / 100).withColumn("label", F.col("scam_family")).withColumn("strongest", training.arg_max(p, names))
@@ -497,9 +554,9 @@ def calibrated(spark, d):
 
 
 def _judged(spark, d):
-    """Quality labels against a rule on length, as labels and predictions."""
-    lab = S.read_table(spark, d, "labels").join(S.read_table(spark, d, "documents").select("doc_id", "n_chars").hint("merge"), "doc_id")
-    return lab.select(F.concat(F.lit("q"), "quality").alias("label"), F.when(F.col("n_chars") < 300, "q0").when(F.col("n_chars") > 20000, "q2").otherwise("q1").alias("predicted"))
+    """Languages of the documents as labels, and what the language rule (T15) says of their messages as predictions."""
+    found = text.normalize(R.messages(spark, d), log=False).select(F.col("msg_id").alias("doc_id"), F.col("language").alias("predicted"))
+    return S.read_table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("label")).join(found.hint("merge"), "doc_id").select("label", "predicted")
 
 
 @query

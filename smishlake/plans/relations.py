@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from smishlake.sources.tables import read_table
+from smishlake.sources.tables import read_table, spread
 
 #: Phrases that put the detectors to work on prose without any of their words; some hold U+200B.
 PHRASES = (
@@ -42,7 +42,7 @@ URLS = (
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """A phrase before each whole document, a sender, and a time one minute after the one before."""
-    d = read_table(spark, folder, "documents")
+    d = spread(read_table(spark, folder, "documents").select("doc_id", "text", "source"))
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod("doc_id", F.lit(len(PHRASES))) + 1).cast("int"))
     sender = F.element_at(F.array(*map(F.lit, SENDERS)), (F.pmod("doc_id", F.lit(len(SENDERS))) + 1).cast("int"))
     text = F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit("")))
@@ -58,7 +58,7 @@ def page_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Each turn with a phrase before it, so that stages change from turn to turn."""
-    c = read_table(spark, folder, "conversations")
+    c = spread(read_table(spark, folder, "conversations"))
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(PHRASES))) + 1).cast("int"))
     return c.select("conv_id", "turn", "role", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
 

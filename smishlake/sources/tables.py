@@ -31,6 +31,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files than there are cores, dealt over all cores: a file with one row group is read by one
+    task, which then does all work that follows without a shuffle. Tables of more files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def read_any(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None, **options) -> DataFrame:
     """Any batch source that Spark reads (parquet, json, csv, orc, jdbc)."""
     reader = spark.read.format(fmt).options(**options)
@@ -52,13 +59,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def persist_table(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends there."""
+def persist_table(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends there. A filter on the columns of `folders` reads only theirs."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def accept_messages(df: DataFrame, max_chars: int | None = MAX_MESSAGE_CHARS) -> tuple[DataFrame, DataFrame]:
     """Accepted rows, and rejects with a reason. Bad rows never fail the job."""
     reason = F.when(F.coalesce(F.length(F.trim("raw_text")), F.lit(0)) == 0, "empty")

@@ -112,7 +112,8 @@ def test_fingerprint_pairs(spark):
 def test_top_partners_of_large_blocks(spark, monkeypatch):
     texts = [f"SBI KYC blocked http://sbi-kyc.click/a now {'please ' * (i % 7)}{i % 40}" for i in range(90)] + [f"part time job number {i % 3}" for i in range(9)] + ["pay merchant@okaxis", "see you at four"]
     m = messages(spark, *texts)
-    f = fingerprint.build_fingerprints(campaigns.text_vectors(scoring.analyze_messages(m)), indicators.extract_indicators(m)).localCheckpoint()
+    f = fingerprint.build_fingerprints(campaigns.text_vectors(scoring.analyze_messages(m)), indicators.extract_indicators(m))
+    f = S.persist_table(f, "test-fingerprints")
     pairs = fingerprint.entity_pairs(f).collect()
     assert len([p for p in pairs if p["id_b"] < 90]) == 90 * 89 // 2
     ends = [(p[a], -p["composite"], p[b], p["association"]) for p in pairs for a, b in (("id_a", "id_b"), ("id_b", "id_a"))]
@@ -137,7 +138,7 @@ def vectors(n, dim=8, seed=1):
     return [(base[rng.integers(0, 12)] + rng.normal(size=dim) * 0.35).tolist() for _ in range(n)]
 
 
-def test_assignment_same_as_one_by_one(spark):
+def test_assignment_same_as_one_by_one(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, f"t{i % 140}", "AB"[i % 2] if i % 29 else None, int(rng.integers(0, 40)), v) for i, v in enumerate(vectors(160))]
     rows += [(900, "zero", "A", 5, [0.0] * 8), (901, "none", "A", 5, None), (902, "zero too", "A", 6, [0.0] * 8)]
@@ -146,26 +147,37 @@ def test_assignment_same_as_one_by_one(spark):
     first = {}
     for i, t, *_ in sorted(rows):
         first.setdefault(t, i)
-    heads, want = {}, {}
+    camps, want = {}, {}
     for i, t, f, at, v in sorted(rows, key=lambda r: (r[3], r[0])):
         if first[t] != i:
             continue
         u = np.array(v) / np.linalg.norm(v) if v and any(v) else None
-        old = [(float(np.dot(u, x)), k) for k, (j, x) in enumerate(heads.get(f, [])) if u is not None and x is not None]
-        best = max(old, key=lambda s: (s[0], -s[1]), default=(-2, 0))
+        mine = camps.setdefault(f, [])
+        old = [(round(float(np.dot(u, c["mean"])), 12), -k) for k, c in enumerate(mine) if u is not None and c["mean"] is not None]
+        best = max(old, default=(-2, 0))
         if best[0] >= 0.82:
-            want[i] = (f"{f or ''}-{heads[f][best[1]][0]}", round(best[0], 4), False)
+            c = mine[-best[1]]
+            c["n"] += 1
+            mean = (c["mean"] * c["n"] + u) / (c["n"] + 1)
+            c["mean"] = mean / np.linalg.norm(mean)
+            want[i] = (f"{f or ''}-{c['id']}", round(best[0], 4), False)
         else:
             want[i] = (f"{f or ''}-{i}", 1.0, True)
-            heads.setdefault(f, []).append((i, u))
+            mine.append({"id": i, "n": 1, "mean": u})
     assert 20 < sum(w[2] for w in want.values()) < 150
-    for opened in (3, 256):
-        got = {r["msg_id"]: r for r in campaigns.assign_campaigns(df, opened=opened).collect()}
+    frozen = {c["id"]: c["mean"] for mine in camps.values() for c in mine}
+    for block, replayed in ((3, 2), (4096, 512)):
+        monkeypatch.setattr(campaigns, "REPLAYED", replayed)
+        members, centroid = campaigns.assign_with_centroids(df, block=block)
+        got = {r["msg_id"]: r for r in members.collect()}
         assert set(got) == {r[0] for r in rows}
         for i, t, *_ in rows:
             w = want[first[t]]
             assert got[i]["campaign_id"] == w[0] and got[i]["is_duplicate"] == (first[t] != i) and got[i]["is_new"] == (w[2] and first[t] == i)
             assert abs(got[i]["similarity"] - (1.0 if first[t] != i else w[1])) < 1e-9
+        for r in centroid.collect():
+            mean = frozen[int(r["campaign_id"].split("-")[-1])]
+            assert not any(r["centroid"]) if mean is None else np.allclose(r["centroid"], mean)
     assert campaigns.assign_campaigns(df.limit(0)).count() == 0
 
 
