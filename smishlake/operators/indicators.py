@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import ipaddress
 import logging
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,51 +13,22 @@ from pyspark.sql import types as T
 
 from smishlake.functions import constants as C
 from smishlake.functions.columns import barrier, url_part, with_scheme, words
+from smishlake.operators.networks import address, in_network
 from smishlake.sources.tables import sized
 
 COLUMNS = ["msg_id", "type", "value", "pos", "confidence", "ssrf_risk", "is_internal", "is_idn", "host"]
 
 
-def v4_range(cidr: str) -> tuple[int, int]:
-    """First and last address of an IPv4 network, as numbers."""
-    net = ipaddress.IPv4Network(cidr)
-    return int(net.network_address), int(net.broadcast_address)
-
-
-@F.pandas_udf(T.StringType())
-def v6_class(hosts: pd.Series) -> pd.Series:
-    """loopback, private_ip or null of IPv6 literals; only hosts with a colon are sent here."""
-    networks = [ipaddress.IPv6Network(n) for n in C.PRIVATE_V6]
-
-    def one(host: str | None) -> str | None:
-        try:
-            address = ipaddress.IPv6Address((host or "").strip("[]"))
-        except ValueError:
-            return None
-        if address == ipaddress.IPv6Address("::1"):
-            return "loopback"
-        return "private_ip" if any(address in n for n in networks) else None
-
-    return hosts.map(one)
-
-
-def v4_number(host: Column) -> Column:
-    """An IPv4 literal as a number, else null."""
-    octets = F.split(F.when(host.rlike(rf"^{C.IPV4}$"), host), r"\.")
-    return sum((octets[i].cast("long") * 256 ** (3 - i) for i in range(1, 4)), octets[0].cast("long") * 256**3)
-
-
 def risk_class(df: DataFrame, url_col: str, out: str = "ssrf_risk") -> DataFrame:
     """Adds the static address class of a URL or address: safe, blocked, invalid_scheme, metadata_endpoint, loopback, private_ip."""
     url = F.trim(F.coalesce(F.col(url_col), F.lit("")))
     df = df.withColumn("_u", with_scheme(url)).withColumn("_h", F.lower(url_part(F.col("_u"), "host")))
-    df = barrier(df)
+    df = barrier(df, "_u", "_h")
     scheme, host = F.lower(url_part(F.col("_u"), "scheme")), F.col("_h")
-    df = df.withColumn("_n", v4_number(host))
-    private = F.lit(False)
-    for cidr in C.PRIVATE_V4:
-        private = private | F.col("_n").between(*v4_range(cidr))
-    df = df.withColumn("_p", F.coalesce(private, F.lit(False))).withColumn("_6", v6_class(F.when(host.contains(":"), host)))
+    literal = host.rlike(rf"^(?:{C.IPV4}|.*:.*)$")
+    df = barrier(df.withColumn("_a", F.when(literal, address(host))), "_a")
+    held = lambda cidrs: reduce(or_, (in_network(F.col("_a"), c) for c in cidrs))
+    df = df.withColumn("_p", held(C.PRIVATE_V4)).withColumn("_6", F.when(in_network(F.col("_a"), "::1/128"), "loopback").when(held(C.PRIVATE_V6), "private_ip"))
     risk = (
         F.when(url == "", "blocked")
         .when(~scheme.isin("http", "https"), "invalid_scheme")
@@ -68,7 +40,7 @@ def risk_class(df: DataFrame, url_col: str, out: str = "ssrf_risk") -> DataFrame
         .when(host.isin(*C.LOCAL_HOSTS), "loopback")
         .otherwise("safe")
     )
-    return barrier(df.withColumn(out, risk).drop("_u", "_h", "_n", "_p", "_6"))
+    return barrier(df.withColumn(out, risk).drop("_u", "_h", "_a", "_p", "_6"), out)
 
 
 def safe_only(df: DataFrame, risk_col: str = "ssrf_risk") -> DataFrame:

@@ -267,11 +267,24 @@ _sorted_types = ", ".join(f"CASE WHEN logged[{LOG_TYPES.index(t) + 1}] > 0 THEN
 _flag = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
 DNA_HASH = f"""dh AS (SELECT *, 'dna_' || substr(sha256('archetype=' || scam_family || '|org=' || org || '|obf=' || array_to_string(list_filter([{_sorted_types}], lambda x: x IS NOT NULL), ',') || '|ent=|struct=' || message_structure || '|has_url=' || {_flag("len(us) > 0")} || '|has_vpa=' || {_flag("len(psps) > 0")}), 1, 16) AS dna_hash FROM d3)"""
 
+#: Word vectors of the messages.
+VECTORS = """wc AS (SELECT msg_id, ('0x' || substr(md5(w), 1, 2))::INT AS k, count(*) AS c FROM (SELECT msg_id, unnest(list_filter(string_split(lower(norm), ' '), lambda w: w <> '')) AS w FROM n) GROUP BY ALL),
+vec AS (SELECT msg_id, list_transform(range(256), lambda k: coalesce(mp[k], 0)::DOUBLE) AS v FROM (SELECT msg_id, map_from_entries(list({'k': k, 'v': c})) AS mp FROM wc GROUP BY msg_id))"""
+_jaccard = lambda x, y, empty: f"(CASE WHEN len({x}) + len({y}) = 0 THEN {empty} ELSE len(list_intersect({x}, {y})) / (len({x}) + len({y}) - len(list_intersect({x}, {y}))) END)::DOUBLE"
+_off = " + ".join(f"abs(a.{c} - b.{c})" for c in ("fear", "urgency", "authority", "financial", "credential", "link", "call_to_action"))
+#: All pairs of messages of one family that share an entity or all traits, with their composite; then the best three of each.
+DNA_PAIRS = f"""ent AS (SELECT msg_id, list_sort(list_distinct(list(trim(lower(value))))) AS ents FROM i GROUP BY msg_id),
+fp AS (SELECT d3.*, list_filter([{_sorted_types}], lambda x: x IS NOT NULL) AS obf, coalesce(ents, []) AS ents, len(us) > 0 AS has_url, len(psps) > 0 AS has_vpa, v FROM d3 JOIN vec USING (msg_id) LEFT JOIN ent USING (msg_id)),
+bl AS (SELECT msg_id, unnest(list_append(list_transform(ents, lambda x: 'e' || x), 'h' || concat_ws('|', scam_family, org, array_to_string(obf, ','), array_to_string(ents, ','), message_structure, has_url, has_vpa))) AS block FROM fp),
+pr AS (SELECT DISTINCT x.msg_id AS ia, y.msg_id AS ib FROM bl x JOIN bl y ON x.block = y.block AND x.msg_id <> y.msg_id),
+ps AS (SELECT ia, ib, CASE WHEN len(a.ents) = 0 OR len(b.ents) = 0 THEN 0 ELSE {_jaccard("a.ents", "b.ents", 0)} END::DOUBLE AS overlap, greatest(0, 1 - ({_off}) / 7)::DOUBLE AS pressure,
+  (0.35 * CASE WHEN a.org <> b.org THEN 0 WHEN a.org = 'NONE' THEN 0.5 ELSE 1 END + 0.20 * (a.has_url = b.has_url)::INT + 0.20 * (a.has_vpa = b.has_vpa)::INT)::DOUBLE + 0.25::DOUBLE * {_jaccard("a.obf", "b.obf", 1)} AS structural, round(greatest(0, least(1, list_cosine_similarity(a.v, b.v))), 12) AS semantic
+  FROM pr JOIN fp a ON a.msg_id = ia JOIN fp b ON b.msg_id = ib WHERE a.scam_family = b.scam_family),
+pc AS (SELECT ia AS id_a, ib AS id_b, overlap, round_even(round(0.35::DOUBLE * semantic + 0.25::DOUBLE * CASE WHEN pressure < 0.30 THEN structural * 0.5::DOUBLE ELSE structural END + 0.20::DOUBLE * overlap + 0.10::DOUBLE * pressure + 0.10::DOUBLE, 12), 4) AS composite FROM ps)"""
+
 # ---- campaigns ---------------------------------------------------------------------------------------------------------------
 # word vectors, and the assignment message by message in the order of time
-CAMPAIGNS = f"""RECURSIVE {MESSAGES}, {normalised()}, {scored()},
-wc AS (SELECT msg_id, ('0x' || substr(md5(w), 1, 2))::INT AS k, count(*) AS c FROM (SELECT msg_id, unnest(list_filter(string_split(lower(norm), ' '), lambda w: w <> '')) AS w FROM n) GROUP BY ALL),
-vec AS (SELECT msg_id, list_transform(range(256), lambda k: coalesce(mp[k], 0)::DOUBLE) AS v FROM (SELECT msg_id, map_from_entries(list({{'k': k, 'v': c}})) AS mp FROM wc GROUP BY msg_id)),
+CAMPAIGNS = f"""RECURSIVE {MESSAGES}, {normalised()}, {scored()}, {VECTORS},
 dup AS (SELECT msg_id, min(msg_id) OVER (PARTITION BY raw_text) AS first_id FROM m),
 ord AS (SELECT scam_family, msg_id, list_transform(v, lambda x: x / sqrt(l)) AS u, row_number() OVER (PARTITION BY scam_family ORDER BY epoch, msg_id) AS k
   FROM (SELECT *, list_dot_product(v, v) AS l FROM sl JOIN vec USING (msg_id) JOIN dup USING (msg_id) WHERE msg_id = first_id)),
@@ -410,6 +423,7 @@ ORACLES: dict[str, str] = {
     "ioc_blocklist": f"{WITH_I}, {VERDICTS} SELECT msg_id, type, value, provider, threat_category, reputation_score FROM vd",
     "ioc_top_values": f"{WITH_I}, {VERDICTS}, ec AS (SELECT type, value, count(*) AS n FROM (SELECT DISTINCT type, value, provider, threat_category, reputation_score FROM vd) GROUP BY ALL), top AS (SELECT type, value, count(*) AS n, max(confidence)::DOUBLE AS confidence, count(DISTINCT msg_id) AS n_messages FROM i GROUP BY ALL) SELECT top.*, coalesce(ec.n, 0)::BIGINT AS enrichment_count FROM top LEFT JOIN ec USING (type, value) ORDER BY top.n DESC, type, value LIMIT 20",
     "ioc_safe_urls": f"{WITH_I} SELECT host, count(*) AS n FROM i WHERE type = 'url' AND ssrf_risk = 'safe' GROUP BY host",
+    "network_owners": "WITH a AS (SELECT event_id, (user_id * 2654435761 + event_id) % 4294967296 AS x FROM events), w AS (SELECT c_custkey AS owner, (c_custkey % 16 + 4)::INT AS n, ((c_custkey * 1327217885) % 4294967296) // (2 ** (32 - (c_custkey % 16 + 4)))::BIGINT AS p FROM customer), u AS (SELECT n, p, min(owner) AS owner FROM w GROUP BY n, p) SELECT event_id, n AS net_length, owner FROM a JOIN u ON a.x // (2 ** (32 - n))::BIGINT = p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC) = 1",
     "ip_risk_class": f"WITH {FINDINGS} SELECT url_id, ssrf_risk FROM u3",
     "url_findings": f"WITH {FINDINGS} SELECT url_id, f.finding_id, f.severity, f.confidence, coalesce(f.detail, '') AS detail FROM (SELECT url_id, unnest(findings) AS f FROM uf)",
     "url_verdicts": f"WITH {FINDINGS}, x AS (SELECT url_id, len(findings)::BIGINT AS n_findings, len(list_filter(findings, lambda f: f.severity IN ('HIGH', 'CRITICAL'))) > 0 OR len(findings) >= 3 AS is_malicious, list_max(list_transform(findings, lambda f: f.confidence)) AS top FROM uf) SELECT url_id, is_malicious, CASE WHEN is_malicious THEN top ELSE 0.90 END::DOUBLE AS confidence, n_findings FROM x",
@@ -441,6 +455,7 @@ ORACLES: dict[str, str] = {
     "campaign_senders": f"WITH {CAMPAIGNS} SELECT campaign_id, senders FROM fs",
     "campaign_members": f"WITH {CAMPAIGNS} SELECT campaign_id, msg_id, risk_score, similarity FROM mem WHERE campaign_id = (SELECT campaign_id FROM cs ORDER BY member_count DESC, campaign_id LIMIT 1) ORDER BY epoch, msg_id LIMIT 20 OFFSET 5",
     "cluster_purity": f"WITH {CAMPAIGNS}, f AS (SELECT scam_family, max(member_count) AS top, sum(member_count) AS n FROM cs GROUP BY scam_family) SELECT round(sum(top) / sum(n), 6) AS purity, count(*) AS families FROM f",
+    "dna_pairs_topk": f"{ANALYSED}, {DNA}, {INDICATORS}, {VECTORS}, {DNA_PAIRS} SELECT id_a, id_b, composite, round_even(round(least(1, composite * CASE WHEN overlap > 0.5 THEN 1.25 WHEN overlap > 0 THEN 1.10 ELSE 1 END::DOUBLE), 9), 2) AS association, rank FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY composite DESC, id_b) AS rank FROM pc) WHERE rank <= 3",
     "dna_traits": f"{ANALYSED}, {DNA} SELECT msg_id, word_count, sentence_count, has_imperatives, org, url_count, tlds, is_shortener, has_homoglyph, phone_count, psp, currencies, message_structure, dna_language, CASE WHEN regexp_matches(raw_text, '[ऀ-ॿ]') THEN 'devanagari' ELSE 'latin' END AS dna_script, hour_bucket FROM d3",
     "embedding_validation": "SELECT label, count(*) FILTER (len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64) AS n_valid, count(*) AS n FROM embeddings GROUP BY label",
     "label_centroids": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), a AS (SELECT label, k, avg(v) AS v, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT label, max(n) AS n, list(v ORDER BY k) AS c, sqrt(sum(v * v)) AS l FROM a GROUP BY label) SELECT label, n, round(c[1] / l, 6) AS first, round(list_max(c) / l, 6) AS largest FROM b",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smishlake.functions.columns import html_escape
-from smishlake.operators import augment, brands, campaigns, conversations, fingerprint, indicators, reports, scoring, text, training, urls
+from smishlake.operators import augment, brands, campaigns, conversations, fingerprint, indicators, networks, reports, scoring, text, training, urls
 from smishlake.plans import relations as R
 from smishlake.sources import tables as S
 from smishlake.streaming import jobs
@@ -178,6 +178,13 @@ def ip_risk_class(spark, d):
     return indicators.risk_class(R.page_urls(spark, d), "url").select("url_id", "ssrf_risk")
 
 
+@query
+def network_owners(spark, d):
+    """The longest network that holds the address of each event, of networks of any number."""
+    found = networks.longest_match(R.event_addresses(spark, d), networks.as_networks(R.customer_networks(spark, d)), "event_id", "address", "owner")
+    return found.select("event_id", "net_length", F.col("value").alias("owner"))
+
+
 # ---- URL findings ----------------------------------------------------------------------------------------------------
 @query
 def url_findings(spark, d):
@@ -322,7 +329,7 @@ def dna_hash(spark, d):
 @query
 def dna_pairs_topk(spark, d):
     """Most similar partners of each message among those that share an entity or a fingerprint."""
-    a = campaigns.text_vectors(_analyses(spark, d, "scores", log=True))
+    a = campaigns.word_vectors(_analyses(spark, d, "scores", log=True))
     return fingerprint.top_partners(fingerprint.build_fingerprints(a, _indicators(spark, d)), 3).select("id_a", "id_b", "composite", "association", "rank")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from smishlake.operators.networks import address
 from smishlake.sources.tables import read_table, spread
 
 #: Phrases that put the detectors to work on prose without any of their words; some hold U+200B.
@@ -63,6 +64,24 @@ def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
+def dotted(number):
+    """A number as an IPv4 literal."""
+    return F.concat_ws(".", *(F.pmod(F.floor(number / 256**i), F.lit(256)).cast("long").cast("string") for i in (3, 2, 1, 0)))
+
+
+def event_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """event_id, address (see operators.networks): an IPv4 address that follows from the user of each event."""
+    e = spread(read_table(spark, folder, "events").select("event_id", "user_id"))
+    return e.select("event_id", address(dotted(F.pmod(F.col("user_id") * 2_654_435_761 + F.col("event_id"), F.lit(1 << 32)))).alias("address"))
+
+
+def customer_networks(spark: SparkSession, folder: str) -> DataFrame:
+    """cidr, owner: a network of 4 to 19 bits for each customer."""
+    c = read_table(spark, folder, "customer")
+    number = F.pmod(F.col("c_custkey") * 1_327_217_885, F.lit(1 << 32))
+    return c.select(F.concat(dotted(number), F.lit("/"), (F.pmod("c_custkey", F.lit(16)) + 4).cast("string")).alias("cidr"), F.col("c_custkey").alias("owner"))
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
 

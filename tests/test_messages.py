@@ -1,8 +1,10 @@
+import ipaddress
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from smishlake.operators import augment, brands, campaigns, conversations, fingerprint, indicators, reports, scoring, text, training, urls
+from smishlake.operators import augment, brands, campaigns, conversations, fingerprint, indicators, networks, reports, scoring, text, training, urls
 from smishlake.sources import tables as S
 
 
@@ -259,3 +261,45 @@ def test_privacy_and_intake(spark):
     m = messages(spark, "a", "b")
     broken = {r["name"]: r["n"] for r in S.check_keys({"messages": m.unionByName(m.limit(1)), "analyses": spark.range(1, 5).select(F.col("id").alias("msg_id"))}).collect()}
     assert broken == {"messages.msg_id": 1, "analyses.msg_id": 0, "analyses.msg_id->messages": 3}
+
+
+def test_addresses_same_as_the_standard_library(spark):
+    rng = np.random.default_rng(9)
+    texts = ["::", "::1", "[::1]", "1::", "fe80::1%eth0", "fe80::1%", "fe80::1%a%b", ":::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8:9", "::ffff:1.2.3.4", "::1.2.3.04", "1.2.3.4", "01.2.3.4", "256.1.1.1", "1.2.3", "g::", "12345::", "1::2::3", "", "host", ":1:2:3:4:5:6:7", "1.2.3.4::", "::1.2.3.4:5", None]
+    for _ in range(300):
+        groups = [f"{x:x}" for x in rng.choice([0, 0, 1, 0xFC00, 0xFE80, 0xFFFF, 0x2001, 0xDB8, 77], int(rng.integers(6, 10)))]
+        texts += [":".join(groups), ":".join(groups[:3]) + "::" + ":".join(groups[4 : rng.integers(4, 8)]), str(ipaddress.IPv6Address(int(rng.integers(1 << 62)) << int(rng.integers(0, 66)))), str(ipaddress.IPv4Address(int(rng.integers(1 << 32))))]
+    nets = ["10.0.0.0/8", "0.0.0.0/0", "1.2.3.4/32", "fc00::/7", "::/0", "2001:db8::/32", "::ffff:0:0/96", "172.16.0.0/12", "128.0.0.0/1", "fe80::/10", "no/3", "1.2.3.4/33", "1.2.3.4", "::/129", "9.9.9.9/x"]
+    nets += [f"{ipaddress.IPv4Address(int(rng.integers(1 << 32)))}/{rng.integers(1, 25)}" for _ in range(200)]
+
+    def known(t, kind=ipaddress.ip_address):
+        try:
+            return kind(t.strip("[]") if t.startswith("[") else t)
+        except (ValueError, AttributeError):
+            return None
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, host string").withColumn("address", networks.address(F.col("host")))
+    for r in df.collect():
+        a = known(r["host"])
+        assert r["address"] == (a and "{}{:0{}x}".format(a.version, int(a), a.max_prefixlen // 4)), r
+    table = networks.as_networks(spark.createDataFrame([(n, i) for i, n in enumerate(nets)], "cidr string, owner int"))
+    real = [(ipaddress.ip_network(n, strict=False), i) for i, n in enumerate(nets) if "/" in n and known(n, lambda x: ipaddress.ip_network(x, strict=False))]
+    assert table.count() == len(real)
+    want = {}
+    for i, t in enumerate(texts):
+        a = known(t)
+        hits = [(n.prefixlen, -o) for n, o in real if a is not None and a.version == n.version and int(n.network_address) <= int(a) <= int(n.broadcast_address)]
+        if hits:
+            want[i] = (max(hits)[0], -max(hits)[1])
+    got = {r["id"]: (r["net_length"], r["value"]) for r in networks.longest_match(df, table, "id", "address", "owner").collect()}
+    assert got == want and len(want) > 200
+    assert networks.longest_match(df, table.limit(0), "id", "address", "owner").count() == 0
+
+
+def test_decoded_hosts_round_trip(spark):
+    hosts = ["bücher.example", "例え.テスト", "plain.example", "xn--zz--.example", "xn--hdfc-bnk.example.org", None, "münchen"]
+    coded = [h if h is None else h if h.startswith("xn--") else h.encode("idna").decode() for h in hosts]
+    got = indicators.decoded_hosts(spark.createDataFrame([(h,) for h in [*coded, "bücher.example"]], "host string")).collect()
+    assert [r["host_unicode"] for r in got[:3]] == hosts[:3] and [r["is_idn"] for r in got[:3]] == [True, True, False]
+    assert got[3]["host_unicode"] and got[5]["host_unicode"] is None and got[6]["host_unicode"] == "münchen" and got[7]["is_idn"]
+    assert indicators.risk_class(spark.createDataFrame([("http://[::1]/",)], "u string"), "u")._jdf.queryExecution().toString().count("ArrowEvalPython") == 0
