@@ -10,31 +10,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smishlake.functions import constants as C
+from smishlake.functions.columns import barrier
 from smishlake.sources.tables import sized
 
 DIGITS = "0123456789abcdef"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _v4_digits(dotted: Column) -> Column:
     """Eight hex digits of a dotted IPv4 literal without leading zeros, else null."""
     octets = F.split(F.when(dotted.rlike(rf"^{C.IPV4}$"), dotted), r"\.")
     return F.lower(F.array_join(F.transform(octets, lambda o: F.lpad(F.hex(o.cast("int")), 2, "0")), ""))
 
 
+def _groups(side: Column) -> Column:
+    return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+
+
+def _all_groups(sides: Column) -> Column:
+    """The eight groups of an address that is split at "::", or null."""
+    def filled(both: Column) -> Column:
+        n = F.size(both["left"]) + F.size(both["right"])
+        gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - n))
+        return F.when((F.size(sides) == 2) & (n <= 7), F.concat(both["left"], gap, both["right"])).when((F.size(sides) == 1) & (n == 8), both["left"])
+
+    return _let(F.struct(_groups(F.get(sides, F.lit(0))).alias("left"), _groups(F.coalesce(F.get(sides, F.lit(1)), F.lit(""))).alias("right")), filled)
+
+
 def _v6_digits(text: Column) -> Column:
     """32 hex digits of an IPv6 literal, else null: at most one "::", a dotted IPv4 tail, a zone behind "%"."""
-    zone = F.split(F.lower(text), "%", -1)
-    whole = F.when((F.size(zone) == 1) | (F.size(zone) == 2) & (zone[1] != ""), zone[0])
-    tail = _v4_digits(F.substring_index(whole, ":", -1))
-    dotted = F.when(tail.isNotNull(), F.concat(F.substr(whole, F.lit(1), F.length(whole) - F.length(F.substring_index(whole, ":", -1))), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)))
-    whole = F.when(whole.contains("."), dotted).otherwise(whole)
-    sides = F.split(whole, "::", -1)
-    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-    left, right = groups(sides[0]), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
-    n = F.size(left) + F.size(right)
-    filled = F.when((F.size(sides) == 2) & (n <= 7), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - n)), right)).when((F.size(sides) == 1) & (n == 8), left)
-    fine = F.forall(filled, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(fine, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
+    bare = _let(F.split(F.lower(text), "%", -1), lambda z: F.when((F.size(z) == 1) | (F.size(z) == 2) & (F.get(z, F.lit(1)) != ""), F.get(z, F.lit(0))))
+
+    def undotted(whole: Column) -> Column:
+        last = F.substring_index(whole, ":", -1)
+        as_groups = _let(_v4_digits(last), lambda t: F.concat(F.substr(whole, F.lit(1), F.length(whole) - F.length(last)), F.substring(t, 1, 4), F.lit(":"), F.substring(t, 5, 4)))
+        return F.when(whole.contains("."), as_groups).otherwise(whole)
+
+    groups = _let(F.split(_let(bare, undotted), "::", -1), _all_groups)
+    return _let(groups, lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")))
 
 
 def address(host: Column) -> Column:
@@ -68,6 +85,7 @@ def as_networks(df: DataFrame, cidr_col: str = "cidr") -> DataFrame:
     ignored."""
     parts = F.split(F.col(cidr_col), "/")
     df = df.withColumn("_a", address(parts[0])).withColumn("net_length", F.try_element_at(parts, F.lit(2)).try_cast("int"))
+    df = barrier(df, "_a", "net_length")
     most = F.when(F.col("_a").startswith("4"), 32).otherwise(128)
     df = df.filter(F.col("_a").isNotNull() & F.col("net_length").between(0, most))
     whole, bits = F.floor(F.col("net_length") / 4).cast("int"), (F.col("net_length") % 4).cast("int")
@@ -87,7 +105,7 @@ def longest_match(df: DataFrame, networks: DataFrame, key: str, address_col: str
     lengths = sorted({(r["v"], r["net_length"]) for r in networks.select(F.substring("net_prefix", 1, 1).alias("v"), "net_length").distinct().collect()})
     once = networks.groupBy("net_length", "net_prefix").agg(F.min(value_col).alias("value"))
     keys = F.array_compact(F.array(*(F.when(F.col("_a").startswith(v), F.struct(F.lit(n).alias("net_length"), prefix(F.col("_a"), n).alias("net_prefix"))) for v, n in lengths)))
-    offered = df.select(key, F.col(address_col).alias("_a")).filter("_a IS NOT NULL").select(key, F.inline(keys) if lengths else F.inline(F.expr("array(named_struct('net_length', -1, 'net_prefix', ''))")))
+    offered = barrier(df.select(key, F.col(address_col).alias("_a")), "_a").filter("_a IS NOT NULL").select(key, F.inline(keys) if lengths else F.inline(F.expr("array(named_struct('net_length', -1, 'net_prefix', ''))")))
     hits = offered.join(sized(once, row_bytes=96), ["net_length", "net_prefix"])
     best = hits.groupBy(key).agg(F.max(F.struct("net_length", "value")).alias("b"))
     return best.select(key, "b.net_length", "b.value")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from smishlake.functions import constants as C
+
 HIGH_RISK = 80
-SECRETS = ((r"(?i)(password|passwd|secret|token|api_key)\s*[=:]\s*\S+", "$1=<redacted>"), (r"(?i)(Bearer\s+)\S+", "$1<redacted>"))
 
 
 def overview(analyses: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def top_indicators(rolled: DataFrame, k: int) -> DataFrame:
 
 def redact(c: Column) -> Column:
     """Without the values of key=value secrets and bearer tokens."""
-    for pattern, new in SECRETS:
+    for pattern, new in C.SECRETS:
         c = F.regexp_replace(c, pattern, new)
     return c
 

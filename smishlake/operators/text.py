@@ -140,7 +140,7 @@ def normalize(df: DataFrame, text_col: str = "raw_text", max_chars: int | None =
     df = df.withColumn("_t2", F.coalesce(nfkc(F.when(odd, F.col("_t1"))), F.col("_t1")))
     df = df.withColumn("_t2", F.when(F.col("_t2").rlike(f"[{C.CONFUSABLE_FROM}]"), F.translate("_t2", C.CONFUSABLE_FROM, C.CONFUSABLE_TO)).otherwise(F.col("_t2")))
     df = df.withColumn("_t3", F.regexp_replace("_t2", rf"(?<=[{LETTER}])[.\-_*~^](?=[{LETTER}])", ""))
-    df = df.withColumn("_t4", F.regexp_replace("_t3", r"\[\.?\]|\(\.\)|\{\.?\}", "."))
+    df = df.withColumn("_t4", F.regexp_replace("_t3", C.BRACKETED_DOT, "."))
     df = df.withColumn("_t5", F.regexp_replace("_t4", r"(?i)([a-zA-Z])\1{2,}", "$1"))
     ocr = F.regexp_replace("_t5", "(?<=[a-zA-Z])0(?=[a-zA-Z])", "o")
     df = df.withColumn("_t6", F.regexp_replace(ocr, "(?<=[a-zA-Z])1(?=[a-zA-Z])", "l"))

@@ -413,6 +413,8 @@ ORACLES: dict[str, str] = {
     "intake_conversations": f"SELECT conv_id, turn, sha256({_esc('text')}) AS escaped_sha256 FROM conversations",
     "analysis_lookup": f"{ANALYSED} SELECT {FACTS} FROM sl WHERE msg_id IN (SELECT doc_id FROM labels)",
     "feedback_summary": f"WITH {MESSAGES}, f AS (SELECT event_id::VARCHAR AS feedback_id, (event_id % 997)::VARCHAR AS analysis_id, user_id AS analyst_id, value > 50 AS is_correct, ts FROM events), l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY analysis_id, analyst_id ORDER BY ts DESC, feedback_id DESC) = 1), g AS (SELECT analysis_id, count(*) AS n, count(*) FILTER (is_correct) AS c FROM l GROUP BY 1) SELECT msg_id::VARCHAR AS analysis_id, coalesce(n, 0)::BIGINT AS n_feedback, coalesce(c, 0)::BIGINT AS n_correct FROM m LEFT JOIN g ON analysis_id = msg_id::VARCHAR",
+    "feedback_upserts": "SELECT event_id::VARCHAR AS feedback_id, (value > 50) <> (event_id % 10 = 0) AS is_correct, (event_id % 10 = 0)::INT AS revision FROM events",
+    "messages_seek": "SELECT doc_id AS msg_id, source FROM documents ORDER BY doc_id DESC LIMIT 20 OFFSET 40",
     "key_violations": f"WITH {MESSAGES}, fb AS (SELECT (event_id % 997)::VARCHAR AS a, user_id::VARCHAR AS u FROM events), kv(name, n) AS (SELECT 'messages.text', count(*) FROM (SELECT raw_text FROM m GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'messages.msg_id', count(*) FROM (SELECT msg_id FROM m GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'analyses.msg_id', count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'analyses.msg_id->messages', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'conversation_messages.conv_id,turn', count(*) FROM (SELECT conv_id, turn FROM conversations GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'feedback.analysis_id,analyst_id', count(*) FROM (SELECT a, u FROM fb GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'feedback.analysis_id->analyses', count(*) FROM fb WHERE a NOT IN (SELECT doc_id::VARCHAR FROM labels) UNION ALL SELECT 'feedback.analyst_id->users', count(*) FROM fb WHERE u NOT IN (SELECT c_custkey::VARCHAR FROM customer) UNION ALL SELECT 'users.user_id', count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'audit.event_id', count(*) FROM (SELECT event_id FROM events GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'audit.user_id->users', count(*) FROM fb WHERE u NOT IN (SELECT c_custkey::VARCHAR FROM customer)) SELECT name, n FROM kv",
     "text_normalised": f"WITH {MESSAGES}, {normalised()} SELECT msg_id, sha256(norm) AS normalized_sha256, length(norm)::BIGINT AS n_chars, changes AS n_transformations, round(greatest(0.1, 1 - 0.03::DOUBLE * changes), 6) AS text_confidence FROM n",
     "text_truncated": f"WITH {MESSAGES} SELECT msg_id, length(substr(raw_text, 1, 5000))::BIGINT AS kept_chars, length(raw_text)::BIGINT AS n_chars, sha256(substr(raw_text, 1, 5000)) AS kept_sha256 FROM m",

@@ -68,6 +68,29 @@ def feedback_summary(spark, d):
     return S.feedback_for(R.messages(spark, d).select(F.col("msg_id").cast("string").alias("analysis_id")), _feedback(spark, d))
 
 
+@query
+def feedback_upserts(spark, d):
+    """Feedback merged by key into days: a batch, the same batch again, and corrections of some rows."""
+    f = _feedback(spark, d).select("feedback_id", "is_correct", "recorded_at", F.lit(0).alias("revision"))
+    folder = S.new_folder(spark, "feedback-by-day")
+    late = f.filter(F.pmod(F.col("feedback_id").cast("long"), F.lit(10)) == 0).withColumn("is_correct", ~F.col("is_correct")).withColumn("revision", F.lit(1))
+    for batch in (f, f, late):
+        S.upsert_by_date(batch, folder, ["feedback_id"], "recorded_at", "revision")
+    return S.read_upserted(spark, folder, f.schema).select("feedback_id", "is_correct", "revision")
+
+
+@query
+def messages_seek(spark, d):
+    """The third page of the newest messages, found behind the last key of the second, not by an offset."""
+    order, folder = [("received_at", True), ("msg_id", True)], S.new_folder(spark, "messages-by-time")
+    S.write_clustered(R.messages(spark, d).select("msg_id", "received_at", "source"), folder, [F.desc(c) for c, _ in order])
+    stored, after = S.read_any(spark, folder), None
+    for _ in range(2):
+        last = S.seek_page(stored, order, 20, after).collect()
+        after = tuple(last[-1][c] for c, _ in order) if last else after
+    return S.seek_page(stored, order, 20, after).select("msg_id", "source")
+
+
 @query
 def key_violations(spark, d):
     """Keys that stand twice or point nowhere, over the tables that are at hand; and texts that stand twice."""

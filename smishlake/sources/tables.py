@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Declared schemas of the logical tables.
 SCHEMAS = {
@@ -96,6 +97,70 @@ def save_by_date(df: DataFrame, path: str, time_col: str = "received_at", mode:
     df.withColumn("day", F.to_date(time_col)).write.mode(mode).partitionBy("day").parquet(path)
 
 
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, int]]:
+    """Number of the last whole manifest of a table (0: none), and the version of each of its days."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
+    whole = [int(p.getName().split("=")[1]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not whole:
+        return 0, {}
+    return max(whole), {r["day"]: r["version"] for r in spark.read.parquet(f"{path}/manifest/number={max(whole)}").collect()}  # a row a day
+
+
+def _days(spark: SparkSession, path: str, schema: T.StructType, versions: dict[str, int]) -> DataFrame:
+    """The given days of a table, each in its version; with day as a column."""
+    whole = T.StructType([*schema.fields, T.StructField("version", T.IntegerType()), T.StructField("day", T.StringType())])
+    if not versions:
+        return spark.createDataFrame([], whole).drop("version")
+    folders = [f"{path}/data/version={v}/day={d}" for d, v in versions.items()]
+    return spark.read.schema(whole).option("basePath", f"{path}/data").parquet(*folders).drop("version")
+
+
+def upsert_by_date(df: DataFrame, path: str, keys: list[str], time_col: str, revision_col: str) -> None:
+    """Merges rows into a table that is kept by day.
+
+    A row replaces the one with its keys unless that has a higher revision; of equal revisions the new row counts, and of
+    such rows in df the one with the largest hash. A key keeps its day; rows without a time have a day of their own. Only
+    days that df touches are written, as a new version of them; a manifest that names the version of each day is written
+    last. So a job that dies half way changes nothing, and a batch that is run again gives the same rows.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    fresh = persist_table(df.withColumn("day", F.coalesce(F.date_format(time_col, "yyyy-MM-dd"), F.lit("none"))), "upsert-batch")
+    number, versions = _manifest(spark, path)
+    touched = [r["day"] for r in fresh.select("day").distinct().collect()]  # the days of one batch
+    old = _days(spark, path, df.schema, {d: versions[d] for d in touched if d in versions})
+    both = fresh.withColumn("_new", F.lit(1)).unionByName(old.withColumn("_new", F.lit(0))).withColumn("_h", F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind)))
+    first = F.row_number().over(Window.partitionBy("day", *keys).orderBy(F.desc_nulls_last(revision_col), F.desc("_new"), F.desc("_h")))
+    merged = both.withColumn("_r", first).filter("_r = 1").drop("_r", "_new", "_h")
+    merged.write.mode("overwrite").partitionBy("day").parquet(f"{path}/data/version={number + 1}")
+    now = versions | dict.fromkeys(touched, number + 1)
+    spark.createDataFrame(sorted(now.items()), "day string, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/number={number + 1}")
+
+
+def read_upserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a table kept by upsert_by_date(), as its last whole manifest has them."""
+    return _days(spark, path.rstrip("/"), schema, _manifest(spark, path.rstrip("/"))[1]).drop("day")
+
+
+def write_clustered(df: DataFrame, path: str, order: list[Column]) -> None:
+    """Writes a table in ranges of a sort order, so that a filter on its first column skips all files but a few."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
+def seek_page(df: DataFrame, order: list[tuple[str, bool]], limit: int, after: tuple | None = None) -> DataFrame:
+    """The `limit` rows behind the row whose sort key is `after` (None: the first ones); order names columns and whether they
+    go down. The columns together name a row and are not null. Nothing before the page is read where the store is clustered."""
+    if after is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for (c, down), x in zip(order, after, strict=True):
+            behind = behind | equal & (F.col(c) < x if down else F.col(c) > x)
+            equal = equal & (F.col(c) == x)
+        c, down = order[0]
+        df = df.filter((F.col(c) <= after[0] if down else F.col(c) >= after[0]) & behind)  # the first part reaches the scan
+    return df.orderBy(*(F.desc(c) if down else F.asc(c) for c, down in order)).limit(limit)
+
+
 def fetch(df: DataFrame, key: str, value) -> DataFrame:
     """Point lookup; the filter reaches the scan."""
     return df.filter(F.col(key) == value)

@@ -1,3 +1,4 @@
+import datetime
 import ipaddress
 
 import numpy as np
@@ -303,3 +304,35 @@ def test_decoded_hosts_round_trip(spark):
     assert [r["host_unicode"] for r in got[:3]] == hosts[:3] and [r["is_idn"] for r in got[:3]] == [True, True, False]
     assert got[3]["host_unicode"] and got[5]["host_unicode"] is None and got[6]["host_unicode"] == "münchen" and got[7]["is_idn"]
     assert indicators.risk_class(spark.createDataFrame([("http://[::1]/",)], "u string"), "u")._jdf.queryExecution().toString().count("ArrowEvalPython") == 0
+
+
+def test_upserts(spark, tmp_path):
+    schema = "k long, t timestamp, rev int, v string"
+    of = lambda *rows: spark.createDataFrame([(k, day and datetime.datetime(2024, 1, day), rev, v) for k, day, rev, v in rows], schema)
+    path = str(tmp_path / "t")
+    first = of((1, 1, 0, "a"), (2, 1, 0, "b"), (3, 2, 0, "c"), (3, 2, 0, "c"), (4, None, None, "n"))
+    read = lambda: sorted((r["k"], r["rev"], r["v"]) for r in S.read_upserted(spark, path, first.schema).collect())
+    assert read() == []
+    for _ in range(2):
+        S.upsert_by_date(first, path, ["k"], "t", "rev")
+        assert read() == [(1, 0, "a"), (2, 0, "b"), (3, 0, "c"), (4, None, "n")]
+    S.upsert_by_date(of((1, 1, 2, "late"), (5, 1, 0, "e")), path, ["k"], "t", "rev")
+    S.upsert_by_date(of((1, 1, 1, "too old"), (2, 1, 0, "again")), path, ["k"], "t", "rev")
+    assert read() == [(1, 2, "late"), (2, 0, "again"), (3, 0, "c"), (4, None, "n"), (5, 0, "e")]
+    assert [x.name for x in (tmp_path / "t" / "data" / "version=4").iterdir() if x.name.startswith("day")] == ["day=2024-01-01"]  # other days stay
+    # data without its manifest, as a job that died leaves it, counts for nothing
+    of((9, 1, 9, "lost")).withColumn("day", F.lit("2024-01-01")).write.partitionBy("day").parquet(f"{path}/data/version=5")
+    assert (1, 2, "late") in read() and len(read()) == 5
+
+
+def test_seek_pages_are_the_whole_list(spark, tmp_path):
+    rows = [(i, i % 7, "x" * (i % 3)) for i in range(103)]
+    df = spark.createDataFrame(rows, "id long, at int, text string")
+    S.write_clustered(df, str(tmp_path / "p"), [F.desc("at"), F.asc("id")])
+    stored, after, seen = spark.read.parquet(str(tmp_path / "p")), None, []
+    while page := S.seek_page(stored, [("at", True), ("id", False)], 10, after).collect():
+        seen += [r["id"] for r in page]
+        after = (page[-1]["at"], page[-1]["id"])
+    assert seen == [i for i, at, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    plan = S.seek_page(stored, [("at", True), ("id", False)], 10, (3, 5))._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(at,3)" in plan
