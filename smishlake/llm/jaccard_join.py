@@ -267,9 +267,8 @@ def meet(index: DataFrame, texts: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n")) / float(np.log(BAND)))
     index = index.withColumn("h", F.explode(F.array(F.xxhash64("h", band), F.xxhash64("h", band + 1))))
     entries = index.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("fam").alias("f1"), F.max("fam").alias("f2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    entries = store(entries.filter("f1 <> f2 AND c1 <> c2").select("h", "m"), "jaccard-entries")
-    rows = store(index.join(entries.hint("merge"), "h"), "jaccard-index")
-    rows = dealt(rows.join(texts.hint("merge"), "id"), F.ceil(F.col("m") / ENTRY)).drop("m")
+    entries = entries.filter("f1 <> f2 AND c1 <> c2").select("h", "m")
+    rows = dealt(index.join(entries.hint("merge"), "h").join(texts.hint("merge"), "id"), F.ceil(F.col("m") / ENTRY)).drop("m")
     key = ["h", "one", "two"]
     tasks = rows.repartition(*key).sortWithinPartitions(*key, "fam")
 
@@ -322,7 +321,7 @@ def families(shared: DataFrame) -> DataFrame:
     weight = shared.groupBy("id").agg((F.sum(F.log2("c")) / F.max(head_size("n"))).alias("w"))
     weighed = store(shared.join(weight.hint("merge"), "id").select("h", "id", "n", "w", band.alias("band")), "jaccard-weighed")
     centre = weighed.groupBy("h", "band").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"), "n")).alias("x"))
-    centre = store(centre.select("h", "band", (-F.col("x.neg")).alias("fam"), F.col("x.n").alias("fam_n")), "jaccard-centres")
+    centre = centre.select("h", "band", (-F.col("x.neg")).alias("fam"), F.col("x.n").alias("fam_n"))
     near = weighed.join(centre.hint("merge"), ["h", "band"]).filter("id <> fam").groupBy("id", "fam").agg(F.count(F.lit(1)).alias("got"), F.first("n").alias("n"), F.first("fam_n").alias("fam_n"))
     near = near.filter(F.col("got") >= FAMILY_SHARE * F.least(head_size("n"), head_size("fam_n")))
     best = near.groupBy("id").agg(F.max(F.struct("got", (-F.col("fam")).alias("neg"), "n", "fam_n")).alias("x"))
@@ -369,7 +368,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = t.filter("n > 0").select("id", "k1", "k2").join(groups.withColumnRenamed("id", "first").hint("merge"), ["k1", "k2"]).filter("id <> first")
     texts = t.filter("n > 0").join(sized(store(copies.select("id"), "jaccard-copies")), "id", "left_anti")
     tokens = texts.select("id", "n", F.explode("head").alias("h"))
-    twice = store(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-twice")
+    twice = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = store(tokens.join(twice.hint("merge"), "h").select("h", "id", "n", "c"), "jaccard-tokens")
 
     family = store(families(shared), "jaccard-families")
@@ -387,10 +386,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         index = index.unionByName(_extended(docs, tokens, placed, kin, frequent, wanting, id_col, text_col)).distinct()
     pairs = meet(index, texts.select("id", "sketch").dropDuplicates(["id"]))
     links = links.unionByName(verify(docs, pairs, id_col, text_col))
-    whole = components(store(links, "jaccard-all-links"))
+    whole = components(links)
 
     found = groups.join(whole.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
-    found = store(found.select("k1", "k2", F.coalesce("component", "id").alias("component_id")), "jaccard-found")
+    found = found.select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     full = t.filter("n > 0").select("id", "n", "k1", "k2").join(found.hint("merge"), ["k1", "k2"]).select("id", "n", "component_id")
     out = full.unionByName(t.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
