@@ -2,7 +2,7 @@
 
 Each document is measured once. Its rule failures are summed per host, every host's failure rate is shrunk towards the
 corpus by a beta prior fitted to the hosts themselves (method of moments), and a host is known for a rule when its rate is
-likely above that of the corpus. The verdicts are joined back: a document that breaks a rule goes when its host is known
+likely well above that of the corpus. The verdicts are joined back: a document that breaks a rule goes when its host is known
 for breaking that rule, so clean documents of a bad host stay, and so does a lone slip on a host that seldom slips.
 """
 
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from smishlake.llm.common import map_rows, sized, store, table, unused
 
 WINDOW = 8
-#: A host is known for a rule when its shrunk rate lies so many posterior deviations above the corpus rate (nine chances in ten).
-SURE = 1.2816
+#: A host is known for a rule when its rate is LIFT times that of the corpus or more with nine chances in ten: its shrunk rate
+#: lies SURE posterior deviations above that. So more documents make a verdict surer, but not a host of slightly more failures
+#: known.
+SURE, LIFT = 1.2816, 1.5
 #: Most pseudo-documents that the prior may weigh, so that a host of some hundred documents speaks for itself.
 PRIOR_WEIGHT = 100.0
 _WHITE = " \t\n\v\f\r"
@@ -105,7 +107,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
         rho = ((row[f"q_{k}"] - docs * m * m) / spread - (hosts - 1)) / free if spread > 0 and free > 0 else 0.0
         weight = min(max(1 / rho - 1, 1.0), PRIOR_WEIGHT) if rho > 0 else PRIOR_WEIGHT
         rate = (F.col(f"n_{k}") + F.lit(m * weight)) / (n + F.lit(weight))
-        known = (rate - m > 0) & (rate - m > SURE * F.sqrt(rate * (1 - rate) / (n + F.lit(weight + 1))))
+        known = (rate - LIFT * m > 0) & (rate - LIFT * m > SURE * F.sqrt(rate * (1 - rate) / (n + F.lit(weight + 1))))
         out += [rate.alias(f"rate_{k}"), known.alias(f"known_{k}")]
     return per_host.select("host", "n_docs", *out)
 
@@ -166,7 +168,7 @@ pr AS (SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(bad) / sum(n) AS mean
 po AS (SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND free > 0 THEN (sq / (mean * (1 - mean)) - (hosts - 1)) / free ELSE 0 END AS rho FROM pr),
 pw AS (SELECT rule, mean, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 100) ELSE 100 END AS weight FROM po),
 sh AS (SELECT host, rule, mean, n + weight + 1 AS seen, (bad + mean * weight) / (n + weight) AS rate FROM hr JOIN pw USING (rule)),
-v AS (SELECT host, rule, rate - mean > 0 AND rate - mean > 1.2816::DOUBLE * sqrt(rate * (1 - rate) / seen) AS known FROM sh)
+v AS (SELECT host, rule, rate - 1.5::DOUBLE * mean > 0 AND rate - 1.5::DOUBLE * mean > 1.2816::DOUBLE * sqrt(rate * (1 - rate) / seen) AS known FROM sh)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bool_or(r.failed AND known) AS kept
 FROM f JOIN v ON f.r.rule = v.rule AND f.host IS NOT DISTINCT FROM v.host GROUP BY doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
 """

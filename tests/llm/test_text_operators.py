@@ -62,6 +62,23 @@ def brute_measures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), len(lines) - len(set(lines)), len(hit)
 
 
+def test_more_documents_make_no_host_known_for_a_little(spark, data):
+    measured = host_rules.measure(spark.read.parquet(f"{data}/documents.parquet")).cache()
+    many = measured.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(60))))
+    bad = list(host_rules.rules())
+    failed = measured.select("host", *(c.cast("int").alias(k) for k, c in host_rules.rules().items()))
+    whole = failed.agg(*(F.avg(k).alias(k) for k in bad)).first()
+    own = {r["host"]: r for r in failed.groupBy("host").agg(*(F.avg(k).alias(k) for k in bad)).collect()}
+    for rows in (measured, many):
+        for r in host_rules.host_rates(rows).collect():
+            for k in bad:
+                if r[f"known_{k}"]:
+                    assert own[r["host"]][k] > host_rules.LIFT * whole[k]
+    slight = spark.createDataFrame([(h, 100 * (i % 100 < (11 if h == "a" else 10)), 100) for h in "abcdefghij" for i in range(20_000)], "host string, n_symbols long, n_words long")
+    slight = slight.withColumns({"word_chars": 5 * F.col("n_words"), "n_dup_lines": F.lit(0), "n_lines": F.lit(1), "n_repeat_words": F.lit(0)})
+    assert not [r for r in host_rules.host_rates(slight).collect() if r["known_symbols"]]
+
+
 def test_host_rules(spark, data):
     rng = np.random.default_rng(2)
     for _ in range(60):
