@@ -1,8 +1,9 @@
 """Operator 11: phrase collocations, counted in HAT-tries.
 
-Phrases of one word more are counted in each pass, and a pass looks only at phrases both of whose parts of one word less
-may be frequent. What may be frequent is told by a bit array of fixed size that is broadcast: a frequent phrase always has
-its bit, so the sieve loses nothing, and a bit that others share costs a phrase that is counted and dropped again.
+Phrases of one and of two words are counted in a pass each, all longer ones in one more, and a pass looks only at
+phrases all of whose parts, of the length of the pass before, may be frequent. What may be frequent is told by a bit array
+of bounded size that is broadcast: a frequent phrase always has its bit, so the sieve loses nothing, and a bit that others
+share costs a phrase that is counted and dropped again.
 
 A task counts in a HAT-trie: word ids lead down a shallow trie to hash containers of the ids that remain; a container that
 grows beyond BURST entries bursts into a node with a container for each next word. When the trie is full, its largest
@@ -12,9 +13,7 @@ words behind it) and merged there in the order of phrases.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +25,16 @@ from pyspark.sql import functions as F
 from smishlake.llm.common import sized, store, table
 
 WORDS, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Entries of a container before it bursts, and of a trie before it spills; nodes above a container at most; distinct words
-#: of a task before it starts anew; bytes of text that are counted at once.
-BURST, FULL, DEPTH, VOCABULARY, TEXT = 4096, 400_000, 2, 300_000, 2_000_000
+#: Entries of a container before it bursts, and of a trie before it spills; distinct words of a task before it starts anew;
+#: characters of text that are counted at once. Up to SIEVED words, phrases of each length have a pass of their own.
+BURST, FULL, VOCABULARY, TEXT, SIEVED = 4096, 600_000, 450_000, 2_000_000, 2
 #: Parts of a prefix; bits of a sieve for each frequent phrase, and at most.
 SALTS, BITS_EACH, MOST_BITS = 16, 32, 1 << 30
 #: Parts of what joins and ranks by one phrase or language.
 DEAL = 16
-TOKENS = re.compile(rb"[^ \t.,;:!?\n\x0b\x0c\r]+|[.,;:!?\n\x0b\x0c\r]+")
-BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
+#: What stands for a break between pieces, and small letters for large ones; words are then what stands between spaces.
+BREAK, SPACED = b".", b" . "
+PLAIN = bytes.maketrans(b",;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"......... abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(11).integers(1 << 40, 1 << 62, 8, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -57,6 +57,15 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return _mixed(h)
 
 
+def window_hashes_at(words: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """window_hashes() of the given places only; words are the hashes of the ids."""
+    h = np.full(len(at), k, np.uint64)
+    for j in range(k):
+        w = words[ids[at + j]]
+        h += (w ^ (w >> np.uint64(32))) * _ODD[j]
+    return _mixed(h)
+
+
 def may_be(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes have their bit in a sieve."""
     at = hashes & np.uint64(len(sieve) * 64 - 1)
@@ -76,7 +85,8 @@ def word_may_be(sieve: np.ndarray, word: int) -> bool:
 class HatTrie:
     """Counts of phrases of k words, keyed by the bytes of their word ids.
 
-    A container is a dict from the ids that remain (bytes) to a count; a Node is a dict from an id (bytes) to what follows.
+    A container is a dict from the ids that remain (bytes) to a count; a Node is a dict from an id (bytes) to what follows:
+    containers, or one more level of nodes.
     """
 
     class Node(dict):
@@ -86,33 +96,34 @@ class HatTrie:
         self.k, self.limit, self.root, self.size = k, burst, {}, 0
 
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Rows of k ids, distinct, with their counts."""
-        keys = np.ascontiguousarray(ids.astype("<u4")).view(f"V{4 * self.k}").ravel().tolist()
-        for key, n in zip(keys, counts.tolist(), strict=True):
-            node, above, rest = self.root, None, key
-            while type(node) is HatTrie.Node:
-                above, step, rest = node, rest[:4], rest[4:]
-                node = above.get(step)
-                if node is None:
-                    node = above[step] = {}
-            got = node.get(rest)
-            if got is not None:
-                node[rest] = got + n
-                continue
-            node[rest] = n
-            self.size += 1
-            if len(node) > self.limit and len(rest) > 4 and len(key) - len(rest) < 4 * DEPTH:
-                new = self._burst(node)
-                if above is None:
-                    self.root = new
-                else:
-                    above[step] = new
-
-    @staticmethod
-    def _burst(container: dict) -> Node:
+        """Distinct rows of k ids in their order, with their counts."""
+        n = counts.tolist()
+        if type(self.root) is dict:
+            self.root = self._filled(self.root, _keys(ids), n, self.k)
+            return
+        starts = np.r_[0, np.flatnonzero(np.diff(ids[:, 0])) + 1]
+        rests, root = _keys(ids[:, 1:]), self.root
+        for step, at, end in zip(_keys(ids[starts, :1]), starts.tolist(), [*starts[1:].tolist(), len(n)], strict=True):
+            node = root.get(step)
+            if type(node) is HatTrie.Node:
+                for rest, c in zip(rests[at:end], n[at:end], strict=True):
+                    below = node.setdefault(rest[:4], {})
+                    self.size += rest[4:] not in below
+                    below[rest[4:]] = below.get(rest[4:], 0) + c
+            else:
+                root[step] = self._filled({} if node is None else node, rests[at:end], n[at:end], self.k - 1)
+
+    def _filled(self, container: dict, keys: list[bytes], counts: list[int], words: int) -> dict:
+        """A container with more keys of so many words, burst where it has grown beyond its limit."""
+        before, get = len(container), container.get
+        for key, c in zip(keys, counts, strict=True):
+            container[key] = get(key, 0) + c
+        self.size += len(container) - before
+        if len(container) <= self.limit or words < 2:
+            return container
         new = HatTrie.Node()
-        for rest, n in container.items():
-            new.setdefault(rest[:4], {})[rest[4:]] = n
+        for key, c in container.items():
+            new.setdefault(key[:4], {})[key[4:]] = c
         return new
 
     @staticmethod
@@ -120,31 +131,35 @@ class HatTrie:
         return sum(map(HatTrie._weight, node.values())) if type(node) is HatTrie.Node else len(node)
 
     @staticmethod
-    def _entries(node: dict, prefix: bytes = b"") -> Iterator[tuple[bytes, int]]:
+    def _gather(node: dict, prefix: bytes, keys: list[bytes], counts: list[int]) -> None:
         if type(node) is HatTrie.Node:
             for step, below in node.items():
-                yield from HatTrie._entries(below, prefix + step)
+                HatTrie._gather(below, prefix + step, keys, counts)
         else:
-            for rest, n in node.items():
-                yield prefix + rest, n
+            keys += [prefix + rest for rest in node]
+            counts += node.values()
 
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of the largest subtrees, which leave until `keep` entries at most are left; a root that is a
         container leaves whole."""
-        found: list[tuple[bytes, int]] = []
+        keys: list[bytes] = []
+        counts: list[int] = []
         if type(self.root) is HatTrie.Node and keep:
             weight = {step: self._weight(below) for step, below in self.root.items()}
             for step in sorted(weight, key=weight.__getitem__, reverse=True):
                 if self.size <= keep:
                     break
-                before = len(found)
-                found += self._entries(self.root.pop(step), step)
-                self.size -= len(found) - before
+                self._gather(self.root.pop(step), step, keys, counts)
+                self.size -= weight[step]
         else:
-            found += self._entries(self.root)
+            self._gather(self.root, b"", keys, counts)
             self.root, self.size = {}, 0
-        ids = np.frombuffer(b"".join(key for key, _ in found), "<u4").reshape(-1, self.k)
-        return ids, np.array([n for _, n in found], np.int64)
+        return np.frombuffer(b"".join(keys), "<u4").reshape(-1, self.k), np.array(counts, np.int64)
+
+
+def _keys(ids: np.ndarray) -> list[bytes]:
+    """Rows of ids as bytes."""
+    return np.ascontiguousarray(ids.astype("<u4")).view(f"V{4 * ids.shape[1]}").ravel().tolist()
 
 
 class _Words(dict):
@@ -155,11 +170,8 @@ class _Words(dict):
 
     def __missing__(self, token: bytes) -> int:
         c = self.counter
-        if token[0] in BREAKS:
-            self[token] = -1
-            return -1
         h = word_hash(token, self.lang)
-        if c.sieves and not word_may_be(c.sieves[0], h):
+        if token == BREAK or c.sieves and not word_may_be(c.sieves[0], h):
             self[token] = -1
             return -1
         self[token] = i = len(c.words)
@@ -170,78 +182,80 @@ class _Words(dict):
 
 
 class Counter:
-    """Counts the phrases of k words in the texts of a task; runs come out as record batches sorted by key."""
+    """Counts the phrases of the given lengths in the texts of a task; runs come out as record batches sorted by key.
+
+    sieves are of single words, and of phrases of `part` words: of longer phrases only those are counted all of whose parts
+    of that length may be frequent.
+    """
 
-    SCHEMA = "key string, prefix long, n long"
+    SCHEMA = "key string, n long"
 
-    def __init__(self, k: int, sieves: tuple):
-        self.k, self.sieves = k, sieves
-        self.trie, self.totals, self.limit = HatTrie(k), {}, FULL
+    def __init__(self, lengths: tuple[int, ...], sieves: tuple = (), part: int = 1):
+        self.sieves, self.part, self.limit = sieves, part, FULL
+        self.tries, self.totals = {k: HatTrie(k) for k in lengths}, {}
         self._anew()
 
     def _anew(self) -> None:
         self.words, self.hashes, self.langs, self.ids = [], [], [], {}
 
     def count(self, langs: list, texts: list) -> None:
-        found: list = []
+        whole: dict[str, list[bytes]] = {}
         for lang, text in zip(langs, texts, strict=True):
-            lang = "und" if lang is None else lang
-            known = self.ids.get(lang)
-            if known is None:
-                known = self.ids[lang] = _Words(self, lang)
-            ids = list(map(known.__getitem__, TOKENS.findall((text or "").encode("utf-8", "surrogatepass").lower())))
-            if self.k == 1:
-                self.totals[lang] = self.totals.get(lang, 0) + sum(i >= 0 for i in ids)
-            found += (ids, (-1,))
-        self._windows(np.fromiter(chain.from_iterable(found), np.int64))
+            whole.setdefault("und" if lang is None else lang, []).append((text or "").encode("utf-8", "surrogatepass"))
+        for lang, found in whole.items():
+            known = self.ids.setdefault(lang, _Words(self, lang))
+            tokens = SPACED.join(found).translate(PLAIN).replace(BREAK, SPACED).split()
+            ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+            if 1 in self.tries:
+                self.totals[lang] = self.totals.get(lang, 0) + int((ids >= 0).sum())
+            self._windows(ids)
 
     def _windows(self, ids: np.ndarray) -> None:
-        k, n = self.k, len(ids) - self.k + 1
-        if n <= 0:
-            return
         fine = ids >= 0
-        whole = np.logical_and.reduce([fine[j : j + n] for j in range(k)])
-        if k > 2:
-            at = np.array(self.hashes or [0], np.uint64)[np.where(fine, ids, 0)]
-            part = np.zeros(len(ids) - k + 2, bool)
-            some = np.flatnonzero(np.logical_and.reduce([fine[j : j + len(part)] for j in range(k - 1)]))
-            part[some] = may_be(self.sieves[1], window_hashes(at, k - 1)[some])
-            whole &= part[:-1] & part[1:]
-        at = np.flatnonzero(whole)
-        if not len(at):
-            return
-        code = ids[at]
-        for j in range(1, k):
-            if j > 1:
-                code = np.unique(code, return_inverse=True)[1].astype(np.int64)
-            code = code << 32 | ids[at + j]
-        _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        where = at[first]
-        self.trie.add(np.stack([ids[where + j] for j in range(k)], 1), counts)
+        part = fine
+        if self.part > 1 and len(ids) >= self.part:
+            n = len(ids) - self.part + 1
+            some = np.flatnonzero(np.logical_and.reduce([fine[j : j + n] for j in range(self.part)]))
+            part = np.zeros(n, bool)
+            hashes = np.array(self.hashes or [0], np.uint64)
+            part[some] = may_be(self.sieves[1], window_hashes_at(hashes, ids, some, self.part))
+        for k, trie in self.tries.items():
+            n = len(ids) - k + 1
+            if n <= 0:
+                continue
+            at = np.flatnonzero(np.logical_and.reduce([part[j : j + n] for j in range(k - self.part + 1)]))
+            if not len(at):
+                continue
+            code = ids[at]
+            for j in range(1, k):
+                if j > 1:
+                    code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+                code = code << 32 | ids[at + j]
+            _, first, counts = np.unique(code, return_index=True, return_counts=True)
+            where = at[first]
+            trie.add(np.stack([ids[where + j] for j in range(k)], 1), counts)
 
     def runs(self, last: bool = False) -> Iterator[pa.RecordBatch]:
         """What has to leave now: nothing while there is room, all at the end or when there are too many words."""
         anew = last or sum(map(len, self.ids.values())) > VOCABULARY
-        if self.trie.size and (anew or self.trie.size > self.limit):
-            yield self._run(*self.trie.spill(0 if anew else self.limit // 2))
+        for trie in sorted(self.tries.values(), key=lambda t: -t.size):
+            if trie.size and (anew or sum(t.size for t in self.tries.values()) > self.limit):
+                yield self._run(*trie.spill(0 if anew else trie.size // 2))
         if anew:
             self._anew()
         if last and self.totals:
-            yield self._batch(pa.array(["\t" + x for x in self.totals]), np.zeros(len(self.totals), np.int64), np.array(list(self.totals.values()), np.int64))
+            yield self._batch(pa.array(["\t" + x for x in self.totals]), np.array(list(self.totals.values()), np.int64))
 
     def _run(self, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         words, langs = pa.array(self.words, pa.binary()), pa.array(self.langs)
         phrase = pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in ids.T), pa.scalar(b" ", pa.binary()))
         key = pc.binary_join_element_wise(phrase, langs.take(pa.array(ids[:, 0])).cast(pa.binary()), pa.scalar(b"\t", pa.binary()))
-        at = np.array(self.hashes, np.uint64)[ids]
-        salt = _mixed((at * _ODD[: self.k]).sum(1, dtype=np.uint64)) % np.uint64(SALTS)
-        prefix = _mixed(at[:, 0] + salt).view(np.int64)
         order = pc.sort_indices(key)
-        return self._batch(key.take(order).cast(pa.string()), prefix[order.to_numpy()], counts[order.to_numpy()])
+        return self._batch(key.take(order).cast(pa.string()), counts[order.to_numpy()])
 
     @staticmethod
-    def _batch(key: pa.Array, prefix: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([key, pa.array(prefix), pa.array(n)], names=["key", "prefix", "n"])
+    def _batch(key: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([key, pa.array(n)], names=["key", "n"])
 
 
 def merged(batches, least: int) -> Iterator[pa.RecordBatch]:
@@ -270,12 +284,12 @@ def merged(batches, least: int) -> Iterator[pa.RecordBatch]:
         yield taken(pa.array([key]), np.array([n], np.int64))
 
 
-def counted(docs: DataFrame, lang_col: str, text_col: str, k: int, sieves: tuple, least: int) -> DataFrame:
-    """key (phrase, tab, language), n: phrases of k words that stand `least` times or more; for k = 1 also, without a
-    phrase, how many words a language has. sieves are broadcast bit arrays of the frequent words and of the frequent
-    phrases of k - 1 words."""
+def counted(docs: DataFrame, lang_col: str, text_col: str, lengths: tuple[int, ...], sieves: tuple, least: int) -> DataFrame:
+    """key (phrase, tab, language), n: phrases of these lengths that stand `least` times or more; with single words also,
+    without a phrase, how many words a language has. sieves are broadcast bit arrays of the frequent words and of the
+    frequent phrases of one word less than the first length."""
     def count(batches) -> Iterator[pa.RecordBatch]:
-        counter = Counter(k, tuple(s.value for s in sieves))
+        counter = Counter(lengths, tuple(s.value for s in sieves), max(1, lengths[0] - 1))
         langs, texts, size = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -294,7 +308,7 @@ def counted(docs: DataFrame, lang_col: str, text_col: str, k: int, sieves: tuple
 
     runs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, Counter.SCHEMA)
     # a run is sorted when it comes; Spark merges the runs of a prefix and spills what does not fit
-    dealt = runs.repartition("prefix").sortWithinPartitions("key").select("key", "n")
+    dealt = runs.repartition(F.substring_index("key", " ", 1), F.pmod(F.xxhash64("key"), F.lit(SALTS))).sortWithinPartitions("key")
     return dealt.mapInArrow(lambda batches: merged(batches, least), "key string, n long")
 
 
@@ -319,13 +333,15 @@ def sieve_of(phrases: DataFrame, bits: int) -> np.ndarray:
 def frequent(docs: DataFrame, lang_col: str, text_col: str, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(phrase, lang, k, f) of all phrases of up to `longest` words that stand `least` times, and (lang, n) of all words."""
     sc, sieves, levels, totals = docs.sparkSession.sparkContext, (), [], None
-    for k in range(1, longest + 1):
-        rows = counted(docs, lang_col, text_col, k, sieves, least)
-        rows = store(rows.select(F.substring_index("key", "\t", 1).alias("phrase"), F.expr("substr(key, instr(key, '\t') + 1)").alias("lang"), F.col("n").alias("f")), f"phrases-{k}")
-        if k == 1:
+    passes = [(k,) for k in range(1, min(longest, SIEVED) + 1)] + [tuple(range(SIEVED + 1, longest + 1))]
+    for lengths in filter(None, passes):
+        rows = counted(docs, lang_col, text_col, lengths, sieves, least)
+        rows = rows.select(F.substring_index("key", "\t", 1).alias("phrase"), F.expr("substr(key, instr(key, '\t') + 1)").alias("lang"), F.col("n").alias("f"))
+        rows = store(rows.withColumn("k", F.size(F.split("phrase", " "))), f"phrases-{lengths[0]}")
+        if lengths == (1,):
             totals, rows = rows.filter("phrase = ''").select("lang", F.col("f").alias("n")), rows.filter("phrase <> ''")
-        levels.append(rows.withColumn("k", F.lit(k)))
-        if k == longest or not (n := rows.count()):
+        levels.append(rows)
+        if lengths == passes[-1] or not (n := rows.count()):
             break
         sieve = sc.broadcast(sieve_of(rows, min(MOST_BITS, max(1 << 16, 1 << (n * BITS_EACH - 1).bit_length()))))
         sieves = (sieves[0] if sieves else sieve, sieve)
