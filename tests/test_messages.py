@@ -31,6 +31,19 @@ def test_normalisation_examples(spark):
     assert lang[1] == "en" or lang[1] == "hinglish"
 
 
+def test_normalisation_is_one_pass_in_slices(spark, monkeypatch):
+    df = text.normalize(messages(spark, "Acnt b1ocked!"), log=False)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
+    import pyarrow as pa
+
+    monkeypatch.setattr(text, "SLICE", 2)
+    odd = ["a\x1cb  c", "AAAa b-l-c-k", None, "क़ ऩﬁ", "b'l'c'k ACNT, upd8", "\t x\x85y "]
+    got = text._sliced(pa.array(odd), text.CLEANED_LOGGED, True).to_pylist()
+    assert [g["text"] for g in got] == ["a\x1cb c", "A block", "", "क़ ऩfi", "block ACCOUNT updb", "x y"]
+    assert [g["n"] for g in got] == [len(g["log"]) for g in got] == [1, 3, 0, 1, 3, 1]
+
+
 def test_word_passes():
     # one word at a time: passes feed one another, hits are logged pass by pass, capitals are kept
     assert text.restore_word("plain") == ("plain", ())
