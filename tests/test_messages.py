@@ -247,6 +247,13 @@ def test_providers(spark):
     assert [r["n_orgs"] > 0 for r in twice.collect()].count(True) == 2 and twice.count() == 3
 
 
+def test_variants_come_from_one_pass(spark):
+    v = augment.augment_messages(messages(spark, "Your BANK account, please", None), ("adjacent_swap", "mixed_scripts"))
+    assert "transform(" not in v._jdf.queryExecution().optimizedPlan().toString()
+    assert v.count() == 4 and augment.perturb("Your BANK account, please", "mixed_scripts", 1).split(" ")[1] == "बैंक"
+    assert augment.perturb("l0ng words stay", "number_substitution", 5) == augment.perturb("l0ng words stay", "number_substitution", 5)
+
+
 def test_augmentation_is_repeatable(spark):
     m = messages(spark, "Your account is blocked, click http://sbi.co.in now please", None)
     one = sorted(map(tuple, augment.augment_messages(m).collect()), key=repr)
