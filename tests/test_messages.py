@@ -247,6 +247,13 @@ def test_providers(spark):
     assert [r["n_orgs"] > 0 for r in twice.collect()].count(True) == 2 and twice.count() == 3
 
 
+def test_campaign_steps_are_filled_by_all_families(spark):
+    rows = spark.range(90).selectExpr("if(id < 60, 'a', 'b') AS family", "id", "id AS at", "array(1D, 0D) AS v")
+    assert campaigns.steps_of(rows, 10) == 6 and campaigns.steps_of(rows.limit(0), 10) == 0
+    sizes = {(r["family"], r["block"]): r["count"] for r in campaigns._numbered(rows, 6).groupBy("family", "block").count().collect()}
+    assert sizes == {**{("a", k): 10 for k in range(6)}, **{("b", k): 5 for k in range(6)}}
+
+
 def test_variants_come_from_one_pass(spark):
     v = augment.augment_messages(messages(spark, "Your BANK account, please", None), ("adjacent_swap", "mixed_scripts"))
     assert "transform(" not in v._jdf.queryExecution().optimizedPlan().toString()
