@@ -254,6 +254,13 @@ def test_campaign_steps_are_filled_by_all_families(spark):
     assert sizes == {**{("a", k): 10 for k in range(6)}, **{("b", k): 5 for k in range(6)}}
 
 
+def test_top_indicators_scan_the_texts_once(spark, data):
+    from smishlake.plans.queries import QUERIES
+
+    plan = QUERIES["ioc_top_values"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw_text" not in plan and "regexp_extract_all" not in plan
+
+
 def test_variants_come_from_one_pass(spark):
     v = augment.augment_messages(messages(spark, "Your BANK account, please", None), ("adjacent_swap", "mixed_scripts"))
     assert "transform(" not in v._jdf.queryExecution().optimizedPlan().toString()
