@@ -44,6 +44,18 @@ def test_normalisation_is_one_pass_in_slices(spark, monkeypatch):
     assert [g["n"] for g in got] == [len(g["log"]) for g in got] == [1, 3, 0, 1, 3, 1]
 
 
+def test_analysis_is_one_python_pass(spark):
+    # one worker a task: texts are not sent back and then to a second worker for the patterns
+    m = messages(spark, "Acnt b1ocked! Verify now http://hdfc-verify.top/card", None, sender="AX-SBIINB")
+    for parts in (("scores",), scoring.PARTS):
+        for log in (False, True):
+            df = scoring.analyze_messages(m, parts=parts, log=log)
+            assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    apart = scoring.score_messages(text.normalize(m, max_chars=13, log=False))
+    once = scoring.analyze_messages(m, max_chars=13, parts=("scores",), log=False)
+    assert sorted(map(str, once.select(sorted(once.columns)).collect())) == sorted(map(str, apart.select(sorted(apart.columns)).collect()))
+
+
 def test_word_passes():
     # one word at a time: passes feed one another, hits are logged pass by pass, capitals are kept
     assert text.restore_word("plain") == ("plain", ())
