@@ -266,6 +266,14 @@ def test_campaign_steps_are_filled_by_all_families(spark):
     assert sizes == {**{("a", k): 10 for k in range(6)}, **{("b", k): 5 for k in range(6)}}
 
 
+def test_campaign_steps_are_few(spark):
+    # a step costs a pass over the campaigns, whatever its messages: what fits in its vectors goes in one
+    rows = spark.range(16_000).selectExpr("'a' AS family", "id", "id AS at", "array(1D, 0D) AS v")
+    assert campaigns.steps_of(rows, campaigns.STEP_MESSAGES) == 1
+    wide = rows.selectExpr("family", "id", "at", "array_repeat(1D, 256) AS v")
+    assert campaigns.steps_of(wide, campaigns.STEP_MESSAGES) == 2  # vectors stay bounded
+
+
 def test_top_indicators_scan_the_texts_once(spark, data):
     from smishlake.plans.queries import QUERIES
 
