@@ -56,6 +56,20 @@ def test_analysis_is_one_python_pass(spark):
     assert sorted(map(str, once.select(sorted(once.columns)).collect())) == sorted(map(str, apart.select(sorted(apart.columns)).collect()))
 
 
+def test_worker_gets_small_batches_and_keeps_texts(spark):
+    # what a Python worker holds is bounded by bytes, and a text that no column needs does not come back
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 26)
+    texts = ["Acnt b1ocked! Verify now http://hdfc-verify.top/card", "apka\tkro", "आपके खाते", "€ no £", None, "", "aaAA", "a\x1c  b"]
+    m = messages(spark, *texts, sender="AX-SBIINB")
+    lean, whole = (scoring.analyze_messages(m, log=False, keep_text=k) for k in (False, True))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == text.BATCH_BYTES <= 1 << 23
+    assert "normalized_text" not in lean.columns
+    assert sorted(map(str, lean.collect())) == sorted(map(str, whole.drop("normalized_text").collect()))
+    bare = text.normalize(m, log=False, keep_text=False)
+    assert by_id(bare, "language", "n_transformations") == by_id(whole, "language", "n_transformations")
+    assert by_id(text.detect_language(whole.select("msg_id", "normalized_text")), "language", "scripts") == by_id(whole, "language", "scripts")
+
+
 def test_word_passes():
     # one word at a time: passes feed one another, hits are logged pass by pass, capitals are kept
     assert text.restore_word("plain") == ("plain", ())
