@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from smishlake.functions import constants as C
-from smishlake.functions.columns import barrier, half_even, html_escape, words
+from smishlake.functions.columns import barrier, half_even, html_escape
+from smishlake.functions.scan import Detector, Scanner
+from smishlake.operators.text import in_slices, in_small_batches
 
 NAMES = [s[0] for s in C.STAGES]
 LEAST_SCORE, PER_MATCH, DAMPING, EDGE_BONUS = 0.15, 0.35, 0.35, 0.10
@@ -41,17 +46,38 @@ def drop_repeats(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeats", F.count_if(F.col("_r") > 1).over(whole)).filter("_r = 1").drop("_r")
 
 
-def _count(latin: str, deva: str = "") -> Column:
-    text = F.lower("text")
-    n = F.regexp_count(text, F.lit(words(latin)))
-    return n + F.regexp_count(text, F.lit(deva)) if deva else n
+#: Matches of the pattern of each stage, and of benign context. Built without a session: workers import this module.
+COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in (*NAMES, "BENIGN")])
+
+
+@lru_cache(maxsize=1)
+def _scanner() -> Scanner:
+    latin = [Detector(name, p, "count", True) for name, p, _ in C.STAGES]
+    deva = [Detector(name, p, "count") for name, _, p in C.STAGES if p]
+    return Scanner([*latin, Detector("BENIGN", C.BENIGN, "count", True), *deva])
+
+
+def pattern_counts(text: str) -> tuple[int, ...]:
+    """COUNTS of a text: words of each stage and of benign context, and terms of Devanagari stages without word boundaries."""
+    out = dict.fromkeys(COUNTS.names, 0)
+    for detector, n in zip(_scanner().detectors, _scanner().scan(text.lower()), strict=True):
+        out[detector.name] += n
+    return tuple(out.values())
+
+
+@F.arrow_udf(COUNTS)
+def _counts(texts: pa.Array) -> pa.Array:
+    return in_slices(pattern_counts, COUNTS, texts)
 
 
 def assign_stages(df: DataFrame) -> DataFrame:
-    """Adds scores (struct by stage), benign, state, state_confidence and signals to rows with text."""
-    for name, latin, deva in C.STAGES:
-        df = df.withColumn(f"s_{name}", F.least(F.lit(1.0), PER_MATCH * _count(latin, deva)))
-    df = df.withColumn("benign", F.least(F.lit(1.0), PER_MATCH * _count(C.BENIGN)))
+    """Adds scores (struct by stage), benign, state, state_confidence and signals to rows with text.
+
+    All patterns are counted in one Arrow pass by an automaton of the words that they begin with."""
+    df = barrier(in_small_batches(df).withColumn("_n", _counts("text")), "_n")
+    for name in NAMES:
+        df = df.withColumn(f"s_{name}", F.least(F.lit(1.0), PER_MATCH * F.col(f"_n.{name}")))
+    df = df.withColumn("benign", F.least(F.lit(1.0), PER_MATCH * F.col("_n.BENIGN"))).drop("_n")
     best = F.array_max(F.array(*(F.struct(F.col(f"s_{n}").alias("score"), F.lit(-i).alias("ord"), F.lit(n).alias("name")) for i, n in enumerate(NAMES))))
     df = df.withColumn("_best", best)
     named = F.col("_best.score") > LEAST_SCORE

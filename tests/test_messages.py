@@ -144,6 +144,20 @@ def test_conversation(spark):
     assert conversations.order_messages(timed).filter("time_reversed").count() == 4
 
 
+def test_stage_patterns_are_counted_in_one_pass(spark):
+    import re
+
+    from smishlake.functions import constants as C
+
+    texts = ["Dear customer, pay pay Rs. 500 within 2 hours; otp_otp OTP otp", "we  are calling from official department, नमस्ते नमस्ते", "5 rs 6rs x5 rupees, one-time password; RBI approved", "Thank you for your patience, the case closed", "", "unpaid repay payé"]
+    count = lambda p, t: sum(1 for _ in re.finditer(rf"(?<!\w)(?ai:{p})(?!\w)", t.lower()))
+    for t in texts:
+        want = [count(latin, t) + (len(re.findall(deva, t)) if deva else 0) for _, latin, deva in C.STAGES]
+        assert conversations.pattern_counts(t) == (*want, count(C.BENIGN, t))
+    plan = conversations.single_messages(messages(spark, *texts))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_count" not in plan and "regexp_extract" not in plan
+
+
 def test_fingerprint_pairs(spark):
     m = messages(spark, "SBI KYC blocked http://sbi-kyc.click/a now", "Your SBI KYC is blocked http://sbi-kyc.click/a today", "part time job, daily salary")
     a = campaigns.text_vectors(scoring.analyze_messages(m))
