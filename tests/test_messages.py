@@ -418,3 +418,41 @@ def test_seek_pages_are_the_whole_list(spark, tmp_path):
     assert seen == [i for i, at, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
     plan = S.seek_page(stored, [("at", True), ("id", False)], 10, (3, 5))._jdf.queryExecution().toString()
     assert "LessThanOrEqual(at,3)" in plan
+
+
+def test_campaign_steps_do_not_rewrite_all_campaigns(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(campaigns, "drop_folder", lambda _, path: written.append(path))
+    monkeypatch.setattr(campaigns, "MERGED", 4)
+    rows = spark.createDataFrame([("a", i, i, v) for i, v in enumerate(vectors(90))], "family string, id long, at long, v array<double>")
+    found, state = campaigns.assign_blocks(rows, campaigns.no_campaigns(spark), block=10)
+    assert len(written) == 9 // 4  # nine steps
+    sizes = {r["leader"]: r["count"] for r in found.groupBy("leader").count().collect()}
+    assert {r["leader"]: r["n"] for r in state.collect()} == sizes  # each campaign once, as it was left last
+
+
+def test_words_of_a_batch_are_counted_as_one_by_one():
+    texts = ["", "  ", " a  b A", "é É\tx\ny", *(" ".join(f"w{i % k}" for i in range(40)) for k in (1, 3, 17))]
+    for text, got in zip(texts, campaigns.bucket_counts(texts), strict=True):
+        words = [campaigns.word_bucket(w) for w in text.lower().split(" ") if w]
+        assert got.tolist() == [words.count(b) for b in range(campaigns.WORD_BUCKETS)]
+
+
+def test_campaign_queries_store_and_scan_only_what_they_need(spark, data, monkeypatch):
+    from smishlake.plans import queries
+
+    kept = {}
+    monkeypatch.setattr(queries.S, "persist_table", lambda df, name, *_: kept.setdefault(name, df))
+    queries._campaign_messages(spark, data)
+    assert "raw_text" not in kept["messages-analysed"].columns
+    assert "upi_id" not in queries._domains(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_indicators_of_texts_that_quick_patterns_let_through(spark):
+    texts = ["HTTP://A.example/x", "see WWW.b.example", "Shop.example-one.TOP/a", "a" * 70 + ".com", "me@host.example", "x.y@OKAXIS", "vm-hdfcbk", "10.20.30.40 [::1]", "call 919876543210", "", None]
+    m = spark.createDataFrame(list(enumerate(texts)), "msg_id int, raw_text string")
+    found = {(r["msg_id"], r["type"]) for r in indicators.extract_indicators(m).collect()}
+    assert found == {(0, "url"), (0, "domain"), (1, "url"), (1, "domain"), (2, "url"), (2, "domain"), (3, "url"), (3, "domain"), (4, "email"), (5, "upi_id"), (6, "sender_id"), (7, "ip"), (8, "phone")}
+    f = fingerprint.build_fingerprints(scoring.analyze_messages(m.selectExpr("*", "cast(null AS string) AS sender_id", "timestamp_seconds(0) AS received_at")))
+    got = {r["msg_id"]: (r["url_count"], r["phone_count"], r["vpa_count"], r["word_count"], r["sentence_count"]) for r in f.collect()}
+    assert got[0][0] == got[1][0] == got[2][0] == 1 and got[5][2] == 1 and got[9] == got[10] == (0, 0, 0, 0, 1)
