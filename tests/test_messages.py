@@ -323,6 +323,15 @@ def test_augmentation_is_repeatable(spark):
     assert one == two and len(one) == 2 * len(augment.PERTURBATIONS)
 
 
+def test_robustness_counts_every_perturbation(spark, data):
+    from smishlake.plans.queries import QUERIES
+
+    n = S.read_table(spark, data, "documents").count()
+    found = {(r["level"], r["name"]): r["n"] for r in QUERIES["robustness"](spark, data).collect()}
+    assert {name: n for name in augment.PERTURBATIONS} == {name: k for (level, name), k in found.items() if level == "perturbation"}
+    assert found["all", "all"] == n * len(augment.PERTURBATIONS)
+
+
 def test_training(spark):
     df = spark.createDataFrame([("Your OTP is 1234",), ("yourotpis1234",), ("YOUR OTP IS 1234 ",), ("other",)], "text string")
     assert sorted(r["n"] for r in training.template_groups(df).collect()) == [1, 3]
