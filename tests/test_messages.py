@@ -447,6 +447,17 @@ def test_words_of_a_batch_are_counted_as_one_by_one():
         assert got.tolist() == [words.count(b) for b in range(campaigns.WORD_BUCKETS)]
 
 
+def test_campaign_vectors_come_with_the_analysis(spark, data, monkeypatch):
+    from smishlake.plans import queries
+
+    monkeypatch.setattr(queries.S, "persist_table", lambda df, name, *_: df)
+    a = queries._campaign_messages(spark, data)
+    assert a._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # no text goes to a worker twice
+    want = campaigns.word_vectors(scoring.analyze_messages(queries.R.messages(spark, data), parts=("scores",)))
+    pair = lambda df: sorted((r["msg_id"], tuple(r["embedding"])) for r in df.select("msg_id", "embedding").collect())
+    assert pair(a) == pair(want)
+
+
 def test_campaign_queries_store_and_scan_only_what_they_need(spark, data, monkeypatch):
     from smishlake.plans import queries
 
