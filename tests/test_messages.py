@@ -332,6 +332,17 @@ def test_robustness_counts_every_perturbation(spark, data):
     assert found["all", "all"] == n * len(augment.PERTURBATIONS)
 
 
+def test_variants_are_scored_in_the_pass_that_makes_them(spark):
+    m = messages(spark, "Your SBI account is blocked, click http://sbi.co.in now please", "", None, "Bhai apka acnt kal band ho jayega!", "Your SBI account is blocked, click http://sbi.co.in now please")
+    got = augment.scored_variants(m, keep_text=True)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 0
+    want = scoring.score_messages(text.normalize(augment.augment_messages(m), log=False))
+    same = ["msg_id", "perturbation", "raw_text", "n_transformations", "language", "scam_family", "risk_score", "risk_level", "fear", "link"]
+    pick = lambda df: sorted(map(tuple, df.select(*same).collect()), key=repr)
+    assert pick(got) == pick(want) and got.count() == 5 * len(augment.PERTURBATIONS)
+    assert augment.scored_variants(m).filter("raw_text IS NOT NULL").isEmpty()
+
+
 def test_training(spark):
     df = spark.createDataFrame([("Your OTP is 1234",), ("yourotpis1234",), ("YOUR OTP IS 1234 ",), ("other",)], "text string")
     assert sorted(r["n"] for r in training.template_groups(df).collect()) == [1, 3]
