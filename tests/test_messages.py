@@ -332,6 +332,18 @@ def test_robustness_counts_every_perturbation(spark, data):
     assert found["all", "all"] == n * len(augment.PERTURBATIONS)
 
 
+def test_representatives_of_a_large_block_are_sent_a_few_times(spark, monkeypatch):
+    m = messages(spark, *[f"SBI account {'x' * i} blocked, update KYC at http://sbi.example/{i}" for i in range(90)])
+    f = fingerprint.build_fingerprints(campaigns.word_vectors(scoring.analyze_messages(m)), spark.createDataFrame([(i, "shared") for i in range(90)], "msg_id long, value string"))
+    pick = lambda: sorted(map(tuple, fingerprint.top_partners(f, 3).collect()))
+    want = pick()
+    copies = [r[0] for r in spark.createDataFrame([(1000,), (100_000,), (1_000_000,)], "n long").select(fingerprint.shards_of(F.col("n"))).collect()]
+    assert copies == [1, 16, 123]  # not 1, 98, 977
+    monkeypatch.setattr(fingerprint, "SHARD", 5)
+    monkeypatch.setattr(fingerprint, "SHARDS", 2)
+    assert pick() == want and len(want) == 270
+
+
 def test_variants_are_scored_in_the_pass_that_makes_them(spark):
     m = messages(spark, "Your SBI account is blocked, click http://sbi.co.in now please", "", None, "Bhai apka acnt kal band ho jayega!", "Your SBI account is blocked, click http://sbi.co.in now please")
     got = augment.scored_variants(m, keep_text=True)
